@@ -11,7 +11,8 @@ The strings (windows) of a text are named from the outside in, each level settli
 3. The windows of the cells left are hashed (128 bits) and counted one by one.
 
 Names are counted by plain aggregations, so a string that half of all texts share costs no more than any
-other. From level to level only a Bloom filter of fixed size travels; a wrong yes costs work, never a result.
+other. From level to level only a Bloom filter of fixed size travels, of one place for each distinct union that is
+still open; a wrong yes costs work, never a result.
 
 Defined results: null is the empty text; texts shorter than `size` lose nothing; matches never cross rows; rows with
 equal texts repeat each other; repeated rows give a row each; texts may be of any length; an empty table gives an
@@ -128,7 +129,7 @@ class Bloom:
         return out
 
 
-LEVEL = "key long, f1 long, f2 long, th binary, lo int, hi int"
+LEVEL = "key long, f1 long, f2 long, rid long, th binary, lo int, hi int"
 
 
 def scan(level: int, size: int, blooms):
@@ -139,26 +140,34 @@ def scan(level: int, size: int, blooms):
 
     def run(batches):
         for b in batches:
+            text_id = np.frombuffer(b"".join(b.column(0).to_pylist()), "<u8")[::2]
             for r0, _, data, offsets in utf8_slices(b.column(1)):
                 row, at, lo, hi = anchors(data, offsets, size)
                 raw = data.tobytes()
-                key = name(raw, zip((at - SIDE).tolist(), (at + GRAM + SIDE).tolist()))
-                if level > 1:
-                    left = blooms[0].value.holds(key)
+
+                def ids():
+                    h = (text_id[row + r0] + lo.astype(np.uint64) - offsets[row].astype(np.uint64)) * MIX
+                    return ((h ^ (h >> np.uint64(32))) * BASE).view(np.int64)
+
+                if level == 1:
+                    key = name(raw, zip((at - SIDE).tolist(), (at + GRAM + SIDE).tolist()))
+                else:
+                    left = blooms[0].value.holds(ids())
                     row, lo, hi, core = grid(row[left], at[left], lo[left], hi[left])
-                    key = name(raw, zip(core.tolist(), (core - CELL + 1 + size).tolist()))
+                    key = name(raw, zip(core.tolist(), (core - CELL + 1 + size).tolist())) if level == 2 else None
                 if level > 2:
-                    left = blooms[1].value.holds(key)
-                    row, lo, hi, key = row[left], lo[left], hi[left], key[left]
+                    left = blooms[1].value.holds(ids())
+                    row, lo, hi = row[left], lo[left], hi[left]
                     n = hi - lo + 1
-                    row, key = np.repeat(row, n), np.repeat(key, n)
+                    row = np.repeat(row, n)
                     lo = hi = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
                 full = [xxhash.xxh3_128_digest(raw[a:c]) for a, c in zip(lo.tolist(), (hi + size).tolist())]
                 f = np.frombuffer(b"".join(full), ">i8").reshape(-1, 2).astype(np.int64)
+                key = f[:, 0] if key is None else key
                 base = offsets[row]
-                cols = [pa.array(key), pa.array(f[:, 0]), pa.array(f[:, 1]), b.column(0).take(pa.array(row + r0)), pa.array((lo - base).astype(np.int32)), pa.array((hi - base).astype(np.int32))]
+                cols = [pa.array(key), pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array(ids()), b.column(0).take(pa.array(row + r0)), pa.array((lo - base).astype(np.int32)), pa.array((hi - base).astype(np.int32))]
                 for c in range(0, len(key), 65_536):
-                    yield pa.RecordBatch.from_arrays([x.slice(c, 65_536) for x in cols], ["key", "f1", "f2", "th", "lo", "hi"])
+                    yield pa.RecordBatch.from_arrays([x.slice(c, 65_536) for x in cols], ["key", "f1", "f2", "rid", "th", "lo", "hi"])
 
     return run
 
@@ -175,22 +184,27 @@ def grid(row, at, lo, hi):
 
 def repeated_spans(texts: DataFrame, size: int = SIZE) -> DataFrame:
     """(th, spans) for texts(th, text): flat start, end lists of the maximal runs of repeated bytes, per distinct text."""
-    spark, blooms, parts, old = texts.sparkSession, [], [], []
+    spark, blooms, parts = texts.sparkSession, [], []
     for level in (1, 2, 3):
         named = cut(texts.mapInArrow(scan(level, size, list(blooms)), LEVEL))
-        old.append(named)
-        unions = named.groupBy("key", "f1", "f2").agg(F.count(F.lit(1)).alias("n"))
-        if level == 3:
-            again = unions.where("n > 1").select("f1", "f2")
-            parts.append(named.join(again, ["f1", "f2"], "left_semi").select("th", "lo", (F.col("hi") + size).alias("end")))
-            break
-        unions = cut(unions)
-        old.append(unions)
-        again = unions.where("n > 1").select("key", "f1", "f2")
-        parts.append(named.join(again, ["key", "f1", "f2"], "left_semi").select("th", "lo", (F.col("hi") + size).alias("end")))
-        # left: names that occur again, with a union that occurs once
-        per = unions.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1")
-        blooms.append(spark.sparkContext.broadcast(Bloom.of(per.select("key"))))
+        again = named.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+        again = spark.sparkContext.broadcast(Bloom.of(again))
+
+        def only(batches, again=again):
+            for b in batches:
+                yield b.filter(pa.array(again.value.holds(b.column(0).to_numpy())))
+
+        some = cut(named.mapInArrow(only, LEVEL))
+        release(named)
+        # a union that occurs once is its own representative; of others one goes on, as a partner for the rest
+        unions = cut(some.groupBy("key", "f1", "f2").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("rid")))
+        twice = unions.where("n > 1").select("key", "f1", "f2")
+        parts.append(cut(some.join(twice, ["key", "f1", "f2"], "left_semi").select("th", "lo", (F.col("hi") + size).alias("end"))))
+        release(some)
+        if level < 3:
+            left = unions.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1")
+            blooms.append(spark.sparkContext.broadcast(Bloom.of(unions.join(left, "key", "left_semi").select("rid"))))
+        release(unions)
     spans = parts[0].unionByName(parts[1]).unionByName(parts[2])
     spans = spans.groupBy("th").agg(F.collect_set(F.struct("lo", "end")).alias("found"))
 
@@ -208,7 +222,7 @@ def repeated_spans(texts: DataFrame, size: int = SIZE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32()))], ["th", "spans"])
 
     done = cut(spans.mapInArrow(union, "th binary, spans array<int>"))
-    release(*old)
+    release(*parts)
     return done
 
 
