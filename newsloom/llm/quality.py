@@ -88,7 +88,7 @@ class Platt:
     """Logistic calibration of a score."""
 
     def __init__(self, logit: np.ndarray, y: np.ndarray):
-        self.fit = Logistic(l2=1e-3, steps=200).fit(np.clip(logit, -30, 30).reshape(-1, 1), y)
+        self.fit = Logistic(l2=1e-3).fit(np.clip(logit, -30, 30).reshape(-1, 1), y)
 
     def logit(self, t):
         return self.fit.logit(np.clip(t, -30, 30).reshape(-1, 1))
@@ -120,7 +120,7 @@ class CoTrained:
             self.models = self._fit(views, y, extra)
         self.pseudo = [len(e[1]) for e in extra]
         self.platt = [Platt(m.logit(h), y_held) for m, h in zip(self.models, held)]
-        self.top = Logistic(l2=1e-3, steps=300).fit(self._both(held), y_held)
+        self.top = Logistic(l2=1e-3).fit(self._both(held), y_held)
 
     @staticmethod
     def _fit(views, y, extra):

@@ -215,7 +215,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
     for k, r in enumerate(got):
         x[k, r.x] = 1
     weight = np.where(y == 1, prior / max(1, (y == 1).sum()), (1 - prior) / max(1, (y == 0).sum()))
-    return Model(lm, chosen, Logistic(l2=1e-4).fit(x, y, weight), float(prior))
+    return Model(lm, chosen, Logistic(l2=1e-6).fit(x, y, weight), float(prior))
 
 
 def score(docs: DataFrame, model: Model, id_col="doc_id", text_col="text") -> DataFrame:
