@@ -1,4 +1,581 @@
-"""All queries by name."""
+"""All queries by name, each with the SQL that gives the same rows in DuckDB where SQL can express it."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from newsloom.functions import text as T
+from newsloom.functions import urls as U
+from newsloom.operators import bandit, frontier, graph, keywords, match, records, robots
+from newsloom.plans.fixtures import sql as fx
+from newsloom.plans.fixtures import table as fixture
+from newsloom.sources import archive, web
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+#: Phrases for the keyword queries: nested, accented, punctuated and absent ones, none that overlaps itself.
+PHRASES = ["the", "of the", "and", "to", "de", "de la", "que", "der die", "erth", "x-ray", "The", "absent phrase"]
+STOP = ["the", "of", "and", "de", "la", "to"]
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+NORM = r"lower(trim(regexp_replace(regexp_replace(strip_accents(text), '[^\p{L}\p{N}_\s]', '', 'g'), '\s+', ' ', 'g')))"
+#: Every phrase occurrence in padded words: blanks doubled, so that neighbours do not share one.
+_PHRASES_SQL = ", ".join(f"('{p}')" for p in dict.fromkeys(p.lower() for p in PHRASES))
+SCORED = f"""
+n AS (SELECT doc_id, lang, ' ' || replace(replace({NORM}, '_', ' '), ' ', '  ') || ' ' AS t FROM documents),
+v(p) AS (VALUES {_PHRASES_SQL}),
+m AS (SELECT doc_id, lang, p, (length(t) - length(replace(t, ' ' || replace(p, ' ', '  ') || ' ', ''))) // (length(replace(p, ' ', '  ')) + 2) AS k FROM n, v),
+s AS (SELECT doc_id, lang, count(*) AS unique_count, CAST(sum(k) AS BIGINT) AS total_count, string_agg(p, ', ' ORDER BY p) AS keywords FROM m WHERE k > 0 GROUP BY doc_id, lang)
+"""
+
+
+def _scored(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return keywords.score(keywords.matches(docs, keywords.vocabulary(spark, PHRASES))).withColumnRenamed("id", "doc_id")
+
+
+@query("keyword_score", f"WITH {SCORED} SELECT doc_id, unique_count, total_count, keywords FROM s")
+def keyword_score(spark, sf_dir):
+    return _scored(spark, sf_dir)
+
+
+@query("keyword_score_lang", f"WITH {SCORED} SELECT lang, count(*) AS docs, CAST(sum(unique_count) AS BIGINT) AS uniques, CAST(sum(total_count) AS BIGINT) AS total FROM s GROUP BY lang")
+def keyword_score_lang(spark, sf_dir):
+    langs = read(spark, sf_dir, "documents").select("doc_id", "lang")
+    return _scored(spark, sf_dir).join(langs, "doc_id").groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("unique_count").alias("uniques"), F.sum("total_count").alias("total"))
+
+
+@query("contains_keywords", f"WITH {SCORED} SELECT doc_id, doc_id IN (SELECT doc_id FROM s) AS relevant FROM documents")
+def contains_keywords(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id")
+    return docs.join(_scored(spark, sf_dir).select("doc_id", F.lit(True).alias("hit")), "doc_id", "left").select("doc_id", F.coalesce("hit", F.lit(False)).alias("relevant"))
+
+
+@query(
+    "first_keyword",
+    f"""WITH v(p) AS (VALUES {_PHRASES_SQL}), m AS (SELECT doc_id, p, instr(text, p) + length(p) - 1 AS e FROM documents, v WHERE instr(text, p) > 0)
+    SELECT doc_id, arg_min(p, (e, -length(p))) AS phrase, CAST(min(e) AS INTEGER) AS "end" FROM m GROUP BY doc_id""",
+)
+def first_keyword(spark, sf_dir):
+    return keywords.first_match(read(spark, sf_dir, "documents"), PHRASES).withColumnRenamed("id", "doc_id")
+
+
+@query("context_score")
+def context_score(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return keywords.context_score(docs, ["of the", "erth", "the", "de la"], ["x-ray", "license"], ["and the", "que"]).withColumnRenamed("id", "doc_id")
+
+
+@query("title_priority", """WITH t AS (SELECT page_id, regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&amp;', '&', 'g') AS text FROM pages)
+SELECT page_id, least(CAST(count(p) AS INTEGER), 1) AS priority FROM t LEFT JOIN (VALUES ('the'), ('de')) v(p) ON contains(' ' || """ + NORM + """ || ' ', ' ' || p || ' ') GROUP BY page_id""")
+def title_priority(spark, sf_dir):
+    titles = read(spark, sf_dir, "pages").select("page_id", web.title(F.col("html")).alias("text"))
+    found = keywords.score(keywords.matches(titles, keywords.vocabulary(spark, ["the", "de"]), "page_id"))
+    return titles.join(found.withColumnRenamed("id", "page_id"), "page_id", "left").select("page_id", F.least(F.coalesce("unique_count", F.lit(0)), F.lit(1)).cast("int").alias("priority"))
+
+
+@query("normalize_text", f"SELECT doc_id, {NORM} AS norm FROM documents")
+def normalize_text(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", T.normalize_text(F.col("text")).alias("norm"))
+
+
+@query(
+    "token_filter",
+    r"""SELECT doc_id, array_to_string(list_filter(string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '),
+    lambda w: regexp_matches(w, '^[\p{L}\p{N}]+$') AND NOT list_contains(['the','of','and','de','la','to'], lower(w))), ' ') AS kept FROM documents""",
+)
+def token_filter(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(T.keep_tokens(F.col("text"), STOP), " ").alias("kept"))
+
+
+@query("clean_newlines", "SELECT conv_id, turn, replace(coalesce(text, ''), chr(10), ' ') AS line FROM conversations")
+def clean_newlines(spark, sf_dir):
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", T.clean_newlines(T.sanitize(F.col("text"), "string")).alias("line"))
+
+
+_URL_SQL = r"""
+u AS (SELECT id, url, regexp_replace(regexp_replace(url, '[ ;\n\t]+$', ''), '^https?://web\.archive\.org/web/[0-9a-z_*]+/(.+)$', '\1') AS x FROM src),
+p AS (SELECT *, CASE WHEN regexp_matches(x, '^[A-Za-z][A-Za-z0-9+.\-]*://') THEN lower(regexp_extract(x, '^([A-Za-z][A-Za-z0-9+.\-]*)://', 1)) ELSE 'https' END AS scheme,
+        regexp_replace(x, '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//', '') AS rest FROM u),
+h AS (SELECT *, replace(lower(regexp_replace(regexp_extract(rest, '^([^/?#]*)', 1), '^.*@', '')), 'www.', '') AS h0,
+        regexp_replace(regexp_replace(regexp_replace(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), ';[^/]*$', ''), '/+$', ''), ';+$', '') AS p0,
+        regexp_extract(rest, '^[^?#]*\?([^#]*)', 1) AS q FROM p),
+e AS (SELECT *, CASE WHEN scheme = 'http' THEN regexp_replace(h0, ':(80)?$', '') WHEN scheme = 'https' THEN regexp_replace(h0, ':(443)?$', '') ELSE h0 END AS host,
+        replace(url_encode(url_decode(replace(regexp_replace(regexp_replace(p0, '%([^0-9A-Fa-f])', '%25\1', 'g'), '%$', '%25'), '+', '%2B'))), '%2F', '/') AS path FROM h),
+done AS (SELECT id, scheme || '://' || host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN q = '' THEN '' ELSE '?' || q END AS normal FROM e)
+SELECT id, normal FROM done"""
+
+
+@query("normalize_url", "WITH src AS (SELECT page_id AS id, url FROM pages)," + _URL_SQL)
+def normalize_url(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), U.normalize_url(F.col("url")).alias("normal"))
+
+
+@query("normalize_url_edges", f"WITH src AS ({fx('raw_urls')})," + _URL_SQL)
+def normalize_url_edges(spark, sf_dir):
+    return fixture(spark, "raw_urls").select("id", U.normalize_url(F.col("url")).alias("normal"))
+
+
+@query(
+    "url_parts",
+    r"""SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS domain, regexp_matches(url, '(?i)^https?://[^/?#]+') AS valid,
+    CASE WHEN starts_with(url, 'https') THEN 'https://' ELSE 'http://' END || lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) || '/robots.txt' AS robots_url,
+    ends_with(lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)), 'example.com') AS own, regexp_extract(url, '([^/]*)$', 1) AS file FROM pages""",
+)
+def url_parts(spark, sf_dir):
+    u = F.col("url")
+    return read(spark, sf_dir, "pages").select("page_id", U.domain(u).alias("domain"), U.is_valid(u).alias("valid"), U.robots_url(u).alias("robots_url"), U.domain(u).endswith("example.com").alias("own"), U.file_name(u).alias("file"))
+
+
+@query("full_url", f"""SELECT href, base, CASE WHEN href = '/x' THEN 'https://a.org/x' WHEN href = 'y' THEN 'https://a.org/p/y' WHEN href = '#t' THEN 'https://a.org/p#t' WHEN href = '//c.org/w' THEN 'http://c.org/w' ELSE href END AS url FROM ({fx('links_in')})""")
+def full_url(spark, sf_dir):
+    return fixture(spark, "links_in").withColumn("url", U.full_url(F.col("href"), F.col("base")))
+
+
+@query(
+    "allow_exclude",
+    """SELECT page_id, url, contains(url, 'blog.') AS archived FROM pages WHERE (contains(url, 'example.com') OR contains(url, 'example.org')) AND NOT starts_with(url, 'http://m.') AND NOT starts_with(url, 'https://m.')""",
+)
+def allow_exclude(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    allowed = spark.createDataFrame([("example.com",), ("example.org",)], "pattern string")
+    prefixes = spark.createDataFrame([("http://m.",), ("https://m.",)], "prefix string")
+    return frontier.excluded(frontier.allowed(pages, allowed), prefixes).withColumn("archived", F.contains("url", F.lit("blog.")))
+
+
+@query("mime_route", f"""SELECT mime, page_type, CASE WHEN contains(lower(coalesce(mime, '')), 'html') THEN 'page' WHEN contains(lower(coalesce(mime, '')), 'rss') OR page_type = 'feed' THEN 'feed'
+WHEN contains(lower(coalesce(mime, '')), 'xml') OR page_type = 'sitemap' THEN 'sitemap' ELSE 'drop' END AS route FROM ({fx('mimes')})""")
+def mime_route(spark, sf_dir):
+    return fixture(spark, "mimes").withColumn("route", web.route(F.col("mime"), F.col("page_type")))
+
+
+@query("path_route", f"""SELECT url, CASE WHEN regexp_matches(url, '/iplayer/episode/[^/]+') THEN 'video:' || regexp_extract(url, '/iplayer/episode/([^/]+)', 1)
+WHEN regexp_matches(url, '/sounds/play/[^/]+') THEN 'audio:' || regexp_extract(url, '/sounds/play/([^/]+)', 1) ELSE 'none' END AS route FROM ({fx('media_urls')})""")
+def path_route(spark, sf_dir):
+    return fixture(spark, "media_urls").withColumn("route", web.path_route(F.col("url")))
+
+
+@query("policy_canonical", f"""WITH j AS (SELECT u.url, u.query, p.* FROM ({fx('policy_urls')}) u LEFT JOIN ({fx('policies')}) p ON u.domain = p.domain AND u.path = p.path),
+k AS (SELECT url, unnest(string_split(query, '&')) AS part, generate_subscripts(string_split(query, '&'), 1) AS pos, params, except_names, drop_names, coalesce(key_order, false) AS key_order FROM j),
+f AS (SELECT *, split_part(part, '=', 1) AS name FROM k)
+SELECT url, string_agg(part, '&' ORDER BY CASE WHEN key_order THEN name ELSE '' END, pos) AS canonical FROM f
+WHERE (NOT coalesce(params, false) OR list_contains(string_split(except_names, ','), name)) AND (drop_names IS NULL OR NOT list_contains(string_split(drop_names, ','), name)) GROUP BY url""")
+def policy_canonical(spark, sf_dir):
+    urls, rules = fixture(spark, "policy_urls"), fixture(spark, "policies")
+    out = urls.join(F.broadcast(rules), ["domain", "path"], "left")
+    only = F.when(F.col("params"), F.split("except_names", ","))
+    return out.select("url", U.canonical_query(F.col("query"), only, F.split("drop_names", ","), F.coalesce("key_order", F.lit(False))).alias("canonical"))
+
+
+def _doc_frontier(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return docs.select(F.concat(F.lit("https://"), "source", F.lit(".org/"), F.col("doc_id").cast("string")).alias("url"), F.col("source").alias("domain"), (F.col("n_chars") % 1000 / 10.0).alias("url_score"), F.lit("unseen").alias("status"))
+
+
+@query(
+    "frontier_pop",
+    """WITH f AS (SELECT 'https://' || source || '.org/' || doc_id AS url, source AS domain, (n_chars % 1000) / 10.0 AS url_score FROM documents WHERE NOT contains(lower(source), 'src1')),
+    r AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY url_score DESC, url) AS rn FROM f)
+    SELECT url, domain, CAST(url_score AS DOUBLE) AS url_score, CAST(rn AS INTEGER) AS rn FROM r WHERE rn <= 5""",
+)
+def frontier_pop(spark, sf_dir):
+    delayed = spark.createDataFrame([("SRC1",)], "domain string")
+    return frontier.pop(_doc_frontier(spark, sf_dir), 5, delayed).select("url", "domain", "url_score", "rn")
+
+
+@query(
+    "frontier_batch",
+    """WITH f AS (SELECT 'https://' || source || '.org/' || doc_id AS url, source AS domain, (n_chars % 1000) / 10.0 AS url_score FROM documents),
+    r AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY url_score DESC, url) AS rn FROM f)
+    SELECT url, CAST(rn AS INTEGER) AS rn FROM r WHERE rn <= 50 ORDER BY rn, url_score DESC, url LIMIT 50""",
+)
+def frontier_batch(spark, sf_dir):
+    return frontier.pop(_doc_frontier(spark, sf_dir), 50, batch=50).select("url", "rn")
+
+
+@query("frontier_states", f"""SELECT url, CAST(row_number() OVER (PARTITION BY domain ORDER BY url_score DESC NULLS LAST, url) AS INTEGER) AS rn FROM ({fx('frontier')}) WHERE status = 'unseen' AND domain <> 'slow.net' AND retries < 3""")
+def frontier_states(spark, sf_dir):
+    rows = fixture(spark, "frontier").where("retries < 3")
+    return frontier.pop(rows, 10, spark.createDataFrame([("slow.",)], "domain string")).select("url", "rn")
+
+
+_LINKS = """links AS (SELECT DISTINCT page_id, url AS src, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages),
+r AS (SELECT page_id, src, href, CASE WHEN starts_with(href, 'http') THEN href WHEN starts_with(href, '/') THEN regexp_extract(src, '^([a-z]+://[^/?#]*)', 1) || href END AS url FROM links)"""
+
+
+@query("links", f"WITH {_LINKS} SELECT page_id, src, href, url FROM r")
+def links(spark, sf_dir):
+    return web.links(read(spark, sf_dir, "pages"))
+
+
+@query("frontier_push", f"WITH {_LINKS} SELECT DISTINCT url FROM r WHERE url NOT IN (SELECT url FROM pages) AND regexp_matches(url, '^https?://[^/?#]+')")
+def frontier_push(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages")
+    found = web.links(pages).where(U.is_valid(F.col("url"))).select("url")
+    return frontier.push(pages.select("url"), found)
+
+
+@query("link_domain_sets", f"""WITH {_LINKS} SELECT href, CAST(count(DISTINCT d) AS BIGINT) AS n, string_agg(DISTINCT d, ',' ORDER BY d) AS domains FROM (SELECT href, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS d FROM r) GROUP BY href""")
+def link_domain_sets(spark, sf_dir):
+    rows = web.links(read(spark, sf_dir, "pages")).select("href", U.domain(F.col("url")).alias("d"))
+    return rows.groupBy("href").agg(F.countDistinct("d").alias("n"), F.array_join(F.array_sort(F.collect_set("d")), ",").alias("domains"))
+
+
+@query("crawl_bfs", f"""WITH RECURSIVE {_LINKS}, hosts AS (SELECT url AS u, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS h FROM pages),
+e AS (SELECT DISTINCT h AS src, 'w:' || href AS dst FROM r JOIN hosts ON r.src = hosts.u UNION SELECT DISTINCT 'w:' || href, h FROM r JOIN hosts ON r.src = hosts.u),
+walk(url, depth) AS (SELECT (SELECT min(src) FROM e WHERE NOT starts_with(src, 'w:')), 0 UNION SELECT e.dst, depth + 1 FROM walk JOIN e ON walk.url = e.src WHERE depth < 4)
+SELECT url, CAST(min(depth) AS INTEGER) AS depth FROM walk GROUP BY url""")
+def crawl_bfs(spark, sf_dir):
+    out = web.links(read(spark, sf_dir, "pages")).select(U.domain(F.col("src")).alias("host"), F.concat(F.lit("w:"), "href").alias("word"))
+    edges = out.select(F.col("host").alias("src"), F.col("word").alias("dst")).union(out.select("word", "host")).distinct()
+    return frontier.crawl(edges, out.agg(F.min("host").alias("url")), 4)
+
+
+@query("upsert_latest", "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id")
+def upsert_latest(spark, sf_dir):
+    return frontier.latest(read(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts"), ["user_id"], F.col("ts"), F.col("event_id")).select("user_id", "event_id", "event_type")
+
+
+@query("upsert_records", f"""WITH o AS ({fx('crawled')}), d AS (SELECT * FROM ({fx('recrawled')}) QUALIFY row_number() OVER (PARTITION BY url ORDER BY seq DESC) = 1)
+SELECT coalesce(o.url, d.url) AS url, coalesce(o.root_domain, d.root_domain) AS root_domain, coalesce(d.score, o.score) AS score, coalesce(d.headline, o.headline) AS headline FROM o FULL JOIN d ON o.url = d.url""")
+def upsert_records(spark, sf_dir):
+    return frontier.upsert(fixture(spark, "crawled"), fixture(spark, "recrawled"), "url", F.col("seq"), keep=("root_domain",)).drop("seq")
+
+
+@query("queue_updates", f"""SELECT f.url, coalesce(c.url_score, f.url_score) AS url_score, coalesce(c.status, f.status) AS status FROM ({fx('frontier')}) f LEFT JOIN ({fx('changes')}) c ON f.url = c.url""")
+def queue_updates(spark, sf_dir):
+    return frontier.update(fixture(spark, "frontier"), fixture(spark, "changes"), "url", ["status", "url_score"]).select("url", "url_score", "status")
+
+
+@query("queue_counts", f"SELECT status, count(*) AS n FROM ({fx('frontier')}) GROUP BY status")
+def queue_counts(spark, sf_dir):
+    return fixture(spark, "frontier").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("queue_seed", "SELECT DISTINCT url, 'webpage' AS page_type, CAST(0 AS DOUBLE) AS url_score, 'unseen' AS status FROM pages WHERE page_id < 3 UNION ALL SELECT url || '/feed', 'feed', CAST(0 AS DOUBLE), 'unseen' FROM pages WHERE page_id < 2")
+def queue_seed(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages")
+    return frontier.seed(pages.where("page_id < 3").select("url"), pages.where("page_id < 2").select(F.concat("url", F.lit("/feed")).alias("url")))
+
+
+@query("dedup_first", "SELECT lang, source, n_chars % 50 AS bucket, min(doc_id) AS doc_id FROM documents GROUP BY ALL")
+def dedup_first(spark, sf_dir):
+    rows = read(spark, sf_dir, "documents").select("lang", "source", (F.col("n_chars") % 50).alias("bucket"), "doc_id")
+    return frontier.first(rows, ["lang", "source", "bucket"], F.col("doc_id"))
+
+
+_VISIBLE = r"trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace({x}, '(?s)<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g'))".replace('\\"', '"')
+
+
+@query("page_title", "SELECT page_id, trim(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&amp;', '&')) AS title FROM pages")
+def page_title(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", web.title(F.col("html")).alias("title"))
+
+
+@query("page_paragraphs", "SELECT page_id, array_to_string(list_filter(list_transform(regexp_extract_all(html, '(?s)<p[^>]*>(.*?)</p>', 1), lambda x: " + _VISIBLE.format(x="x") + "), lambda t: t <> ''), ' ') AS body FROM pages")
+def page_paragraphs(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", web.paragraphs(F.col("html")).alias("body"))
+
+
+def _strip_sql(x: str) -> str:
+    for tag in web.STRIPPED.split("|"):
+        x = f"regexp_replace({x}, '(?is)<{tag}\\b.*?</{tag}>', ' ', 'g')"
+    return _VISIBLE.format(x=f"regexp_replace({x}, '(?s)<!--.*?-->', ' ', 'g')")
+
+
+@query("page_stripped", f"SELECT page_id, {_strip_sql('html')} AS body FROM pages")
+def page_stripped(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", web.strip_boilerplate(F.col("html")).alias("body"))
+
+
+@query("page_readable", f"SELECT page_id, coalesce(nullif({_strip_sql('regexp_extract(html, ' + chr(39) + '(?is)<article' + chr(92) + 'b[^>]*>(.*?)</article>' + chr(39) + ', 1)')}, ''), {_strip_sql('html')}) AS body FROM pages")
+def page_readable(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", web.readable(F.col("html")).alias("body"))
+
+
+@query("canonical_link", f"""SELECT page_id, nullif(regexp_extract(html, 'rel="canonical" href="([^"]*)"', 1), '') AS canonical FROM ({fx('links_html')})""")
+def canonical_link(spark, sf_dir):
+    return fixture(spark, "links_html").select("page_id", web.canonical(F.col("html")).alias("canonical"))
+
+
+@query("json_ld", """SELECT * FROM (VALUES (1, 'H1', '2020-01-01', 'A', 'P', 'NewsArticle'), (2, 'H2', NULL, NULL, NULL, 'WebPage'), (3, 'H3', NULL, NULL, NULL, 'WebPage'), (4, NULL, NULL, NULL, NULL, NULL)) t(page_id, headline, date_published, author, publisher, type)""")
+def json_ld(spark, sf_dir):
+    rows = fixture(spark, "jsonld").withColumn("j", web.json_ld(F.col("html")))
+    m = web.metadata(F.col("j"))
+    return rows.select("page_id", *[m[k].alias(k) for k in ("headline", "date_published", "author", "publisher", "type")])
+
+
+SITEMAP = "<urlset><url><loc>https://a.org/1</loc><lastmod>2020-01-01</lastmod><priority>0.5</priority></url><url><lastmod>x</lastmod></url><url><loc>https://a.org/2</loc><changefreq>daily</changefreq></url></urlset>"
+RSS = "<rss><channel><item><title>One</title><link>https://a.org/1</link></item><item><title>Two</title><link>https://a.org/2</link></item></channel></rss>"
+ATOM = '<feed><entry><title>Three</title><link href="https://a.org/3"/></entry></feed>'
+
+
+@query("sitemap", "SELECT * FROM (VALUES ('https://a.org/1', '2020-01-01', NULL, 0.5::DOUBLE), ('https://a.org/2', NULL, 'daily', NULL)) t(loc, lastmod, changefreq, priority)")
+def sitemap(spark, sf_dir):
+    return web.sitemap(spark.createDataFrame([(SITEMAP,)], "xml string"))
+
+
+@query("feed", "SELECT * FROM (VALUES ('https://a.org/1', 'One'), ('https://a.org/2', 'Two'), ('https://a.org/3', 'Three')) t(link, title)")
+def feed(spark, sf_dir):
+    return web.feed(spark.createDataFrame([(RSS,), (ATOM,)], "xml string"))
+
+
+@query("complaint_rows", r"""SELECT * FROM (VALUES (1, 1, 0, 'Morning Show', 'BBC One', '3/4/2020', 'Tone of host', 'Upheld'), (1, 1, 1, 'Quiz Night', 'BBC Radio 4', '12/11/2021', 'Wrong answer', 'Not upheld'),
+(1, 2, 0, 'Evening', 'BBC Two', '01/02/2019', 'Late start', 'Resolved')) t(doc_id, page, pos, programme, service, date, issue, outcome)""")
+def complaint_rows(spark, sf_dir):
+    return records.rows(fixture(spark, "reports"))
+
+
+@query("complaint_stage1", "SELECT * FROM (VALUES (1, 1, 0, 'Morning Show', 'BBC One', '03/04/2020', 'tone of host', '12'), (1, 1, 1, 'Quiz', 'BBC Two', '01/02/2021', 'wrong answer', '3')) t(doc_id, page, pos, programme, service, date, issue, complaints)")
+def complaint_stage1(spark, sf_dir):
+    out = records.rows(fixture(spark, "stage1"), records.STAGE1, ("programme", "service", "date", "issue", "complaints"))
+    return out.withColumn("programme", F.trim(F.regexp_replace("programme", r"^\s+", "")))
+
+
+@query("complaint_summaries", "SELECT * FROM (VALUES (1, 0, 'Show', 'BBC One', '3 May 2020', 'Too loud', 'Agreed', 'Reminder sent'), (1, 2, 'Quiz', 'BBC Two', '4 May 2020', 'N/A', 'N/A', 'N/A')) t(doc_id, pos, title, service, date, complaint, outcome, further)")
+def complaint_summaries(spark, sf_dir):
+    return records.summaries(fixture(spark, "summaries"))
+
+
+@query("programme_segments", """SELECT * FROM (VALUES (1, 1, 0, 'prog_station_date', 'Morning Show', 'BBC One', '3 April 2020'), (1, 1, 1, 'prog_station_date', 'A very long title', 'BBC Two', '4 May 2021'),
+(2, 1, 0, 'prog_wip', 'The Pilot', '', ''), (2, 1, 1, 'red_button', '', 'BBC Red Button', '')) t(doc_id, page, pos, kind, programme, station, date)""")
+def programme_segments(spark, sf_dir):
+    return records.segments(fixture(spark, "segments"))
+
+
+@query("master_rows", f"""SELECT Programme, 'N/A' AS Service, 'N/A' AS "Date of Transmission", coalesce(Issue, 'N/A') AS Issue, 'N/A' AS Outcome, 'N/A' AS Page, 'N/A' AS Source FROM ({fx('master')})""")
+def master_rows(spark, sf_dir):
+    return records.align(fixture(spark, "master"))
+
+
+PAGE_FIELDS = [(1, '<h1 id="block-contact-page-title">Show, One, 3 May</h1>'), (2, '<h1 id="block-contact-page-title">Show</h1><p class="service">Two</p><time datetime="x">4 May</time>'), (3, "<p></p>")]
+
+
+@query("page_fields", "SELECT * FROM (VALUES (1, 'Show', 'One', '3 May'), (2, 'Show', 'Two', '4 May'), (3, 'N/A', 'N/A', 'N/A')) t(page_id, programme, service, date)")
+def page_fields(spark, sf_dir):
+    return records.page_fields(spark.createDataFrame(PAGE_FIELDS, "page_id int, html string"))
+
+
+CORRECTIONS = [(1, "<h2>First</h2><p>One.</p><p>Two.</p><p><em>3 May</em></p><h2>Second</h2><p>Only.</p>")]
+
+
+@query("corrections", "SELECT * FROM (VALUES (1, 0, 'First', '3 May', 'One. Two.'), (1, 1, 'Second', 'No date found', 'Only.')) t(page_id, pos, title, date, correction_text)")
+def corrections(spark, sf_dir):
+    return records.corrections(spark.createDataFrame(CORRECTIONS, "page_id int, html string"))
+
+
+TILE = '<div class="tile {}"><time datetime="{}"></time><a href="{}">x</a><a href="{}">y</a></div>'
+TILES = [(1, "https://www.own.org/list", "".join(TILE.format(*t) for t in (("white-bg", "d1", "/a", "/a.pdf"), ("white-bg", "d2", "/b", "/c"), ("dark", "d3", "/d", "/e"), ("white-bg", "d4", "/a", "https://other.org/f.pdf")))), (2, "https://www.own.org/list", TILE.format("white-bg", "d", "/z", "/y"))]
+
+
+@query("listing_tiles", "SELECT * FROM (VALUES (1, 0, 'd1', 'https://www.own.org/a', 'https://www.own.org/a.pdf'), (1, 1, 'd2', 'https://www.own.org/c', NULL)) t(page_id, pos, time, link, pdf_link)")
+def listing_tiles(spark, sf_dir):
+    return records.tiles(spark.createDataFrame(TILES, "page_id int, url string, html string"), "own.org")
+
+
+@query("ttml_cues", "SELECT * FROM (VALUES (1, 1, '00:00:01.000', '00:00:02.500', 'Hello there'), (1, 2, '00:00:03.000', '00:00:04.000', 'Two' || chr(10) || 'lines')) t(doc_id, n, \"begin\", \"end\", text)")
+def ttml_cues(spark, sf_dir):
+    return web.cues(fixture(spark, "ttml"))
+
+
+@query("subtitle_text", "SELECT 1 AS doc_id, '1' || chr(10) || '00:00:01,000 --> 00:00:02,500' || chr(10) || 'Hello there' || chr(10) || chr(10) || '2' || chr(10) || '00:00:03,000 --> 00:00:04,000' || chr(10) || 'Two' || chr(10) || 'lines' || chr(10) AS srt")
+def subtitle_text(spark, sf_dir):
+    return web.subtitles(web.cues(fixture(spark, "ttml")))
+
+
+@query("robots_join", "SELECT * FROM (VALUES ('https://a.org/private/x', false), ('https://a.org/private/open/1', true), ('https://a.org/', true), ('https://b.org/x', false), ('https://c.org/x', true), ('https://d.org/private', true), ('https://e.org/z', true), ('https://f.org/z', true)) t(url, can_fetch)")
+def robots_join(spark, sf_dir):
+    return robots.verdicts(fixture(spark, "robot_urls"), fixture(spark, "robots"), now=1_000_500).select("url", "can_fetch")
+
+
+_BOX = f"SELECT c.page, c.row_id, l.pos, l.uri FROM ({fx('cells')}) c JOIN ({fx('boxes')}) l ON c.page = l.page AND "
+_STRICT = "c.x2 > c.x1 AND c.y2 > c.y1 AND l.x2 > l.x1 AND l.y2 > l.y1 AND c.x1 < l.x2 AND l.x1 < c.x2 AND c.y1 < l.y2 AND l.y1 < c.y2"
+_TOUCH = "c.x1 <= l.x2 AND l.x1 <= c.x2 AND c.y1 <= l.y2 AND l.y1 <= c.y2"
+
+
+@query("bbox_first", f"SELECT page, row_id, arg_min(uri, pos) AS uri FROM ({_BOX}{_STRICT}) GROUP BY page, row_id")
+def bbox_first(spark, sf_dir):
+    return match.first_link(fixture(spark, "cells"), fixture(spark, "boxes"))
+
+
+@query("bbox_touching", f"SELECT page, row_id, pos, uri FROM ({_BOX}{_TOUCH})")
+def bbox_touching(spark, sf_dir):
+    return match.box_pairs(fixture(spark, "cells"), fixture(spark, "boxes"), strict=False)
+
+
+@query("bbox_claimed", "SELECT * FROM (VALUES (1, 1, 'u1'), (1, 2, 'u2'), (2, 1, 'u5')) t(page, row_id, uri)")
+def bbox_claimed(spark, sf_dir):
+    return match.claimed_links(fixture(spark, "cells"), fixture(spark, "boxes"))
+
+
+@query("bbox_unmatched", "SELECT * FROM (VALUES (1, 'u3'), (2, 'u4')) t(page, uri)")
+def bbox_unmatched(spark, sf_dir):
+    links_ = fixture(spark, "boxes")
+    return match.unmatched(links_, match.claimed_links(fixture(spark, "cells"), links_))
+
+
+@query("fuzzy_best", "SELECT * FROM (VALUES (1, 'reports/morning-show-may', 1), (1, 'reports/evening-news', 2)) t(block, url, row_id)")
+def fuzzy_best(spark, sf_dir):
+    return match.best_rows(fixture(spark, "fuzzy_urls"), fixture(spark, "fuzzy_rows")).select("block", "url", "row_id")
+
+
+@query("token_set_ratio", "SELECT * FROM (VALUES (1, 100::DOUBLE), (2, 50::DOUBLE), (3, 100::DOUBLE), (4, 20::DOUBLE)) t(id, ratio)")
+def token_set_ratio(spark, sf_dir):
+    return fixture(spark, "name_pairs").select("id", F.round(match.token_set_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
+
+
+@query("benchmark_best")
+def benchmark_best(spark, sf_dir):
+    items = read(spark, sf_dir, "benchmark").select((F.length("text") % 5).alias("block"), "item_id", F.substring("text", 1, 120).alias("t"))
+    return match.best_rows(items.select("block", F.col("t").alias("url")), items.select("block", F.col("item_id").cast("int").alias("row_id"), F.col("t").alias("text")))
+
+
+@query("entity_closure", f"""WITH RECURSIVE s AS (SELECT subject, object FROM ({fx('triples')}) WHERE predicate = 'part_of'), walk(subject, object) AS (SELECT subject, subject FROM s UNION SELECT object, object FROM s UNION SELECT walk.subject, s.object FROM walk JOIN s ON walk.object = s.subject)
+SELECT DISTINCT subject, object FROM walk""")
+def entity_closure(spark, sf_dir):
+    return graph.closure(fixture(spark, "triples"), "part_of")
+
+
+@query("entity_sets", f"""WITH f AS ({fx('facts')}) SELECT entity, string_agg(DISTINCT value, ',' ORDER BY value) FILTER (attr = 'site') AS site, string_agg(DISTINCT value, ',' ORDER BY value) FILTER (attr = 'country') AS country FROM f GROUP BY entity""")
+def entity_sets(spark, sf_dir):
+    facts = fixture(spark, "facts")
+    return graph.optional(facts.select("entity").distinct(), facts, ["site", "country"])
+
+
+@query("entity_union", f"SELECT website, arg_max(label, branch) AS label FROM ({fx('sites')}) GROUP BY website")
+def entity_union(spark, sf_dir):
+    rows = fixture(spark, "sites")
+    return graph.last_writer(*[rows.where(F.col("branch") == k).select("website", "label") for k in range(3)])
+
+
+@query("nation_path", "SELECT n_name AS nation, r_name AS region, count(c_custkey) AS customers FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL")
+def nation_path(spark, sf_dir):
+    n, r, c = (read(spark, sf_dir, t) for t in ("nation", "region", "customer"))
+    per = c.groupBy("c_nationkey").agg(F.count("c_custkey").alias("customers"))
+    out = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).join(per, n.n_nationkey == per.c_nationkey, "left")
+    return out.select(F.col("n_name").alias("nation"), F.col("r_name").alias("region"), F.coalesce("customers", F.lit(0)).alias("customers"))
+
+
+_STEPS = "SELECT event_type AS param, user_id % 4 AS action, event_id AS step, value / 100.0 AS reward FROM events"
+_Q = f"""s AS ({_STEPS}), b AS (SELECT *, row_number() OVER (PARTITION BY param, action ORDER BY step DESC) - 1 AS k FROM s),
+q AS (SELECT param, action, sum(0.1::DOUBLE * pow(0.9::DOUBLE, k) * reward) AS q, count(*) AS n FROM b GROUP BY param, action)"""
+
+
+def _steps(spark, sf_dir):
+    return read(spark, sf_dir, "events").select(F.col("event_type").alias("param"), (F.col("user_id") % 4).alias("action"), F.col("event_id").alias("step"), (F.col("value") / 100.0).alias("reward"))
+
+
+@query("bandit_q", f"WITH {_Q} SELECT param, action, round(q, 6) AS q, n FROM q")
+def bandit_q(spark, sf_dir):
+    return bandit.values(_steps(spark, sf_dir)).withColumn("q", F.round("q", 6))
+
+
+@query("bandit_ucb", f"WITH {_Q} SELECT param, action, round(q + 2 * sqrt(ln(sum(n) OVER (PARTITION BY param) + 1) / (n + 1)), 6) AS ucb FROM q")
+def bandit_ucb(spark, sf_dir):
+    return bandit.upper_bounds(bandit.values(_steps(spark, sf_dir))).select("param", "action", F.round("ucb", 6).alias("ucb"))
+
+
+@query("bandit_softmax", f"WITH {_Q}, e AS (SELECT *, exp(q - max(q) OVER (PARTITION BY param)) AS x FROM q) SELECT param, action, round(x / sum(x) OVER (PARTITION BY param), 6) AS p FROM e")
+def bandit_softmax(spark, sf_dir):
+    return bandit.softmax(bandit.values(_steps(spark, sf_dir))).select("param", "action", F.round("p", 6).alias("p"))
+
+
+@query("bandit_greedy", f"WITH {_Q} SELECT param, arg_max(action, (q, -action)) AS action FROM q GROUP BY param")
+def bandit_greedy(spark, sf_dir):
+    return bandit.greedy(bandit.values(_steps(spark, sf_dir)))
+
+
+@query("bandit_epsilon", f"SELECT param, round(greatest(pow(0.99::DOUBLE, count(*)), 0.1), 6) AS epsilon FROM ({_STEPS}) GROUP BY param")
+def bandit_epsilon(spark, sf_dir):
+    return bandit.epsilon(_steps(spark, sf_dir)).withColumn("epsilon", F.round("epsilon", 6))
+
+
+@query("bandit_converge", f"WITH {_Q} SELECT param, count(*) >= 2 AND var_pop(q) < 0.001 AS converged FROM q GROUP BY param")
+def bandit_converge(spark, sf_dir):
+    return bandit.converged(bandit.values(_steps(spark, sf_dir)))
+
+
+@query("bandit_policies", f"SELECT policy, score / 4 AS weight FROM ({fx('policy_scores')})")
+def bandit_policies(spark, sf_dir):
+    scores = fixture(spark, "policy_scores").select("policy", F.col("score").cast("double").alias("score"))
+    return bandit.policy_weights(scores)
+
+
+@query("bandit_thompson")
+def bandit_thompson(spark, sf_dir):
+    return bandit.thompson(bandit.values(_steps(spark, sf_dir)), seed=7)
+
+
+@query("bandit_epsilon_greedy")
+def bandit_epsilon_greedy(spark, sf_dir):
+    steps = _steps(spark, sf_dir)
+    return bandit.epsilon_greedy(bandit.values(steps), bandit.epsilon(steps), seed=7)
+
+
+@query("fetch_schedule", """WITH a AS (SELECT event_id, user_id % 50 AS domain, epoch(ts) AS arrival FROM events), n AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY arrival, event_id) - 1 AS k FROM a)
+SELECT event_id, domain, CAST(round(max(arrival - k * 30.0) OVER (PARTITION BY domain ORDER BY arrival, event_id) + k * 30.0) AS BIGINT) AS start FROM n""")
+def fetch_schedule(spark, sf_dir):
+    rows = read(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 50).alias("domain"), F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("us")).withColumn("arrival", F.col("us") / 1e6)
+    return frontier.fetch_times(rows, 30.0, "domain", "arrival", "event_id").select("event_id", "domain", F.round("start").cast("long").alias("start"))
+
+
+@query("crawl_delay", "SELECT * FROM (VALUES ('a', 150::DOUBLE), ('b', 1800::DOUBLE), ('c', 0.5::DOUBLE)) t(domain, delay)")
+def crawl_delay(spark, sf_dir):
+    return frontier.crawl_delay(fixture(spark, "responses"))
+
+
+@query("search_json", "SELECT * FROM (VALUES ('https://x.org/1', 'T', 'S', 'k1', 'e1'), ('https://x.org/2', 'https://x.org/2', NULL, 'k1', 'e1')) t(link, link_text, snippet, keyword, engine)")
+def search_json(spark, sf_dir):
+    return web.search_json(fixture(spark, "search_json"))
+
+
+@query("search_links", "SELECT * FROM (VALUES ('https://site.org/1', 'One', 'k1', 'searx'), ('https://site.org/2', 'https://site.org/2', 'k1', 'searx')) t(link, link_text, keyword, engine)")
+def search_links(spark, sf_dir):
+    return web.search_links(fixture(spark, "search_html"), "site.org", ["bad.com"], ["cached"])
+
+
+@query("search_pages", "SELECT * FROM (VALUES ('e', 'k', 1, 'a'), ('e', 'k', 1, 'b'), ('e', 'k', 2, 'c'), ('e', 'm', 1, 'f'), ('e', 'm', 1, 'g'), ('e', 'm', 2, 'a'), ('e', 'm', 2, 'h')) t(engine, keyword, page, link)")
+def search_pages(spark, sf_dir):
+    return web.paged(fixture(spark, "hits"), per_page=2, most_pages=20).select("engine", "keyword", "page", "link")
+
+
+@query("search_until_dry", f"SELECT engine, keyword, page, link FROM ({fx('hits')})")
+def search_until_dry(spark, sf_dir):
+    return web.until_dry(fixture(spark, "hits"), fixture(spark, "hit_words")).select("engine", "keyword", "page", "link")
+
+
+@query("search_distinct", f"SELECT link, min(page) AS page FROM ({fx('hits')}) GROUP BY link")
+def search_distinct(spark, sf_dir):
+    return frontier.first(fixture(spark, "hits").select("link", "page"), ["link"], F.col("page"))
+
+
+@query("local_feeds", "SELECT * FROM (VALUES ('n.org', 'north,south'), ('s.org', 'south')) t(domain, locations)")
+def local_feeds(spark, sf_dir):
+    rows = web.local_feeds(fixture(spark, "local")).withColumn("domain", U.domain(F.col("url")))
+    return rows.groupBy("domain").agg(F.array_join(F.array_sort(F.collect_set("location")), ",").alias("locations"))
+
+
+@query("archive_captures", f"""SELECT digest, arg_min(url, timestamp) AS url FROM ({fx('captures')}) WHERE status = 200 AND contains(url, 'a.org') AND mime IN ('text/html', 'application/pdf') AND starts_with(timestamp, '2020') GROUP BY digest""")
+def archive_captures(spark, sf_dir):
+    return archive.captures(fixture(spark, "captures"), "a.org", ["text/html", "application/pdf"], "2020").select("digest", "url")
+
+
+@query("backoff", f"SELECT attempt, least(wait * pow(2, attempt), 300)::DOUBLE AS wait FROM ({fx('retries')})")
+def backoff(spark, sf_dir):
+    return fixture(spark, "retries").select("attempt", T.backoff(F.col("wait").cast("double"), F.col("attempt")).alias("wait"))
