@@ -1,18 +1,22 @@
 """Repeated byte strings across documents: every byte under a `size`-byte string that starts anywhere else.
 
-The strings (windows) of a text are named from the outside in, each level settling most and leaving less:
-
-1. Each window has an anchor, the smallest-hashed `GRAM`-byte string in its middle, so equal windows have equal
-   anchors with equal surroundings. Windows next to each other share an anchor. An anchor whose surroundings
-   occur once settles its windows as unique; one whose whole reach (the union of its windows) occurs again
-   settles them as repeated.
-2. The windows of the anchors left are cut into cells of `CELL` neighbours. The string that all windows of a
-   cell share, if it occurs once, settles them as unique, the union of the cell, if it occurs again, as repeated.
-3. The windows of the cells left are hashed (128 bits) and counted one by one.
-
-Names are counted by plain aggregations, so a string that half of all texts share costs no more than any
-other. From level to level only a Bloom filter of fixed size travels, of one place for each distinct union that is
-still open; a wrong yes costs work, never a result.
+Suffixes are sorted by external induction (induction.py), and a suffix that has `size` bytes in common with a neighbour
+starts a repeated string. Most suffixes of a large corpus are alone, so they are first named, coarsely, and only
+those whose names occur again are dealt to shards and sorted:
+
+1. Each window (string of `size` bytes) has an anchor, the smallest-hashed `GRAM`-byte string in its middle, so equal windows
+   have equal anchors with equal surroundings. Windows next to each other share an anchor. An anchor whose
+   surroundings occur once settles its windows as unique; one whose whole reach (the union of its windows) occurs
+   again settles them as repeated.
+2. The reaches that are left, one of each distinct, are dealt to shards by the name of their surroundings. There the suffixes at
+   the anchors are sorted and all those to their left induced, with common-prefix values.
+3. Surroundings with more than `HOT` distinct reaches would make a shard of one key. Their windows are counted instead of
+   sorted: by cells of `CELL` neighbours (a cell whose common string occurs once is unique, one whose union occurs again is
+   repeated), then one by one, each under a 128-bit name. Names are counted by plain aggregations, so this way
+   knows no skew.
+
+From pass to pass only Bloom filters of fixed size travel, of one place for each distinct reach that is still open;
+a wrong yes costs work, never a result.
 
 Defined results: null is the empty text; texts shorter than `size` lose nothing; matches never cross rows; rows with
 equal texts repeat each other; repeated rows give a row each; texts may be of any length; an empty table gives an
@@ -31,9 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import cut, read, release, schema_of, utf8_slices
+from newsloom.llm.induction import repeated
 
 SIZE = 400
 GRAM, SIDE, CELL = 16, 48, 16
+#: Distinct reaches that surroundings may have to be sorted in one shard; bytes of reaches sorted at a time.
+HOT, BATCH_BYTES = 20_000, 16 << 20
 #: Bits of a Bloom filter.
 BLOOM_BITS = 1 << 26
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -140,14 +147,13 @@ def scan(level: int, size: int, blooms):
 
     def run(batches):
         for b in batches:
-            text_id = np.frombuffer(b"".join(b.column(0).to_pylist()), "<u8")[::2]
+            text_id = text_ids(b.column(0))
             for r0, _, data, offsets in utf8_slices(b.column(1)):
                 row, at, lo, hi = anchors(data, offsets, size)
                 raw = data.tobytes()
 
                 def ids():
-                    h = (text_id[row + r0] + lo.astype(np.uint64) - offsets[row].astype(np.uint64)) * MIX
-                    return ((h ^ (h >> np.uint64(32))) * BASE).view(np.int64)
+                    return place_ids(text_id[row + r0], lo - offsets[row])
 
                 if level == 1:
                     key = name(raw, zip((at - SIDE).tolist(), (at + GRAM + SIDE).tolist()))
@@ -182,30 +188,125 @@ def grid(row, at, lo, hi):
     return row[run], np.maximum(lo[run], core - CELL + 1), np.minimum(hi[run], core), core
 
 
-def repeated_spans(texts: DataFrame, size: int = SIZE) -> DataFrame:
-    """(th, spans) for texts(th, text): flat start, end lists of the maximal runs of repeated bytes, per distinct text."""
-    spark, blooms, parts = texts.sparkSession, [], []
-    for level in (1, 2, 3):
-        named = cut(texts.mapInArrow(scan(level, size, list(blooms)), LEVEL))
-        again = named.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-        again = spark.sparkContext.broadcast(Bloom.of(again))
+REACH = "key long, th binary, lo int, back int, keep int, raw binary"
+SPAN = "th binary, lo int, end int"
 
-        def only(batches, again=again):
-            for b in batches:
-                yield b.filter(pa.array(again.value.holds(b.column(0).to_numpy())))
-
-        some = cut(named.mapInArrow(only, LEVEL))
-        release(named)
-        # a union that occurs once is its own representative; of others one goes on, as a partner for the rest
-        unions = cut(some.groupBy("key", "f1", "f2").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("rid")))
-        twice = unions.where("n > 1").select("key", "f1", "f2")
-        parts.append(cut(some.join(twice, ["key", "f1", "f2"], "left_semi").select("th", "lo", (F.col("hi") + size).alias("end"))))
-        release(some)
-        if level < 3:
-            left = unions.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1")
-            blooms.append(spark.sparkContext.broadcast(Bloom.of(unions.join(left, "key", "left_semi").select("rid"))))
-        release(unions)
-    spans = parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+def reach(size: int, bloom):
+    """mapInArrow function over (th, text): the reaches of open anchors, with the place of the anchor and of the last window."""
+
+    def run(batches):
+        for b in batches:
+            text_id = text_ids(b.column(0))
+            for r0, _, data, offsets in utf8_slices(b.column(1)):
+                row, at, lo, hi = anchors(data, offsets, size)
+                left = bloom.value.holds(place_ids(text_id[row + r0], lo - offsets[row]))
+                row, at, lo, hi = row[left], at[left], lo[left], hi[left]
+                raw = data.tobytes()
+                key = np.array([xxhash.xxh3_64_intdigest(raw[a - SIDE : a + GRAM + SIDE]) for a in at.tolist()], np.uint64).view(np.int64)
+                kind = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
+                nums = [pa.array(x, t) for x, t in zip((key, lo - offsets[row], at - lo, hi - lo), kind)]
+                cols = [nums[0], b.column(0).take(pa.array(row + r0)), *nums[1:], pa.array([raw[a : c + size] for a, c in zip(lo.tolist(), hi.tolist())], pa.binary())]
+                for c in range(0, len(key), 4096):
+                    yield pa.RecordBatch.from_arrays([x.slice(c, 4096) for x in cols], ["key", "th", "lo", "back", "keep", "raw"])
+
+    return run
+
+
+def induce(size: int, batch_bytes: int = BATCH_BYTES):
+    """mapInArrow function over reaches in order of key: spans of repeated windows; whole keys, batch_bytes at a time."""
+
+    def spans(table):
+        key = table.column("key").to_numpy()
+        group = np.cumsum(np.diff(key, prepend=key[:1]) != 0)
+        back, keep, lo = (table.column(c).to_numpy().astype(np.int64) for c in ("back", "keep", "lo"))
+        record, distance = repeated(group, table.column("raw").to_pylist(), back, keep, size)
+        start = back[record] - distance
+        order = np.lexsort((start, record))
+        record, start = record[order], start[order]
+        new = np.flatnonzero(np.concatenate([[True], (np.diff(record) != 0) | (np.diff(start) != 1)])) if len(record) else record
+        last = np.append(new[1:], len(record)) - 1 if len(record) else record
+        at = record[new]
+        th = table.column("th").combine_chunks().take(pa.array(at))
+        th = th.combine_chunks() if isinstance(th, pa.ChunkedArray) else th
+        return pa.RecordBatch.from_arrays([th, pa.array(lo[at] + start[new], pa.int32()), pa.array(lo[at] + start[last] + size, pa.int32())], ["th", "lo", "end"])
+
+    def run(batches):
+        held, n = [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            n += b.nbytes
+            if n >= batch_bytes:
+                table = pa.Table.from_batches(held)
+                key = table.column("key").to_numpy()
+                whole = int(np.searchsorted(key, key[-1]))
+                if whole:
+                    yield spans(table.slice(0, whole).combine_chunks())
+                    held = table.slice(whole).combine_chunks().to_batches()
+                    n = sum(x.nbytes for x in held)
+        if held:
+            yield spans(pa.Table.from_batches(held))
+
+    return run
+
+
+def text_ids(th) -> np.ndarray:
+    return np.frombuffer(b"".join(th.to_pylist()), "<u8")[::2]
+
+
+def place_ids(text_id: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """64-bit names of (text, first window)."""
+    h = (text_id + lo.astype(np.uint64)) * MIX
+    return ((h ^ (h >> np.uint64(32))) * BASE).view(np.int64)
+
+
+def _settle(texts: DataFrame, level: int, size: int, blooms: list):
+    """Names of one level: (spans of what occurs again, distinct unions (key, f1, f2, n, rid))."""
+    spark = texts.sparkSession
+    named = cut(texts.mapInArrow(scan(level, size, list(blooms)), LEVEL))
+    again = named.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    again = spark.sparkContext.broadcast(Bloom.of(again))
+
+    def only(batches):
+        for b in batches:
+            yield b.filter(pa.array(again.value.holds(b.column(0).to_numpy())))
+
+    some = cut(named.mapInArrow(only, LEVEL))
+    release(named)
+    # a union that occurs once is its own representative; of others one goes on, as a partner for the rest
+    unions = cut(some.groupBy("key", "f1", "f2").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("rid")))
+    twice = unions.where("n > 1").select("key", "f1", "f2")
+    spans = cut(some.join(twice, ["key", "f1", "f2"], "left_semi").select("th", "lo", (F.col("hi") + size).alias("end")))
+    release(some)
+    return spans, unions
+
+
+def repeated_spans(texts: DataFrame, size: int = SIZE, hot: int = HOT) -> DataFrame:
+    """(th, spans) for texts(th, text): flat start, end lists of the maximal runs of repeated bytes, per distinct text."""
+    spark = texts.sparkSession
+    spans, unions = _settle(texts, 1, size, [])
+    open_keys = cut(unions.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1"))
+    parts = [spans]
+
+    def places(keys):
+        return spark.sparkContext.broadcast(Bloom.of(unions.join(keys, "key", "left_semi").select("rid")))
+
+    reaches = texts.mapInArrow(reach(size, places(open_keys.where(F.col("k") <= hot))), REACH)
+    parts.append(cut(reaches.repartition("key").sortWithinPartitions("key").mapInArrow(induce(size), SPAN)))
+    many = open_keys.where(F.col("k") > hot)
+    if not many.isEmpty():
+        blooms = [places(many)]
+        spans, cells = _settle(texts, 2, size, blooms)
+        left = cells.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1")
+        blooms.append(spark.sparkContext.broadcast(Bloom.of(cells.join(left, "key", "left_semi").select("rid"))))
+        parts += [spans, _settle(texts, 3, size, blooms)[0]]
+        release(cells)
+    release(unions, open_keys)
+    spans = parts[0]
+    for p in parts[1:]:
+        spans = spans.unionByName(p)
     spans = spans.groupBy("th").agg(F.collect_set(F.struct("lo", "end")).alias("found"))
 
     def union(batches):
@@ -226,11 +327,11 @@ def repeated_spans(texts: DataFrame, size: int = SIZE) -> DataFrame:
     return done
 
 
-def deduplicate(docs: DataFrame, id_col="doc_id", text_col="text", size: int = SIZE) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col="doc_id", text_col="text", size: int = SIZE, hot: int = HOT) -> DataFrame:
     """(id, n_bytes, spans, kept): the bytes of each text, its removed runs, and the bytes that are left."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("th"), text.alias("text"))
-    spans = repeated_spans(rows.select("th", "text"), size)
+    spans = repeated_spans(rows.select("th", "text"), size, hot)
     some = docs.sparkSession.sparkContext.broadcast(Bloom.of(spans.select(F.xxhash64("th").alias("key"))))
 
     def pack(batches):

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from newsloom.llm import bpe, common, covertree, decontaminate, license, maintext, pii, quality, repeats, simhash, toxicity
+from newsloom.llm import bpe, common, covertree, decontaminate, induction, license, maintext, pii, quality, repeats, simhash, toxicity
 
 RNG = random.Random(11)
 WORDS = [("".join(RNG.choice("abcdeo") for _ in range(RNG.randint(1, 6)))) for _ in range(300)]
@@ -200,10 +200,45 @@ def test_repeats_equal_brute_force(spark):
     passage = " ".join(RNG.choice(WORDS) for _ in range(200))
     texts = TEXTS + [f"{a} {passage[k : k + 380 + 9 * k]} {b}" for k, (a, b) in enumerate(zip(PROSE[20:40], PROSE[30:50]))] + ["ab" * 600, "q" * 399, "z" * 400, "z" * 400, "yx" * 200 + "ü" * 300]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    got = {r.id: r for r in repeats.summary(repeats.deduplicate(df)).collect()}
-    for k, (raw, hit, n) in enumerate(slow_spans(texts, 400)):
-        kept = np.frombuffer(raw, np.uint8)[~hit].tobytes() if raw else b""
-        assert (got[k].n_bytes, got[k].n_removed, got[k].n_spans, got[k].kept_sha256) == (len(raw), int(hit.sum()), n, hashlib.sha256(kept).hexdigest()), k
+    want = [(len(raw), int(hit.sum()), n, hashlib.sha256(np.frombuffer(raw, np.uint8)[~hit].tobytes() if raw else b"").hexdigest()) for raw, hit, n in slow_spans(texts, 400)]
+    for hot in (repeats.HOT, 2):  # few open reaches to a key; all of them counted
+        got = {r.id: r for r in repeats.summary(repeats.deduplicate(df, hot=hot)).collect()}
+        assert [(got[k].n_bytes, got[k].n_removed, got[k].n_spans, got[k].kept_sha256) for k in range(len(texts))] == want
+
+
+@pytest.mark.parametrize("memory", [7, induction.MEMORY])
+def test_induced_sorting_equals_brute_force(memory):
+    rng, size = random.Random(9), 12
+    group, raw, back, keep = [], [], [], []
+    for g in range(30):
+        base = "".join(rng.choice("ab") for _ in range(40)).encode()
+        for _ in range(rng.randint(1, 6)):
+            b, e = rng.randint(0, 12), rng.randint(30, 40)
+            text = bytearray(base[12 - b : e])
+            text[rng.randrange(len(text))] = ord("x")
+            group.append(g)
+            raw.append(bytes(text))
+            back.append(b)
+            keep.append(rng.randint(0, b))
+    arrays = np.array(group), raw, np.array(back), np.array(keep)
+    got = set(zip(*(x.tolist() for x in induction.repeated(*arrays, size, memory=memory))))
+    want = set()
+    for k, r in enumerate(raw):
+        for d in range(max(1, back[k] - keep[k]), back[k] + 1):
+            w = r[back[k] - d : back[k] - d + size]
+            others = [o[back[j] - d :][:size] for j, o in enumerate(raw) if j != k and group[j] == group[k] and back[j] >= d]
+            if len(w) == size and w in others:
+                want.add((k, d))
+    assert got == want
+
+
+def test_tuple_queue_spills_and_merges():
+    q, rng = induction.TupleQueue(memory=50, block=8), np.random.default_rng(1)
+    x = rng.permutation(1000).astype(np.int64)
+    for k in range(0, 1000, 37):
+        q.push(x[k : k + 37])
+    assert len(q.runs) > 5
+    assert np.array_equal(np.concatenate(list(q.drain())), np.arange(1000))
 
 
 def slow_hits(text, items, size=10):
