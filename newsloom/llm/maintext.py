@@ -44,7 +44,9 @@ TOKEN = re.compile(
     r"<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>|[^>]*>|[^>]*$)|<[!?/][^>]*>?", re.S
 )
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+#: Class names that tell of a page's layout, not of the part that they stand on.
+LAYOUT = re.compile(r"(?i)^(?:has|with|no|without|is|js|left|right|two|one|full)[-_]|[-_](?:layout|page|template|theme|enabled|wrapper|container|grid)$")
+SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
@@ -55,8 +57,8 @@ class Node:
         self.kids, self.text, self.linked, self.score = [], 0, 0, 0.0
 
 
-def unwanted(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in DROPPED and not (tag == "header" and in_article):
+def unwanted(tag: str, attributes: str, in_article: bool, classes: bool = True) -> bool:
+    if tag in DROPPED and not (tag == "header" and in_article) and (classes or tag not in ("form", "fieldset")):
         return True
     if len(attributes) < 3:
         return False
@@ -66,12 +68,13 @@ def unwanted(tag: str, attributes: str, in_article: bool) -> bool:
             return True
         if name == "role" and value.lower() in BAD_ROLES:
             return True
-        if name in ("class", "id") and tag not in ("html", "body", "main") and not BAD_WORDS.isdisjoint(w.lower() for w in re.split(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])", value)):
-            return True
+        if classes and name in ("class", "id") and tag not in ("html", "body", "main"):
+            if not BAD_WORDS.isdisjoint(w.lower() for part in value.split() if not LAYOUT.search(part) for w in SPLIT.split(part)):
+                return True
     return False
 
 
-def parse(html: str) -> Node:
+def parse(html: str, classes: bool = True) -> Node:
     root = here = Node("html", None)
     buffer: list[str] = []
     link, at, linked, inlines = 0, 0, 0, []
@@ -105,7 +108,7 @@ def parse(html: str) -> Node:
             elif tag == "br":
                 buffer.append(" ")
             if not m[1] and tag not in VOID:
-                if inlines or len(m[3]) > 3 and unwanted(tag, m[3], False):
+                if inlines or len(m[3]) > 3 and unwanted(tag, m[3], False, classes):
                     inlines.append(tag)
                     if len(inlines) == 1:
                         kept = len(buffer)
@@ -149,8 +152,8 @@ def parse(html: str) -> Node:
             continue
         if tag in ("body", "main") and here.drop:  # an unclosed <head> ends here
             here = root
-        inside = tag == "header" and _enclosing(here, "article") is not None
-        node = Node(tag, here, here.drop or unwanted(tag, m[3], inside))
+        inside = tag == "header" and _enclosing(here, "article", "main") is not None
+        node = Node(tag, here, here.drop or unwanted(tag, m[3], inside, classes))
         here.kids.append(node)
         here = node
     if inlines:
@@ -202,7 +205,11 @@ def blocks(node: Node) -> list[str]:
 
 
 def main_text(html: str) -> str:
-    root = parse(html)
+    """The main text; a page that has none without what its classes and forms mark as boilerplate is read with it."""
+    return _main_text(parse(html)) or (_main_text(parse(html, False)) if html else "")
+
+
+def _main_text(root: Node) -> str:
     nodes = [x for x in score(root) if x.tag not in LEAVES]
     if not nodes:
         return ""
@@ -219,7 +226,7 @@ def main_text(html: str) -> str:
                 kept.append(kid)
         elif not kid.drop and kid.text:
             dense = kid.linked >= 0.25 * kid.text
-            if not dense and (kid.score >= 0.2 * best.score or best.tag not in ("article", "main") and kid.tag in LEAVES):
+            if not dense and (kid.tag == "h1" or kid.score >= 0.2 * best.score or best.tag not in ("article", "main") and kid.tag in LEAVES):
                 kept.append(kid)
     return "\n".join(line for k in kept for line in (blocks(k) if isinstance(k, Node) else [k[0]]))
 

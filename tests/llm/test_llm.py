@@ -149,6 +149,8 @@ def test_pii_added_spans_and_mask(spark):
         ("<div id=menu>m</div><div class='post-body'><p>Long, text, here, with, commas</p>tail</div><div class=comments><p>nice, one</p></div>", "Long, text, here, with, commas\ntail"),
         ("<div><script>var a='<p>no</p>'</script><p>yes, it is", "yes, it is"),
         ("<main><section><h2>A</h2><p>one, two, three</p></section><section><p>four</p></section><form><p>no</p></form></main>", "A\none, two, three\nfour"),
+        ("<div class='page has-sidebar'><h1>T</h1><article class='post'><header><h2>S</h2></header><p>one, two</p><section class=comments><article><p>no, no, no, no</p></article></section></article><div class=sidebar><p>x, y</p></div></div>", "T\nS\none, two"),
+        ("<form id=page class=widget><div><p>All of it, in a form</p></div></form>", "All of it, in a form"),
         ("<div class=cookie-notice><p>We use, cookies, and, more</p></div><div><p>Text</p></div>", "Text"),
     ],
 )
