@@ -268,16 +268,17 @@ def queue_counts(spark, sf_dir):
     return fixture(spark, "frontier").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("queue_seed", "SELECT DISTINCT url, 'webpage' AS page_type, CAST(0 AS DOUBLE) AS url_score, 'unseen' AS status FROM pages WHERE page_id < 3 UNION ALL SELECT url || '/feed', 'feed', CAST(0 AS DOUBLE), 'unseen' FROM pages WHERE page_id < 2")
+@query("queue_seed", "SELECT DISTINCT url, 'webpage' AS page_type, CAST(0 AS DOUBLE) AS url_score, 'unseen' AS status FROM pages UNION ALL SELECT DISTINCT regexp_extract(url, '^[a-z]+://[^/?#]*') || '/feed', 'feed', CAST(0 AS DOUBLE), 'unseen' FROM pages")
 def queue_seed(spark, sf_dir):
     pages = read(spark, sf_dir, "pages")
-    return frontier.seed(pages.where("page_id < 3").select("url"), pages.where("page_id < 2").select(F.concat("url", F.lit("/feed")).alias("url")))
+    feeds = pages.select(F.concat(F.regexp_extract("url", "^[a-z]+://[^/?#]*", 0), F.lit("/feed")).alias("url"))
+    return frontier.seed(pages.select("url").distinct(), feeds.distinct())
 
 
-@query("dedup_first", "SELECT lang, source, n_chars % 50 AS bucket, min(doc_id) AS doc_id FROM documents GROUP BY ALL")
+@query("dedup_first", "SELECT lang, source, arg_min(text, doc_id) AS text, min(doc_id) AS doc_id FROM documents GROUP BY lang, source")
 def dedup_first(spark, sf_dir):
-    rows = read(spark, sf_dir, "documents").select("lang", "source", (F.col("n_chars") % 50).alias("bucket"), "doc_id")
-    return frontier.first(rows, ["lang", "source", "bucket"], F.col("doc_id"))
+    rows = read(spark, sf_dir, "documents").select("lang", "source", "text", "doc_id")
+    return frontier.first(rows, ["lang", "source"], F.col("doc_id"))
 
 
 _VISIBLE = r"trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace({x}, '(?s)<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g'))".replace('\\"', '"')
@@ -442,8 +443,8 @@ def token_set_ratio(spark, sf_dir):
 
 @query("benchmark_best")
 def benchmark_best(spark, sf_dir):
-    items = read(spark, sf_dir, "benchmark").select((F.length("text") % 5).alias("block"), "item_id", F.substring("text", 1, 120).alias("t"))
-    return match.best_rows(items.select("block", F.col("t").alias("url")), items.select("block", F.col("item_id").cast("int").alias("row_id"), F.col("t").alias("text")))
+    items = read(spark, sf_dir, "benchmark").select(F.substring_index(F.lower("text"), " ", 1).alias("block"), "item_id", "text")
+    return match.best_rows(items.select("block", F.col("text").alias("url")), items.select("block", F.col("item_id").cast("int").alias("row_id"), "text"))
 
 
 @query("entity_closure", f"""WITH RECURSIVE s AS (SELECT subject, object FROM ({fx('triples')}) WHERE predicate = 'part_of'), walk(subject, object) AS (SELECT subject, subject FROM s UNION SELECT object, object FROM s UNION SELECT walk.subject, s.object FROM walk JOIN s ON walk.object = s.subject)
