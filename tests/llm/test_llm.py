@@ -334,3 +334,21 @@ def test_pipeline_stages(spark):
         docs = out
     assert n == sorted(n, reverse=True) and n[-1] > n[0] / 2
     assert docs.where("not round_trip").count() == 0
+
+
+def test_clashing_names_null_ids_and_repeated_rows(spark):
+    """Columns named like those the operators make, null and repeated ids, and nulls in every column."""
+    clash = "id spans items label tag ids fp component score keep embedding th z sha key lo hi node src dst n_words p_text".split()
+    rows = [(7, "a b c d e f", "en", "s", 11), (7, "a b c d e f", "en", "s", 11), (None, None, None, None, None), (8, "other words go here", None, None, None), (7, "a b c d e f g h totally different", "fr", "t", 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    df = df.select("*", *[F.lit(1).alias(c) for c in clash])
+    bench = spark.createDataFrame([("1", "other words go here"), (None, "zzz"), ("1", None)], "item_id string, text string").withColumn("id", F.lit(1))
+    labels = spark.createDataFrame([(None, None, None), (7, 1, 0), (7, 0, None)], "doc_id long, quality int, toxic int")
+    assert sorted(str(r.doc_id) for r in simhash.keep_one(df).collect()) == ["7", "7", "8", "None"]
+    assert decontaminate.clean(df, bench).count() == 4
+    assert quality.keep_good(df, labels).columns == pii.mask(df).columns == decontaminate.clean(df, bench).columns == df.columns
+    assert toxicity.score(df, toxicity.fit(df, labels)).count() == len(rows)
+    for f in (pii.spans, bpe.digests, license.scan, repeats.deduplicate, simhash.near_duplicates):
+        assert f(df).count() == len(rows)
+    out = covertree.near_duplicates(spark.createDataFrame([(1, [1.0, 0.0], 0, 5), (1, [1.0, 0.0], 0, 5), (None, [1.0, 0.0], 0, 5), (2, None, None, None)], "vec_id long, embedding array<float>, label int, cid int"))
+    assert sorted((str(r.id), r.n_links, r.component) for r in out.collect()) == [("1", 2, 1), ("1", 2, 1), ("2", 0, 2), ("None", 2, 1)]
