@@ -69,3 +69,10 @@ def thompson(q: DataFrame, seed: int) -> DataFrame:
 
     drawn = q.withColumn("__x", draw("param", F.col("action").cast("long"), "q", "n"))
     return drawn.groupBy("param").agg(F.max_by("action", F.struct("__x", "action")).alias("action"))
+
+
+def registry(defaults: DataFrame, settings: DataFrame) -> DataFrame:
+    """(param, kind, value): defaults with the settings laid over them, cast to their kind and written back; bad values leave the default."""
+    both = defaults.join(settings.select("param", F.col("value").alias("__v")), "param", "left")
+    fits = F.when(F.col("kind") == "int", F.expr("try_cast(__v AS int)").cast("string")).when(F.col("kind") == "float", F.expr("try_cast(__v AS double)").cast("string")).otherwise(F.col("__v"))
+    return both.select("param", "kind", F.coalesce(fits, "value").alias("value"))

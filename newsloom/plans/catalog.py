@@ -580,3 +580,61 @@ def archive_captures(spark, sf_dir):
 @query("backoff", f"SELECT attempt, least(wait * pow(2, attempt), 300)::DOUBLE AS wait FROM ({fx('retries')})")
 def backoff(spark, sf_dir):
     return fixture(spark, "retries").select("attempt", T.backoff(F.col("wait").cast("double"), F.col("attempt")).alias("wait"))
+
+
+@query("domain_posts", "SELECT * FROM (VALUES ('https://site.org/1', 'One'), ('https://m.site.org/3', 'Three')) t(url, title)")
+def domain_posts(spark, sf_dir):
+    return web.domain_posts(fixture(spark, "listing"), "site.org")
+
+
+@query("reports_listed", f"""WITH r AS (SELECT page, list_filter(regexp_extract_all(html, 'href="([^"]*)"', 1), lambda h: contains(h, '.pdf')) AS h FROM ({fx('report_pages')})) SELECT DISTINCT page, unnest(h) AS href FROM r WHERE page < (SELECT min(page) FROM r WHERE len(h) = 0)""")
+def reports_listed(spark, sf_dir):
+    return web.reports_listed(fixture(spark, "report_pages"))
+
+
+@query("skip_list", "SELECT DISTINCT source FROM documents WHERE source NOT IN ('src1', 'src3', 'src5')")
+def skip_list(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("source").distinct().where(~F.col("source").isin("src1", "src3", "src5"))
+
+
+@query("archive_totals", f"SELECT source, pages * page_size AS items FROM ({fx('index_pages')})")
+def archive_totals(spark, sf_dir):
+    return archive.totals(fixture(spark, "index_pages"))
+
+
+@query("archive_page", f"SELECT url, digest FROM ({fx('captures')}) ORDER BY url, digest LIMIT 2 OFFSET 1")
+def archive_page(spark, sf_dir):
+    return archive.page(fixture(spark, "captures").select("url", "digest"), 1, 2, "url", "digest")
+
+
+@query("archive_union", f"SELECT url, 'index' AS origin FROM ({fx('captures')}) UNION ALL SELECT url, 'pages' FROM pages")
+def archive_union(spark, sf_dir):
+    one = fixture(spark, "captures").select("url", F.lit("index").alias("origin"))
+    return one.unionByName(read(spark, sf_dir, "pages").select("url", F.lit("pages").alias("origin")))
+
+
+@query("endpoint_order", f"SELECT source FROM ({fx('index_pages')})")
+def endpoint_order(spark, sf_dir):
+    return archive.shuffled(fixture(spark, "index_pages"), 7, "source").select("source")
+
+
+@query("complaint_stage2", "SELECT * FROM (VALUES (1, 1, 0, 'Morning Show', 'BBC One', '03/04/2020', 'tone', 'of host ')) t(doc_id, page, pos, programme, service, date, issue, outcome)")
+def complaint_stage2(spark, sf_dir):
+    return records.rows(fixture(spark, "stage1"), records.STAGE2, ("programme", "service", "date", "issue", "outcome")).where("pos = 0")
+
+
+@query("bandit_registry", "SELECT * FROM (VALUES ('rate', 'float', '0.25'), ('depth', 'int', '3'), ('name', 'str', 'other'), ('cap', 'int', '9')) t(param, kind, value)")
+def bandit_registry(spark, sf_dir):
+    return bandit.registry(fixture(spark, "params"), fixture(spark, "settings"))
+
+
+@query("robots_upsert", f"""SELECT coalesce(n.url, o.url) AS url, coalesce(n.last_checked, o.last_checked) AS last_checked, CASE WHEN n.url IS NOT NULL THEN n.robots_text ELSE o.robots_text END AS robots_text FROM ({fx('robots')}) o FULL JOIN ({fx('robots_new')}) n ON o.url = n.url""")
+def robots_upsert(spark, sf_dir):
+    old = fixture(spark, "robots").select("url", "last_checked", "robots_text")
+    return frontier.upsert(old, fixture(spark, "robots_new"), "url", F.col("last_checked"))
+
+
+@query("seen_urls", "SELECT doc_id, doc_id IN (SELECT doc_id FROM labels) AS seen FROM documents")
+def seen_urls(spark, sf_dir):
+    docs, seen = read(spark, sf_dir, "documents").select("doc_id"), read(spark, sf_dir, "labels").select("doc_id").distinct()
+    return docs.join(seen, "doc_id", "left_semi").withColumn("seen", F.lit(True)).unionByName(docs.join(seen, "doc_id", "left_anti").withColumn("seen", F.lit(False)))

@@ -119,6 +119,15 @@ VALUES = {
     ),
     "retries": ("attempt, wait", """(0, 3.0e0), (1, 3.0e0), (5, 3.0e0), (9, 3.0e0)"""),
     "links_in": ("href, base", """('/x', 'https://a.org/p/q'), ('y', 'https://a.org/p/q'), ('https://b.org/z', 'https://a.org/'), ('#t', 'https://a.org/p#s'), ('//c.org/w', 'http://a.org')"""),
+    "listing": (
+        "url, html",
+        """('https://forum.org/r/news', '<a href="https://site.org/1">One</a><a href="https://other.org/2">x</a><a href="https://m.site.org/3">Three</a>'), ('https://forum.org/r/old', '<a href="https://site.org/1">Again</a><a href="/local">y</a>')""",
+    ),
+    "report_pages": ("page, html", """(1, '<a href="/a.pdf">a</a><a href="/a.pdf">a</a><a href="/x">x</a>'), (2, '<a href="/b.pdf">b</a>'), (3, '<a href="/y">y</a>'), (4, '<a href="/c.pdf">c</a>')"""),
+    "index_pages": ("source, pages, page_size", """('one', 12, 500), ('two', 3, 15000)"""),
+    "params": ("param, kind, value", """('rate', 'float', '0.1'), ('depth', 'int', '3'), ('name', 'str', 'base'), ('cap', 'int', '9')"""),
+    "settings": ("param, value", """('rate', '0.25'), ('depth', 'many'), ('name', 'other'), ('unknown', '1')"""),
+    "robots_new": ("url, last_checked, robots_text", """('https://a.org/robots.txt', 2000000, 'User-agent: *'), ('https://z.org/robots.txt', 2000000, '')"""),
     "master": ("Programme, Issue", """('Show', 'Tone'), ('Quiz', NULL)"""),
 }
 

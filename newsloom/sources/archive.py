@@ -50,3 +50,18 @@ def captures(index: DataFrame, pattern: str, mimes: list[str], year: str | None
     if year:
         rows = rows.where(F.startswith("timestamp", F.lit(year)))
     return rows.groupBy("digest").agg(F.min_by(F.struct("url", "mime", "timestamp"), F.struct("timestamp", "url")).alias("r")).select("digest", "r.*")
+
+
+def totals(pages: DataFrame) -> DataFrame:
+    """(source, items): pages times page size of each index."""
+    return pages.groupBy("source").agg((F.max("pages") * F.max("page_size")).alias("items"))
+
+
+def page(rows: DataFrame, offset: int, limit: int, *order: str) -> DataFrame:
+    """One page of rows in a stated order."""
+    return rows.orderBy(*order).offset(offset).limit(limit)
+
+
+def shuffled(rows: DataFrame, seed: int, *key: str) -> DataFrame:
+    """Rows with a place drawn by a hash of seed and key: a random order that reruns agree on."""
+    return rows.withColumn("draw", F.xxhash64(F.lit(seed), *key)).orderBy("draw", *key)

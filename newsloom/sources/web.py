@@ -162,3 +162,23 @@ def local_feeds(rows: DataFrame) -> DataFrame:
     place = rows.where("kind = 'locations'").select("postcode", F.explode(F.from_json("body", locations)["parms"]["props"]["locations"]).alias("l")).select("postcode", F.lower("l.name").alias("location")).where("location <> ''")
     article = rows.where("kind = 'feed'").select("postcode", F.lower("location").alias("location"), F.explode(F.from_json("body", items)["parms"]["asyncProps"]["feed"]).alias("f")).where("f.type = 'articles' and f.item.url is not null")
     return article.select("postcode", "location", F.col("f.item.url").alias("url")).join(place, ["postcode", "location"], "left_semi").distinct()
+
+
+def domain_posts(pages: DataFrame, host: str, html_col="html", url_col="url") -> DataFrame:
+    """(url, title): links of listing pages to a host, resolved, one a url: that which the listing shows first."""
+    from newsloom.functions.urls import domain, full_url
+
+    pattern = r'(?s)<a[^>]*href="([^"]*)"[^>]*>(.*?)</a>'
+    pairs = F.arrays_zip(F.regexp_extract_all(html_col, F.lit(pattern), F.lit(1)).alias("l"), F.regexp_extract_all(html_col, F.lit(pattern), F.lit(2)).alias("t"))
+    rows = pages.select(F.col(url_col).alias("base"), F.posexplode(pairs).alias("k", "p"))
+    rows = rows.select("base", "k", full_url(F.col("p.l"), F.col("base")).alias("url"), visible(F.col("p.t")).alias("title"))
+    rows = rows.where(F.contains(domain(F.col("url")), F.lit(host)))
+    return rows.groupBy("url").agg(F.min_by("title", F.struct("base", "k")).alias("title"))
+
+
+def reports_listed(pages: DataFrame, html_col="html", url_col="url") -> DataFrame:
+    """(page, href): links to PDF reports on listing pages, up to the first page that has none."""
+    hrefs = F.filter(F.regexp_extract_all(html_col, F.lit(r'href="([^"]*)"'), F.lit(1)), lambda h: F.contains(h, F.lit(".pdf")))
+    rows = pages.select("page", hrefs.alias("hrefs"))
+    stop = rows.where(F.size("hrefs") == 0).agg(F.min("page").alias("stop"))
+    return rows.join(F.broadcast(stop)).where(F.col("page") < F.coalesce("stop", F.lit(1 << 30))).select("page", F.explode(F.array_distinct("hrefs")).alias("href"))
