@@ -5,8 +5,8 @@ Both start from the labelled rows. In each round either view names the unlabelle
 view. At the end both views are calibrated on labelled rows that no round has used, and a logistic combination
 of the calibrated views, fitted on the same rows, scores all documents.
 
-Fitted on at most `sample` labelled and `sample` unlabelled rows, taken by a hash of the id; only their feature
-vectors reach the driver. Defined results: null and empty texts, and nulls in metadata, have features of
+Fitted on at most `sample` labelled and `sample` unlabelled rows, taken by a hash of the id; of rows that share an
+id the smallest is taken. Only feature vectors of the fitting rows reach the driver. Defined results: null and empty texts, and nulls in metadata, have features of
 their own and are scored like any; repeated rows give a row each; with no usable labels (none, or of one class)
 every document scores the share of good labels (1 if there are none); an empty table gives an empty result.
 """
@@ -141,6 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", label_col="quality"
     free = ids.join(marked, "id", "left_anti").select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
     picked = cut(labelled.unionByName(free.withColumn("y", F.lit(None).cast("int"))))
     src = _source(docs, id_col).join(F.broadcast(picked), "id")
+    src = src.groupBy("id", "y").agg(F.min(F.struct("text", "source", "lang", "n_chars")).alias("row")).select("id", "row.*", "y")
 
     def run(batches):
         for b in batches:

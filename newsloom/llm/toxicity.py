@@ -8,7 +8,8 @@ a reading that holds a feature of the scorer wins over one that holds none. Toke
 lattice of one path and stay as they are.
 
 The scorer is naive Bayes over chosen words and word beginnings (4 to 6 letters) of the restored text. It is
-fitted on at most `sample` labelled rows, taken by a hash of the id, none of them held out.
+fitted on at most `sample` labelled rows, taken by a hash of the id, none of them held out; of rows that share an
+id the smallest text is taken.
 
 Defined results: null and empty texts score like texts without words; a null id is neither held out nor used for
 fitting; repeated rows give a row each; with no usable labels (none, or of one class) all scores are the share of
@@ -185,8 +186,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
     if len(counts) < 2:
         return Model(lm, {}, None, float(prior))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id").select("y", "text")
-    texts = cut(texts)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
+    texts = cut(texts.groupBy("id", "y").agg(F.min("text").alias("text")).select("y", "text"))  # one text an id, so that repeated rows do not pass the bound
 
     def count(batches):
         restore = Restorer(lm)

@@ -320,6 +320,29 @@ def test_empty_tables_and_repeated_rows(spark, docs):
         assert f(twice).count() == 2 * len(TEXTS)
 
 
+def test_fitting_rows_stay_bounded_when_ids_repeat(spark, docs, labels):
+    """An id of very many rows adds one row to what the classifiers are fitted on."""
+    many = docs.unionByName(docs.where("doc_id = 6").crossJoin(spark.range(3000).select()))
+    seen = []
+
+    def collect(df):
+        rows = plain(df)
+        seen.append(len(rows))
+        return rows
+
+    kind = type(docs)
+    plain = kind.collect
+    kind.collect = collect
+    try:
+        models = [(quality.fit(d, labels), toxicity.fit(d, labels)) for d in (docs, many)]
+    finally:
+        kind.collect = plain
+    assert max(seen) < 28**3 and seen[: len(seen) // 2] == seen[len(seen) // 2 :]
+    some = docs.where("doc_id < 20")
+    one, two = ({r.id: r.score for r in quality.score(some, q).collect()} for q, _ in models)
+    assert one == pytest.approx(two)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
