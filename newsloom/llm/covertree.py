@@ -28,6 +28,8 @@ COSINE = 0.98
 #: Points of a cell that centres aim at; bytes of sampled vectors on the driver; most centres in all.
 CELL_ROWS, SAMPLE_BYTES, MOST_CENTRES = 4096, 32 << 20, 4096
 LEAF = 48
+#: Distances from points to centres that are held at once.
+HELD = 2_000_000
 SLACK = 1e-7
 
 
@@ -171,6 +173,15 @@ def join_cell(cosine: float):
 SCHEMA = "cid long, label string, dim int, m long, cell int, guest boolean, embedding array<float>"
 
 
+def runs(keys: list, centres: dict):
+    """(key, rows of that key) for keys with centres, so few rows at a time that their distances fit in memory."""
+    for key in set(keys) & centres.keys():
+        at = np.array([k for k, x in enumerate(keys) if x == key])
+        step = max(1, HELD // len(centres[key]))
+        for k in range(0, len(at), step):
+            yield key, at[k : k + step]
+
+
 def deal_home(centres):
     """Adds the nearest centre and the distance to it."""
 
@@ -178,8 +189,7 @@ def deal_home(centres):
         for b in batches:
             cell, dist = np.zeros(b.num_rows, np.int32), np.zeros(b.num_rows)
             keys = list(zip(b.column("label").to_pylist(), b.column("dim").to_pylist()))
-            for key in set(keys) & centres.keys():
-                at = np.array([k for k, x in enumerate(keys) if x == key])
+            for key, at in runs(keys, centres):
                 d = distances(stack(b.column("embedding").take(pa.array(at)), key[1]), centres[key])
                 cell[at] = d.argmin(axis=1)
                 dist[at] = d.min(axis=1)
@@ -196,11 +206,10 @@ def deal_guests(centres, radius, t):
             cell, dist = b.column("cell").to_numpy(), b.column("dist").to_numpy()
             keys = list(zip(b.column("label").to_pylist(), b.column("dim").to_pylist()))
             take, where = [np.arange(b.num_rows)], [cell]
-            for key in set(keys) & centres.keys():
-                at = np.array([k for k, x in enumerate(keys) if x == key])
+            for key, at in runs(keys, centres):
                 c = centres[key]
                 d = distances(stack(b.column("embedding").take(pa.array(at)), key[1]), c)
-                apart = distances(c, c)[cell[at]]
+                apart = distances(c[cell[at]], c)
                 plane = (d * d - (dist[at] ** 2)[:, None]) <= 2 * (t + SLACK) * apart + SLACK
                 go = plane & (d <= radius[key][None, :] + t + SLACK) & (np.arange(len(c))[None, :] < cell[at][:, None])
                 i, k = np.nonzero(go)

@@ -122,6 +122,14 @@ def test_cover_tree_equals_all_pairs(spark):
         assert all((got[k].n_links, got[k].component) == (0, k) for k in (900, 901, 902, 903))
 
 
+def test_rows_are_dealt_in_bounded_runs():
+    centres = {("a", 8): np.zeros((covertree.HELD // 7, 8)), ("b", 8): np.zeros((3, 8))}
+    keys = [RNG.choice([("a", 8), ("b", 8), ("c", 8), ("a", 4)]) for _ in range(500)]
+    dealt = [(key, at) for key, at in covertree.runs(keys, centres)]
+    assert all(len(at) * len(centres[key]) <= covertree.HELD and all(keys[k] == key for k in at) for key, at in dealt)
+    assert sorted(k for _, at in dealt for k in at) == [k for k, key in enumerate(keys) if key in centres]
+
+
 def test_pii_base_equals_regular_expressions():
     for _ in range(3000):
         t = "".join(RNG.choice("ab.@-+ 0123456789().é_%") for _ in range(RNG.randint(0, 70)))
