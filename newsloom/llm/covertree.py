@@ -107,6 +107,16 @@ class Links:
         self.i.append(a)
         self.j.append(np.full(len(a), b[0]))
 
+    def _leaves(self, node: Node, others: list[Node]) -> list:
+        """Compares a leaf with all other leaves at once; returns the pairs that are left to traverse."""
+        flat = [o for o in others if o is not node and o.kids is None] if node.kids is None else []
+        if flat:
+            members = np.concatenate([o.members for o in flat])
+            for k in range(0, len(members), 4096):
+                self.compare(node.members, members[k : k + 4096], False)
+            others = [o for o in others if o is node or o.kids is not None]
+        return [(node, o) for o in others]
+
     def traverse(self, one: Node, two: Node):
         todo = [(one, two)]
         while todo:
@@ -123,13 +133,15 @@ class Links:
                 c, r = np.array([k.centre for k in a.kids]), np.array([k.radius for k in a.kids])
                 for k in range(0, len(c), 1024):
                     near = distances(self.x[c[k : k + 1024]], self.x[c]) - r[k : k + 1024, None] - r[None, :] <= self.t + SLACK
-                    todo += [(a.kids[k + i], a.kids[j]) for i, j in zip(*np.nonzero(near)) if k + i <= j]
+                    for i, row in enumerate(near, k):
+                        row[:i] = False
+                        todo += self._leaves(a.kids[i], [a.kids[j] for j in np.flatnonzero(row)])
             else:
                 if a.kids is None or b.kids is not None and b.radius > a.radius:
                     a, b = b, a
                 c, r = np.array([k.centre for k in a.kids]), np.array([k.radius for k in a.kids])
                 near = distances(self.x[c], self.x[[b.centre]])[:, 0] - r - b.radius <= self.t + SLACK
-                todo += [(a.kids[i], b) for i in np.flatnonzero(near)]
+                todo += self._leaves(b, [a.kids[i] for i in np.flatnonzero(near)])
 
     def edges(self):
         if not self.i:
