@@ -8,8 +8,8 @@ a reading that holds a feature of the scorer wins over one that holds none. Toke
 lattice of one path and stay as they are.
 
 The scorer is naive Bayes over chosen words and word beginnings (4 to 6 letters) of the restored text. It is
-fitted on at most `sample` labelled rows, taken by a hash of the id, none of them held out; of rows that share an
-id the smallest text is taken.
+fitted on at most `sample` distinct labelled texts, taken by a hash of the id, none of them held out; an id gives one
+text. Every feature of these texts that could explain a toxic row is a candidate.
 
 Defined results: null and empty texts score like texts without words; a null id is neither held out nor used for
 fitting; repeated rows give a row each; with no usable labels (none, or of one class) all scores are the share of
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.common import cut, read, schema_of, texts_of, utf8_slices
 
-#: Labelled rows that the scorer is fitted on, candidate features.
-SAMPLE, FEATURES = 12_000, 512
+#: Labelled texts that the scorer is fitted on, least that a feature must explain.
+SAMPLE, LEAST = 12_000, 1.5
 THRESHOLD = 0.7
 
 # The letters that a sign may stand for.
@@ -179,15 +180,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
     lm = language_model(trigram_counts(docs, text_col))
     usable = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & (F.crc32(F.col(id_col).cast("string")) % 3 != 1))
     usable = usable.groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
-    # half of the bound for each class, so that a rare class is learnt too; chosen by a hash of the id
-    picked = [usable.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample // 2) for y in (0, 1)]
-    picked = cut(picked[0].unionByName(picked[1]))
     counts = {r.y: r["count"] for r in usable.groupBy("y").count().collect()}
     prior = counts.get(1, 0) / max(1, sum(counts.values()))
     if len(counts) < 2:
         return Model(lm, {}, None, float(prior))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
-    texts = cut(texts.groupBy("id", "y").agg(F.min("text").alias("text")).select("y", "text"))  # one text an id, so that repeated rows do not pass the bound
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    # one text an id and one id a text, so that neither repeated rows nor copies crowd out others
+    distinct = texts.select("id", "h").join(usable, "id").groupBy("id", "y").agg(F.min("h").alias("h")).groupBy("y", "h").agg(F.min("id").alias("id"))
+    distinct = cut(distinct)
+    # half of the bound for each class, so that a rare class is learnt too; chosen by a hash of the id
+    picked = [distinct.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample // 2) for y in (0, 1)]
+    picked = cut(picked[0].unionByName(picked[1]))
+    texts = texts.join(F.broadcast(picked), ["id", "h"])
+    texts = cut(texts.groupBy("id", "y").agg(F.min("text").alias("text")).select("y", "text"))
 
     def count(batches):
         restore = Restorer(lm)
@@ -206,41 +212,51 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
     if len(total) < 2:
         return Model(lm, {}, None, float(prior))
     gain = F.log(((F.col("n1") + 0.5) / total[1]) / ((F.col("n0") + 0.5) / total[0]))
-    best = rows.where("n1 >= 3").withColumn("gain", gain * F.col("n1")).where(gain > 2).orderBy(F.desc("gain"), "f").limit(FEATURES).collect()
-    chosen = {int(r.f): k for k, r in enumerate(best)}
+    # what choose() could never take is left out, and nothing else
+    best = rows.where((F.col("n1") >= 3) & (F.col("n1") - 10 * F.col("n0") >= LEAST) & (gain > 2)).select("f", (gain * F.col("n1")).alias("gain")).toArrow()
+    best = best.sort_by([("gain", "descending"), ("f", "ascending")])
+    chosen = {f: k for k, f in enumerate(best.column("f").to_pylist())}
 
     def active(batches):
         s = Scorer(lm, chosen)
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.active(t) for t in texts_of(b.column(1))], pa.list_(pa.int32()))], ["y", "x"])
 
-    got = texts.mapInArrow(active, "y int, x array<int>").collect()
-    x, y = np.zeros((len(got), max(1, len(chosen))), np.float32), np.array([r.y for r in got], float)
-    for k, r in enumerate(got):
-        x[k, r.x] = 1
-    places, weights = choose(x, y == 1)
+    got = texts.mapInArrow(active, "y int, x array<int>").toArrow()
+    x = got.column("x").combine_chunks()
+    row = np.repeat(np.arange(len(x)), x.value_lengths().to_numpy())
+    places, weights = choose(row, x.flatten().to_numpy(), got.column("y").to_numpy() == 1, len(chosen))
     return Model(lm, {f: places[k] for f, k in chosen.items() if k in places}, weights, float(prior))
 
 
-def choose(x: np.ndarray, toxic: np.ndarray, least: float = 1.5) -> tuple[dict[int, int], np.ndarray]:
-    """Columns of x that explain toxic rows, and their log odds.
+def choose(row: np.ndarray, column: np.ndarray, toxic: np.ndarray, n: int, least: float = LEAST) -> tuple[dict[int, int], np.ndarray]:
+    """Columns that explain toxic rows, and their log odds; column k of n occurs in the rows beside it.
 
     One after the other, that which occurs in most toxic rows, each counted half for every column that it has already,
     less ten times the rows that are not toxic. Words that only go along with toxic ones, as in copies of a
-    document, are not chosen, for their rows are explained.
+    document, are not chosen, for their rows are explained. What a column explains never grows, so a heap of
+    what each explained when last looked at gives the best without looking at all.
     """
-    if not x.shape[1]:
-        return {}, np.zeros(0)
-    n1, n0 = x[toxic].sum(axis=0), x[~toxic].sum(axis=0)
-    open_rows, places, free = np.ones(int(toxic.sum())), {}, np.ones(x.shape[1], bool)
-    while free.any():
-        gain = np.where(free, open_rows @ x[toxic] - 10 * n0, -np.inf)
-        best = int(gain.argmax())
-        if gain[best] < least:
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    bad = toxic[row]
+    n0 = np.bincount(column[~bad], minlength=n)
+    rows_of = np.split(row[bad], np.searchsorted(column[bad], np.arange(1, n)))
+    n1 = np.bincount(column[bad], minlength=n)
+    heap = [(-g, k) for k, g in enumerate((n1 - 10.0 * n0).tolist()) if g >= least]
+    heapify(heap)
+    open_rows, places = np.ones(len(toxic)), {}
+    while heap:
+        _, k = heappop(heap)
+        now = (10.0 * n0[k] - open_rows[rows_of[k]].sum(), k)
+        if heap and now > heap[0]:
+            if -now[0] >= least:
+                heappush(heap, now)
+            continue
+        if -now[0] < least:
             break
-        places[best] = len(places)
-        free[best] = False
-        open_rows = open_rows * np.where(x[toxic][:, best] > 0, 0.5, 1.0)
+        places[k] = len(places)
+        open_rows[rows_of[k]] *= 0.5
     at = np.array(list(places), int)
     odds = (n1[at] + 0.5) / (toxic.sum() + 1) / ((n0[at] + 0.5) / ((~toxic).sum() + 1))
     return places, np.log(odds)
@@ -248,7 +264,7 @@ def choose(x: np.ndarray, toxic: np.ndarray, least: float = 1.5) -> tuple[dict[i
 
 def score(docs: DataFrame, model: Model, id_col="doc_id", text_col="text") -> DataFrame:
     """(id, score)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: 28**3 numbers and FEATURES weights
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded: 28**3 numbers and at most a few weights for each of `sample` texts
 
     def run(batches):
         f = shared.value.scorer()

@@ -297,6 +297,25 @@ def test_toxicity_learns_and_restores(spark):
     assert {r.score for r in toxicity.score(df, flat).collect()} == {0.0}
 
 
+def test_toxicity_looks_past_a_group_of_one_vocabulary(spark):
+    """Copies, and texts of one source with words of its own, do not keep the words of other toxic texts out."""
+    rng = random.Random(5)
+    name = lambda: "".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(5))
+    plain, own, copied = ([name() for _ in range(n)] for n in (80, 700, 700))
+    rows = []
+    for k in range(1200):
+        words = rng.sample(plain, 20)
+        if k % 3 == 0:
+            words = copied if k % 2 else own + words[:5]
+        elif k % 12 == 1:
+            words.append("zagnitz")
+        rows.append((k, " ".join(words), int(k % 3 == 0 or k % 12 == 1)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    f = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic")).scorer()
+    assert f(" ".join(plain[:20]) + " zagnitz") >= 0.7 > f(" ".join(plain[:20]))
+    assert f(" ".join(own)) >= 0.7
+
+
 @pytest.mark.parametrize(
     "text, want",
     [
