@@ -43,15 +43,25 @@ SIGNS = "".join(LOOKALIKES)
 #: Log cost of reading a sign as a letter, of keeping it, of dropping a repeat.
 SWAP, KEEP, DROP = -1.0, -4.0, -1.0
 PATHS = 6
+#: Characters of a token that are read at a time; all pieces of a longer token are read.
+PIECE = 256
 
+LETTER, SIGN = r"[^\W\d_]", f"[{re.escape(SIGNS)}]"
+PART = rf"[\w{re.escape(SIGNS)}'’\-]"
 CANDIDATE = re.compile(
-    r"(?<!\S)[\"'(\[]*(?:[^\W\d_](?:[ ._\-*][^\W_0-9 ]|[ ._\-][0-9@$!|+]){2,}(?![^\W_])"  # spaced out
-    rf"|(?=\S*[^\W\d_])(?=\S*[{re.escape(SIGNS)}]\S*[^\W\d_]|[{re.escape(SIGNS)}])[\w{re.escape(SIGNS)}'’\-]{{3,24}}"  # signs among letters
-    r"|[^\W\d_]*([^\W\d_])\1\1[^\W\d_]*)"  # repeats
+    rf"(?<!\S)[\"'(\[]*(?:{LETTER}(?:[ ._\-*][^\W_0-9 ]|[ ._\-][0-9@$!|+]){{2,}}(?![^\W_])"  # spaced out
+    rf"|(?={PART}*?{LETTER})(?={PART}*?{SIGN}){PART}{{3,}}"  # signs beside letters
+    rf"|{LETTER}*({LETTER})\1\1{LETTER}*)"  # repeats
 )
 #: What a candidate needs at least; texts without are not searched.
-HINT = re.compile(r"([^\W\d_])\1\1|[^\W\d_][0-9@$!|+€£*#%]+[^\W\d_]|(?<!\S)[0-9@$!|+€£]+[^\W\d_]|(?<![^\s\"'(\[])[^\W_][ ._\-*][^\W_ ][ ._\-*][^\W_ ](?![^\W_])")
+HINT = re.compile(
+    rf"({LETTER})\1\1|{LETTER}['’_\-]*{SIGN}|{SIGN}['’_\-]*{LETTER}"
+    r"|(?<![^\s\"'(\[])[^\W_][ ._\-*](?:[^\W_ ]|[@$!|+])[ ._\-*](?:[^\W_ ]|[@$!|+])(?![^\W_])"
+)
+#: Signs that prose has at the ends of words, which cost nothing to keep there.
+OPENING, CLOSING = "(<{¡", "!*#%"
 WORD = re.compile(r"[^\W\d_]+")
+REPEAT = re.compile(rf"({LETTER})\1\1")
 
 #: Symbols of the character model: 0 for what is no letter, 1-26 for a-z, 27 for a byte of another letter.
 SYMBOL = np.zeros(256, np.int32)
@@ -98,16 +108,32 @@ def symbol(c: str) -> int:
 
 class Restorer:
     def __init__(self, model: np.ndarray, liked=None):
-        self.lm, self.liked, self.seen = model.tolist(), liked or (lambda w: False), {}
+        self.lm, self.liked, self.seen, self.tails = model.tolist(), liked or (lambda w: False), {}, {}
 
     def readings(self, token: str) -> list[str]:
         """The best few readings of a token, best first."""
-        chars = [c for c in token if c.isalnum() or c in LOOKALIKES]
-        beam = {(0, 0): [(0.0, "")]}
-        for k, c in enumerate(chars):
-            options = [(c, 0.0)] if c.isalpha() else [(c, KEEP), *((x, SWAP) for x in LOOKALIKES.get(c, ""))]
-            if k and c.isalpha() and chars[k - 1] == c:
+        chars = "".join([c for c in token if c.isalnum() or c in LOOKALIKES])
+        at = next((k for k, c in enumerate(chars) if not c.isalpha() or k and chars[k - 1] == c), len(chars))
+        head, tail = chars[:at], chars[at:]
+        # up to there is one path; what follows depends on its last two letters only, and many words share it
+        key = head[-2:], tail
+        ends = self.tails.get(key)
+        if ends is None:
+            if len(self.tails) > 50_000:
+                self.tails.clear()
+            ends = self.tails[key] = self.ends(*key)
+        return [head + w for w in ends]
+
+    def ends(self, head: str, tail: str) -> list[str]:
+        """The best few readings of a tail after the letters of head."""
+        beam = {(symbol(head[0]) if len(head) > 1 else 0, symbol(head[-1]) if head else 0): [(0.0, "")]}
+        first, last = 0 if head else len(tail) - len(tail.lstrip(OPENING)), len(tail.rstrip(CLOSING))
+        before = head[-1:]
+        for k, c in enumerate(tail):
+            options = [(c, 0.0)] if c.isalpha() else [(c, KEEP if first <= k < last else 0.0), *((x, SWAP) for x in LOOKALIKES.get(c, ""))]
+            if c.isalpha() and before == c:
                 options.append(("", DROP / 2))
+            before = c
             nxt: dict[tuple[int, int], list] = {}
             for (a, b), paths in beam.items():
                 for letter, cost in options:
@@ -122,11 +148,15 @@ class Restorer:
         return [w for _, w in ends[: 4 * PATHS]]
 
     def word(self, token: str) -> str:
+        if len(token) > PIECE:
+            return "".join(self.word(token[k : k + PIECE]) for k in range(0, len(token), PIECE))
         got = self.seen.get(token)
         if got is None:
             if len(self.seen) > 100_000:
                 self.seen.clear()
             options = self.readings(token)
+            if token.lstrip(OPENING).rstrip(CLOSING).isalpha() and not REPEAT.search(token):
+                options.insert(0, token)  # a word of prose
             got = self.seen[token] = next((w for w in options if self.liked(w)), options[0] if options else token)
         return got
 

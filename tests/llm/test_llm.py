@@ -316,6 +316,17 @@ def test_toxicity_looks_past_a_group_of_one_vocabulary(spark):
     assert f(" ".join(own)) >= 0.7
 
 
+def test_toxicity_reads_signs_anywhere_in_a_token():
+    counts = toxicity.language_model(np.bincount([0], minlength=28**3))
+    words = {"ass", "idiot", "scum", "moron"}
+    restore = toxicity.Restorer(counts, lambda w: any(x in words for x in toxicity.WORD.findall(w)))
+    for hidden, want in (("a$$", "ass"), ("a55", "ass"), ("idi07", "idiot"), ("s(um", "scum"), ("s<um", "scum"), ("s{um", "scum"), ("¡diot", "idiot"), ("id¡ot", "idiot")):
+        assert want in toxicity.WORD.findall(restore.text(f"He said {hidden} and left")), hidden
+    long = "m" + "o" * 30 + "r0n"
+    assert "r0n" not in restore.text(long) and "ron" in restore.text(long)
+    assert toxicity.WORD.findall(restore.text("well (done) lad!")) == ["well", "done", "lad"]
+
+
 @pytest.mark.parametrize(
     "text, want",
     [
