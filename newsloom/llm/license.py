@@ -1,7 +1,7 @@
 """Licence scan by sentence rules.
 
-A text is split into sentences; each is normalised (lower case, markup and comment signs dropped, white space
-as one space) and mapped to the identifier of a known licence sentence, if it is one. The identifiers of a text,
+A text is split into sentences; each is normalised (lower case, markup, comment signs and brackets dropped,
+white space as one space) and mapped to the identifier of a known licence sentence, if it is one. The identifiers of a text,
 in order, are matched against the ordered rules: at each place the first rule whose identifiers stand there
 names its licence and uses them up; identifiers that no rule uses are reported as unmatched.
 
@@ -86,12 +86,17 @@ for _name, _ids in RULES:
     BY_FIRST.setdefault(_ids[0], []).append((_name, _ids))
 #: Every licence sentence holds one of these words; sentences without are not tried.
 CUE = re.compile(r"licen[sc]e|copyright|©|\(c\)|warrant|permission|redistribution|endorse|reserved|unencumbered|later version|spdx|as is|contributors", re.I)
-END = re.compile(r"(?<=[.;!?])\s+|\n\s*\n|\n(?=\s*(?:[*#/;-]+\s*)?[A-Z©(])")
+#: Words of licence names and notices that a line may begin with in the middle of a sentence.
+ON = r"(?:\(at your option|(?:GNU|General|Lesser|Library|Affero|Public|Licen[sc]e|Free|Software|Foundation|Version|Apache|Mozilla|Creative|Commons|MIT|BSD|WITHOUT|WARRANTY)\b(?!:))"
+LEAD = r"\s*(?:[*#/;-]+\s*)?"
+#: A semicolon ends no sentence (notices go on after it), unless a copyright line follows.
+END = re.compile(rf"(?<=[.!?])\s+|(?<=;)\s+(?=(?i:copyright|©|\(c\)))|\n\s*\n|\n(?={LEAD}[A-Z©(])(?!{LEAD}{ON})")
 MARKUP = re.compile(r"(?:^|\n)\s*(?://+|/?\*+/?|#+|;+|--+)|[\"'`“”‘’]")
+BRACKETS = re.compile(r"\((?!c\))([^()]*)\)")
 
 
 def normalise(sentence: str) -> str:
-    return " ".join(MARKUP.sub(" ", sentence).lower().split())
+    return " ".join(BRACKETS.sub(r" \1 ", MARKUP.sub(" ", sentence).lower()).split()).replace(" ,", ",")
 
 
 def sentences(text: str) -> list[tuple[str, tuple]]:
@@ -103,9 +108,7 @@ def sentences(text: str) -> list[tuple[str, tuple]]:
         if not CUE.search(s):
             continue
         s = normalise(s)
-        found = [(m.start(), k, m.groups()) for k, p in PATTERNS if (m := p.search(s))]
-        names = {k for _, k, _ in found}
-        out += [(k, g) for _, k, g in sorted(found) if not (k == "gpl-named" and names & {"lgpl-version", "agpl-version"})]
+        out += [(k, g) for _, k, g in sorted((m.start(), k, m.groups()) for k, p in PATTERNS for m in p.finditer(s))]
     return out
 
 

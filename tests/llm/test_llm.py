@@ -344,6 +344,29 @@ def test_licences(text, want):
     assert license.licences(license.sentences(text))[0] == want
 
 
+GNU = """ * This program is free software{} you can redistribute it and/or modify
+ * it under the terms of the GNU {} as published by the
+ * Free Software Foundation{} either version {} of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.
+"""
+
+
+@pytest.mark.parametrize("name, version, want", [("General Public License", "2", "GPL-2"), ("Affero General Public\n * License", "3", "AGPL-3"), ("Lesser General\n * Public License", "2.1", "LGPL-2.1")])
+@pytest.mark.parametrize("mark", [";", ":", ","])
+def test_published_notices(name, version, want, mark):
+    found = license.sentences(GNU.format(mark, name, ";" if mark == ";" else ",", version))
+    assert license.licences(found)[0] == [want + "-or-later"]
+
+
+def test_licences_of_one_sentence_are_all_named():
+    text = "Licensed under CC BY 4.0; licensed under CC BY-NC 4.0; Copyright 2020 A"
+    assert license.licences(license.sentences(text))[0] == ["CC-BY-4.0", "CC-BY-NC-4.0", "Copyright-notice"]
+
+
 def test_empty_tables_and_repeated_rows(spark, docs):
     none = docs.where("false")
     bench = spark.createDataFrame([("1", "a b")], "item_id string, text string")
