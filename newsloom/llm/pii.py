@@ -34,9 +34,18 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++").match
 ADDRESS = re.compile(r"([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)").match
 CHAIN = re.compile(r"[0-9](?:[\x20-]?[0-9])++").match
 DIALLED = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]").match
-USERINFO = re.compile(r"[^\s/?#@<>\"']{1,256}+@(?=[A-Za-z0-9\[])").match
+USERINFO = re.compile(r"[^\s/?#@<>\"']++@(?=[A-Za-z0-9\[])").match
 NUMBER = re.compile(r"(?:\s?(?:no|number|nr|id)\.?)?\s{0,3}[:#=]\s{0,3}([0-9](?:[ -]?[0-9]){5,17})(?![0-9])", re.I).match
-IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}").search
+IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+#: Characters from a cue, or from the number before, within which an account number starts.
+NEAR = 60
+# Length of account numbers by country.
+LENGTHS = dict(
+    AD=24, AE=23, AL=28, AT=20, AZ=28, BA=20, BE=16, BG=22, BH=22, BR=29, BY=28, CH=21, CR=22, CY=28, CZ=24, DE=22, DK=18, DO=28, EE=20, EG=29, ES=24, FI=18, FO=18, FR=27,
+    GB=22, GE=22, GI=23, GL=18, GR=27, GT=28, HR=21, HU=28, IE=22, IL=23, IQ=23, IS=26, IT=27, JO=30, KW=30, KZ=20, LB=28, LC=32, LI=21, LT=20, LU=20, LV=21, LY=25, MC=27,
+    MD=24, ME=22, MK=19, MR=27, MT=31, MU=30, NL=18, NO=15, PK=24, PL=28, PS=29, PT=25, QA=29, RO=24, RS=22, SA=24, SC=31, SE=24, SI=19, SK=24, SM=27, ST=25, SV=28, TL=23,
+    TN=24, TR=26, UA=29, VA=22, VG=24, XK=20,
+)
 VALUE = re.compile(r"[\"']?\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9_+/.~-]{8,})").match
 DIGITS = frozenset("0123456789")
 
@@ -71,9 +80,24 @@ def iban_holds(text: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
+def ibans(text: str, at: int):
+    """(start, end) of the account numbers after a cue: cut to the length of the country; of an unknown one the longest that holds."""
+    low, high = at, at + NEAR
+    while (m := IBAN.search(text, low)) and m.start() < high:
+        places = [k for k in range(m.start(), m.end()) if text[k] != " "]
+        want = LENGTHS.get(m.group()[:2])
+        low = m.start() + 1
+        for size in range(len(places), 14, -1) if want is None else [want]:
+            if size <= len(places) and iban_holds(text[m.start() : places[size - 1] + 1]):
+                low = places[size - 1] + 1
+                high = low + NEAR
+                yield m.start(), low
+                break
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) in order of start, then of kind."""
-    out, done, n = [], dict.fromkeys(("email", "ip", "card", "phone", "account", "secret"), 0), len(text)
+    out, done = [], dict.fromkeys((*KINDS, "iban"), 0)
     for end, kind in ANCHORS.iter(text):
         at = end
         if kind == "digit":
@@ -102,9 +126,9 @@ def find(text: str) -> list[tuple[int, int, str]]:
             if m := USERINFO(text, end + 1):
                 out.append((end + 1, m.end() - 1, "account"))
         elif kind == "iban":
-            if (m := IBAN(text, end + 1, min(n, end + 60))) and m.start() >= done["account"] and iban_holds(m.group()):
-                done["account"] = m.end()
-                out.append((m.start(), m.end(), "account"))
+            for start, stop in ibans(text, max(end + 1, done["iban"])):
+                done["iban"] = stop
+                out.append((start, stop, "account"))
         elif kind == "account":
             if (m := NUMBER(text, end + 1)) and m.start(1) >= done["account"]:
                 done["account"] = m.end(1)

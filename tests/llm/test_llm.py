@@ -367,6 +367,17 @@ def test_licences_of_one_sentence_are_all_named():
     assert license.licences(license.sentences(text))[0] == ["CC-BY-4.0", "CC-BY-NC-4.0", "Copyright-notice"]
 
 
+def test_pii_accounts_before_other_words_and_long_credentials():
+    accounts = lambda t: [t[s:e] for s, e, k in pii.find(t) if k == "account"]
+    iban, other = "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000"
+    assert accounts(f"IBAN {iban} BIC WESTGB2L") == [iban]
+    assert accounts(f"IBAN {iban} 77 account: 12345678") == [iban, "12345678"]
+    assert accounts(f"IBAN GB00 WEST 1234 5698 7654 32, {other} REF 1 or {iban}") == [other, iban]
+    assert accounts("IBAN GB83 WEST 1234 5698 7654 32 BIC") == []
+    user = "u:" + "t0ken" * 200
+    assert accounts(f"https://{user}@h.org/x") == [user]
+
+
 def test_empty_tables_and_repeated_rows(spark, docs):
     none = docs.where("false")
     bench = spark.createDataFrame([("1", "a b")], "item_id string, text string")
