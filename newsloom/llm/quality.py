@@ -5,10 +5,11 @@ Both start from the labelled rows. In each round either view names the unlabelle
 view. At the end both views are calibrated on labelled rows that no round has used, and a logistic combination
 of the calibrated views, fitted on the same rows, scores all documents.
 
-Fitted on at most `sample` labelled and `sample` unlabelled rows, taken by a hash of the id; of rows that share an
+Fitted on at most `sample` labelled rows, half of them for each class and weighted by the true counts of the classes,
+and at most `sample` unlabelled rows, taken by a hash of the id; of rows that share an
 id the smallest is taken. Only feature vectors of the fitting rows reach the driver. Defined results: null and empty texts, and nulls in metadata, have features of
-their own and are scored like any; repeated rows give a row each; with no usable labels (none, or of one class)
-every document scores the share of good labels (1 if there are none); an empty table gives an empty result.
+their own and are scored like any; repeated rows give a row each; with no usable labels (none, of one class, or with
+no document of one class) every document scores the share of good labels (1 if there are none); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -87,8 +88,8 @@ def _rows(batch):
 class Platt:
     """Logistic calibration of a score."""
 
-    def __init__(self, logit: np.ndarray, y: np.ndarray):
-        self.fit = Logistic(l2=1e-3).fit(np.clip(logit, -30, 30).reshape(-1, 1), y)
+    def __init__(self, logit: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None):
+        self.fit = Logistic(l2=1e-3).fit(np.clip(logit, -30, 30).reshape(-1, 1), y, weight)
 
     def logit(self, t):
         return self.fit.logit(np.clip(t, -30, 30).reshape(-1, 1))
@@ -97,17 +98,26 @@ class Platt:
         return self.fit.prob(np.clip(t, -30, 30).reshape(-1, 1))
 
 
+def _weights(y: np.ndarray, shares: dict | None) -> np.ndarray:
+    """Weights of 1 on average that give the classes of y their shares."""
+    w = np.ones(len(y))
+    for k, share in (shares or {}).items():
+        w[y == k] = share * len(y) / max(1, int((y == k).sum()))
+    return w
+
+
 class CoTrained:
     """Two views, their calibration and the combination of both."""
 
-    def __init__(self, views, y, pools, held, y_held, rounds=ROUNDS, sure=SURE, per_round=PER_ROUND):
+    def __init__(self, views, y, pools, held, y_held, rounds=ROUNDS, sure=SURE, per_round=PER_ROUND, shares=None):
+        weight, w_held = _weights(y, shares), _weights(y_held, shares)
         extra = [(np.zeros((0, v.shape[1])), np.zeros(0)) for v in views]
         taken = [np.zeros(len(p), bool) for p in pools]
-        self.models = self._fit(views, y, extra)
+        self.models = self._fit(views, y, weight, extra)
         for _ in range(rounds):
             marks = []
             for m, pool, seen in zip(self.models, pools, taken):
-                p = Platt(m.logit(held[len(marks)]), y_held).prob(m.logit(pool)) if len(pool) else np.zeros(0)
+                p = Platt(m.logit(held[len(marks)]), y_held, w_held).prob(m.logit(pool)) if len(pool) else np.zeros(0)
                 sure_of = np.flatnonzero(((p >= sure) | (p <= 1 - sure)) & ~seen)
                 best = sure_of[np.argsort(-np.abs(p[sure_of] - 0.5), kind="stable")][:per_round]
                 marks.append((best, (p[best] >= 0.5).astype(float)))
@@ -117,14 +127,14 @@ class CoTrained:
                 extra[1 - k] = (np.concatenate([x, pools[1 - k][best]]), np.concatenate([z, mark]))
             if not any(len(b) for b, _ in marks):
                 break
-            self.models = self._fit(views, y, extra)
+            self.models = self._fit(views, y, weight, extra)
         self.pseudo = [len(e[1]) for e in extra]
-        self.platt = [Platt(m.logit(h), y_held) for m, h in zip(self.models, held)]
-        self.top = Logistic(l2=1e-3).fit(self._both(held), y_held)
+        self.platt = [Platt(m.logit(h), y_held, w_held) for m, h in zip(self.models, held)]
+        self.top = Logistic(l2=1e-3).fit(self._both(held), y_held, w_held)
 
     @staticmethod
-    def _fit(views, y, extra):
-        return [Logistic().fit(np.concatenate([v, x]), np.concatenate([y, z])) for v, (x, z) in zip(views, extra)]
+    def _fit(views, y, weight, extra):
+        return [Logistic().fit(np.concatenate([v, x]), np.concatenate([y, z]), np.concatenate([weight, np.ones(len(z))])) for v, (x, z) in zip(views, extra)]
 
     def _both(self, views):
         return np.stack([np.clip(p.logit(m.logit(v)), -15, 15) for p, m, v in zip(self.platt, self.models, views)], axis=1)
@@ -135,9 +145,13 @@ class CoTrained:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", label_col="quality", sample: int = SAMPLE) -> CoTrained | float:
     marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
-    # the bound is split evenly, rare class first filled; weights put the shares right again
+    counts = {r.y: r["count"] for r in marked.groupBy("y").count().collect()}
+    total = sum(counts.values())
     ids = docs.select(F.col(id_col).alias("id")).where("id is not null")
-    labelled = marked.join(ids.distinct(), "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(sample)
+    # half of the bound for each class, so that a rare class is learnt too; weights put the shares right again
+    present = cut(marked.join(ids.distinct(), "id", "left_semi"))
+    labelled = [present.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample // 2) for y in (0, 1)]
+    labelled = labelled[0].unionByName(labelled[1])
     free = ids.join(marked, "id", "left_anti").select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
     picked = cut(labelled.unionByName(free.withColumn("y", F.lit(None).cast("int"))))
     src = _source(docs, id_col).join(F.broadcast(picked), "id")
@@ -152,14 +166,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", label_col="quality"
     got = src.select("id", "text", "source", "lang", "n_chars", "y").mapInArrow(run, schema_of(kind, "y int, a array<double>, b array<double>")).collect()
     got.sort(key=lambda r: xxhash.xxh64_intdigest(str(r.id)))
     known = [r for r in got if r.y is not None]
-    if len({r.y for r in known}) < 2 or len(known) < 20:
-        return float(np.mean([r.y for r in known])) if known else 1.0
+    of = [[r for r in known if r.y == y] for y in (0, 1)]
+    if not all(of):
+        return counts.get(1, 0) / total if total else 1.0
     pack = lambda rows: [np.array([r.a for r in rows]).reshape(-1, N_TEXT), np.array([r.b for r in rows]).reshape(-1, META_BUCKETS + 4)]
-    train, held = known[: len(known) * 3 // 4], known[len(known) * 3 // 4 :]
-    if len({r.y for r in train}) < 2 or len({r.y for r in held}) < 2:
+    cuts = [max(1, len(rows) * 3 // 4) for rows in of]
+    train, held = ([r for rows, n in zip(of, cuts) for r in rows[:n]], [r for rows, n in zip(of, cuts) for r in rows[n:]])
+    if min(map(len, of)) < 2:
         train = held = known
     y = lambda rows: np.array([r.y for r in rows], float)
-    return CoTrained(pack(train), y(train), pack([r for r in got if r.y is None]), pack(held), y(held))
+    return CoTrained(pack(train), y(train), pack([r for r in got if r.y is None]), pack(held), y(held), shares={k: n / total for k, n in counts.items()})
 
 
 def _source(docs: DataFrame, id_col="doc_id") -> DataFrame:

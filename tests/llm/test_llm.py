@@ -194,6 +194,19 @@ def test_quality_separates_and_handles_missing_labels(spark, docs, labels):
     assert quality.keep_good(docs, none).columns == docs.columns
 
 
+def test_quality_learns_a_rare_class(spark):
+    """Both classes are fitted where one is rare in the labels, even by one row."""
+    rows = [(k, "spam " * 40 if k % 50 == 3 else PROSE[k % 60] + " more words here", "en", "s", 10) for k in range(1200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    marks = spark.createDataFrame([(k, int(k % 50 != 3)) for k in range(600)], "doc_id long, quality int")
+    model = quality.fit(df, marks, sample=40)
+    got = {r.id: r.score for r in quality.score(df, model).collect()}
+    assert np.mean([(got[k] >= 0.5) == (k % 50 != 3) for k in range(600, 1200)]) > 0.97
+    assert np.mean([got[k] < 0.5 for k in range(603, 1200, 50)]) > 0.9
+    few = marks.where("quality = 1").limit(12).unionByName(marks.where("doc_id = 3"))
+    assert not isinstance(quality.fit(df, few), float)
+
+
 def slow_spans(texts, size):
     raw = [(t or "").encode() for t in texts]
     seen = Counter(r[k : k + size] for r in raw for k in range(len(r) - size + 1))
