@@ -9,7 +9,8 @@ byte being compared again. A suffix whose common prefix reaches `size` is a stri
 one that can no longer reach it leaves the recursion.
 
 The queue keeps `memory` tuples; beyond them it writes sorted runs to the worker's scratch folder and merges them
-by blocks, so a shard may hold more tuples than memory does. Its files are gone when it has been drained.
+by blocks. Its files are gone when it has been drained. repeated() joins the blocks of a round in memory, beside the
+records, so what it is given at a time must fit in memory.
 """
 
 from __future__ import annotations
