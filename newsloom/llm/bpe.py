@@ -1,13 +1,14 @@
 """Byte-level BPE by backtracking over longest matches, and decoding by an offset table.
 
-A piece (what the pattern splits off) is encoded left to right: an Aho-Corasick pass gives the tokens that
-start at each byte; the longest is tried first, a token that is not compatible with the one before it gives
-way to the next shorter, and where none is left the encoder backs up, never trying a dead position again.
-Two tokens are compatible if plain merging of their joined bytes gives just these two; the table of pairs is
-filled as pairs are met. A sequence whose neighbours are all compatible is the one that merging gives.
+A piece (what the pattern splits off) is encoded left to right: an Aho-Corasick automaton gives the longest token
+that starts where the last has ended; a token that is not compatible with the one before it gives way to its
+next shorter prefix, and where none is left the encoder backs up, never trying a dead position again.
+Two tokens are compatible if merging their joined bytes gives just these two; that is told from the merges that
+formed them, and the table of pairs is filled as pairs are met. A sequence whose neighbours are all compatible is the
+one that merging gives.
 
-Texts are cut at the added tokens first, as the tokenizers library does. Pieces seen before come from a
-bounded cache. Decoding reads token bytes from one blob by an offset table.
+Texts are cut at the added tokens first, as the tokenizers library does. Pieces and pairs met lately come from
+bounded caches. Decoding reads token bytes from one blob by an offset table.
 
 Defined results: null is the empty text (no ids); repeated rows give a row each; an empty table gives an
 empty result; texts may be of any length; other columns are not read.
@@ -30,8 +31,29 @@ from newsloom.llm.common import read, schema_of, texts_of
 
 # The pattern that byte-level BPE splits texts by.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pieces and token pairs that a worker remembers; the caches start again when full.
-CACHE = 250_000
+#: Pieces and token pairs that a worker remembers at least; it may hold twice as many.
+CACHE = 200_000
+#: Ids of a pass over the decoding and digit tables.
+RUN = 200_000
+
+
+class Memory(dict):
+    """What make() gives for a key, remembered for the keys met last: when `keep` new ones have come, those
+    not asked for since the time before are forgotten."""
+
+    def __init__(self, make, keep: int = CACHE):
+        super().__init__()
+        self.make, self.keep, self.old = make, keep, {}
+
+    def __missing__(self, key):
+        if len(self) >= self.keep:
+            self.old = dict(self)
+            self.clear()
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
 
 
 def byte_letters() -> dict[str, int]:
@@ -48,109 +70,128 @@ class Bpe:
         self.bytes_of = {i: bytes(letters[c] for c in t) for t, i in model["vocab"].items()}
         ids = {b: i for i, b in self.bytes_of.items()}
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        self.merge = {}
+        self.merge, self.parts, formed = {}, {}, {ids[bytes([k])]: ids[bytes([k])] for k in range(256)}
+        # a token is formed at the rank of the first merge that makes it, and only if merging its own bytes ends in it
         for rank, (a, b) in enumerate(pairs):
-            x, y = model["vocab"][a], model["vocab"][b]
-            self.merge.setdefault((x, y), (rank, model["vocab"][a + b]))
-        self.single = [ids[bytes([k])] for k in range(256)]
-        self.ids = ids
+            x, y, xy = model["vocab"][a], model["vocab"][b], model["vocab"][a + b]
+            self.merge.setdefault((x, y), rank)
+            if xy not in self.parts and x in formed and y in formed and self.apart(x, y, rank):
+                self.parts[xy], formed[xy] = (x, y, rank), xy
+        self.ids = {b: i for b, i in ids.items() if i in formed}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.split = regex.compile(PATTERN).findall
         self.auto = ahocorasick.Automaton(ahocorasick.STORE_ANY)
-        for b, i in ids.items():
-            self.auto.add_word(b.decode("latin-1"), (len(b), i))
+        for b, i in self.ids.items():
+            self.auto.add_word(b.decode("latin-1"), i)
         self.auto.make_automaton()
+        self.widest = max(map(len, self.ids))
         top = max([*self.bytes_of, *self.added.values()]) + 1
         parts = [self.bytes_of.get(i, b"") for i in range(top)]
         for t, i in self.added.items():
             parts[i] = t.encode()
         self.offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
         self.blob = np.frombuffer(b"".join(parts), np.uint8)
-        self.decimal = [str(i) for i in range(top)]
-        self.pieces: dict[str, bytes] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
-
-    def merged(self, data: bytes) -> list[int]:
-        """Plain merging: the pair of the lowest rank first, the leftmost of equals."""
-        ids = [self.single[b] for b in data]
-        while len(ids) > 1:
-            best = min((self.merge.get(p, (1 << 60, 0)) + (k,) for k, p in enumerate(zip(ids, ids[1:]))), key=lambda x: (x[0], x[2]))
-            if best[0] == 1 << 60:
-                break
-            ids[best[2] : best[2] + 2] = [best[1]]
-        return ids
-
-    def compatible(self, a: int, b: int) -> bool:
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) >= CACHE:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
-        return known
+        self.size = np.diff(self.offsets)
+        # decimal digits of each id and a comma, right-aligned in eight bytes
+        self.decimal = np.array([f"{i}," for i in range(top)], "S8").view(np.uint8).reshape(-1, 8)
+        self.digits = (self.decimal != 0).sum(axis=1)
+        self.pieces = Memory(self.packed)
+        self.pairs = Memory(lambda pair: self.apart(*pair))
+        self.shorter = Memory(self.prefix)
+
+    def apart(self, a: int, b: int, before: int = 1 << 60) -> bool:
+        """Whether merging the joined bytes of two tokens leaves just these two, by merges of rank below `before`.
+
+        Merging is run backwards: of the tokens that face each other at the boundary the one formed last is taken apart.
+        A merge across the boundary would have come first if its rank is below that of the merge just undone; of
+        equal ranks the leftmost comes first, so across the boundary it comes before one to its right.
+        """
+        merge, parts = self.merge, self.parts
+        while True:
+            across = merge.get((a, b))
+            if across is not None and across < before:
+                return False
+            left, right = parts.get(a), parts.get(b)
+            if left is not None and (right is None or left[2] > right[2]):
+                a, before = left[1], left[2]
+            elif right is not None:
+                b, before = right[0], right[2] + 1
+            else:
+                return True
+
+    def prefix(self, token: int) -> int:
+        """The longest token that is a shorter prefix of a token; -1 if there is none."""
+        data = self.bytes_of[token]
+        return next((self.ids[data[:k]] for k in range(len(data) - 1, 0, -1) if data[:k] in self.ids), -1)
 
     def encode_piece(self, data: bytes) -> list[int]:
         whole = self.ids.get(data)
-        if whole is not None and self.merged_whole(data, whole):
+        if whole is not None:
             return [whole]
-        n, starts = len(data), {}
-        for end, (size, token) in self.auto.iter(data.decode("latin-1")):
-            starts.setdefault(end + 1 - size, []).append((size, token))
-        for options in starts.values():
-            options.sort(reverse=True)
-        dead, out, at, choice = bytearray(n + 1), [], 0, 0
-        # out holds (position, choice, token); a position is dead when no token that starts there leads on
-        while at < n:
-            options = starts.get(at, [])
-            for k in range(choice, len(options)):
-                size, token = options[k]
-                if not dead[at + size] and (not out or self.compatible(out[-1][2], token)):
-                    out.append((at, k, token))
-                    at, choice = at + size, 0
-                    break
-            else:
-                if not out:
-                    return self.merged(data)
-                dead[at] = 1
-                at, k, _ = out.pop()
-                choice = k + 1
-        return [t for _, _, t in out]
-
-    @lru_cache(maxsize=65_536)  # noqa: B019  one instance a worker
-    def merged_whole(self, data: bytes, token: int) -> bool:
-        return self.merged(data) == [token]
+        letters = data.decode("latin-1")
+        longest = [t for _, t in self.auto.iter_long(letters)]
+        if all(map(self.pairs.__getitem__, zip(longest, longest[1:]))):
+            return longest
+        return self.back_track(letters)
+
+    def longest(self, letters: str, at: int) -> int:
+        return next(self.auto.iter_long(letters[at : at + self.widest]))[1]
+
+    def back_track(self, letters: str) -> list[int]:
+        n, at, out, dead = len(letters), 0, [], set()
+        token = self.longest(letters, 0)
+        # a position is dead when no token that starts there leads on
+        while True:
+            end = at + len(self.bytes_of[token])
+            if end not in dead and (not out or self.pairs[out[-1], token]):
+                out.append(token)
+                if end == n:
+                    return out
+                at, token = end, self.longest(letters, end)
+                continue
+            token = self.shorter[token]
+            while token < 0:
+                dead.add(at)
+                token = out.pop()
+                at -= len(self.bytes_of[token])
+                token = self.shorter[token]
 
     def packed(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            if len(self.pieces) >= CACHE:
-                self.pieces.clear()
-            got = self.pieces[piece] = np.array(self.encode_piece(piece.encode("utf-8", "replace")), np.int32).tobytes()
-        return got
+        return np.array(self.encode_piece(piece.encode("utf-8", "replace")), np.int32).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(self.encode_bytes(text), np.int32)
+
+    def encode_bytes(self, text: str) -> bytes:
+        """The ids of a text as 32-bit numbers."""
+        of = self.pieces.__getitem__
+        if self.cut is None or not any(t in text for t in self.added):
+            return b"".join(map(of, self.split(text)))
         out = []
-        for k, part in enumerate(self.cut.split(text) if self.cut else [text]):
-            if k % 2:
-                out.append(np.array([self.added[part]], np.int32).tobytes())
-                continue
-            pieces = self.split(part)
-            try:
-                out.append(b"".join([self.pieces[p] for p in pieces]))
-            except KeyError:
-                out.append(b"".join([self.packed(p) for p in pieces]))
-        return np.frombuffer(b"".join(out), np.int32)
+        for k, part in enumerate(self.cut.split(text)):
+            out += [np.array([self.added[part]], np.int32).tobytes()] if k % 2 else map(of, self.split(part))
+        return b"".join(out)
 
     def decode(self, ids: np.ndarray) -> str:
+        return self.token_bytes(ids).decode("utf-8", "replace")
+
+    def token_bytes(self, ids: np.ndarray) -> bytes:
         done = bytearray()
         for k in range(0, len(ids), 1 << 20):
             some = ids[k : k + (1 << 20)]
-            start = self.offsets[some]
-            size = self.offsets[some + 1] - start
-            total = int(size.sum())
-            at = np.arange(total) + np.repeat(start - (np.cumsum(size) - size), size)
-            done += self.blob[at].tobytes()
-        return done.decode("utf-8", "replace")
+            size = self.size[some]
+            shift = self.offsets[some] - (np.cumsum(size) - size)
+            done += self.blob[np.arange(int(size.sum())) + np.repeat(shift, size)].tobytes()
+        return bytes(done)
+
+    def decimals(self, ids: np.ndarray) -> bytes:
+        """Decimal ids, a comma after each."""
+        done = bytearray()
+        for k in range(0, len(ids), 1 << 20):
+            some = self.decimal[ids[k : k + (1 << 20)]].ravel()
+            done += some[some != 0].tobytes()
+        return bytes(done)
 
 
 @lru_cache(maxsize=2)
@@ -158,6 +199,19 @@ def tokenizer(path: str) -> Bpe:
     return Bpe(path)
 
 
+def runs(bpe: Bpe, texts: list[str]):
+    """Lists of the ids of texts that follow each other, of about RUN ids together."""
+    held, n = [], 0
+    for t in texts:
+        held.append(bpe.encode(t))
+        n += len(held[-1])
+        if n >= RUN:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -189,11 +243,18 @@ def digests(df: DataFrame, id_col="doc_id", text_col="text", path: str | None =
         bpe = tokenizer(where)
         for b in batches:
             n, one, two = [], [], []
-            for t in texts_of(b.column(1)):
-                ids = bpe.encode(t)
-                n.append(len(ids))
-                one.append(hashlib.sha256(",".join([bpe.decimal[i] for i in ids.tolist()]).encode()).hexdigest())
-                two.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
+            for ids in runs(bpe, texts_of(b.column(1))):
+                # one pass of each table over the ids of many texts
+                flat = np.concatenate(ids)
+                commas, raw = bpe.decimals(flat), bpe.token_bytes(flat)
+                ends = np.cumsum([len(x) for x in ids])
+                digits = np.concatenate([[0], np.cumsum(bpe.digits[flat])])
+                sizes = np.concatenate([[0], np.cumsum(bpe.size[flat])])
+                for start, end in zip([0, *ends[:-1].tolist()], ends.tolist()):
+                    n.append(end - start)
+                    one.append(hashlib.sha256(commas[digits[start] : max(digits[start], digits[end] - 1)]).hexdigest())
+                    part = raw[sizes[start] : sizes[end]]
+                    two.append(hashlib.sha256(part if part.isascii() else part.decode("utf-8", "replace").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
