@@ -1,10 +1,17 @@
 """SimHash near-duplicates: 64-bit fingerprints linked by vantage-point trees.
 
 fingerprints() makes a fingerprint of each text; near_duplicates() links fingerprints that differ in at
-most `radius` bits. Distinct fingerprints are dealt to the leaves of a vantage-point tree: a point lives in
-one leaf and, where the triangle bound |d(q,v) - d(x,v)| <= d(q,x) says a partner may lie across the
-median, it is also sent there as a guest. A pair is found once: only points of the near side cross over.
-Within a leaf the same tree goes on until blocks are small enough to compare directly.
+most `radius` bits. Distinct fingerprints are dealt to shards, the leaves of vantage-point trees, and a shard is
+searched by a vantage-point tree of its own until its blocks are small enough to compare directly. In a tree a point
+lives in one leaf and, where the triangle bound |d(q,v) - d(x,v)| <= d(q,x) says a partner may lie across the cut, it is
+also sent there as a guest. A pair is found once: only points of the near side cross over.
+
+One tree over all 64 bits would send every point over more boundaries the deeper it grows. So there is a tree for each of
+four runs of bits, with the Hamming distance of these bits: of two points within `radius` one run differs in at most
+radius // 4 bits, so a smaller ball, of no bits at all for three, is all that may cross a boundary there. A fingerprint goes
+to four shards however many there are. The trees are grown over the counts of all values of 16 bits (at most 2^18
+numbers, exact). A shard of one value that more than `SPLIT` fingerprints share is dealt once more by runs of the other
+bits, four for each of its points.
 
 Defined results: null and empty texts have no words and get fingerprint zero; texts of fewer words than a
 shingle hash the whole sequence; repeated rows give a row each; a null id never becomes a component id
@@ -26,11 +33,13 @@ from newsloom.llm.common import components, cut, local_components, schema_of, te
 SEED = 42
 WORDS = 3
 RADIUS = 3
-#: Distinct fingerprints per leaf that the tree aims at.
-LEAF_ROWS = 4096
-#: Points that the driver's tree is fitted on: at least SAMPLE, 8 a leaf, never more than SAMPLE_MAX.
-SAMPLE, SAMPLE_MAX = 16_384, 1_000_000
+#: Distinct fingerprints per shard that the trees aim at, and above which a shard is dealt again.
+LEAF_ROWS, SPLIT = 4096, 65_536
+#: Runs of bits that have a tree of their own, and bits of each that it looks at.
+TREES, BITS = 4, 16
 BLOCK = 1024
+#: Pairs that a shard holds before it merges them.
+PAIRS = 1 << 20
 
 
 def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
@@ -65,32 +74,27 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 class Tree:
-    """A vantage-point tree over 64-bit points; leaves are numbered from 0."""
+    """A vantage-point tree over points of up to 64 bits, each with a weight; leaves are numbered from 0."""
 
-    def __init__(self, sample: np.ndarray, leaf: int, seed: int = 7):
+    def __init__(self, points: np.ndarray, leaf: int, weights: np.ndarray | None = None, seed: int = 7):
         rng, self.nodes, self.leaves = np.random.default_rng(seed), [], 0
-        self.root = self._grow(np.unique(sample), max(1, leaf), rng)
-
-    def _grow(self, pts: np.ndarray, leaf: int, rng) -> int:
-        best = None
-        if len(pts) > leaf:
-            probe = rng.choice(pts, min(256, len(pts)), replace=False)
-            for v in rng.choice(pts, min(16, len(pts)), replace=False):
-                d = np.bitwise_count(probe ^ v)
-                if best is None or d.std() > best[0]:
-                    best = (d.std(), v)
-            d = np.bitwise_count(pts ^ best[1]).astype(np.int64)
-            mu = int(np.median(d))
-            if mu >= d.max():
-                mu = int(d.max()) - 1
-            near = d <= mu
-            if near.any() and not near.all():
-                k = len(self.nodes)
-                self.nodes.append(None)
-                self.nodes[k] = (best[1], mu, self._grow(pts[near], leaf, rng), self._grow(pts[~near], leaf, rng))
-                return k
-        self.leaves += 1
-        return -self.leaves
+        points, at = np.unique(points, return_inverse=True)
+        self.root = self._grow(points, np.bincount(at, weights, len(points)), max(1, leaf), rng)
+
+    def _grow(self, pts: np.ndarray, weights: np.ndarray, leaf: int, rng) -> int:
+        if len(pts) < 2 or weights.sum() <= leaf:
+            self.leaves += 1
+            return -self.leaves
+        probe = rng.choice(pts, min(256, len(pts)), replace=False)
+        v = max(rng.choice(pts, min(16, len(pts)), replace=False), key=lambda v: np.bitwise_count(probe ^ v).std())
+        d = np.bitwise_count(pts ^ v).astype(np.int64)
+        # the cut that halves the weight best; the vantage point itself is always near, the farthest never
+        below = np.cumsum(np.bincount(d, weights))[: int(d.max())]
+        mu = int(np.abs(below - weights.sum() / 2).argmin())
+        near, k = d <= mu, len(self.nodes)
+        self.nodes.append(None)
+        self.nodes[k] = (v, mu, self._grow(pts[near], weights[near], leaf, rng), self._grow(pts[~near], weights[~near], leaf, rng))
+        return k
 
     def deal(self, pts: np.ndarray, radius: int):
         """(leaf, index, is guest) arrays."""
@@ -114,8 +118,8 @@ class Tree:
         return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def links(home: np.ndarray, guests: np.ndarray, radius: int):
-    """Index pairs within radius: home to home and guest to home (guests are numbered after home)."""
+def link_runs(home: np.ndarray, guests: np.ndarray, radius: int):
+    """Runs of index pairs within radius: home to home and guest to home (guests are numbered after home)."""
     pts = np.concatenate([home, guests])
     tree_leaf, idx, guest = (
         (np.zeros(len(pts), int), np.arange(len(pts)), np.arange(len(pts)) >= len(home))
@@ -124,7 +128,6 @@ def links(home: np.ndarray, guests: np.ndarray, radius: int):
     )
     order = np.argsort(tree_leaf, kind="stable")
     tree_leaf, idx, guest = tree_leaf[order], idx[order], guest[order]
-    found = []
     bounds = np.flatnonzero(np.diff(tree_leaf)) + 1
     for part, g in zip(np.split(idx, bounds), np.split(guest, bounds)):
         own = part[~g]
@@ -135,10 +138,30 @@ def links(home: np.ndarray, guests: np.ndarray, radius: int):
             r, c = np.nonzero(np.bitwise_count(pts[rows][:, None] ^ pts[own][None, :]) <= radius)
             r, c = rows[r], own[c]
             keep = r != c
-            found.append((r[keep], c[keep]))
-    if not found:
-        return np.zeros(0, int), np.zeros(0, int)
-    return tuple(np.concatenate(x) for x in zip(*found))
+            yield r[keep], c[keep]
+
+
+def links(home: np.ndarray, guests: np.ndarray, radius: int):
+    """All pairs of link_runs()."""
+    none = np.zeros(0, int)
+    return tuple(np.concatenate(x) for x in zip((none, none), *link_runs(home, guests, radius)))
+
+
+def forest(home: np.ndarray, guests: np.ndarray, radius: int) -> np.ndarray:
+    """Smallest index linked to each of home and guests, directly or not; holds a bounded number of pairs at a time."""
+    n = len(home) + len(guests)
+    label, held, size = np.arange(n), [], 0
+
+    def merged():
+        i, j = (label[np.concatenate(x)] for x in zip(*held))
+        return local_components(n, i, j)[label]
+
+    for r, c in link_runs(home, guests, radius):
+        held.append((r, c))
+        size += len(r)
+        if size >= PAIRS:
+            label, held, size = merged(), [], 0
+    return merged() if held else label
 
 
 def _deal_block(home, guests, radius):
@@ -162,30 +185,102 @@ def _deal_block(home, guests, radius):
     return leaf, idx, guest
 
 
-def fingerprint_links(fps: DataFrame, radius: int = RADIUS, leaf_rows: int = LEAF_ROWS) -> DataFrame:
-    """(src, dst): a spanning forest of the links of each leaf, for distinct fingerprints fps(fp)."""
-    n = fps.count()
-    want = min(SAMPLE_MAX, max(SAMPLE, 8 * n // leaf_rows))
-    sample = [r.fp for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(want).collect()]
-    pts = np.array(sample, dtype=np.int64).view(np.uint64)
-    tree = Tree(pts, max(1, len(pts) * leaf_rows // max(n, 1)))
+class Shards:
+    """Where a fingerprint is sent: to a leaf of each tree, and to those whose boundary its ball overlaps."""
+
+    def __init__(self, counts, radius: int, leaf_rows: int, split: int):
+        """counts: (run, value, n) arrays for all values of all runs."""
+        self.radius, self.ball, self.width = radius, radius // runs_of(radius)[0], runs_of(radius)[1]
+        self.tables, base = [], 0
+        run, value, n = counts
+        for k in range(runs_of(radius)[0]):
+            mine = np.flatnonzero(run == k)
+            if not len(mine):
+                continue
+            mine = mine[np.argsort(value[mine])]
+            values, weight = value[mine].astype(np.uint64), n[mine]
+            tree = Tree(values, leaf_rows, weight)
+            leaf, at, guest = tree.deal(values, self.ball)
+            order = np.argsort(at, kind="stable")
+            leaf, at, guest = leaf[order] + base, values[at[order]].astype(np.int64), guest[order]
+            total = np.zeros(tree.leaves, np.int64)
+            np.add.at(total, leaf[~guest] - base, weight)
+            # a leaf is above the bound only if it is one value; what meets there has all bits of the run in common
+            again = (total > split)[leaf - base] & (self.ball == 0)
+            first = np.searchsorted(at, np.arange((1 << min(BITS, self.width)) + 1))
+            self.tables.append((k * self.width, first, leaf.astype(np.int64), guest, again))
+            base += tree.leaves
+
+    def deal(self, fp: np.ndarray):
+        """(shard, index, is guest) arrays for unsigned fingerprints."""
+        shard, idx, guests = [], [], []
+        for low, first, leaf, guest, again in self.tables:
+            value = (run_bits(fp, low, min(BITS, self.width))).astype(np.int64)
+            size = first[value + 1] - first[value]
+            at = np.repeat(first[value] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            who = np.repeat(np.arange(len(fp)), size)
+            hot = again[at]
+            shard.append(leaf[at[~hot]] << 20)
+            idx.append(who[~hot])
+            guests.append(guest[at[~hot]])
+            at, who = at[hot], who[hot]
+            if not len(who):
+                continue
+            # the other bits, as one number of 64 - width bits
+            left = np.uint64(0) if low + self.width >= 64 else fp[who] >> np.uint64(low + self.width) << np.uint64(low)
+            rest = left | run_bits(fp[who], 0, low)
+            wide = max(1, (64 - self.width) // (self.radius + 1))
+            for j in range(self.radius + 1):
+                shard.append((leaf[at] << 20) + ((j + 1) << 16) + run_bits(rest, j * wide, min(wide, BITS)).astype(np.int64))
+                idx.append(who)
+                guests.append(guest[at])
+        none = np.zeros(0, np.int64)
+        return tuple(np.concatenate([none.astype(kind), *x]) for x, kind in ((shard, np.int64), (idx, np.int64), (guests, bool)))
+
+
+def run_bits(fp: np.ndarray, low: int, width: int) -> np.ndarray:
+    return fp >> np.uint64(low) & np.uint64((1 << width) - 1)
+
+
+def runs_of(radius: int) -> tuple[int, int]:
+    """(number of runs, their width): one run more than the radius has bits, TREES at most."""
+    n = min(radius + 1, TREES)
+    return n, 64 // n
+
+
+def run_counts(fps: DataFrame, radius: int):
+    """(run, value, n) arrays of all distinct values of each run of bits: at most TREES * 2^BITS numbers at any size."""
+    n, width = runs_of(radius)
+    mask = (1 << min(BITS, width)) - 1
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("run"), F.shiftrightunsigned("fp", k * width).bitwiseAND(F.lit(mask)).cast("int").alias("value")) for k in range(n))))
+    got = fps.select(each.alias("x")).groupBy("x.run", "x.value").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    return tuple(got.column(k).to_numpy() for k in range(3))
+
+
+def dealt(fps: DataFrame, radius: int = RADIUS, leaf_rows: int = LEAF_ROWS, split: int = SPLIT) -> DataFrame:
+    """(shard, fp, guest) for distinct fingerprints fps(fp)."""
+    shards = Shards(run_counts(fps, radius), radius, leaf_rows, split)
 
     def deal(batches):
         for b in batches:
             fp = b.column(0).to_numpy()
-            leaf, idx, guest = tree.deal(fp.view(np.uint64), radius)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf.astype(np.int32)), pa.array(fp[idx]), pa.array(guest)], ["leaf", "fp", "guest"])
+            shard, idx, guest = shards.deal(fp.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(fp[idx]), pa.array(guest)], ["shard", "fp", "guest"])
+
+    return fps.mapInArrow(deal, "shard long, fp long, guest boolean")
+
+
+def fingerprint_links(fps: DataFrame, radius: int = RADIUS, leaf_rows: int = LEAF_ROWS, split: int = SPLIT) -> DataFrame:
+    """(src, dst): a spanning forest of the links of each shard, for distinct fingerprints fps(fp)."""
 
     def join(table: pa.Table) -> pa.Table:
         fp, guest = table.column("fp").to_numpy(), table.column("guest").to_numpy()
         pts = np.concatenate([fp[~guest], fp[guest]])
-        i, j = links(fp[~guest].view(np.uint64), fp[guest].view(np.uint64), radius)
-        label = local_components(len(pts), i, j)
+        label = forest(fp[~guest].view(np.uint64), fp[guest].view(np.uint64), radius)
         linked = np.flatnonzero(label != np.arange(len(pts)))
         return pa.table({"src": pts[linked], "dst": pts[label[linked]]}, schema=pa.schema([("src", pa.int64()), ("dst", pa.int64())]))
 
-    dealt = fps.mapInArrow(deal, "leaf int, fp long, guest boolean")
-    return dealt.groupBy("leaf").applyInArrow(join, "src long, dst long")
+    return dealt(fps, radius, leaf_rows, split).groupBy("shard").applyInArrow(join, "src long, dst long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, words: int = WORDS, seed: int = SEED) -> DataFrame:

@@ -84,6 +84,33 @@ def test_tree_finds_all_links():
     assert all((home[a], b) in at or (home[b], a) in at for a, b in want)
 
 
+@pytest.mark.parametrize(("radius", "split"), [(3, 10**9), (3, 8), (0, 4), (1, 8), (2, 8), (5, 8), (7, 8)])
+def test_shards_meet_all_links(spark, radius, split):
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**63, 150, dtype=np.uint64)
+    flip = lambda p: p ^ (np.uint64(1) << rng.integers(0, 64, len(p)).astype(np.uint64))
+    pts = [base]
+    for _ in range(radius + 1):
+        pts.append(flip(pts[-1]))
+    # one value of the first run that many share
+    pts = np.unique(np.concatenate([*pts, base[0] ^ (np.arange(300, dtype=np.uint64) << np.uint64(20))]))
+    fps = spark.createDataFrame([(int(x),) for x in pts.view(np.int64)], "fp long")
+    got = [(r.src, r.dst) for r in simhash.fingerprint_links(fps, radius, 16, split).collect()]
+    at = {int(x): k for k, x in enumerate(pts.view(np.int64))}
+    near = np.bitwise_count(pts[:, None] ^ pts[None, :]) <= radius
+    want = union_find(len(pts), [(a, b) for a, b in zip(*np.nonzero(near)) if a != b])
+    assert union_find(len(pts), [(at[a], at[b]) for a, b in got]) == want
+
+
+def test_dealing_grows_with_the_fingerprints(spark):
+    few, many = (spark.range(0, n).select(F.xxhash64("id").alias("fp")) for n in (50_000, 200_000))
+    few, many = (simhash.dealt(x, leaf_rows=64).count() for x in (few, many))
+    assert few == 4 * 50_000 and many == 4 * 200_000
+    hot = spark.range(0, 50_000).select(F.expr("xxhash64(id) & -65536").alias("fp")).distinct()
+    n = hot.count()
+    assert simhash.dealt(hot, leaf_rows=64, split=1000).count() == 3 * n + 4 * n
+
+
 def test_keep_one_keeps_one_of_each_group(docs):
     component = {r.id: r.component for r in simhash.near_duplicates(docs).collect()}
     kept = simhash.keep_one(docs)
@@ -183,6 +210,27 @@ def test_bpe_equals_the_library():
         assert ours.decode(np.array(want, np.int32)) == theirs.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_of_long_pieces_and_small_caches(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.default_path())
+    own = bpe.Bpe(bpe.default_path())
+    own.pieces.keep = own.pairs.keep = own.shorter.keep = 5
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcdeinorst") for _ in range(n)) for n in (3, 300, 60_000)] + ["a" * 50_000, " " * 5000, "\x1c\x85 \u3000x", "1²½Ⅷ" * 50]
+    texts += ["".join(rng.choice(["th", "ing", " ", "er", "é", "日", "<|endoftext|>", "'s", "!", "9"]) for _ in range(60)) for _ in range(300)]
+    for t in texts:
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert own.encode(t).tolist() == ids
+        assert own.decode(own.encode(t)) == library.decode(ids, skip_special_tokens=False)
+    rows = spark.createDataFrame(list(enumerate([None, "", *texts])), "doc_id long, text string")
+    for r in bpe.digests(rows).collect():
+        t = ["", "", *texts][r.id]
+        ids = library.encode(t, add_special_tokens=False).ids
+        sha = [hashlib.sha256(x.encode()).hexdigest() for x in (",".join(map(str, ids)), library.decode(ids, skip_special_tokens=False))]
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), *sha)
+
+
 def test_quality_separates_and_handles_missing_labels(spark, docs, labels):
     junk = [(k, " ".join(["spam"] * 40) if k % 2 else PROSE[k % 60] + " more words here", "en", "s", 10) for k in range(400)]
     df = spark.createDataFrame(junk, "doc_id long, text string, lang string, source string, n_chars long")
