@@ -96,3 +96,13 @@ def keep_tokens(text: Column, stop: list[str]) -> Column:
 
 def backoff(wait: Column, attempt: Column, most: float = 300.0) -> Column:
     return F.least(wait * F.pow(F.lit(2.0), attempt), F.lit(most))
+
+
+def moments(at: Column) -> dict[str, Column]:
+    """The forms that times are stored in: formatted text, epoch seconds and year."""
+    return {"crawled_at": F.date_format(at, "yyyy-MM-dd HH:mm:ss"), "epoch": F.unix_seconds(at), "year": F.year(at)}
+
+
+def years(since: int, now: Column) -> Column:
+    """All years from a first one to that of now."""
+    return F.sequence(F.lit(since), F.year(now))

@@ -8,13 +8,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 RATE, DECAY, FLOOR = 0.1, 0.99, 0.1
-
-
-def values(steps: DataFrame, rate: float = RATE) -> DataFrame:
-    """(param, action, q, n): exponential averages in closed form: the last of n rewards weighs rate, each before it (1 - rate) times less."""
-    w = Window.partitionBy("param", "action").orderBy(F.desc("step"))
-    back = steps.withColumn("__k", F.row_number().over(w) - 1)
-    return back.groupBy("param", "action").agg(F.sum(rate * F.pow(F.lit(1 - rate), F.col("__k")) * F.col("reward")).alias("q"), F.count(F.lit(1)).alias("n"))
+#: Numbers of steps that are ranked together.
+SPAN = 100_000
+
+
+def values(steps: DataFrame, rate: float = RATE, span: int = SPAN) -> DataFrame:
+    """(param, action, q, n): exponential averages in closed form: the last of n rewards weighs rate, each before it (1 - rate) times less.
+
+    Steps are ranked within spans of numbers, so that a key that holds many rows is sorted in many tasks; the spans of a
+    key, a row each, then weigh by the rewards that come after them.
+    """
+    key, left = ["param", "action"], F.lit(1 - rate)
+    part = steps.select(*key, "step", "reward", F.floor(F.col("step") / span).alias("__s"))
+    rank = F.row_number().over(Window.partitionBy(*key, "__s").orderBy(F.desc("step"))) - 1
+    part = part.withColumn("__k", rank).groupBy(*key, "__s").agg(F.sum(rate * F.pow(left, F.col("__k")) * F.col("reward")).alias("__q"), F.count(F.lit(1)).alias("__n"))
+    later = Window.partitionBy(*key).orderBy(F.desc("__s")).rowsBetween(Window.unboundedPreceding, -1)
+    part = part.withColumn("__after", F.coalesce(F.sum("__n").over(later), F.lit(0)))
+    return part.groupBy(*key).agg(F.sum(F.col("__q") * F.pow(left, F.col("__after"))).alias("q"), F.sum("__n").alias("n"))
 
 
 def epsilon(steps: DataFrame, start: float = 1.0) -> DataFrame:

@@ -8,6 +8,29 @@ from pyspark.sql import functions as F
 from newsloom.sources.shared import cut
 
 STATUSES = ("unseen", "processing", "seen", "error")
+#: Patterns that a broadcast may hold, as each row is tried against each of them.
+BROADCAST_PATTERNS = 1000
+#: Responses that one fold of a crawl delay takes at a time.
+FOLD_ROWS = 10_000
+
+
+def holding(rows: DataFrame, col: str, patterns: DataFrame, how: str, at_start: bool = False) -> DataFrame:
+    """Rows of which col contains (or starts with) one of patterns(one column), or none, as how is left_semi or left_anti.
+
+    Few patterns are broadcast. More are joined by equality with the pieces of the distinct values that are as long
+    as some pattern; patterns have at most as many lengths as the longest value has characters.
+    """
+    p = patterns.select(F.col(patterns.columns[0]).alias("__p")).where("__p is not null").distinct()
+    if p.limit(BROADCAST_PATTERNS + 1).count() <= BROADCAST_PATTERNS:
+        return rows.join(F.broadcast(p), (F.startswith if at_start else F.contains)(F.col(col), F.col("__p")), how)
+    value = rows.select(F.col(col).alias("__v")).where("__v is not null").distinct()
+    sizes = p.select(F.length("__p").alias("n")).distinct()
+    sizes = F.broadcast(sizes.join(value.agg(F.max(F.length("__v")).alias("most")), F.col("n") <= F.col("most"), "left_semi"))
+    pieces = value.join(sizes, F.length("__v") >= F.col("n"))
+    starts = F.lit(1) if at_start else F.explode(F.sequence(F.lit(1), F.length("__v") - F.col("n") + 1))
+    pieces = pieces.select("__v", "n", starts.alias("k")).select("__v", F.substring("__v", F.col("k"), F.col("n")).alias("__p"))
+    hit = pieces.join(p, "__p", "left_semi").select("__v").distinct()
+    return rows.join(hit, rows[col] == hit["__v"], how)
 
 
 def seed(start: DataFrame, feeds: DataFrame) -> DataFrame:
@@ -23,7 +46,7 @@ def pop(frontier: DataFrame, per_domain: int, delayed: DataFrame | None = None,
     """
     rows = frontier.where("status = 'unseen'")
     if delayed is not None:
-        rows = rows.join(delayed.select(F.lower("domain").alias("__d")), F.contains(F.lower("domain"), F.col("__d")), "left_anti")
+        rows = holding(rows.withColumn("__low", F.lower("domain")), "__low", delayed.select(F.lower("domain")), "left_anti").drop("__low")
     rank = F.row_number().over(Window.partitionBy("domain").orderBy(F.desc("url_score"), "url"))
     rows = rows.withColumn("rn", rank).where(F.col("rn") <= per_domain)
     if batch is not None:
@@ -49,6 +72,12 @@ def first(rows: DataFrame, key: list[str], *order: Column) -> DataFrame:
     return rows.groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("row")).select(*key, "row.*")
 
 
+def posts(batches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of batches(batch, pos, id, url, ...), as cursor paging gives them: (one row an id, the first; of these one row a url, the last)."""
+    ids = first(batches, ["id"], F.col("batch"), F.col("pos"))
+    return ids, latest(ids, ["url"], F.col("batch"), F.col("pos"))
+
+
 def upsert(snapshot: DataFrame, delta: DataFrame, key: str, order: Column, keep: tuple[str, ...] = ()) -> DataFrame:
     """Rows of delta replace those of snapshot by key, except for the columns in keep; the last of delta wins."""
     new = latest(delta, [key], order)
@@ -66,12 +95,32 @@ def update(snapshot: DataFrame, delta: DataFrame, key: str, columns: list[str])
 
 def allowed(urls: DataFrame, patterns: DataFrame, url_col="url") -> DataFrame:
     """Rows whose url contains one of patterns(pattern)."""
-    return urls.join(F.broadcast(patterns.select(F.col("pattern").alias("__p"))), F.contains(F.col(url_col), F.col("__p")), "left_semi")
+    return holding(urls, url_col, patterns.select("pattern"), "left_semi")
 
 
 def excluded(urls: DataFrame, prefixes: DataFrame, url_col="url") -> DataFrame:
     """Rows whose url starts with none of prefixes(prefix)."""
-    return urls.join(F.broadcast(prefixes.select(F.col("prefix").alias("__p"))), F.startswith(F.col(url_col), F.col("__p")), "left_anti")
+    return holding(urls, url_col, prefixes.select("prefix"), "left_anti", at_start=True)
+
+
+def settle_excluded(frontier: DataFrame, prefixes: DataFrame, url_col="url") -> DataFrame:
+    """The frontier with status seen, and nothing else done to them, for rows whose url starts with one of prefixes(prefix)."""
+    p = prefixes.select("prefix")
+    out = holding(frontier, url_col, p, "left_semi", at_start=True).withColumn("status", F.lit("seen"))
+    return out.unionByName(holding(frontier, url_col, p, "left_anti", at_start=True))
+
+
+def requeue(frontier: DataFrame, failed: DataFrame, most: int = 3, key: str = "url") -> DataFrame:
+    """The frontier after failed(key) fetches: unseen again with one more retry, or in error after `most` retries."""
+    rows = frontier.join(failed.select(F.col(key).alias("__key")).distinct(), F.col(key) == F.col("__key"), "left")
+    hit, again = F.col("__key").isNotNull(), F.col("retries") < most
+    status = F.when(hit & again, "unseen").when(hit, "error").otherwise(F.col("status"))
+    return rows.withColumns({"status": status, "retries": F.when(hit & again, F.col("retries") + 1).otherwise(F.col("retries"))}).drop("__key")
+
+
+def has_unseen(frontier: DataFrame) -> DataFrame:
+    """(has_unseen): one row; a probe that stops at the first unseen row."""
+    return frontier.where("status = 'unseen'").limit(1).agg((F.count(F.lit(1)) > 0).alias("has_unseen"))
 
 
 def crawl(edges: DataFrame, start: DataFrame, rounds: int) -> DataFrame:
@@ -103,12 +152,19 @@ def fetch_times(arrivals: DataFrame, delay: float, key="domain", at="arrival", o
 def crawl_delay(responses: DataFrame, first_delay: float = 1.0, floor: float = 300.0) -> DataFrame:
     """(domain, delay): a fold over responses(domain, seq, status, retry_after) in order.
 
-    200 halves the delay; 429 and 503 make it the largest of twice itself, the server's wish and floor.
+    200 halves the delay; 429 and 503 make it the largest of twice itself, the server's wish and floor. Every step is
+    d -> max(a * d, b), and so is what any run of steps does, so runs of FOLD_ROWS numbers are folded to an (a, b)
+    each before a domain's runs meet.
     """
-    step = F.sort_array(F.collect_list(F.struct("seq", "status", "retry_after")))
-    fold = F.aggregate(
-        step,
-        F.lit(first_delay),
-        lambda d, r: F.when(r["status"] == 200, d / 2).when(r["status"].isin(429, 503), F.greatest(d * 2, F.coalesce(r["retry_after"].cast("double"), F.lit(0.0)), F.lit(floor))).otherwise(d),
-    )
-    return responses.groupBy("domain").agg(fold.alias("delay"))
+    wish = F.greatest(F.coalesce(F.col("retry_after").cast("double"), F.lit(0.0)), F.lit(floor))
+    late = F.col("status").isin(429, 503)
+    step = F.struct("seq", F.when(F.col("status") == 200, 0.5).when(late, 2.0).otherwise(1.0).alias("a"), F.when(late, wish).otherwise(0.0).alias("b"))
+    same = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
+
+    def fold(items):
+        return F.aggregate(items, same, lambda x, y: F.struct((x["a"] * y["a"]).alias("a"), F.greatest(y["a"] * x["b"], y["b"]).alias("b")))
+
+    part = F.floor(F.col("seq") / FOLD_ROWS).alias("part")
+    runs = responses.groupBy("domain", part).agg(fold(F.sort_array(F.collect_list(step))).alias("f"))
+    whole = runs.groupBy("domain").agg(fold(F.transform(F.sort_array(F.collect_list(F.struct("part", "f"))), lambda x: x["f"])).alias("f"))
+    return whole.select("domain", F.greatest(F.col("f.a") * first_delay, F.col("f.b")).alias("delay"))

@@ -5,17 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def closure(edges: DataFrame, predicate: str, depth: int = 20) -> DataFrame:
-    """(subject, object): the reflexive, transitive closure of a predicate; a recursion over distinct pairs, so cycles end it."""
-    spark = edges.sparkSession
-    edges.where(F.col("predicate") == predicate).select("subject", "object").createOrReplaceTempView("__newsloom_step")
-    return spark.sql(
-        f"""WITH RECURSIVE walk(subject, object, d) MAX RECURSION LEVEL {depth + 1} AS (
-              SELECT subject, subject, 0 FROM __newsloom_step UNION ALL SELECT object, object, 0 FROM __newsloom_step
-              UNION ALL SELECT w.subject, s.object, d + 1 FROM walk w JOIN __newsloom_step s ON w.object = s.subject WHERE d < {depth})
-            SELECT DISTINCT subject, object FROM walk"""
-    )
+from newsloom.sources.shared import cut
+
+
+def closure(edges: DataFrame, predicate: str) -> DataFrame:
+    """(subject, object): the reflexive, transitive closure of a predicate.
+
+    Rounds join the pairs that the last round found first with all known pairs, so paths double in length and a
+    path of n steps takes log n rounds; pairs known already are left out, so cycles end it. Each round is
+    written to the shared folder.
+    """
+    step = cut(edges.where(F.col("predicate") == predicate).select("subject", "object").distinct())
+    ends = step.select("subject").union(step.select("object")).distinct()
+    known = ends.select("subject", F.col("subject").alias("object"))
+    new = cut(step.where("subject <> object"))
+    while not new.isEmpty():
+        known = cut(known.unionByName(new))
+        far = known.where("subject <> object").toDF("object", "end")
+        found = new.join(far, "object").select("subject", F.col("end").alias("object")).distinct()
+        new = cut(found.join(known, ["subject", "object"], "left_anti"))
+    return known
 
 
 def optional(entities: DataFrame, facts: DataFrame, attributes: list[str]) -> DataFrame:

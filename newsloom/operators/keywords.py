@@ -12,6 +12,8 @@ from newsloom.functions.text import normalize_text, tokens
 
 #: Phrases that a broadcast may hold; larger vocabularies are joined by shuffling.
 BROADCAST_PHRASES = 200_000
+#: First words that a text is searched for before its words become rows.
+LITERAL_HEADS = 200
 
 
 def vocabulary(spark, phrases: list[str], normalize: bool = False) -> DataFrame:
@@ -27,14 +29,22 @@ def matches(docs: DataFrame, vocab: DataFrame, id_col="doc_id", text_col="text",
     Words are joined to the phrases by the first word, an equi-join, where scanning for each phrase would be a nested
     loop; the words that follow, which each row holds as far as the longest phrase goes, confirm the match.
     """
-    stats = vocab.agg(F.max("n_words").alias("longest"), F.count(F.lit(1)).alias("n")).first()
+    stats = vocab.agg(F.max("n_words").alias("longest"), F.count(F.lit(1)).alias("n"), F.countDistinct(F.substring_index("phrase", " ", 1)).alias("heads")).first()
     longest = stats.longest or 1
     small = stats.n <= BROADCAST_PHRASES if broadcast is None else broadcast
     # the generator holds the words in a column: what follows refers to them many times and must not make them again
     words = docs.select(F.col(id_col).alias("id"), F.explode(F.array(tokens(normalize_text(F.col(text_col))))).alias("words"))
-    shifted = [F.col("words") if k == 0 else F.slice("words", F.lit(k + 1), F.greatest(F.size("words") - k, F.lit(0))) for k in range(longest)]
-    rows = words.select("id", F.posexplode(F.arrays_zip(*[x.alias(f"w{k}") for k, x in enumerate(shifted)])).alias("at", "w"))
-    rows = rows.select("id", "at", *[F.col(f"w.w{k}").alias(f"w{k}") for k in range(longest)])
+    if stats.heads <= LITERAL_HEADS:
+        # only places where some phrase may begin become rows
+        heads = [r.w0 for r in vocab.select(F.substring_index("phrase", " ", 1).alias("w0")).distinct().collect()]
+        places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda k: F.get("words", k).isin(*heads))
+        found = F.transform(places, lambda k: F.struct(k.alias("at"), F.slice("words", k + 1, F.lit(longest)).alias("w")))
+        rows = words.where(F.size("words") > 0).select("id", F.explode(found).alias("x"))
+        rows = rows.select("id", "x.at", *[F.get("x.w", F.lit(k)).alias(f"w{k}") for k in range(longest)])
+    else:
+        shifted = [F.col("words") if k == 0 else F.slice("words", F.lit(k + 1), F.greatest(F.size("words") - k, F.lit(0))) for k in range(longest)]
+        rows = words.select("id", F.posexplode(F.arrays_zip(*[x.alias(f"w{k}") for k, x in enumerate(shifted)])).alias("at", "w"))
+        rows = rows.select("id", "at", *[F.col(f"w.w{k}").alias(f"w{k}") for k in range(longest)])
     phrases = vocab.select("phrase", "n_words", F.substring_index("phrase", " ", 1).alias("w0"))
     found = rows.join(F.broadcast(phrases) if small else phrases, "w0")
     heads = [F.concat_ws(" ", *[f"w{j}" for j in range(k + 1)]) for k in range(longest)]
@@ -61,38 +71,52 @@ def first_match(docs: DataFrame, phrases: list[str], id_col="doc_id", text_col="
     return docs.select(F.col(id_col).alias("id"), best.alias("best")).where("best is not null").select("id", "best.phrase", F.col("best.end").alias("end"))
 
 
-def context_score_py(text: str, keywords, irrelevant=(), anti=(), window: int = 50) -> tuple[int, list[str]]:
+class Context:
     """Words of the keywords found, less the anti-keywords found apart from them.
 
-    A hit with an irrelevant phrase within `window` characters does not count; spans claim their characters in the
-    order of the list, and what overlaps a claimed span counts nothing but is still named.
+    A hit with one of its irrelevant phrases as whole words within `window` characters does not count; spans claim their
+    characters in the order of the list, and what overlaps a claimed span counts nothing but is still named.
     """
-    def spans(phrases):
-        for p in phrases:
-            for m in re.finditer(rf"\b{re.escape(p)}\b", text, re.I):
-                yield p, m.start(), m.end()
-
-    claimed, named, total = [], [], 0
-    for p, a, b in spans(keywords):
-        around = text[max(0, a - window) : b + window].lower()
-        if any(x.lower() in around for x in irrelevant):
-            continue
-        if p not in named:
-            named.append(p)
-        if not any(a < d and c < b for c, d in claimed):
-            claimed.append((a, b))
-            total += len(p.split())
-    against = sum(1 for _, a, b in spans(anti) if not any(a < d and c < b for c, d in claimed))
-    return total - against, named
-
-
-def context_score(docs: DataFrame, keywords, irrelevant=(), anti=(), id_col="doc_id", text_col="text") -> DataFrame:
-    """(id, score, keywords): greedy by list order, so a row at a time, in Arrow batches."""
-    keywords, irrelevant, anti = list(keywords), list(irrelevant), list(anti)
-
-    @F.pandas_udf("struct<score:int,keywords:string>")
+
+    def __init__(self, keywords, irrelevant=(), anti=(), irrelevant_anti=(), window: int = 50):
+        def whole(phrases):
+            return [(p, re.compile(rf"\b{re.escape(p)}\b", re.I)) for p in phrases]
+
+        self.keywords, self.anti, self.window = whole(keywords), whole(anti), window
+        self.irrelevant, self.irrelevant_anti = whole(irrelevant), whole(irrelevant_anti)
+
+    def hits(self, text: str, phrases, irrelevant):
+        low = text.lower() if text.isascii() else None
+        for phrase, pattern in phrases:
+            if low is not None and phrase.isascii() and phrase.lower() not in low:
+                continue
+            for m in pattern.finditer(text):
+                around = text[max(0, m.start() - self.window) : m.end() + self.window]
+                if not any(p.search(around) for _, p in irrelevant):
+                    yield phrase, m.start(), m.end()
+
+    def __call__(self, text: str) -> tuple[int, list[str], list[str]]:
+        """(score, keywords, anti-keywords), each named once in the order of the list."""
+        claimed, total, named, against = bytearray(len(text)), 0, {}, {}
+        for phrase, a, b in self.hits(text, self.keywords, self.irrelevant):
+            named[phrase] = None
+            if not any(claimed[a:b]):
+                claimed[a:b] = b"\1" * (b - a)
+                total += len(phrase.split())
+        for phrase, a, b in self.hits(text, self.anti, self.irrelevant_anti):
+            against[phrase] = None
+            total -= not any(claimed[a:b])
+        return total, list(named), list(against)
+
+
+def context_score(docs: DataFrame, keywords, irrelevant=(), anti=(), irrelevant_anti=(), id_col="doc_id", text_col="text") -> DataFrame:
+    """(id, score, keywords, anti_keywords): greedy by list order, so a row at a time, in Arrow batches."""
+    lists = list(keywords), list(irrelevant), list(anti), list(irrelevant_anti)
+
+    @F.pandas_udf("struct<score:int,keywords:string,anti_keywords:string>")
     def run(texts: pd.Series) -> pd.DataFrame:
-        got = [context_score_py(t or "", keywords, irrelevant, anti) for t in texts]
-        return pd.DataFrame({"score": [s for s, _ in got], "keywords": [", ".join(k) for _, k in got]})
+        score = Context(*lists)
+        got = [score(t or "") for t in texts]
+        return pd.DataFrame({"score": [s for s, _, _ in got], "keywords": [", ".join(k) for _, k, _ in got], "anti_keywords": [", ".join(a) for _, _, a in got]})
 
-    return docs.select(F.col(id_col).alias("id"), run(text_col).alias("r")).select("id", "r.score", "r.keywords")
+    return docs.select(F.col(id_col).alias("id"), run(text_col).alias("r")).select("id", "r.score", "r.keywords", "r.anti_keywords")

@@ -45,6 +45,21 @@ def claimed_links(cells: DataFrame, links: DataFrame, strict: bool = True) -> Da
     return box_pairs(cells, links, strict).groupBy("page").applyInPandas(claim, "page int, row_id int, uri string")
 
 
+def last_cell_links(cells: DataFrame, links: DataFrame) -> DataFrame:
+    """(page, row_id, uri): each cell(page, row_id, col, box) takes the first link that overlaps or touches it, as often
+    as it comes; of the cells of a row the last that has one names the row's uri."""
+    c = cells.alias("c").join(links.alias("l"), (F.col("c.page") == F.col("l.page")) & overlaps(strict=False))
+    per = c.groupBy("c.page", "c.row_id", "c.col").agg(F.min_by("l.uri", "l.pos").alias("uri"))
+    return per.groupBy("page", "row_id").agg(F.max_by("uri", "col").alias("uri"))
+
+
+def loose_link(cells: DataFrame, links: DataFrame) -> DataFrame:
+    """(page, uri): the last link of each page that has a cell which no link overlaps or touches."""
+    hit = cells.alias("c").join(links.alias("l"), (F.col("c.page") == F.col("l.page")) & overlaps(strict=False), "left_anti")
+    last = links.groupBy("page").agg(F.max_by("uri", "pos").alias("uri"))
+    return last.join(hit.select("page").distinct(), "page", "left_semi")
+
+
 def unmatched(links: DataFrame, matched: DataFrame) -> DataFrame:
     return links.select("page", "uri").distinct().join(matched.select("page", "uri"), ["page", "uri"], "left_anti")
 
@@ -59,18 +74,90 @@ def sequence_ratio(a: Column, b: Column) -> Column:
     return run(a, b)
 
 
+def common_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence; a row of the usual table is the bits of one number."""
+    if not a or not b:
+        return 0
+    places: dict[str, int] = {}
+    for k, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << k
+    full = (1 << len(a)) - 1
+    row = full
+    for c in b:
+        both = row & places.get(c, 0)
+        row = (row + both | row - both) & full
+    return len(a) - row.bit_count()
+
+
+def token_set_ratio_py(a: str | None, b: str | None) -> float:
+    """0 to 100: the best of the common words against either side and of both sides, by insertions and deletions over
+    both lengths; words are split at white space; a side without words gives 0."""
+    one, two = set((a or "").split()), set((b or "").split())
+    if not one or not two:
+        return 0.0
+    both = one & two
+    if both and (one <= two or two <= one):
+        return 100.0
+    mine, yours = " ".join(sorted(one - two)), " ".join(sorted(two - one))
+    n = len(" ".join(sorted(both)))
+    gap = 1 if n else 0
+    left, right = n + gap + len(mine), n + gap + len(yours)
+    best = 1 - (len(mine) + len(yours) - 2 * common_length(mine, yours)) / (left + right)
+    if n:
+        best = max(best, 1 - (gap + len(mine)) / (n + left), 1 - (gap + len(yours)) / (n + right))
+    return 100 * best
+
+
 def token_set_ratio(a: Column, b: Column) -> Column:
-    """0 to 100: similarity of the word sets: the best of the common words against either side, and of both sides."""
-    words = lambda c: F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " ")), " "), lambda w: w != "")))
-    both, one, two = F.array_intersect(words(a), words(b)), F.array_except(words(a), words(b)), F.array_except(words(b), words(a))
-    s0 = F.array_join(F.array_sort(both), " ")
-    s1, s2 = F.trim(F.concat_ws(" ", s0, F.array_join(one, " "))), F.trim(F.concat_ws(" ", s0, F.array_join(two, " ")))
-    like = lambda x, y: F.when(F.length(x) + F.length(y) == 0, 100.0).otherwise(100.0 * (1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y), F.lit(1))))
-    whole = F.when((F.size(both) > 0) & ((F.size(one) == 0) | (F.size(two) == 0)), 100.0)
-    return F.coalesce(whole, F.greatest(*[F.when(s0 != "", like(s0, s1)).otherwise(0.0), F.when(s0 != "", like(s0, s2)).otherwise(0.0), like(s1, s2)]))
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([token_set_ratio_py(x, y) for x, y in zip(a, b)], dtype="float64")
+
+    return run(a, b)
+
+
+#: Buckets of code points that letters are counted in before strings are compared.
+BUCKETS = 32
+
+
+def letter_counts(c: Column) -> Column:
+    letters = F.transform(F.split(c, ""), lambda x: F.ascii(x) % BUCKETS)
+    return F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda k: F.size(F.filter(letters, lambda x: x == k)))
+
+
+def ratio_bound() -> Column:
+    """No ratio of a and b is above twice their common letters over both lengths; bucketed counts a_n, b_n only raise it."""
+    common = F.aggregate(F.zip_with("a_n", "b_n", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    return 2 * common / F.greatest(F.length("a") + F.length("b"), F.lit(1))
 
 
 def best_rows(urls: DataFrame, rows: DataFrame, least: float = 0.5) -> DataFrame:
-    """(url, row_id, ratio): for each url of a block the row whose text is most like it, above least; first of equals."""
-    pairs = urls.join(rows, "block").withColumn("ratio", sequence_ratio(F.lower("url"), F.lower("text"))).where(F.col("ratio") > least)
+    """(block, url, row_id, ratio): for each url of a block the row whose text is most like it, above least; first of equals.
+
+    Pairs that lengths or letters rule out are dropped in the JVM; only the others are compared in Python.
+    """
+    one = urls.select("block", "url", F.lower("url").alias("a"), letter_counts(F.lower("url")).alias("a_n"))
+    two = rows.select("block", "row_id", F.lower("text").alias("b"), letter_counts(F.lower("text")).alias("b_n"))
+    short = 2 * F.least(F.length("a"), F.length("b")) > least * (F.length("a") + F.length("b"))
+    pairs = one.join(two, "block").where(short).where(ratio_bound() > least).select("block", "url", "row_id", "a", "b")
+    pairs = pairs.withColumn("ratio", sequence_ratio(F.col("a"), F.col("b"))).where(F.col("ratio") > least)
     return pairs.groupBy("block", "url").agg(F.max_by(F.struct("row_id", "ratio"), F.struct("ratio", -F.col("row_id"))).alias("best")).select("block", "url", "best.*")
+
+
+def best_token_rows(pages: DataFrame, rows: DataFrame, least: float = 70.0) -> DataFrame:
+    """(block, url, row_id, ratio): for each page(block, url, text) the row of its block with the highest token set ratio,
+    if that is above least; first of equals."""
+    pairs = pages.select("block", "url", F.lower("text").alias("a")).join(rows.select("block", "row_id", F.lower("text").alias("b")), "block")
+    pairs = pairs.withColumn("ratio", token_set_ratio(F.col("a"), F.col("b")))
+    best = F.max_by(F.struct("row_id", "ratio"), F.struct("ratio", -F.col("row_id"))).alias("best")
+    return pairs.groupBy("block", "url").agg(best).select("block", "url", "best.*").where(F.col("ratio") > least)
+
+
+def claim_slots(best: DataFrame, urls: DataFrame, rows: DataFrame) -> DataFrame:
+    """(block, row_id, url): rows with their slot filled: an empty one takes the first url, by urls.pos, whose best row it is.
+
+    A url is tried once, against its best row only, so who comes first for each row decides: one aggregation.
+    """
+    order = urls.groupBy("block", "url").agg(F.min("pos").alias("pos"))
+    first = best.join(order, ["block", "url"]).groupBy("block", "row_id").agg(F.min_by("url", "pos").alias("__new"))
+    return rows.join(first, ["block", "row_id"], "left").select("block", "row_id", F.coalesce("url", "__new").alias("url"))

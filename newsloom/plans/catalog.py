@@ -10,7 +10,7 @@ from newsloom.functions import urls as U
 from newsloom.operators import bandit, frontier, graph, keywords, match, records, robots
 from newsloom.plans.fixtures import sql as fx
 from newsloom.plans.fixtures import table as fixture
-from newsloom.sources import archive, web
+from newsloom.sources import archive, shared, sinks, web
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -46,19 +46,18 @@ s AS (SELECT doc_id, lang, count(*) AS unique_count, CAST(sum(k) AS BIGINT) AS t
 
 
 def _scored(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return keywords.score(keywords.matches(docs, keywords.vocabulary(spark, PHRASES))).withColumnRenamed("id", "doc_id")
+    docs = read(spark, sf_dir, "documents").select(F.struct("doc_id", "lang").alias("doc"), "text")
+    return keywords.score(keywords.matches(docs, keywords.vocabulary(spark, PHRASES), "doc")).select("id.doc_id", "id.lang", "unique_count", "total_count", "keywords")
 
 
 @query("keyword_score", f"WITH {SCORED} SELECT doc_id, unique_count, total_count, keywords FROM s")
 def keyword_score(spark, sf_dir):
-    return _scored(spark, sf_dir)
+    return _scored(spark, sf_dir).drop("lang")
 
 
 @query("keyword_score_lang", f"WITH {SCORED} SELECT lang, count(*) AS docs, CAST(sum(unique_count) AS BIGINT) AS uniques, CAST(sum(total_count) AS BIGINT) AS total FROM s GROUP BY lang")
 def keyword_score_lang(spark, sf_dir):
-    langs = read(spark, sf_dir, "documents").select("doc_id", "lang")
-    return _scored(spark, sf_dir).join(langs, "doc_id").groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("unique_count").alias("uniques"), F.sum("total_count").alias("total"))
+    return _scored(spark, sf_dir).groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum("unique_count").alias("uniques"), F.sum("total_count").alias("total"))
 
 
 @query("contains_keywords", f"WITH {SCORED} SELECT doc_id, doc_id IN (SELECT doc_id FROM s) AS relevant FROM documents")
@@ -79,7 +78,7 @@ def first_keyword(spark, sf_dir):
 @query("context_score")
 def context_score(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return keywords.context_score(docs, ["of the", "erth", "the", "de la"], ["x-ray", "license"], ["and the", "que"]).withColumnRenamed("id", "doc_id")
+    return keywords.context_score(docs, ["of the", "erth", "the", "de la"], ["x-ray", "license"], ["and the", "que"], ["de"]).withColumnRenamed("id", "doc_id")
 
 
 @query("title_priority", """WITH t AS (SELECT page_id, regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&amp;', '&', 'g') AS text FROM pages)
@@ -143,7 +142,8 @@ def url_parts(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", U.domain(u).alias("domain"), U.is_valid(u).alias("valid"), U.robots_url(u).alias("robots_url"), U.domain(u).endswith("example.com").alias("own"), U.file_name(u).alias("file"))
 
 
-@query("full_url", f"""SELECT href, base, CASE WHEN href = '/x' THEN 'https://a.org/x' WHEN href = 'y' THEN 'https://a.org/p/y' WHEN href = '#t' THEN 'https://a.org/p#t' WHEN href = '//c.org/w' THEN 'http://c.org/w' ELSE href END AS url FROM ({fx('links_in')})""")
+@query("full_url", f"""SELECT href, base, CASE WHEN regexp_matches(href, '^[a-z]+://') THEN href WHEN starts_with(href, '//') THEN regexp_extract(base, '^[a-z]+:') || href WHEN starts_with(href, '/') THEN regexp_extract(base, '^[a-z]+://[^/?#]*') || href
+WHEN starts_with(href, '#') THEN regexp_extract(base, '^[^#]*') || href ELSE regexp_extract(base, '^[a-z]+://[^/]*/(?:[^/?#]*/)*') || href END AS url FROM ({fx('links_in')})""")
 def full_url(spark, sf_dir):
     return fixture(spark, "links_in").withColumn("url", U.full_url(F.col("href"), F.col("base")))
 
@@ -310,9 +310,9 @@ def page_readable(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", web.readable(F.col("html")).alias("body"))
 
 
-@query("canonical_link", f"""SELECT page_id, nullif(regexp_extract(html, 'rel="canonical" href="([^"]*)"', 1), '') AS canonical FROM ({fx('links_html')})""")
+@query("canonical_link", f"""WITH src AS (SELECT page_id AS id, nullif(regexp_extract(html, 'rel="canonical" href="([^"]*)"', 1), '') AS url FROM ({fx('links_html')})),{_URL_SQL.replace('SELECT id, normal FROM done', 'SELECT id AS page_id, normal AS canonical FROM done')}""")
 def canonical_link(spark, sf_dir):
-    return fixture(spark, "links_html").select("page_id", web.canonical(F.col("html")).alias("canonical"))
+    return fixture(spark, "links_html").select("page_id", U.normalize_url(web.canonical(F.col("html"))).alias("canonical"))
 
 
 @query("json_ld", """SELECT * FROM (VALUES (1, 'H1', '2020-01-01', 'A', 'P', 'NewsArticle'), (2, 'H2', NULL, NULL, NULL, 'WebPage'), (3, 'H3', NULL, NULL, NULL, 'WebPage'), (4, NULL, NULL, NULL, NULL, NULL)) t(page_id, headline, date_published, author, publisher, type)""")
@@ -360,7 +360,7 @@ def programme_segments(spark, sf_dir):
     return records.segments(fixture(spark, "segments"))
 
 
-@query("master_rows", f"""SELECT Programme, 'N/A' AS Service, 'N/A' AS "Date of Transmission", coalesce(Issue, 'N/A') AS Issue, 'N/A' AS Outcome, 'N/A' AS Page, 'N/A' AS Source FROM ({fx('master')})""")
+@query("master_rows", "SELECT Programme, coalesce(Issue, 'N/A') AS Issue, " + ", ".join(f"'N/A' AS \"{c}\"" for c in records.COLUMNS if c not in ("Programme", "Issue")) + f" FROM ({fx('master')})")
 def master_rows(spark, sf_dir):
     return records.align(fixture(spark, "master"))
 
@@ -436,9 +436,59 @@ def fuzzy_best(spark, sf_dir):
     return match.best_rows(fixture(spark, "fuzzy_urls"), fixture(spark, "fuzzy_rows")).select("block", "url", "row_id")
 
 
-@query("token_set_ratio", "SELECT * FROM (VALUES (1, 100::DOUBLE), (2, 50::DOUBLE), (3, 100::DOUBLE), (4, 20::DOUBLE)) t(id, ratio)")
+#: The token set ratio of pairs(id, a, b) as relation ratios(id, ratio): a table of common subsequences, a row a step.
+_RATIO = r"""
+w AS (SELECT id, list_distinct(list_filter(string_split_regex(lower(a), '\s+'), lambda x: x <> '')) AS aw, list_distinct(list_filter(string_split_regex(lower(b), '\s+'), lambda x: x <> '')) AS bw FROM pairs),
+d AS (SELECT *, array_to_string(list_sort(list_filter(aw, lambda x: NOT list_contains(bw, x))), ' ') AS x, array_to_string(list_sort(list_filter(bw, lambda x: NOT list_contains(aw, x))), ' ') AS y,
+    length(array_to_string(list_filter(aw, lambda x: list_contains(bw, x)), ' ')) AS n FROM w),
+lcs AS (SELECT id, x, y, 0 AS i, list_transform(range(length(y)), lambda j: 0) AS r FROM d UNION ALL
+    SELECT id, x, y, i + 1, list_transform(range(1, length(y) + 1), lambda j: list_max(list_slice(t, 1, j))) FROM
+    (SELECT *, list_transform(range(1, length(y) + 1), lambda j: greatest(r[j], CASE WHEN j > 1 THEN r[j - 1] ELSE 0 END + CASE WHEN substr(x, i + 1, 1) = substr(y, j, 1) THEN 1 ELSE 0 END)) AS t FROM lcs WHERE i < length(x))),
+c AS (SELECT id, coalesce(arg_max(r[-1], i), 0) AS common FROM lcs GROUP BY id),
+g AS (SELECT d.*, common, CASE WHEN n > 0 THEN 1 ELSE 0 END AS gap FROM d JOIN c ON d.id = c.id),
+ratios AS (SELECT id, CASE WHEN len(aw) = 0 OR len(bw) = 0 THEN 0.0 WHEN n > 0 AND (x = '' OR y = '') THEN 100.0 ELSE 100.0 * greatest(
+    1 - (length(x) + length(y) - 2 * common)::DOUBLE / (2 * n + 2 * gap + length(x) + length(y)),
+    CASE WHEN n > 0 THEN 1 - (gap + length(x))::DOUBLE / (2 * n + gap + length(x)) ELSE 0 END,
+    CASE WHEN n > 0 THEN 1 - (gap + length(y))::DOUBLE / (2 * n + gap + length(y)) ELSE 0 END) END AS ratio FROM g)"""
+
+
+@query("token_set_ratio", f"WITH RECURSIVE pairs AS ({fx('name_pairs')}),{_RATIO} SELECT id, round(ratio, 6) AS ratio FROM ratios")
 def token_set_ratio(spark, sf_dir):
-    return fixture(spark, "name_pairs").select("id", F.round(match.token_set_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
+    return fixture(spark, "name_pairs").select("id", F.round(match.token_set_ratio(F.lower("a"), F.lower("b")), 6).alias("ratio"))
+
+
+_TOKEN_BEST = f"""u AS ({fx('slot_urls')}), s AS ({fx('slots')}), pairs AS (SELECT u.block * 10000 + u.pos * 100 + s.row_id AS id, u.text AS a, s.text AS b FROM u JOIN s ON u.block = s.block),{_RATIO},
+best AS (SELECT u.block, u.url, u.pos, arg_max(s.row_id, (ratio, -s.row_id)) AS row_id, max(ratio) AS ratio FROM u JOIN s ON u.block = s.block JOIN ratios ON id = u.block * 10000 + u.pos * 100 + s.row_id GROUP BY ALL)"""
+
+
+@query("token_best", f"WITH RECURSIVE {_TOKEN_BEST} SELECT block, url, row_id, round(ratio, 6) AS ratio FROM best WHERE ratio > 70")
+def token_best(spark, sf_dir):
+    return match.best_token_rows(fixture(spark, "slot_urls"), fixture(spark, "slots")).withColumn("ratio", F.round("ratio", 6))
+
+
+@query("token_claimed", f"WITH RECURSIVE {_TOKEN_BEST}, f AS (SELECT block, row_id, arg_min(url, pos) AS new FROM best WHERE ratio > 70 GROUP BY ALL) SELECT s.block, s.row_id, coalesce(s.url, f.new) AS url FROM s LEFT JOIN f ON s.block = f.block AND s.row_id = f.row_id")
+def token_claimed(spark, sf_dir):
+    urls, rows = fixture(spark, "slot_urls"), fixture(spark, "slots")
+    return match.claim_slots(match.best_token_rows(urls, rows), urls, rows)
+
+
+@query("fuzzy_claimed", "SELECT * FROM (VALUES (1, 1, 'reports/morning-show-may'), (1, 2, 'reports/evening-news'), (1, 3, 'taken'), (1, 4, NULL), (2, 1, NULL)) t(block, row_id, url)")
+def fuzzy_claimed(spark, sf_dir):
+    urls, rows = fixture(spark, "slot_urls"), fixture(spark, "slots")
+    return match.claim_slots(match.best_rows(urls, rows), urls, rows)
+
+
+_GRID = f"h AS (SELECT c.page, c.row_id, c.col, arg_min(l.uri, l.pos) AS uri FROM ({fx('grid')}) c JOIN ({fx('boxes')}) l ON c.page = l.page AND {_TOUCH} GROUP BY ALL)"
+
+
+@query("bbox_last_cell", f"WITH {_GRID} SELECT page, row_id, arg_max(uri, col) AS uri FROM h GROUP BY page, row_id")
+def bbox_last_cell(spark, sf_dir):
+    return match.last_cell_links(fixture(spark, "grid"), fixture(spark, "boxes"))
+
+
+@query("bbox_loose", f"WITH {_GRID}, c AS (SELECT DISTINCT page FROM ({fx('grid')}) c WHERE NOT EXISTS (FROM h WHERE h.page = c.page AND h.row_id = c.row_id AND h.col = c.col)) SELECT page, arg_max(uri, pos) AS uri FROM ({fx('boxes')}) JOIN c USING (page) GROUP BY page")
+def bbox_loose(spark, sf_dir):
+    return match.loose_link(fixture(spark, "grid"), fixture(spark, "boxes"))
 
 
 @query("benchmark_best")
@@ -512,7 +562,7 @@ def bandit_converge(spark, sf_dir):
     return bandit.converged(bandit.values(_steps(spark, sf_dir)))
 
 
-@query("bandit_policies", f"SELECT policy, score / 4 AS weight FROM ({fx('policy_scores')})")
+@query("bandit_policies", f"SELECT policy, score / sum(score) OVER () AS weight FROM ({fx('policy_scores')})")
 def bandit_policies(spark, sf_dir):
     scores = fixture(spark, "policy_scores").select("policy", F.col("score").cast("double").alias("score"))
     return bandit.policy_weights(scores)
@@ -536,7 +586,10 @@ def fetch_schedule(spark, sf_dir):
     return frontier.fetch_times(rows, 30.0, "domain", "arrival", "event_id").select("event_id", "domain", F.round("start").cast("long").alias("start"))
 
 
-@query("crawl_delay", "SELECT * FROM (VALUES ('a', 150::DOUBLE), ('b', 1800::DOUBLE), ('c', 0.5::DOUBLE)) t(domain, delay)")
+@query("crawl_delay", f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY seq) AS k FROM ({fx('responses')})),
+f(domain, k, d) AS (SELECT DISTINCT domain, 0::BIGINT, 1.0::DOUBLE FROM r UNION ALL SELECT f.domain, r.k,
+    CASE WHEN status = 200 THEN d / 2 WHEN status IN (429, 503) THEN greatest(d * 2, coalesce(retry_after, 0), 300) ELSE d END FROM f JOIN r ON r.domain = f.domain AND r.k = f.k + 1)
+SELECT domain, arg_max(d, k) AS delay FROM f GROUP BY domain""")
 def crawl_delay(spark, sf_dir):
     return frontier.crawl_delay(fixture(spark, "responses"))
 
@@ -551,12 +604,12 @@ def search_links(spark, sf_dir):
     return web.search_links(fixture(spark, "search_html"), "site.org", ["bad.com"], ["cached"])
 
 
-@query("search_pages", "SELECT * FROM (VALUES ('e', 'k', 1, 'a'), ('e', 'k', 1, 'b'), ('e', 'k', 2, 'c'), ('e', 'm', 1, 'f'), ('e', 'm', 1, 'g'), ('e', 'm', 2, 'a'), ('e', 'm', 2, 'h')) t(engine, keyword, page, link)")
+@query("search_pages", "SELECT * FROM (VALUES ('e', 'k', 1, 'a'), ('e', 'k', 1, 'b'), ('e', 'k', 2, 'c'), ('e', 'm', 1, 'f'), ('e', 'm', 1, 'g'), ('e', 'm', 2, 'a'), ('e', 'm', 2, 'h'), ('e', 'k2', 1, 'z')) t(engine, keyword, page, link)")
 def search_pages(spark, sf_dir):
     return web.paged(fixture(spark, "hits"), per_page=2, most_pages=20).select("engine", "keyword", "page", "link")
 
 
-@query("search_until_dry", f"SELECT engine, keyword, page, link FROM ({fx('hits')})")
+@query("search_until_dry", f"WITH h AS ({fx('hits')}), w AS ({fx('hit_words')}) SELECT engine, h.keyword, page, link FROM h JOIN w ON h.keyword = w.keyword WHERE w.ord < (SELECT min(ord) FROM w WHERE keyword NOT IN (SELECT keyword FROM h))")
 def search_until_dry(spark, sf_dir):
     return web.until_dry(fixture(spark, "hits"), fixture(spark, "hit_words")).select("engine", "keyword", "page", "link")
 
@@ -618,9 +671,9 @@ def endpoint_order(spark, sf_dir):
     return archive.shuffled(fixture(spark, "index_pages"), 7, "source").select("source")
 
 
-@query("complaint_stage2", "SELECT * FROM (VALUES (1, 1, 0, 'Morning Show', 'BBC One', '03/04/2020', 'tone', 'of host ')) t(doc_id, page, pos, programme, service, date, issue, outcome)")
+@query("complaint_stage2", "SELECT * FROM (VALUES (1, 1, 0, 'Morning Show', 'BBC One', '03/04/2020', 'tone', 'of host '), (1, 1, 1, 'Quiz', 'BBC Two', '01/02/2021', 'wrong', 'answer ')) t(doc_id, page, pos, programme, service, date, issue, outcome)")
 def complaint_stage2(spark, sf_dir):
-    return records.rows(fixture(spark, "stage1"), records.STAGE2, ("programme", "service", "date", "issue", "outcome")).where("pos = 0")
+    return records.rows(fixture(spark, "stage1"), records.STAGE2, ("programme", "service", "date", "issue", "outcome"))
 
 
 @query("bandit_registry", "SELECT * FROM (VALUES ('rate', 'float', '0.25'), ('depth', 'int', '3'), ('name', 'str', 'other'), ('cap', 'int', '9')) t(param, kind, value)")
@@ -638,3 +691,123 @@ def robots_upsert(spark, sf_dir):
 def seen_urls(spark, sf_dir):
     docs, seen = read(spark, sf_dir, "documents").select("doc_id"), read(spark, sf_dir, "labels").select("doc_id").distinct()
     return docs.join(seen, "doc_id", "left_semi").withColumn("seen", F.lit(True)).unionByName(docs.join(seen, "doc_id", "left_anti").withColumn("seen", F.lit(False)))
+
+
+_EXCLUDED = ("http://m.", "https://blog.")
+
+
+@query("scrape_exclude", "SELECT page_id, CASE WHEN starts_with(url, 'http://m.') OR starts_with(url, 'https://blog.') THEN 'seen' ELSE 'unseen' END AS status FROM pages")
+def scrape_exclude(spark, sf_dir):
+    rows = read(spark, sf_dir, "pages").select("page_id", "url", F.lit("unseen").alias("status"))
+    prefixes = spark.createDataFrame([(p,) for p in _EXCLUDED], "prefix string")
+    return frontier.settle_excluded(rows, prefixes).select("page_id", "status")
+
+
+@query("requeue", f"""SELECT url, CASE WHEN x AND retries < 3 THEN 'unseen' WHEN x THEN 'error' ELSE status END AS status, retries + CASE WHEN x AND retries < 3 THEN 1 ELSE 0 END AS retries
+FROM (SELECT *, url IN (SELECT url FROM ({fx('failed')})) AS x FROM ({fx('frontier')}))""")
+def requeue(spark, sf_dir):
+    return frontier.requeue(fixture(spark, "frontier"), fixture(spark, "failed")).select("url", "status", "retries")
+
+
+@query("queue_probe", f"SELECT count(*) > 0 AS has_unseen FROM (SELECT 1 FROM ({fx('frontier')}) WHERE status = 'unseen' LIMIT 1)")
+def queue_probe(spark, sf_dir):
+    return frontier.has_unseen(fixture(spark, "frontier"))
+
+
+@query("link_totals", f"WITH {_LINKS} SELECT count(DISTINCT url) AS urls, count(DISTINCT lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1))) FILTER (url IS NOT NULL) AS domains FROM r")
+def link_totals(spark, sf_dir):
+    rows = web.links(read(spark, sf_dir, "pages")).select("url", U.domain(F.col("url")).alias("domain"))
+    return rows.agg(F.countDistinct("url").alias("urls"), F.countDistinct("domain").alias("domains"))
+
+
+_POSTS = f"i AS (SELECT * FROM ({fx('posts')}) QUALIFY row_number() OVER (PARTITION BY id ORDER BY batch, pos) = 1)"
+
+
+@query("posts_by_id", f"WITH {_POSTS} SELECT id, url, title FROM i")
+def posts_by_id(spark, sf_dir):
+    return frontier.posts(fixture(spark, "posts"))[0].select("id", "url", "title")
+
+
+@query("posts_by_url", f"WITH {_POSTS} SELECT url, arg_max(title, (batch, pos)) AS title FROM i GROUP BY url")
+def posts_by_url(spark, sf_dir):
+    return frontier.posts(fixture(spark, "posts"))[1].select("url", "title")
+
+
+@query("moments", f"SELECT id, strftime(moment, '%Y-%m-%d %H:%M:%S') AS crawled_at, CAST(epoch(moment) AS BIGINT) AS epoch, CAST(year(moment) AS INTEGER) AS year, CAST(len(range(1996, year(moment) + 1)) AS INTEGER) AS n_years FROM ({fx('moments')})")
+def moments(spark, sf_dir):
+    at = F.col("moment").cast("timestamp")
+    return fixture(spark, "moments").select("id", *[c.alias(n) for n, c in T.moments(at).items()], F.when(at.isNotNull(), F.size(T.years(1996, at))).alias("n_years"))
+
+
+@query("sanitized", """SELECT * FROM (VALUES (1, '["a",null]', '{"x":1,"y":"b"}', '1'), (2, '', '', '2')) t(id, words, pair, plain)""")
+def sanitized(spark, sf_dir):
+    rows = fixture(spark, "nested")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return rows.select("id", *[T.sanitize(F.col(c), kinds[c]).alias(c) for c in ("words", "pair")], T.sanitize(F.col("id"), "int").alias("plain"))
+
+
+_CARD = {"card": "card", "link": "card-link", "date": "card-date", "section": "card-section", "text": "card-text"}
+
+
+@query("search_cards", """SELECT * FROM (VALUES ('https://root.org/x/1', 'First', '3 May', 'No section', 'About it', 'k1', 'cards'), ('https://o.org/2', 'Second', 'No date', 'World', 'No summary', 'k1', 'cards'),
+('No URL', 'No title', 'No date', 'No section', 'No summary', 'k1', 'cards')) t(link, link_text, date_published, section, summary, keyword, engine)""")
+def search_cards(spark, sf_dir):
+    return web.search_cards(fixture(spark, "search_cards").where("engine = 'cards'"), "https://root.org", _CARD)
+
+
+@query("search_blocks", "SELECT * FROM (VALUES ('https://site.org/1', 'One', 'k2', 'blocks')) t(link, link_text, keyword, engine)")
+def search_blocks(spark, sf_dir):
+    return web.search_blocks(fixture(spark, "search_cards").where("engine = 'blocks'"), "site.org")
+
+
+@query("search_any", "SELECT * FROM (VALUES ('https://site.org/p', 'P', 'k3', 'other'), ('https://site.org/r', 'https://site.org/r', 'k3', 'other')) t(link, link_text, keyword, engine)")
+def search_any(spark, sf_dir):
+    return web.search_any(fixture(spark, "search_cards").where("engine = 'other'"), "https://site.org/find?q=1", "site.org")
+
+
+_NATIONS = "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name FROM nation"
+
+
+def _nations(spark, sf_dir):
+    return read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("n_nationkey"), "n_name")
+
+
+@query("csv_appended", f"{_NATIONS} UNION ALL {_NATIONS} WHERE n_regionkey = 1")
+def csv_appended(spark, sf_dir):
+    path = shared.fresh_path(spark)
+    sinks.append_csv(_nations(spark, sf_dir), path)
+    sinks.append_csv(read(spark, sf_dir, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").cast("string").alias("n_nationkey"), "n_name"), path)
+    return spark.read.schema("n_nationkey string, n_name string").csv(path, header=True)
+
+
+@query("csv_overwritten", f"{_NATIONS}")
+def csv_overwritten(spark, sf_dir):
+    path = shared.fresh_path(spark)
+    sinks.overwrite_csv(_nations(spark, sf_dir).limit(3), path)
+    sinks.overwrite_csv(_nations(spark, sf_dir), path)
+    return spark.read.schema("n_nationkey string, n_name string").csv(path, header=True)
+
+
+@query("state_resumed", "SELECT 'one' AS source, 4 AS \"offset\", 0 AS cdx_index")
+def state_resumed(spark, sf_dir):
+    path = shared.fresh_path(spark)
+    sinks.write_state(spark.createDataFrame([("one", 4)], "source string, offset int"), path)
+    return sinks.read_state(spark, path, "source string, offset int, cdx_index int", {"offset": 0, "cdx_index": 0})
+
+
+@query("archive_parts", f"SELECT source, mime, CAST(unnest(range(pages)) AS INTEGER) AS page FROM ({fx('index_pages')}), (VALUES ('text/html'), ('application/pdf')) m(mime)")
+def archive_parts(spark, sf_dir):
+    return archive.parts(fixture(spark, "index_pages"), ["text/html", "application/pdf"])
+
+
+@query("archive_read", f"SELECT url, digest FROM ({fx('captures')}) WHERE mime = 'text/html' AND status = 200")
+def archive_read(spark, sf_dir):
+    path = shared.fresh_path(spark)
+    fixture(spark, "captures").write.json(path)
+    return archive.read_index(spark, [path], ["text/html"], [200]).select("url", "digest")
+
+
+@query("archive_resume", f"SELECT link AS url, page FROM ({fx('hits')}) WHERE page >= 2 AND link NOT IN ('c', 'h')")
+def archive_resume(spark, sf_dir):
+    done = spark.createDataFrame([("c",), ("h",)], "url string")
+    return archive.resume(fixture(spark, "hits").select(F.col("link").alias("url"), "page"), done, 2)

@@ -71,7 +71,8 @@ VALUES = {
     ),
     "triples": (
         "subject, predicate, object",
-        """('a', 'part_of', 'b'), ('b', 'part_of', 'c'), ('c', 'part_of', 'd'), ('d', 'part_of', 'e'), ('e', 'part_of', 'a'), ('x', 'part_of', 'c'), ('a', 'named', 'z')""",
+        """('a', 'part_of', 'b'), ('b', 'part_of', 'c'), ('c', 'part_of', 'd'), ('d', 'part_of', 'e'), ('e', 'part_of', 'a'), ('x', 'part_of', 'c'), ('a', 'named', 'z'), """
+        + ", ".join(f"('n{k}', 'part_of', 'n{k + 1}')" for k in range(45)),
     ),
     "sites": ("website, label, branch", """('s1', 'first', 0), ('s2', 'two', 0), ('s1', 'second', 1), ('s3', 'three', 1), ('s1', 'third', 2)"""),
     "responses": (
@@ -104,7 +105,7 @@ VALUES = {
     ),
     "hits": (
         "engine, keyword, page, link",
-        """('e', 'k', 1, 'a'), ('e', 'k', 1, 'b'), ('e', 'k', 2, 'c'), ('e', 'k', 3, 'd'), ('e', 'k', 3, 'e'), ('e', 'm', 1, 'f'), ('e', 'm', 1, 'g'), ('e', 'm', 2, 'a'), ('e', 'm', 2, 'h')""",
+        """('e', 'k', 1, 'a'), ('e', 'k', 1, 'b'), ('e', 'k', 2, 'c'), ('e', 'k', 3, 'd'), ('e', 'k', 3, 'e'), ('e', 'm', 1, 'f'), ('e', 'm', 1, 'g'), ('e', 'm', 2, 'a'), ('e', 'm', 2, 'h'), ('e', 'k2', 1, 'z')""",
     ),
     "hit_words": ("ord, keyword", """(1, 'k'), (2, 'm'), (3, 'dry'), (4, 'k2')"""),
     "local": (
@@ -118,6 +119,31 @@ VALUES = {
         """('https://a.org/1', 'd1', 'text/html', 200, '20200101'), ('https://a.org/1?x', 'd1', 'text/html', 200, '20200301'), ('https://a.org/2', 'd2', 'application/pdf', 200, '20200101'), ('https://a.org/3', 'd3', 'text/html', 404, '20200101'), ('https://b.org/1', 'd4', 'text/html', 200, '20200101')""",
     ),
     "retries": ("attempt, wait", """(0, 3.0e0), (1, 3.0e0), (5, 3.0e0), (9, 3.0e0)"""),
+    "grid": (
+        "page, row_id, col, x1, y1, x2, y2",
+        """(1, 1, 1, 0.0e0, 0.0e0, 3.0e0, 3.0e0), (1, 1, 2, 0.0e0, 12.0e0, 10.0e0, 20.0e0), (1, 1, 3, 60.0e0, 60.0e0, 70.0e0, 70.0e0), (1, 2, 1, 90.0e0, 90.0e0, 95.0e0, 95.0e0), (1, 3, 1, 2.0e0, 13.0e0, 3.0e0, 13.0e0), (2, 1, 1, 6.0e0, 6.0e0, 9.0e0, 9.0e0)""",
+    ),
+    "slot_urls": (
+        "block, pos, url, text",
+        """(1, 1, 'reports/morning-show-may', 'the morning show of may'), (1, 2, 'reports/morning-show-may-2', 'may morning show again'), (1, 3, 'reports/evening-news', 'news in the evening'),
+           (1, 4, 'reports/quiz-night', 'quiz night'), (2, 1, 'zzz', 'nothing alike')""",
+    ),
+    "slots": (
+        "block, row_id, text, url",
+        """(1, 1, 'Morning Show may', CAST(NULL AS VARCHAR(40))), (1, 2, 'Evening News', NULL), (1, 3, 'Quiz Night', 'taken'), (1, 4, 'unlike all else', NULL), (2, 1, 'weather', NULL)""",
+    ),
+    "failed": ("url", """('https://a.org/1'), ('https://a.org/3'), ('https://c.org/1'), ('https://c.org/1'), ('https://none.org/')"""),
+    "posts": (
+        "batch, pos, id, url, title",
+        """(1, 1, 'p1', 'https://s.org/1', 'One'), (1, 2, 'p2', 'https://s.org/2', 'Two'), (2, 1, 'p2', 'https://s.org/2', 'Two again'), (2, 2, 'p3', 'https://s.org/1', 'One by another')""",
+    ),
+    "moments": ("id, moment", """(1, TIMESTAMP '2024-02-29 23:59:59'), (2, TIMESTAMP '1999-12-31 00:00:00'), (3, CAST(NULL AS TIMESTAMP))"""),
+    "search_cards": (
+        "keyword, engine, html",
+        """('k1', 'cards', '<div class="card"><a class="card-link" href="/x/1">First</a><span class="card-date">3 May</span><p class="card-text">About it</p></div><div class="card"><a class="card-link" href="https://o.org/2">Second</a><span class="card-section">World</span></div><div class="card"></div>'),
+           ('k2', 'blocks', '<div class="links_main"><a href="https://site.org/1">One</a><a href="https://o.org/2">Two</a></div><a href="https://site.org/3">Three</a>'), ('k3', 'other', '<a href="/p">P</a><a href="https://o.org/q">Q</a><a href="https://site.org/r"></a>')""",
+    ),
+    "nested": ("id, words, pair", """(1, array('a', NULL), named_struct('x', 1, 'y', 'b')), (2, NULL, NULL)"""),
     "links_in": ("href, base", """('/x', 'https://a.org/p/q'), ('y', 'https://a.org/p/q'), ('https://b.org/z', 'https://a.org/'), ('#t', 'https://a.org/p#s'), ('//c.org/w', 'http://a.org')"""),
     "listing": (
         "url, html",

@@ -1,47 +1,32 @@
-"""Archive index records: a partitioned Python data source over NDJSON files, and the queries over it."""
+"""Archive index records: index files, what there is to fetch of them, and the queries over them."""
 
 from __future__ import annotations
 
-import json
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SCHEMA = "url string, digest string, mime string, status int, timestamp string"
 
 
-class ArchiveIndex(DataSource):
-    """spark.read.format("archive_index").option("paths", "a,b").option("mime", "text/html").load(): a partition per file.
-
-    Files are opened where the partition runs, so paths must be visible to all executors.
-    """
-
-    @classmethod
-    def name(cls):
-        return "archive_index"
-
-    def schema(self):
-        return SCHEMA
-
-    def reader(self, schema):
-        return _Reader(self.options)
+def read_index(spark: SparkSession, paths: list[str], mimes: list[str] | None = None, statuses: list[int] | None = None) -> DataFrame:
+    """(origin, url, digest, mime, status, timestamp): the records of index files, one JSON object a line, by any path that
+    Spark reads; files are split among tasks, broken lines give no record, origin is the file."""
+    rows = spark.read.schema(SCHEMA + ", _broken string").option("columnNameOfCorruptRecord", "_broken").json(paths)
+    rows = rows.select(F.input_file_name().alias("origin"), *[c.split()[0] for c in SCHEMA.split(", ")], "_broken").where("_broken is null").drop("_broken")
+    if mimes is not None:
+        rows = rows.where(F.col("mime").isin(*mimes))
+    return rows if statuses is None else rows.where(F.col("status").isin(*statuses))
 
 
-class _Reader(DataSourceReader):
-    def __init__(self, options):
-        self.options = options
+def parts(indexes: DataFrame, mimes: list[str]) -> DataFrame:
+    """(source, mime, page): what there is to fetch of indexes(source, pages): each page of each index for each type."""
+    each = indexes.select("source", F.explode(F.sequence(F.lit(0), F.col("pages") - 1)).alias("page"))
+    return each.select("source", F.explode(F.array(*map(F.lit, mimes))).alias("mime"), "page")
 
-    def partitions(self):
-        return [InputPartition(p) for p in self.options["paths"].split(",")]
 
-    def read(self, partition):
-        mime, status = self.options.get("mime"), self.options.get("status")
-        with open(partition.value, encoding="utf-8") as f:
-            for line in f:
-                r = json.loads(line) if line.strip() else None
-                if r and mime in (None, r.get("mime")) and status in (None, str(r.get("status"))):
-                    yield r.get("url"), r.get("digest"), r.get("mime"), int(r.get("status") or 0), r.get("timestamp")
+def resume(rest: DataFrame, done: DataFrame, offset: int = 0) -> DataFrame:
+    """What is left of rest(page, url, ...) after a stop: pages from offset on, without the urls of done(url)."""
+    return rest.where(F.col("page") >= offset).join(done.select("url"), "url", "left_anti")
 
 
 def captures(index: DataFrame, pattern: str, mimes: list[str], year: str | None = None) -> DataFrame:

@@ -140,6 +140,58 @@ def search_links(rows: DataFrame, site: str | None, domains: list[str], texts: l
     return out.where(F.contains("link", F.lit(site))) if site else out
 
 
+# Classes of the result cards of one engine, and of the result blocks of another.
+CARD = {"card": "ssrcss-1mhwnz8-Promo", "link": "ssrcss-its5xf-PromoLink", "date": "ssrcss-1if1g9v-MetadataText", "section": "ssrcss-ar8sc2-IconContainer", "text": "ssrcss-1q0x1qg-Paragraph"}
+BLOCK = "links_main"
+
+
+def _blocks(rows: DataFrame, name: str, col: str) -> DataFrame:
+    """(keyword, engine, pos, block): from each div of a class to the next one."""
+    cut = F.regexp_extract_all(col, F.lit(rf'(?s)<div class="{name}"[^>]*>(.*?)(?=<div class="{name}"|$)'), F.lit(1))
+    return rows.select("keyword", "engine", F.posexplode(cut).alias("pos", "block"))
+
+
+def search_cards(rows: DataFrame, root: str, classes: dict[str, str] = CARD, col="html") -> DataFrame:
+    """(link, link_text, date_published, section, summary, keyword, engine) of result cards; what a card lacks is said."""
+    def text(tag, name, missing):
+        return F.coalesce(F.nullif(visible(F.regexp_extract("block", rf'(?s)<{tag}[^>]*class="{name}"[^>]*>(.*?)</{tag}>', 1)), F.lit("")), F.lit(missing))
+
+    href = F.nullif(F.regexp_extract("block", rf'<a[^>]*class="{classes["link"]}"[^>]*href="([^"]*)"', 1), F.lit(""))
+    link = F.when(href.startswith("/"), F.concat(F.lit(root), href)).otherwise(F.coalesce(href, F.lit("No URL")))
+    named = {"link_text": ("a", "link", "No title"), "date_published": ("span", "date", "No date"), "section": ("span", "section", "No section"), "summary": ("p", "text", "No summary")}
+    return _blocks(rows, classes["card"], col).select(link.alias("link"), *[text(t, classes[c], m).alias(n) for n, (t, c, m) in named.items()], "keyword", "engine")
+
+
+_ANCHOR = r'(?s)<a[^>]*href="([^"]*)"[^>]*>(.*?)</a>'
+
+
+def _anchors(html: Column) -> Column:
+    return F.explode(F.arrays_zip(*[F.regexp_extract_all(html, F.lit(_ANCHOR), F.lit(k)).alias(n) for k, n in ((1, "href"), (2, "t"))]))
+
+
+def search_blocks(rows: DataFrame, site: str | None, name: str = BLOCK, col="html") -> DataFrame:
+    """(link, link_text, keyword, engine): the links of the site that stand in result blocks of a class.
+
+    A block ends with its div, so results nest no div.
+    """
+    cut = F.regexp_extract_all(col, F.lit(rf'(?s)<div class="{name}"[^>]*>(.*?)</div>'), F.lit(1))
+    found = rows.select("keyword", "engine", F.explode(cut).alias("block")).select("keyword", "engine", _anchors(F.col("block")).alias("p"))
+    return _of_site(found, F.col("p.href"), site)
+
+
+def search_any(rows: DataFrame, base: str, site: str | None, col="html") -> DataFrame:
+    """(link, link_text, keyword, engine): every link of the site, resolved against the engine's address."""
+    from newsloom.functions.urls import full_url
+
+    found = rows.select("keyword", "engine", _anchors(F.col(col)).alias("p"))
+    return _of_site(found, full_url(F.col("p.href"), F.lit(base)), site)
+
+
+def _of_site(found: DataFrame, link: Column, site: str | None) -> DataFrame:
+    out = found.select(link.alias("link"), F.coalesce(F.nullif(visible(F.col("p.t")), F.lit("")), link).alias("link_text"), "keyword", "engine")
+    return out.where(F.contains("link", F.lit(site))) if site else out
+
+
 def paged(hits: DataFrame, per_page: int, most_pages: int) -> DataFrame:
     """Hits up to the page that is short of per_page, and no further than most_pages, per (engine, keyword)."""
     full = hits.groupBy("engine", "keyword", "page").agg(F.count(F.lit(1)).alias("n"))

@@ -1,15 +1,16 @@
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from newsloom.functions import text as T
 from newsloom.functions import urls as U
-from newsloom.operators import bandit, frontier, keywords, match
+from newsloom.operators import bandit, frontier, graph, keywords, match, records
 from newsloom.plans.fixtures import table
 from newsloom.plans.hooks import Hooks
-from newsloom.sources import sinks
+from newsloom.sources import archive, sinks
 
 
 def find_by_scanning(norm, phrases):
@@ -53,10 +54,177 @@ def test_pop_limits_each_group_before_the_exchange(spark):
     assert "WindowGroupLimit" in plan
 
 
-def test_context_score_model():
-    assert keywords.context_score_py("big red fox", ["red fox", "fox"]) == (2, ["red fox", "fox"])
-    assert keywords.context_score_py("red fox near a trap", ["red fox"], irrelevant=["trap"])[0] == 0
-    assert keywords.context_score_py("fox and hen", ["fox"], anti=["hen"])[0] == 0
+def context_by_places(text, keywords, irrelevant, anti, irrelevant_anti, window):
+    """Sets of places and a word at a time, for words of letters."""
+    word = lambda c: c.isalnum() or c == "_"
+
+    def hits(phrase, s):
+        k, low, p = 0, s.lower(), phrase.lower()
+        while k + len(p) <= len(s):
+            edges = (k == 0 or not word(low[k - 1])) and (k + len(p) == len(s) or not word(low[k + len(p)]))
+            if low[k : k + len(p)] == p and edges:
+                yield k, k + len(p)
+                k += len(p)
+            else:
+                k += 1
+
+    def kept(phrases, bad):
+        return [(p, a, b) for p in phrases for a, b in hits(p, text) if not any(True for x in bad for _ in hits(x, text[max(0, a - window) : b + window]))]
+
+    places, total, one, two = set(), 0, [], []
+    for p, a, b in kept(keywords, irrelevant):
+        one += [p] if p not in one else []
+        if places.isdisjoint(range(a, b)):
+            total += len(p.split())
+            places |= set(range(a, b))
+    for p, a, b in kept(anti, irrelevant_anti):
+        two += [p] if p not in two else []
+        total -= places.isdisjoint(range(a, b))
+    return total, one, two
+
+
+def test_context_score_model(spark):
+    assert keywords.Context(["red fox", "fox"])("big red fox") == (2, ["red fox", "fox"], [])
+    assert keywords.Context(["red fox"], ["trap"])("red fox near a trap")[0] == 0
+    assert keywords.Context(["red fox"], ["trap"])("red fox near a trapdoor")[0] == 2
+    assert keywords.Context(["fox"], anti=["hen"])("fox and hen") == (0, ["fox"], ["hen"])
+    assert keywords.Context(["fox"], anti=["hen"], irrelevant_anti=["coop"])("fox and hen in coop") == (1, ["fox"], [])
+    rng, lists = random.Random(8), (["red fox", "fox", "hen"], ["trap", "red hen"], ["hen", "cat"], ["coop"])
+    texts = [" ".join(rng.choice(["red", "fox", "Hen", "trap", "coop", "cat", "foxes", "x"]) for _ in range(rng.randrange(30))) for _ in range(300)]
+    score = keywords.Context(*lists, window=12)
+    assert [score(t) for t in texts] == [context_by_places(t, *lists, 12) for t in texts]
+    rows = keywords.context_score(spark.createDataFrame([(1, "fox and hen"), (2, None)], "doc_id int, text string"), ["fox"], anti=["hen"]).collect()
+    assert sorted(tuple(r) for r in rows) == [(1, 0, "fox", "hen"), (2, 0, "", "")]
+
+
+def test_token_set_ratio_model():
+    def common(a, b):
+        last = [0] * (len(b) + 1)
+        for x in a:
+            row = [0]
+            for k, y in enumerate(b):
+                row.append(last[k] + 1 if x == y else max(last[k + 1], row[-1]))
+            last = row
+        return last[-1]
+
+    def alike(a, b):
+        return 100.0 * 2 * common(a, b) / (len(a) + len(b))
+
+    def model(a, b):
+        one, two = set(a.split()), set(b.split())
+        if not one or not two:
+            return 0.0
+        both = " ".join(sorted(one & two))
+        left, right = (" ".join(filter(None, [both, " ".join(sorted(x))])) for x in (one - two, two - one))
+        if both and (left == both or right == both):
+            return 100.0
+        best = [100.0 * (1 - (len(left) + len(right) - 2 * len(both) - 2 * bool(both) - 2 * common(" ".join(sorted(one - two)), " ".join(sorted(two - one)))) / (len(left) + len(right)))]
+        return max(best + ([alike(both, left), alike(both, right)] if both else []))
+
+    rng = random.Random(4)
+    for _ in range(500):
+        a, b = (" ".join("".join(rng.choice("abc") for _ in range(rng.randrange(1, 5))) for _ in range(rng.randrange(5))) for _ in range(2))
+        assert abs(match.token_set_ratio_py(a, b) - model(a, b)) < 1e-9, (a, b)
+        assert match.common_length(a, b) == common(a, b)
+    assert match.token_set_ratio_py(None, "a") == 0.0
+
+
+def test_rows_and_slots_equal_a_loop(spark):
+    import difflib
+
+    rng = random.Random(12)
+    words = ["morning", "evening", "show", "news", "quiz", "may", "june"]
+    phrase = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(1, 4)))
+    urls = [(k % 3, k, f"{phrase()}-{k}", phrase()) for k in range(40)]
+    rows = [(k % 3, k, phrase(), "taken" if k % 7 == 0 else None) for k in range(25)]
+    u = spark.createDataFrame(urls, "block int, pos int, url string, text string")
+    r = spark.createDataFrame(rows, "block int, row_id int, text string, url string")
+    for best, like, least in (
+        (match.best_rows(u, r), lambda url, text, row: difflib.SequenceMatcher(None, url.lower(), row.lower()).ratio(), 0.5),
+        (match.best_token_rows(u, r), lambda url, text, row: match.token_set_ratio_py(text.lower(), row.lower()), 70),
+    ):
+        slots = {(b, k): url for b, k, _, url in rows}
+        for block, _, url, text in urls:
+            top, at = 0, None
+            for b, k, row, _ in rows:
+                if b == block and like(url, text, row) > max(top, least):
+                    top, at = like(url, text, row), k
+            if at is not None and slots[block, at] is None:
+                slots[block, at] = url
+        assert {(x.block, x.row_id): x.url for x in match.claim_slots(best, u, r).collect()} == slots
+
+
+def test_holding_by_broadcast_and_by_pieces(spark, monkeypatch):
+    rng = random.Random(2)
+    values = ["".join(rng.choice("ab.") for _ in range(rng.randrange(12))) for _ in range(200)] + [None]
+    patterns = ["a.b", "bb", ".", "", "abababababababab"]
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "id int, v string")
+    p = spark.createDataFrame([(x,) for x in patterns[:3]], "p string")
+    for bound in (1000, 1):
+        monkeypatch.setattr(frontier, "BROADCAST_PATTERNS", bound)
+        for at_start, test in ((False, lambda v, x: x in v), (True, lambda v, x: v.startswith(x))):
+            hit = {k for k, v in enumerate(values) if v is not None and any(test(v, x) for x in patterns[:3])}
+            assert {r.id for r in frontier.holding(rows, "v", p, "left_semi", at_start).collect()} == hit
+            assert {r.id for r in frontier.holding(rows, "v", p, "left_anti", at_start).collect()} == set(range(len(values))) - hit
+
+
+def test_pop_broadcasts_the_delayed_domains(spark):
+    delayed = spark.createDataFrame([("slow.",)], "domain string")
+    plan = frontier.pop(table(spark, "frontier"), 2, delayed)._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan
+
+
+def test_crawl_delay_equals_the_fold(spark, monkeypatch):
+    monkeypatch.setattr(frontier, "FOLD_ROWS", 7)
+    rng, rows, want = random.Random(1), [], {}
+    for d in "abc":
+        delay = 1.0
+        for k in range(100):
+            status, wish = rng.choice([200, 200, 200, 404, 429, 503]), rng.choice([None, 10, 900])
+            rows.append((d, k, status, wish))
+            delay = delay / 2 if status == 200 else max(delay * 2, wish or 0, 300.0) if status in (429, 503) else delay
+        want[d] = delay
+    rng.shuffle(rows)
+    got = frontier.crawl_delay(spark.createDataFrame(rows, "domain string, seq int, status int, retry_after int"))
+    assert {r.domain: r.delay for r in got.collect()} == want
+
+
+def test_closure_of_long_paths_and_cycles(spark):
+    edges = [(f"n{k}", f"n{k + 1}") for k in range(40)] + [("x", "y"), ("y", "x"), ("z", "z")]
+    got = graph.closure(spark.createDataFrame([(a, "p", b) for a, b in edges] + [("n0", "q", "x")], "subject string, predicate string, object string"), "p")
+    want = {(f"n{a}", f"n{b}") for a in range(41) for b in range(a, 41)} | {(a, b) for a in "xy" for b in "xy"} | {("z", "z")}
+    rows = [tuple(r) for r in got.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+
+
+def test_segments_equal_a_loop(spark):
+    lines = ["Show, BBC One, 3 May 2020", "Show, 3 May 2020", "BBC Two, Show, 3 May 2020", "The Pilot (Working title)", "BBC Red Button", "Page, bbc.co.uk", "Show, BBC One,", "A, B", "Long", "", "  title  ", "Alpha  Beta  1/2/2020", "x (Working title)"]
+    rng = random.Random(6)
+    texts = ["\n".join(rng.choice(lines) for _ in range(rng.randrange(8))) for _ in range(80)]
+    pages = spark.createDataFrame([(k, 1, t) for k, t in enumerate(texts)], "doc_id int, page int, text string")
+    got = {}
+    for r in records.segments(pages).orderBy("doc_id", "pos").collect():
+        got.setdefault(r.doc_id, []).append((r.kind, r.programme, r.station, r.date))
+    for k, t in enumerate(texts):
+        want, held = [], ""
+        for line in filter(None, map(str.strip, t.split("\n"))):
+            held = f"{held} {line}".strip()
+            for name, pattern, groups in records.SEGMENTS:
+                if m := re.match(pattern, held):
+                    want.append((name, *[(m[g] or "").strip() if g else "" for g in groups]))
+                    held = ""
+                    break
+        assert got.get(k, []) == want
+
+
+def test_values_by_spans_equal_the_fold(spark):
+    steps = spark.range(0, 400).select((F.col("id") % 2).cast("string").alias("param"), F.col("id").alias("step"), F.lit(1).alias("action"), (F.col("id") % 3).cast("double").alias("reward"))
+    want = {}
+    for k in range(400):
+        want[str(k % 2)] = want.get(str(k % 2), 0.0) * 0.9 + 0.1 * (k % 3)
+    for span in (7, 100, 10**6):
+        rows = bandit.values(steps, 0.1, span).collect()
+        assert {r.n for r in rows} == {200} and all(abs(r.q - want[r.param]) < 1e-12 for r in rows)
 
 
 @pytest.mark.parametrize(
@@ -117,10 +285,10 @@ def test_sinks_and_archive_source(spark, tmp_path):
     sinks.write_state(spark.createDataFrame([(5, None)], "cursor int, done string"), str(tmp_path / "s"))
     assert sinks.read_state(spark, str(tmp_path / "s"), "cursor int, done string", {"done": "no"}).first() == (5, "no")
     (tmp_path / "i.ndjson").write_text("\n".join(json.dumps({"url": f"u{k}", "digest": "d", "mime": m, "status": 200}) for k, m in enumerate(["text/html", "image/png"])))
-    from newsloom.sources.archive import ArchiveIndex
-
-    spark.dataSource.register(ArchiveIndex)
-    assert [r.url for r in spark.read.format("archive_index").option("paths", str(tmp_path / "i.ndjson")).option("mime", "text/html").load().collect()] == ["u0"]
+    (tmp_path / "j.ndjson").write_text('{"url": "u2", "mime": "text/html", "status": 404}\n{broken\n')
+    index = archive.read_index(spark, [str(tmp_path / "i.ndjson"), str(tmp_path / "j.ndjson")], ["text/html"])
+    assert sorted((r.url, r.origin[-8:]) for r in index.collect()) == [("u0", "i.ndjson"), ("u2", "j.ndjson")]
+    assert [r.url for r in archive.read_index(spark, [str(tmp_path)], statuses=[404]).collect()] == ["u2"]
 
 
 def test_streams(spark, tmp_path):
