@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from newsloom.sources.shared import cut, release
+
 #: Bytes of text that one numpy pass holds; bounds the memory of a Python worker.
 SLICE_BYTES = 2 << 20
 
@@ -20,37 +19,6 @@ def read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees; one of our own only where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="newsloom_")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/newsloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._newsloom_path = path
-    return out
-
-
-def release(*frames: DataFrame) -> None:
-    """Delete tables made by cut() that nothing reads any more."""
-    for df in frames:
-        path = getattr(df, "_newsloom_path", None)
-        if path:
-            jvm = df.sparkSession._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def schema_of(kind: T.DataType, rest: str, name: str = "id") -> T.StructType:
     """A schema of one column of any type, then those of a DDL string."""
     return T.StructType([T.StructField(name, kind), *T.StructType.fromDDL(rest).fields])

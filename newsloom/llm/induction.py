@@ -1,40 +1,75 @@
 """External induced sorting of suffixes around anchors, with common-prefix values.
 
-A record is a stretch of bytes with an anchor in it; records of a key hold the same bytes about their anchors. The
+A record is a stretch of bytes with an anchor in it; records of a group hold the same bytes about their anchors. The
 suffixes that start at the anchors are the seeds: they are sorted, and the common prefix of neighbours is counted. Then
-each suffix induces the one that starts a byte to its left: a tuple of key, byte and rank goes through a priority
+each suffix induces the one that starts a byte to its left: a tuple of group, byte and rank goes through a priority
 queue and comes out in the order of the longer suffixes, and the common prefix of new neighbours is one more than
 the least between them in the old order. Round by round all suffixes left of the anchors are sorted without any
 byte being compared again. A suffix whose common prefix reaches `size` is a string that starts elsewhere too;
 one that can no longer reach it leaves the recursion.
 
-The queue keeps `memory` tuples; beyond them it writes sorted runs to the worker's scratch folder and merges them
-by blocks. Its files are gone when it has been drained. repeated() joins the blocks of a round in memory, beside the
-records, so what it is given at a time must fit in memory.
+A shard may be far larger than memory. Stretches, ranks and common prefixes lie in arrays that are mapped from disk
+once they exceed `memory` bytes and are read and written in blocks; the queues (of tuples, and of what is found) keep
+`memory` bytes and write sorted runs beyond; seeds are sorted in runs and merged. In memory stay the 28 bytes of a
+record's group, places and start. The files are in the worker's scratch folder, belong to one task and end with it:
+a task that is run again writes its own.
 """
 
 from __future__ import annotations
 
+import heapq
 import tempfile
 
 import numpy as np
 
-#: Tuples that a queue keeps in memory, and of each run while it merges.
-MEMORY, BLOCK = 1 << 22, 1 << 16
+#: Bytes that an array, a queue or a run of seeds holds in memory; tuples that are taken at a time.
+MEMORY, BLOCK = 64 << 20, 1 << 18
+
+
+def array_of(n: int, kind, memory: int) -> np.ndarray:
+    """An array of zeros, mapped from a scratch file if it is larger than memory."""
+    if n * np.dtype(kind).itemsize <= memory:
+        return np.zeros(n, kind)
+    return np.memmap(tempfile.TemporaryFile(), kind, "w+", shape=(n,))
+
+
+class Stretches:
+    """Bytes that are appended and then read as one array."""
+
+    def __init__(self, memory: int):
+        self.memory, self.held, self.size, self.file = memory, [], 0, None
+
+    def add(self, raw: bytes) -> None:
+        self.size += len(raw)
+        if self.file is None and self.size > self.memory:
+            self.file = tempfile.TemporaryFile()
+            self.file.write(b"".join(self.held))
+            self.held = []
+        if self.file is None:
+            self.held.append(raw)
+        else:
+            self.file.write(raw)
+
+    def array(self) -> np.ndarray:
+        if self.file is None:
+            return np.frombuffer(b"".join(self.held), np.uint8)
+        self.file.flush()
+        return np.memmap(self.file, np.uint8, "r", shape=(self.size,))
 
 
 class TupleQueue:
     """Distinct 64-bit tuples in, ascending blocks of them out."""
 
     def __init__(self, memory: int = MEMORY, block: int = BLOCK):
-        self.memory, self.block, self.held, self.size, self.runs = memory, block, [], 0, []
+        self.most, self.block, self.held, self.size, self.count, self.runs = max(1, memory // 8), block, [], 0, 0, []
 
     def push(self, tuples: np.ndarray) -> None:
-        for k in range(0, len(tuples), self.memory):
-            part = tuples[k : k + self.memory]
+        for k in range(0, len(tuples), self.most):
+            part = tuples[k : k + self.most]
             self.held.append(part)
             self.size += len(part)
-            if self.size > self.memory:
+            self.count += len(part)
+            if self.size > self.most:
                 self._spill()
 
     def _spill(self) -> None:
@@ -52,7 +87,9 @@ class TupleQueue:
             return
         if self.held:
             self._spill()
-        load = lambda f: np.fromfile(f, np.int64, self.block)
+        # the runs' blocks together hold no more than the queue may
+        step = max(1, min(self.block, self.most // len(self.runs)))
+        load = lambda f: np.fromfile(f, np.int64, step)
         heads = [load(f) for f in self.runs]
         while any(len(h) for h in heads):
             # what is not above the least last element of the blocks can be given out: nothing smaller is still to come
@@ -68,60 +105,82 @@ class TupleQueue:
         self.runs = []
 
 
-def seeds(group, right, memory):
-    """(order, lcp) of the records by group and bytes right of the anchor; lcp is with the record before, 0 across groups."""
-    order = np.array(sorted(range(len(right)), key=lambda k: (group[k], right[k])), np.int64)
-    lcp = np.zeros(len(order), np.int64)
-    for lo in range(1, len(order), 8192):
-        hi = min(lo + 8192, len(order))
-        some = [right[k] for k in order[lo - 1 : hi].tolist()]
+def seeds(group: np.ndarray, data: np.ndarray, anchor: np.ndarray, end: np.ndarray, memory: int, block: int):
+    """(order, lcp) of the records by group and bytes from the anchor on; lcp is with the record before, 0 across groups."""
+    n = len(group)
+    order, lcp = array_of(n, np.int64, memory), array_of(n + 1, np.int32, memory)
+    key = lambda k: (group[k], data[anchor[k] : end[k]].tobytes())
+    sizes, runs, lo = np.cumsum(end - anchor), [], 0
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + memory, side="right")))
+        raw = data[anchor[lo] : end[hi - 1]].tobytes()
+        at, to, g = (anchor[lo:hi] - anchor[lo]).tolist(), (end[lo:hi] - anchor[lo]).tolist(), group[lo:hi].tolist()
+        held = [(g[k], raw[at[k] : to[k]]) for k in range(hi - lo)]
+        run = array_of(hi - lo, np.int64, memory if hi - lo == n else 0)
+        run[:] = sorted(range(hi - lo), key=held.__getitem__)
+        run += lo
+        runs.append(run)
+        lo = hi
+    if len(runs) == 1:
+        order = runs[0]
+    elif runs:
+        merged = heapq.merge(*(map(int, r) for r in runs), key=key)
+        for k, x in enumerate(merged):
+            order[k] = x
+    for lo in range(1, n, 8192):
+        hi = min(lo + 8192, n)
+        at = order[lo - 1 : hi]
+        some = [data[a:b].tobytes() for a, b in zip(anchor[at].tolist(), end[at].tolist())]
         size = np.array([len(s) for s in some])
         width = int(size.max()) + 1
         grid = np.frombuffer(b"".join(s.ljust(width, b"\0") for s in some), np.uint8).reshape(-1, width)
         differ = grid[1:] != grid[:-1]
-        first = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
-        lcp[lo:hi] = np.minimum(first, np.minimum(size[1:], size[:-1]))
-    same = group[order[1:]] == group[order[:-1]]
-    lcp[1:][~same] = 0
+        first = np.minimum(np.where(differ.any(axis=1), differ.argmax(axis=1), width), np.minimum(size[1:], size[:-1]))
+        first[group[at[1:]] != group[at[:-1]]] = 0
+        lcp[lo:hi] = first
     return order, lcp
 
 
-def repeated(group: np.ndarray, raw: list[bytes], back: np.ndarray, keep: np.ndarray, size: int, memory: int = MEMORY):
-    """(record, distance left of the anchor) of the suffixes that share `size` bytes with another of their group.
+def repeated(group: np.ndarray, data: np.ndarray, length: np.ndarray, back: np.ndarray, keep: np.ndarray, size: int, memory: int = MEMORY, block: int = BLOCK):
+    """Ascending blocks of record << 32 | place, for the windows that share `size` bytes with another of their group.
 
-    group: ascending numbers; raw: the stretches; back: places of the anchors in them; keep: windows start at places
-    0 to keep of a stretch.
+    group: ascending numbers; data: the stretches one after the other, of `length` bytes each; back: places of the anchors
+    in them; windows start at places 0 to keep of a stretch, left of the anchor.
     """
-    if not len(raw):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    length = np.array([len(r) for r in raw], np.int64)
-    anchor = np.cumsum(length) - length + back
-    order, lcp = seeds(group, [r[b:] for r, b in zip(raw, back.tolist())], memory)
-    out_record, out_distance = [], []
+    if not len(group):
+        return
+    start = np.cumsum(length) - length
+    anchor = start + back
+    order, lcp = seeds(group, data, anchor, start + length, memory, block)
+    found = TupleQueue(memory, block)
     for distance in range(1, int(back.max()) + 1):
-        after = np.append(lcp[1:], 0)
-        reach = np.maximum(lcp, after) + (back[order] - distance + 1)
-        old = np.flatnonzero((back[order] >= distance) & (reach >= size))
-        if not len(old):
+        queue = TupleQueue(memory, block)
+        for k in range(0, len(order), block):
+            record = order[k : k + block]
+            # of a rank that can still get to `size` bytes, by the longer of its two common prefixes
+            longest = np.maximum(lcp[k : k + len(record)], lcp[k + 1 : k + 1 + len(record)])
+            old = np.flatnonzero((back[record] >= distance) & (longest + back[record] - distance + 1 >= size))
+            record = record[old]
+            queue.push(((group[record] * 256 + data[anchor[record] - distance]) << 32) | (old + k))
+        if not queue.count:
             break
-        record = order[old]
-        bucket = group[record] * 256 + data[anchor[record] - distance]
-        # a tuple is bucket and rank; the bucket is numbered densely to leave the rank its bits
-        _, bucket = np.unique(bucket, return_inverse=True) if int(bucket.max()) >= 1 << 31 else (None, bucket)
-        queue = TupleQueue(memory)
-        queue.push((bucket.astype(np.int64) << 32) | old)
-        tuples = np.concatenate(list(queue.drain()))
-        old, bucket = tuples & 0xFFFFFFFF, tuples >> 32
-        new = np.zeros(len(old), np.int64)
-        pair = np.flatnonzero(bucket[1:] == bucket[:-1]) + 1
-        if len(pair):
-            ends = np.stack([old[pair - 1] + 1, old[pair] + 1], axis=1).ravel()
-            new[pair] = 1 + np.minimum.reduceat(np.append(lcp, 0), ends)[::2]
-        order, lcp = order[old], new
-        hit = (np.maximum(lcp, np.append(lcp[1:], 0)) >= size) & (distance >= back[order] - keep[order])
-        out_record.append(order[hit])
-        out_distance.append(np.full(int(hit.sum()), distance))
-    if not out_record:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(out_record), np.concatenate(out_distance)
+        new_order, new_lcp = array_of(queue.count, np.int64, memory), array_of(queue.count + 1, np.int32, memory)
+        at, last = 0, np.zeros(0, np.int64)
+        for tuples in queue.drain():
+            both = np.concatenate([last, tuples])
+            old, bucket = both & 0xFFFFFFFF, both >> 32
+            pair = np.flatnonzero(bucket[1:] == bucket[:-1])
+            value = np.zeros(len(both), np.int32)
+            if len(pair):
+                ends = np.stack([old[pair] + 1, old[pair + 1] + 1], axis=1).ravel()
+                value[pair + 1] = 1 + np.minimum.reduceat(lcp, ends)[::2]
+            new_order[at : at + len(tuples)] = order[tuples & 0xFFFFFFFF]
+            new_lcp[at : at + len(tuples)] = value[len(last) :]
+            at, last = at + len(tuples), tuples[-1:]
+        order, lcp = new_order, new_lcp
+        for k in range(0, len(order), block):
+            record = order[k : k + block]
+            longest = np.maximum(lcp[k : k + len(record)], lcp[k + 1 : k + 1 + len(record)])
+            record = record[(longest >= size) & (distance >= back[record] - keep[record])]
+            found.push((record << 32) | (back[record] - distance))
+    yield from found.drain()

@@ -1,22 +1,22 @@
 """Repeated byte strings across documents: every byte under a `size`-byte string that starts anywhere else.
 
 Suffixes are sorted by external induction (induction.py), and a suffix that has `size` bytes in common with a neighbour
-starts a repeated string. Most suffixes of a large corpus are alone, so they are first named, coarsely, and only
-those whose names occur again are dealt to shards and sorted:
+starts a repeated string. Equal stretches are merged before they are sorted, with a count, and a stretch that can have no
+partner is not sorted at all:
 
 1. Each window (string of `size` bytes) has an anchor, the smallest-hashed `GRAM`-byte string in its middle, so equal windows
-   have equal anchors with equal surroundings. Windows next to each other share an anchor. An anchor whose
-   surroundings occur once settles its windows as unique; one whose whole reach (the union of its windows) occurs
-   again settles them as repeated.
-2. The reaches that are left, one of each distinct, are dealt to shards by the name of their surroundings. There the suffixes at
-   the anchors are sorted and all those to their left induced, with common-prefix values.
-3. Surroundings with more than `HOT` distinct reaches would make a shard of one key. Their windows are counted instead of
-   sorted: by cells of `CELL` neighbours (a cell whose common string occurs once is unique, one whose union occurs again is
-   repeated), then one by one, each under a 128-bit name. Names are counted by plain aggregations, so this way
-   knows no skew.
-
-From pass to pass only Bloom filters of fixed size travel, of one place for each distinct reach that is still open;
-a wrong yes costs work, never a result.
+   have equal anchors with equal surroundings. Windows next to each other share an anchor; their union is the anchor's
+   reach. A reach whose surroundings occur once holds no repeated window. Equal reaches are one stretch from here on; if
+   there are several, all their windows repeat.
+2. The stretches whose surroundings another one has too are dealt to shards by the name of their surroundings. There the
+   suffixes at the anchors are sorted and all those to their left induced, with common-prefix values.
+3. A shard of more than `HOT` stretches is split by place: into cells of `CELL` neighbouring windows with the same
+   distance to the anchor and the same bytes in common. Cells are merged, left out and sorted like reaches. The shard
+   of a cell that is still larger is split into single windows, which are equal or not, so that merging them, by
+   plain aggregations of 128-bit names, is all there is to do. No key is one task's burden at any skew.
+
+From pass to pass travel Bloom filters of one place for each stretch that is to be sorted, sized by their number
+up to `BLOOM_MOST` bits; a wrong yes costs work, never a result. Where even that is too small, sets are joined.
 
 Defined results: null is the empty text; texts shorter than `size` lose nothing; matches never cross rows; rows with
 equal texts repeat each other; repeated rows give a row each; texts may be of any length; an empty table gives an
@@ -35,17 +35,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.llm.common import cut, read, release, schema_of, utf8_slices
-from newsloom.llm.induction import repeated
+from newsloom.llm.induction import MEMORY, Stretches, repeated
 
 SIZE = 400
 GRAM, SIDE, CELL = 16, 48, 16
-#: Distinct reaches that surroundings may have to be sorted in one shard; bytes of reaches sorted at a time.
+#: Distinct stretches of a shard, above which it is split; bytes of stretches of whole keys sorted at a time.
 HOT, BATCH_BYTES = 20_000, 16 << 20
-#: Bits of a Bloom filter.
-BLOOM_BITS = 1 << 26
+#: Bits of a Bloom filter for each of its keys, and in all.
+BLOOM_EACH, BLOOM_MOST = 12, 1 << 28
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
-POSITION = np.uint64((1 << 28) - 1)
+#: Places in a slice of texts; a text has less than 2**31 bytes.
+POSITION = np.uint64((1 << 31) - 1)
 
 
 def gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -111,8 +112,12 @@ class Bloom:
             yield (h >> np.uint64(33)) % np.uint64(bits)
 
     @classmethod
-    def of(cls, keys: DataFrame, bits: int = BLOOM_BITS) -> Bloom:
-        """keys: one column of longs."""
+    def of(cls, keys: DataFrame, most: int = BLOOM_MOST) -> Bloom:
+        """keys: one column of longs, counted and then read."""
+        bits = 1 << 16
+        n = keys.count()
+        while bits < min(most, n * BLOOM_EACH):
+            bits *= 2
 
         def run(batches):
             for b in batches:
@@ -124,11 +129,16 @@ class Bloom:
                 value = np.bitwise_or.reduceat(one, cuts) if len(at) else one
                 yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(value.view(np.int64))], ["word", "value"])
 
-        got = keys.mapInArrow(run, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).toArrow()
+        got = keys.mapInArrow(run, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).toArrow()  # bounded by bits
         words = np.zeros(bits // 64, np.uint64)
         words[got.column(0).to_numpy()] = got.column(1).to_numpy().view(np.uint64)
         return cls(words, bits)
 
+    @staticmethod
+    def fits(n: int, most: int = BLOOM_MOST) -> bool:
+        """Whether a filter of n keys still keeps most other keys out."""
+        return n * 4 <= most
+
     def holds(self, keys: np.ndarray) -> np.ndarray:
         out = np.ones(len(keys), bool)
         for at in self.places(keys, self.bits):
@@ -188,66 +198,86 @@ def grid(row, at, lo, hi):
     return row[run], np.maximum(lo[run], core - CELL + 1), np.minimum(hi[run], core), core
 
 
-REACH = "key long, th binary, lo int, back int, keep int, raw binary"
+STRETCH = "key long, rid long, th binary, lo int, back int, keep int, raw binary"
 SPAN = "th binary, lo int, end int"
 
 
-def reach(size: int, bloom):
-    """mapInArrow function over (th, text): the reaches of open anchors, with the place of the anchor and of the last window."""
+def stretches(level: int, size: int, blooms):
+    """mapInArrow function over (th, text): the stretches of a level that are to be sorted, with the place of the anchor and of
+    the last window. A cell's anchor is the byte after its core, which all of its windows start before."""
 
     def run(batches):
         for b in batches:
             text_id = text_ids(b.column(0))
             for r0, _, data, offsets in utf8_slices(b.column(1)):
                 row, at, lo, hi = anchors(data, offsets, size)
-                left = bloom.value.holds(place_ids(text_id[row + r0], lo - offsets[row]))
-                row, at, lo, hi = row[left], at[left], lo[left], hi[left]
                 raw = data.tobytes()
-                key = np.array([xxhash.xxh3_64_intdigest(raw[a - SIDE : a + GRAM + SIDE]) for a in at.tolist()], np.uint64).view(np.int64)
-                kind = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
-                nums = [pa.array(x, t) for x, t in zip((key, lo - offsets[row], at - lo, hi - lo), kind)]
-                cols = [nums[0], b.column(0).take(pa.array(row + r0)), *nums[1:], pa.array([raw[a : c + size] for a, c in zip(lo.tolist(), hi.tolist())], pa.binary())]
+                for bloom in blooms:
+                    left = bloom.value.holds(place_ids(text_id[row + r0], lo - offsets[row]))
+                    row, at, lo, hi = row[left], at[left], lo[left], hi[left]
+                    if level == 2 and bloom is not blooms[-1]:
+                        row, lo, hi, core = grid(row, at, lo, hi)
+                        at = core + 1
+                near = (-SIDE, GRAM + SIDE) if level == 1 else (-1, size - CELL)
+                key = np.array([xxhash.xxh3_64_intdigest(raw[a + near[0] : a + near[1]]) for a in at.tolist()], np.uint64).view(np.int64)
+                rid = place_ids(text_id[row + r0], lo - offsets[row])
+                kind = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+                nums = [pa.array(x, t) for x, t in zip((key, rid, lo - offsets[row], at - lo, hi - lo), kind)]
+                cols = [*nums[:2], b.column(0).take(pa.array(row + r0)), *nums[2:], pa.array([raw[a : c + size] for a, c in zip(lo.tolist(), hi.tolist())], pa.binary())]
                 for c in range(0, len(key), 4096):
-                    yield pa.RecordBatch.from_arrays([x.slice(c, 4096) for x in cols], ["key", "th", "lo", "back", "keep", "raw"])
+                    yield pa.RecordBatch.from_arrays([x.slice(c, 4096) for x in cols], ["key", "rid", "th", "lo", "back", "keep", "raw"])
 
     return run
 
 
-def induce(size: int, batch_bytes: int = BATCH_BYTES):
-    """mapInArrow function over reaches in order of key: spans of repeated windows; whole keys, batch_bytes at a time."""
+class Shard:
+    """Stretches of whole keys, in order of key, as they arrive."""
+
+    def __init__(self, memory: int):
+        self.memory, self.raw, self.parts = memory, Stretches(memory), []
+
+    def add(self, batch) -> None:
+        column = batch.column("raw").combine_chunks() if isinstance(batch.column("raw"), pa.ChunkedArray) else batch.column("raw")
+        length = np.array([len(x.as_buffer()) for x in column], np.int64)
+        for x in column:
+            self.raw.add(x.as_buffer().to_pybytes())
+        self.parts.append((batch.select(["key", "th", "lo", "back", "keep"]), length))
 
-    def spans(table):
-        key = table.column("key").to_numpy()
+    def spans(self, size: int):
+        """Batches of the runs of repeated windows."""
+        if not self.parts:
+            return
+        table = pa.Table.from_batches([p for p, _ in self.parts]).combine_chunks()
+        key, th = table.column("key").to_numpy(), table.column("th")
+        lo, back, keep = (table.column(c).to_numpy().astype(np.int64) for c in ("lo", "back", "keep"))
         group = np.cumsum(np.diff(key, prepend=key[:1]) != 0)
-        back, keep, lo = (table.column(c).to_numpy().astype(np.int64) for c in ("back", "keep", "lo"))
-        record, distance = repeated(group, table.column("raw").to_pylist(), back, keep, size)
-        start = back[record] - distance
-        order = np.lexsort((start, record))
-        record, start = record[order], start[order]
-        new = np.flatnonzero(np.concatenate([[True], (np.diff(record) != 0) | (np.diff(start) != 1)])) if len(record) else record
-        last = np.append(new[1:], len(record)) - 1 if len(record) else record
-        at = record[new]
-        th = table.column("th").combine_chunks().take(pa.array(at))
-        th = th.combine_chunks() if isinstance(th, pa.ChunkedArray) else th
-        return pa.RecordBatch.from_arrays([th, pa.array(lo[at] + start[new], pa.int32()), pa.array(lo[at] + start[last] + size, pa.int32())], ["th", "lo", "end"])
+        length = np.concatenate([n for _, n in self.parts])
+        for block in repeated(group, self.raw.array(), length, back, keep, size, self.memory):
+            record, start = block >> 32, block & 0xFFFFFFFF
+            new = np.flatnonzero(np.diff(block, prepend=block[:1] - 2) != 1)
+            last = np.append(new[1:], len(block)) - 1
+            at = record[new]
+            some = th.take(pa.array(at)).combine_chunks()
+            yield pa.RecordBatch.from_arrays([some, pa.array(lo[at] + start[new], pa.int32()), pa.array(lo[at] + start[last] + size, pa.int32())], ["th", "lo", "end"])
+
+
+def induce(size: int, batch_bytes: int = BATCH_BYTES, memory: int = MEMORY):
+    """mapInArrow function over stretches in order of key: spans of repeated windows; whole keys, about batch_bytes at a time."""
 
     def run(batches):
-        held, n = [], 0
+        shard, last = Shard(memory), None
         for b in batches:
-            if not b.num_rows:
-                continue
-            held.append(b)
-            n += b.nbytes
-            if n >= batch_bytes:
-                table = pa.Table.from_batches(held)
-                key = table.column("key").to_numpy()
-                whole = int(np.searchsorted(key, key[-1]))
-                if whole:
-                    yield spans(table.slice(0, whole).combine_chunks())
-                    held = table.slice(whole).combine_chunks().to_batches()
-                    n = sum(x.nbytes for x in held)
-        if held:
-            yield spans(pa.Table.from_batches(held))
+            while b.num_rows:
+                key = b.column("key").to_numpy()
+                if shard.raw.size >= batch_bytes and key[0] != last:
+                    yield from shard.spans(size)
+                    shard = Shard(memory)
+                # once there is enough, only what still belongs to the last key
+                n = b.num_rows if shard.raw.size < batch_bytes else int(np.searchsorted(key, last, side="right"))
+                step = max(1, min(n, 1024))
+                shard.add(b.slice(0, step))
+                last, b = key[step - 1], b.slice(step)
+        yield from shard.spans(size)
 
     return run
 
@@ -263,19 +293,22 @@ def place_ids(text_id: np.ndarray, lo: np.ndarray) -> np.ndarray:
 
 
 def _settle(texts: DataFrame, level: int, size: int, blooms: list):
-    """Names of one level: (spans of what occurs again, distinct unions (key, f1, f2, n, rid))."""
+    """Names of one level: (spans of what occurs again, distinct stretches (key, f1, f2, n, rid))."""
     spark = texts.sparkSession
     named = cut(texts.mapInArrow(scan(level, size, list(blooms)), LEVEL))
-    again = named.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    again = spark.sparkContext.broadcast(Bloom.of(again))
+    again = cut(named.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
+    if Bloom.fits(again.count()):
+        held = spark.sparkContext.broadcast(Bloom.of(again))
 
-    def only(batches):
-        for b in batches:
-            yield b.filter(pa.array(again.value.holds(b.column(0).to_numpy())))
+        def only(batches):
+            for b in batches:
+                yield b.filter(pa.array(held.value.holds(b.column(0).to_numpy())))
 
-    some = cut(named.mapInArrow(only, LEVEL))
-    release(named)
-    # a union that occurs once is its own representative; of others one goes on, as a partner for the rest
+        some = cut(named.mapInArrow(only, LEVEL))
+    else:
+        some = cut(named.join(again, "key", "left_semi"))
+    release(named, again)
+    # a stretch that occurs once is its own representative; of others one goes on, as a partner for the rest
     unions = cut(some.groupBy("key", "f1", "f2").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("rid")))
     twice = unions.where("n > 1").select("key", "f1", "f2")
     spans = cut(some.join(twice, ["key", "f1", "f2"], "left_semi").select("th", "lo", (F.col("hi") + size).alias("end")))
@@ -283,26 +316,43 @@ def _settle(texts: DataFrame, level: int, size: int, blooms: list):
     return spans, unions
 
 
-def repeated_spans(texts: DataFrame, size: int = SIZE, hot: int = HOT) -> DataFrame:
+def _open(unions: DataFrame) -> DataFrame:
+    """(key, k): keys of several distinct stretches, one of which may or may not repeat."""
+    return cut(unions.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").drop("least"))
+
+
+def _sort(texts: DataFrame, level: int, size: int, unions: DataFrame, keys: DataFrame, blooms: list, memory: int) -> DataFrame:
+    """Spans found by sorting the stretches of the given keys: a row of each (text, place), however many rows the text has."""
+    rids = cut(unions.join(keys.select("key"), "key", "left_semi").select("rid"))
+    place = texts.sparkSession.sparkContext.broadcast(Bloom.of(rids))
+    found = texts.mapInArrow(stretches(level, size, [*blooms, place]), STRETCH)
+    if not Bloom.fits(rids.count()):
+        found = found.join(rids, "rid", "left_semi")
+    found = found.groupBy("key", "rid", "th", "lo", "back", "keep").agg(F.first("raw").alias("raw"))
+    spans = cut(found.repartition("key").sortWithinPartitions("key").mapInArrow(induce(size, memory=memory), SPAN))
+    release(rids)
+    return spans
+
+
+def repeated_spans(texts: DataFrame, size: int = SIZE, hot: int = HOT, memory: int = MEMORY) -> DataFrame:
     """(th, spans) for texts(th, text): flat start, end lists of the maximal runs of repeated bytes, per distinct text."""
     spark = texts.sparkSession
     spans, unions = _settle(texts, 1, size, [])
-    open_keys = cut(unions.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1"))
-    parts = [spans]
-
-    def places(keys):
-        return spark.sparkContext.broadcast(Bloom.of(unions.join(keys, "key", "left_semi").select("rid")))
-
-    reaches = texts.mapInArrow(reach(size, places(open_keys.where(F.col("k") <= hot))), REACH)
-    parts.append(cut(reaches.repartition("key").sortWithinPartitions("key").mapInArrow(induce(size), SPAN)))
+    open_keys = _open(unions)
+    parts = [spans, _sort(texts, 1, size, unions, open_keys.where(F.col("k") <= hot), [], memory)]
     many = open_keys.where(F.col("k") > hot)
     if not many.isEmpty():
-        blooms = [places(many)]
+        blooms = [spark.sparkContext.broadcast(Bloom.of(unions.join(many, "key", "left_semi").select("rid")))]
         spans, cells = _settle(texts, 2, size, blooms)
-        left = cells.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1")
-        blooms.append(spark.sparkContext.broadcast(Bloom.of(cells.join(left, "key", "left_semi").select("rid"))))
-        parts += [spans, _settle(texts, 3, size, blooms)[0]]
-        release(cells)
+        open_cells = _open(cells)
+        parts += [spans, _sort(texts, 2, size, cells, open_cells.where(F.col("k") <= hot), blooms, memory)]
+        many = open_cells.where(F.col("k") > hot)
+        if not many.isEmpty():
+            blooms.append(spark.sparkContext.broadcast(Bloom.of(cells.join(many, "key", "left_semi").select("rid"))))
+            spans, windows = _settle(texts, 3, size, blooms)
+            parts.append(spans)
+            release(windows)
+        release(cells, open_cells)
     release(unions, open_keys)
     spans = parts[0]
     for p in parts[1:]:
@@ -327,11 +377,11 @@ def repeated_spans(texts: DataFrame, size: int = SIZE, hot: int = HOT) -> DataFr
     return done
 
 
-def deduplicate(docs: DataFrame, id_col="doc_id", text_col="text", size: int = SIZE, hot: int = HOT) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col="doc_id", text_col="text", size: int = SIZE, hot: int = HOT, memory: int = MEMORY) -> DataFrame:
     """(id, n_bytes, spans, kept): the bytes of each text, its removed runs, and the bytes that are left."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("th"), text.alias("text"))
-    spans = repeated_spans(rows.select("th", "text"), size, hot)
+    spans = repeated_spans(rows.select("th", "text"), size, hot, memory)
     some = docs.sparkSession.sparkContext.broadcast(Bloom.of(spans.select(F.xxhash64("th").alias("key"))))
 
     def pack(batches):
