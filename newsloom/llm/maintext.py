@@ -2,11 +2,12 @@
 
 A page is parsed into a tree of block elements (unclosed and crossed tags are tolerated). Parts that are
 never article text (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments of
-readers) are left out by tag, role, or a word of class or id. Every run of text in a block is a paragraph and
-passes points for its length and commas to its ancestors: all to the container, half to the next, a third
-of a share to those above. A container's score is discounted by the share of its text that is links. The
-best container stands for the article (its enclosing <article> or <main> where there is one), and siblings
-that are headings, linkless blocks, or score at least a fifth of it are kept with it.
+readers) are left out by tag, role, or a word of class or id; words that articles use too (legal, header, related ...)
+count only where all of the name says so, as in site-header but not in article-header. Every run of text in a block is a
+paragraph and passes points for its length and commas to its ancestors: all to the container, half to the next, a third
+of a share to those above, but `SEMANTIC` shares to an <article> or <main>, however far up. A container's score is
+discounted by the share of its text that is links. The container of the highest score, of equals the inner one, stands for
+the article, and siblings that are headings, linkless blocks, or score at least a fifth of it are kept with it.
 
 Defined results: null, empty and markup-only pages give the empty text; repeated rows give a row each;
 an empty table gives an empty result; pages may be of any length; other columns are not read.
@@ -33,11 +34,21 @@ LEAVES = HEADS | frozenset("p pre blockquote li dd dt td th figcaption caption a
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
 FENCE = frozenset("ul ol dl table article section div main body td th blockquote figure".split())
 BAD_WORDS = frozenset(
-    "nav navbar navigation menu menubar header masthead topbar footer foot sidebar side aside rail notice notices cookie cookies consent gdpr banner"
-    " alert ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion comment comments commentlist disqus respond replies"
-    " share sharing social related recommended newsletter subscribe subscription signup login popup modal overlay breadcrumb breadcrumbs pagination"
-    " pager widget toolbar skip copyright legal outbrain taboola".split()
+    "nav navbar navigation menu menubar masthead topbar footer sidebar cookie cookies consent gdpr"
+    " ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion comment comments commentlist disqus"
+    " share sharing recommended newsletter subscribe subscription signup login popup modal overlay breadcrumb breadcrumbs pagination"
+    " pager widget toolbar outbrain taboola".split()
 )
+#: Words that mark boilerplate only with each other and with words of layout, not beside any other word.
+SOFT_WORDS = frozenset("header foot side aside rail notice notices banner alert alerts respond replies social related skip copyright legal".split())
+PLAIN_WORDS = frozenset(
+    "site page top bottom main global inner outer wrapper wrap container box bar block area section region panel list item items link links icon icons"
+    " button buttons group row col column left right primary secondary sub mini fixed sticky mobile desktop js to and".split()
+)
+#: Words that are plain beside related only.
+RELATED = frozenset("related content contents articles posts stories reading news topics pages more".split())
+#: Shares of a paragraph's points that semantic elements get.
+SEMANTIC = {"article": 1.05, "main": 0.6}
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 
 TOKEN = re.compile(
@@ -69,11 +80,21 @@ def unwanted(tag: str, attributes: str, in_article: bool, classes: bool = True)
         if name == "role" and value.lower() in BAD_ROLES:
             return True
         if classes and name in ("class", "id") and tag not in ("html", "body", "main"):
-            if not BAD_WORDS.isdisjoint(w.lower() for part in value.split() if not LAYOUT.search(part) for w in SPLIT.split(part)):
+            if any(marks_boilerplate([w.lower() for w in SPLIT.split(part) if w]) for part in value.split() if not LAYOUT.search(part)):
                 return True
     return False
 
 
+def marks_boilerplate(words: list[str]) -> bool:
+    """Whether the words of one class name or id mark boilerplate."""
+    if not BAD_WORDS.isdisjoint(words):
+        return True
+    if SOFT_WORDS.isdisjoint(words):
+        return False
+    plain = RELATED if "related" in words else frozenset()
+    return all(w in SOFT_WORDS or w in PLAIN_WORDS or w in plain or len(w) == 1 or w.isdigit() for w in words)
+
+
 def parse(html: str, classes: bool = True) -> Node:
     root = here = Node("html", None)
     buffer: list[str] = []
@@ -185,7 +206,7 @@ def score(root: Node) -> list[Node]:
                 points = 1 + text.count(",") + min(len(text) / 100, 3)
                 up, depth = node.up if node.tag in LEAVES and node.up is not None else node, 0
                 while up is not None:
-                    up.score += points / (1, 2, 6, 9, 12)[min(depth, 4)]
+                    up.score += points * SEMANTIC[up.tag] if up.tag in SEMANTIC else points / (1, 2, 6, 9, 12)[min(depth, 4)]
                     up, depth = up.up, depth + 1
     for node in order:
         node.score *= 1 - (node.linked / node.text if node.text else 0)
@@ -213,8 +234,8 @@ def _main_text(root: Node) -> str:
     nodes = [x for x in score(root) if x.tag not in LEAVES]
     if not nodes:
         return ""
-    best = max(nodes, key=lambda x: x.score)
-    best = _enclosing(best, "article") or _enclosing(best, "main") or best
+    top = max(x.score for x in nodes)
+    best = [x for x in nodes if x.score >= top - 1e-9][-1]
     if best.up is None:
         return "\n".join(blocks(best))
     kept = []
