@@ -1,9 +1,11 @@
 """Licence scan by sentence rules.
 
-A text is split into sentences; each is normalised (lower case, markup, comment signs and brackets dropped,
-white space as one space) and mapped to the identifier of a known licence sentence, if it is one. The identifiers of a text,
-in order, are matched against the ordered rules: at each place the first rule whose identifiers stand there
-names its licence and uses them up; identifiers that no rule uses are reported as unmatched.
+A text is split into sentences; each is normalised to words (lower case, no markup, quotes, brackets or commas, one spelling of
+license) and looked up among the known licence sentences, which are indexed by their first words. A known sentence may stand
+anywhere in a sentence of the text, the leftmost first and of those the longest, unless it is marked as standing alone or
+at the start. What is negated ("not licensed under ...") names nothing. The identifiers of a text, in order,
+are matched against the ordered rules: at each place the first rule whose identifiers stand there names its licence and
+uses them up; identifiers that no rule uses are reported as unmatched.
 
 Defined results: null and empty texts have no sentences; a licence named twice is listed once; repeated rows
 give a row each; texts may be of any length; an empty table gives an empty result; other columns are not read.
@@ -19,110 +21,263 @@ from pyspark.sql import functions as F
 
 from newsloom.llm.common import read, schema_of, texts_of
 
-# Licence sentences by identifier, as patterns over normalised sentences.
+# How known sentences are written: words; a|b for either; a trailing ? for a word that may be missing; ^ and $ for the ends of
+# the sentence; <v> a version, <n> a number, <w> a word, <*> 1 to LOOSE words, <year> years, <bsd> a number of clauses,
+# <cc> attribution terms, <spdx> an expression of licence names.
+LOOSE = 20
+UNDER = "licensed|released|distributed|available|published|provided under the|a? terms? of? the?"
+GNU = {"gpl": "general public license", "lgpl": "lesser|library general public license", "agpl": "affero general public license"}
+# Known licence sentences by identifier, in normalised words.
 SENTENCES = {
-    "apache-version": r"licensed under the apache license,? (?:version )?([0-9](?:\.[0-9])?)",
-    "apache-grant": r"you may not use this (?:file|work) except in compliance with the license",
-    "apache-asis": r"distributed under the license is distributed on an as is basis",
-    "mit-named": r"(?:released|licensed|distributed) under the (?:terms of the )?mit licen[sc]e",
-    "mit-grant": r"permission is hereby granted,? free of charge,? to any person obtaining a copy",
-    "mit-notice": r"the above copyright notice and this permission notice shall be included",
-    "asis-merchant": r"software is provided as is,? without warranty of any kind",
-    "gpl-named": r"licensed under the gnu general public licen[sc]e,? version ([0-9](?:\.[0-9])?)",
-    "gpl-version": r"gnu general public licen[sc]e as published by the free software foundation[,;]? (?:either )?version ([0-9](?:\.[0-9])?)",
-    "lgpl-version": r"gnu (?:lesser|library) general public licen[sc]e(?: as published by the free software foundation[,;]? (?:either )?)?,? ?version ([0-9](?:\.[0-9])?)",
-    "agpl-version": r"gnu affero general public licen[sc]e(?: as published by the free software foundation[,;]? (?:either )?)?,? ?version ([0-9](?:\.[0-9])?)",
-    "gpl-later": r"or at your option any later version",
-    "gpl-hope": r"in the hope that it will be useful,? but without any warranty",
-    "cc": r"licensed under (?:a |the )?(?:cc|creative commons) ?((?:by|cc0|zero)(?:[- ](?:nc|nd|sa))*)[- ]?([0-9]\.[0-9])",
-    "mpl": r"subject to the terms of the mozilla public licen[sc]e,? v(?:ersion)?\.? ?([0-9]\.[0-9])",
-    "bsd-named": r"(?:released|licensed|distributed) under the (2|3|two|three)[- ]clause bsd licen[sc]e",
-    "bsd-grant": r"redistribution and use in source and binary forms,? with or without modification,? are permitted",
-    "bsd-source": r"redistributions of source code must retain the above copyright notice",
-    "bsd-binary": r"redistributions in binary form must reproduce the above copyright notice",
-    "bsd-names": r"neither the name of .* nor the names of its contributors may be used to endorse",
-    "bsd-asis": r"software is provided by the copyright holders and contributors as is",
-    "isc-grant": r"permission to use,? copy,? modify,? and(?:/or)? distribute this software for any purpose",
-    "unlicense": r"this is free and unencumbered software released into the public domain",
-    "spdx": r"spdx-license-identifier: ?([a-z0-9.+-]+)",
-    "reserved": r"all rights reserved",
-    "copyright": r"^(?:copyright|\(c\)|©)(?: \(c\)| ©)? (?:[0-9]{4})",
+    "apache-version": [f"{UNDER} apache software? license? version? <v>"],
+    "apache-title": ["^ apache license version <v> <w> <n>", "^ apache license version <v> $"],
+    "apache-terms": ["terms and conditions for use reproduction and distribution"],
+    "apache-grant": ["you may not use this file|work|software except in compliance with the license"],
+    "apache-copy": ["you may obtain a copy of the license at"],
+    "apache-asis": ["distributed under the license is distributed on an as is basis"],
+    "apache-limits": ["see the license for the specific language governing permissions and limitations under the license"],
+    "mit-named": [f"{UNDER} mit|expat license", "licensed under the? mit"],
+    "mit-title": ["^ the? mit license mit? $"],
+    "mit-grant": ["permission is hereby granted free of charge to any person obtaining a copy"],
+    "mit-notice": ["the above copyright notice and this permission notice shall be included in all copies or substantial portions"],
+    "asis-warranty": ["software is provided as is without warranty of any kind"],
+    "asis-liability": ["in no event shall the author|authors or copyright holder|holders be liable"],
+    "bsd-named": [f"{UNDER} <bsd> bsd license", f"{UNDER} bsd <bsd> license"],
+    "bsd-title": ["^ the? <bsd> bsd license $", "^ the? bsd <bsd> license $"],
+    "bsd-grant": ["redistribution and use in source and binary forms with or without modification are permitted"],
+    "bsd-source": ["redistributions of source code must retain the above copyright notice"],
+    "bsd-binary": ["redistributions in binary form must reproduce the above copyright notice"],
+    "bsd-names": ["neither the name|names of <*> nor the names of its|the|specific contributors may be used to endorse"],
+    "bsd-asis": ["software is provided by the copyright holder|holders and contributors as is", "software is provided by <*> as is"],
+    "bsd-liability": ["in no event shall the? copyright holder|holders|owner or contributors be liable"],
+    "gpl-hope": ["distributed in the hope that it will be useful but without any warranty"],
+    "gpl-later": ["or at your option any later version", "or any later version"],
+    "gpl-received": ["you should have received a copy of the gnu <*> license along with"],
+    "cc": [f"{UNDER} cc <cc> <v>", f"{UNDER} creative commons <cc> <v>", f"{UNDER} creative? commons? cc0 <v>"],
+    "mpl-version": ["subject to the terms of the mozilla public license version|v? <v>"],
+    "mpl-copy": ["if a copy of the mpl was not distributed with this file"],
+    "mpl-named": [f"{UNDER} mozilla public license version|v? <v>", f"{UNDER} mpl version|v? <v>"],
+    "mpl-title": ["^ mozilla public license version <v> $"],
+    "isc-named": [f"{UNDER} isc license"],
+    "isc-title": ["^ the? isc license $"],
+    "isc-grant": ["permission to use copy modify and/or|and distribute this software for any purpose with or without fee is hereby granted"],
+    "isc-asis": ["software is provided as is and the author disclaims all warranties"],
+    "unlicense-named": [f"{UNDER} unlicense"],
+    "unlicense": ["this is free and unencumbered software released into the public domain"],
+    "unlicense-grant": ["anyone is free to copy modify publish use compile sell or distribute this software"],
+    "spdx": ["spdx-license-identifier <spdx>"],
+    "reserved": ["all rights reserved"],
+    "copyright": ["^ copyright (c)? <year>", "^ (c) copyright? <year>"],
 }
-# Rules in order of trial; a licence name may use what its first identifier captured.
-RULES = (
-    ("Apache-{}", ("apache-version", "apache-grant", "apache-asis")),
-    ("Apache-{}", ("apache-version", "apache-grant")),
-    ("Apache-{}", ("apache-version",)),
-    ("MIT", ("mit-named", "mit-grant", "mit-notice", "asis-merchant")),
-    ("MIT", ("mit-grant", "mit-notice", "asis-merchant")),
-    ("MIT", ("mit-grant", "mit-notice")),
-    ("MIT", ("mit-named",)),
-    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names", "bsd-asis")),
-    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")),
-    ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-asis")),
-    ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
-    ("BSD-{}-Clause", ("bsd-named",)),
-    ("LGPL-{}-or-later", ("lgpl-version", "gpl-later")),
-    ("LGPL-{}", ("lgpl-version",)),
-    ("AGPL-{}-or-later", ("agpl-version", "gpl-later")),
-    ("AGPL-{}", ("agpl-version",)),
-    ("GPL-{}-or-later", ("gpl-version", "gpl-later", "gpl-hope")),
-    ("GPL-{}-or-later", ("gpl-version", "gpl-later")),
-    ("GPL-{}", ("gpl-version",)),
-    ("GPL-{}", ("gpl-named",)),
-    ("CC-{}", ("cc",)),
-    ("MPL-{}", ("mpl",)),
-    ("ISC", ("isc-grant",)),
-    ("Unlicense", ("unlicense",)),
-    ("{}", ("spdx",)),
-    ("All-rights-reserved", ("copyright", "reserved")),
-    ("All-rights-reserved", ("reserved",)),
-    ("Copyright-notice", ("copyright",)),
-)
-NUMBERS = {"two": "2", "three": "3"}
-PATTERNS = [(k, re.compile(p)) for k, p in SENTENCES.items()]
-BY_FIRST: dict[str, list] = {}
-for _name, _ids in RULES:
-    BY_FIRST.setdefault(_ids[0], []).append((_name, _ids))
-#: Every licence sentence holds one of these words; sentences without are not tried.
-CUE = re.compile(r"licen[sc]e|copyright|©|\(c\)|warrant|permission|redistribution|endorse|reserved|unencumbered|later version|spdx|as is|contributors", re.I)
-#: Words of licence names and notices that a line may begin with in the middle of a sentence.
-ON = r"(?:\(at your option|(?:GNU|General|Lesser|Library|Affero|Public|Licen[sc]e|Free|Software|Foundation|Version|Apache|Mozilla|Creative|Commons|MIT|BSD|WITHOUT|WARRANTY)\b(?!:))"
-LEAD = r"\s*(?:[*#/;-]+\s*)?"
-#: A semicolon ends no sentence (notices go on after it), unless a copyright line follows.
-END = re.compile(rf"(?<=[.!?])\s+|(?<=;)\s+(?=(?i:copyright|©|\(c\)))|\n\s*\n|\n(?={LEAD}[A-Z©(])(?!{LEAD}{ON})")
-MARKUP = re.compile(r"(?:^|\n)\s*(?://+|/?\*+/?|#+|;+|--+)|[\"'`“”‘’]")
-BRACKETS = re.compile(r"\((?!c\))([^()]*)\)")
-
-
-def normalise(sentence: str) -> str:
-    return " ".join(BRACKETS.sub(r" \1 ", MARKUP.sub(" ", sentence).lower()).split()).replace(" ,", ",")
+for _k, _name in GNU.items():
+    SENTENCES |= {
+        f"{_k}-version": [f"gnu {_name} as published by the free software foundation either? version <v>"],
+        f"{_k}-named": [f"{UNDER} gnu? {_name} version|v? <v>", f"{UNDER} gnu? {_k} version|v? <v>"],
+        f"{_k}-named-later": [f"{UNDER} gnu? {_name} version|v? <v> or later|newer", f"{UNDER} gnu? {_k} version|v? <v> or later|newer"],
+        f"{_k}-title": [f"^ gnu {_name} version <v> <n>? <w> <n> $", f"^ gnu {_name} version <v> $"],
+    }
+# Rules in order of trial; a trailing ? for an identifier that may be missing; a name takes what was captured.
+_HEAD = "copyright? reserved?"
+RULES = [
+    ("Apache-{}", f"{_HEAD} apache-version apache-grant? apache-copy? apache-asis? apache-limits?"),
+    ("Apache-{}", "apache-title apache-terms?"),
+    ("MIT", f"mit-title? mit-named? {_HEAD} mit-grant mit-notice? asis-warranty? asis-liability?"),
+    ("MIT", "mit-named"),
+    ("MIT", f"mit-title {_HEAD}"),
+    ("BSD-3-Clause", f"bsd-title? {_HEAD} bsd-grant bsd-source bsd-binary bsd-names bsd-asis? bsd-liability?"),
+    ("BSD-2-Clause", f"bsd-title? {_HEAD} bsd-grant bsd-source bsd-binary bsd-asis? bsd-liability?"),
+    ("BSD-{}-Clause", "bsd-named"),
+    ("BSD-{}-Clause", "bsd-title"),
+    *((f"{k.upper()}-{{}}-or-later", f"{_HEAD} {k}-version gpl-later gpl-hope? gpl-received?") for k in GNU),
+    *((f"{k.upper()}-{{}}", f"{_HEAD} {k}-version gpl-hope? gpl-received?") for k in GNU),
+    *((f"{k.upper()}-{{}}-or-later", f"{k}-named-later") for k in GNU),
+    *((f"{k.upper()}-{{}}-or-later", f"{k}-named gpl-later gpl-hope? gpl-received?") for k in GNU),
+    *((f"{k.upper()}-{{}}", f"{k}-named") for k in GNU),
+    *((f"{k.upper()}-{{}}", f"{k}-title") for k in GNU),
+    ("CC-{}", "cc"),
+    ("MPL-{}", f"{_HEAD} mpl-version mpl-copy?"),
+    ("MPL-{}", "mpl-named"),
+    ("MPL-{}", "mpl-title"),
+    ("ISC", f"isc-title? isc-named? {_HEAD} isc-grant isc-asis?"),
+    ("ISC", "isc-named"),
+    ("ISC", f"isc-title {_HEAD}"),
+    ("Unlicense", "unlicense unlicense-grant?"),
+    ("Unlicense", "unlicense-named"),
+    ("{}", "spdx"),
+    ("All-rights-reserved", "copyright? reserved"),
+    ("Copyright-notice", "copyright"),
+]
+# Words before a known sentence that negate it, how far before, and the word that ends their reach.
+NEGATIONS, NEAR, TURN = frozenset("not no never nor neither isn't wasn't aren't weren't cannot without n't".split()), 3, "but"
+CC = {"by": "BY", "nc": "NC", "nd": "ND", "sa": "SA", "attribution": "BY", "noncommercial": "NC", "noderivatives": "ND", "noderivs": "ND", "sharealike": "SA"}
+CLAUSES = {"2-clause": "2", "two-clause": "2", "3-clause": "3", "three-clause": "3", "simplified": "2", "new": "3", "modified": "3", "revised": "3"}
+
+#: Every known sentence holds one of these; sentences without are not looked up.
+CUES = (
+    "licens", "licenc", "copyright", "©", "(c)", "warrant", "permission", "redistribut", "reserved", "unencumbered", "later", "liable", "endorse", "mpl", "gpl", "apache",
+    "commons", "cc0", "provided", "reproduction", "anyone",
+)
+CC_CUE = re.compile(r"cc[\s-]+(?:by|attribution|nc|nd|sa)")
+LEAD = r"[ \t]*(?:[*#/;-]+[ \t]*)?"
+END = re.compile(rf"(?<![\s,][vV]\.)(?<=[.!?])\s+|\n{LEAD}(?=\n)|\n(?={LEAD}(?i:copyright|©|\(c\)|spdx-license|all rights reserved))|(?<=;)\s+(?=(?i:copyright|©|\(c\)))")
+WORD = re.compile(r"\(c\)|[^\W_]+(?:[.+'/-]+[^\W_]+)*\+?")
+VERSION, YEAR, NAME = re.compile(r"v?([0-9]+(?:\.[0-9]+)*)$"), re.compile(r"[0-9]{4}(?:-[0-9]{2,4})?$"), re.compile(r"[a-z0-9][a-z0-9.+-]*$")
+SHORT = re.compile(r"\b([al]?gpl)[- ]?v?(?=[0-9])")
+
+
+def normalise(sentence: str) -> list[str]:
+    low = sentence.lower().replace("©", "(c)").replace("’", "'").replace("licence", "license")
+    return WORD.findall(SHORT.sub(r"\1 ", low))
+
+
+def _cc(words, k):
+    parts = []
+    while k < len(words) and len(parts) < 8 and all(p in CC for p in re.split("[-/]", words[k])):
+        parts += [CC[p] for p in re.split("[-/]", words[k])]
+        k += 1
+        yield k, "-".join(parts)
+
+
+def _spdx(words, k):
+    if k < len(words) and NAME.match(words[k]):
+        end = k + 1
+        while end + 1 < len(words) and words[end] in ("or", "and", "with") and NAME.match(words[end + 1]):
+            end += 2
+        yield end, " ".join(words[k:end])
+
+
+def _one(test):
+    def run(words, k):
+        value = test(words[k]) if k < len(words) else None
+        if value is not None:
+            yield k + 1, value
+
+    return run
+
+
+#: What a slot takes at a place: (end, captured) in order of trial; an empty capture is none.
+SLOTS = {
+    "<v>": _one(lambda w: m[1] if (m := VERSION.match(w)) else None),
+    "<n>": _one(lambda w: "" if w.isdecimal() else None),
+    "<w>": _one(lambda w: ""),
+    "<year>": _one(lambda w: "" if YEAR.match(w) else None),
+    "<bsd>": _one(CLAUSES.get),
+    "<cc>": _cc,
+    "<spdx>": _spdx,
+    "<*>": lambda words, k: ((e, "") for e in range(k + 1, min(k + LOOSE, len(words)) + 1)),
+    "^": lambda words, k: ((k, ""),) if k == 0 else (),
+    "$": lambda words, k: ((k, ""),) if k == len(words) else (),
+}
+
+
+def _compile(sentence: str) -> tuple:
+    out = []
+    for part in sentence.split():
+        maybe = part.endswith("?")
+        part = part[: len(part) - maybe]
+        out.append((SLOTS.get(part) or _one(lambda w, of=frozenset(part.split("|")): "" if w in of else None), maybe))
+    return tuple(out)
+
+
+def match_at(pattern: tuple, words: list[str], k: int, p: int = 0):
+    """(end, captured) of the first way that a known sentence stands at a place, or None."""
+    while p < len(pattern):
+        slot, maybe = pattern[p]
+        p += 1
+        for end, value in slot(words, k):
+            if (rest := match_at(pattern, words, end, p)) is not None:
+                return rest[0], ((value,) if value else ()) + rest[1]
+        if not maybe:
+            return None
+    return k, ()
+
+
+def _first_words(sentence: str) -> list[str]:
+    out = []
+    for part in sentence.split():
+        if part != "^":
+            out += part.rstrip("?").split("|")
+            if not part.endswith("?"):
+                break
+    return out
+
+
+KNOWN = [(name, _compile(s)) for name, some in SENTENCES.items() for s in some]
+INDEX: dict[str, list] = {}
+for (_name, _pattern), _s in zip(KNOWN, (s for some in SENTENCES.values() for s in some)):
+    for _w in dict.fromkeys(CLAUSES if _first_words(_s) == ["<bsd>"] else [*_first_words(_s), *(CLAUSES if "<bsd>" in _first_words(_s) else ())]):
+        INDEX.setdefault(_w, []).append((_name, _pattern))
+
+
+def negated(words: list[str], k: int) -> bool:
+    for w in reversed(words[max(0, k - NEAR) : k]):
+        if w == TURN:
+            return False
+        if w in NEGATIONS or w.endswith("n't"):
+            return True
+    return False
+
+
+def known(words: list[str]):
+    """(identifier, captured) of the known sentences in the words of one sentence."""
+    k = 0
+    while k < len(words):
+        best = None
+        for name, pattern in INDEX.get(words[k], ()):
+            got = match_at(pattern, words, k)
+            if got is not None and (best is None or got[0] > best[0]):
+                best = got[0], name, got[1]
+        if best is None or best[0] == k:
+            k += 1
+            continue
+        if not negated(words, k):
+            yield best[1], best[2]
+        k = best[0]
+
+
+def has_cue(text: str) -> bool:
+    low = text.lower()
+    return any(c in low for c in CUES) or CC_CUE.search(low) is not None
 
 
 def sentences(text: str) -> list[tuple[str, tuple]]:
     """(identifier, captured) of the known licence sentences of a text, in order."""
-    if not CUE.search(text):
+    if not has_cue(text):
         return []
-    out = []
-    for s in END.split(text):
-        if not CUE.search(s):
-            continue
-        s = normalise(s)
-        out += [(k, g) for _, k, g in sorted((m.start(), k, m.groups()) for k, p in PATTERNS for m in p.finditer(s))]
-    return out
+    return [x for s in END.split(text.replace("\r\n", "\n")) if has_cue(s) for x in known(normalise(s))]
+
+
+ORDERED = [(name, [(p.rstrip("?"), p.endswith("?")) for p in ids.split()]) for name, ids in RULES]
+
+
+def uses(ids: list, found: list, at: int) -> int:
+    """How many identifiers a rule uses up at a place; 0 if it does not stand there."""
+    k = at
+    for name, maybe in ids:
+        if k < len(found) and found[k][0] == name:
+            k += 1
+        elif not maybe:
+            return 0
+    return k - at
+
+
+def named(name: str, part: list[tuple[str, tuple]]) -> str:
+    value = "-".join(v for _, captured in part for v in captured)
+    if name == "CC-{}" and not value.startswith("BY"):
+        return f"CC0-{value}"
+    return name.format(value)
 
 
 def licences(found: list[tuple[str, tuple]]) -> tuple[list[str], list[str]]:
     """(licences in order without repeats, identifiers that no rule used)."""
     names, left, at = [], [], 0
     while at < len(found):
-        for name, ids in BY_FIRST.get(found[at][0], ()):
-            if tuple(k for k, _ in found[at : at + len(ids)]) == ids:
-                value = "-".join(NUMBERS.get(g, g) for g in found[at][1] if g)
-                name = name.format(value.upper() if ids[0] == "cc" else value).replace(" ", "-")
+        for rule, ids in ORDERED:
+            if n := uses(ids, found, at):
+                name = named(rule, found[at : at + n])
                 if name not in names:
                     names.append(name)
-                at += len(ids)
+                at += n
                 break
         else:
             left.append(found[at][0])

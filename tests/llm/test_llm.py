@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -198,6 +199,111 @@ def test_main_text_of_deep_and_broken_pages():
     assert maintext.main_text("<p>a < b</p><p>c") == "a < b\nc"
 
 
+def test_class_names_that_articles_use():
+    long = "Long enough a paragraph, with commas, to count as text of the article. " * 3
+    page = lambda body: maintext.main_text(f"<html><body><div class='site-header'>Site</div><main>{body}</main><div id=footer>Foot</div></body></html>")
+    text = long.strip()
+    assert page(f"<div class='article-header'><h1>Title</h1></div><p>{long}</p>") == f"Title\n{text}"
+    assert page(f"<section class='legal-analysis'><p>{long}</p></section><p>{long}</p>") == f"{text}\n{text}"
+    assert page(f"<p>{long}</p><section class='social-security'><p>{long}</p></section>") == f"{text}\n{text}"
+    for name in ("legal", "related-articles", "social-links", "alert-box", "page-header", "skip-link", "right rail", "post-comments", "article-sidebar", "siteHeader", "share"):
+        assert page(f"<div class='{name}'><p>Not this, really not.</p></div><p>{long}</p>") == text, name
+
+
+def slow_main_text(root):
+    """The same rules over a tree that was never written as HTML: every sum taken afresh for every container."""
+    children = lambda x: [k for k in x[2] if isinstance(k, tuple)]
+    bad = lambda x: x[0] in maintext.DROPPED or x[0] != "main" and x[1] in ("menu", "site-header", "related-posts")
+
+    def paths(x, above):
+        """(chain of ancestors, text, linked) of every run of text."""
+        run = []
+        for k in [*x[2], None]:
+            if isinstance(k, list):
+                run.append(k)
+                continue
+            if run:
+                yield [*above, x], " ".join(t for t, _ in run), sum(len(t) for t, link in run if link)
+            run = []
+            if k is not None and not bad(k):
+                yield from paths(k, [*above, x])
+
+    runs, nodes, todo = list(paths(root, [])), [], [root]
+    while todo:
+        x = todo.pop()
+        nodes.append(x)
+        todo += [k for k in children(x) if not bad(k)]
+
+    def total(x):
+        points, text, linked = 0.0, 0, 0
+        for chain, t, link in runs:
+            if any(c is x for c in chain):
+                text, linked = text + len(t), linked + min(link, len(t))
+            up = chain[:-1] if chain[-1][0] in maintext.LEAVES else chain
+            at = next((k for k, c in enumerate(reversed(up)) if c is x), None)
+            if at is not None:
+                points += (1 + t.count(",") + min(len(t) / 100, 3)) * (maintext.SEMANTIC.get(x[0]) or 1 / (1, 2, 6, 9, 12)[min(at, 4)])
+        return points * (1 - (linked / text if text else 0)), text, linked
+
+    sums = {id(x): total(x) for x in nodes}
+    able = [x for x in nodes if sums[id(x)][1] and x[0] not in maintext.LEAVES]
+    if not able:
+        return ""
+    top = max(sums[id(x)][0] for x in able)
+    best = [x for x in able if sums[id(x)][0] >= top - 1e-9][-1]
+    up = next((x for x in nodes if any(k is best for k in x[2])), None)
+    semantic = best[0] in ("article", "main")
+
+    def lines(x):
+        return [t for chain, t, _ in runs if any(c is x for c in chain)]
+
+    if up is None:
+        return "\n".join(lines(best))
+    out = []
+    for kid in [*up[2]]:
+        if isinstance(kid, list):
+            if not semantic and kid[1] == 0:
+                out.append(kid[0])
+        elif kid is best:
+            out += lines(kid)
+        elif not bad(kid) and sums[id(kid)][1]:
+            score, text, linked = sums[id(kid)]
+            if linked < 0.25 * text and (kid[0] == "h1" or score >= 0.2 * sums[id(best)][0] or not semantic and kid[0] in maintext.LEAVES):
+                out += lines(kid)
+    return "\n".join(out)
+
+
+def test_main_text_equals_the_rules_on_trees():
+    rng = random.Random(14)
+
+    def text():
+        return [" ".join(rng.choice(["word", "more,", "other", "a"]) for _ in range(rng.randrange(1, 60))), 0]
+
+    def node(depth):
+        if depth > 4 or rng.random() < 0.45:
+            kids = [text()]
+            if rng.random() < 0.3:
+                kids += [["linked words " * rng.randrange(1, 6) + "x", 1]]
+            return (rng.choice(["p", "p", "p", "h2", "h1"]), "", kids)
+        kids = [node(depth + 1) for _ in range(rng.randrange(1, 5))]
+        if rng.random() < 0.15:
+            kids.insert(rng.randrange(len(kids) + 1), text())
+        # no <main> within what is left out: there it ends an unclosed part
+        return (rng.choice(["div", "div", "div", "section", "article", "nav", "aside", *["main"] * (depth == 1)]), rng.choice(["", "", "", "menu", "site-header", "related-posts", "article-header"]), kids)
+
+    def html(x):
+        if isinstance(x, list):
+            return f"<a href=u>{x[0]}</a>" if x[1] else x[0]
+        return f"<{x[0]} class='{x[1]}'>{' '.join(map(html, x[2]))}</{x[0]}>"
+
+    for _ in range(400):
+        # a tree whose marks leave nothing is read again without them; the rules here know the marks only
+        tree = ("html", "", [node(1) for _ in range(rng.randrange(1, 5))])
+        want = slow_main_text(tree)
+        if want:
+            assert maintext.main_text("".join(map(html, tree[2]))) == want, html(tree)
+
+
 def test_bpe_equals_the_library():
     tokenizers = pytest.importorskip("tokenizers")
     path = bpe.default_path()
@@ -267,18 +373,20 @@ def slow_spans(texts, size):
         yield r, hit, len(edges) // 2
 
 
-def test_repeats_equal_brute_force(spark):
+def test_repeats_equal_brute_force(spark, monkeypatch):
     passage = " ".join(RNG.choice(WORDS) for _ in range(200))
     texts = TEXTS + [f"{a} {passage[k : k + 380 + 9 * k]} {b}" for k, (a, b) in enumerate(zip(PROSE[20:40], PROSE[30:50]))] + ["ab" * 600, "q" * 399, "z" * 400, "z" * 400, "yx" * 200 + "ü" * 300]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     want = [(len(raw), int(hit.sum()), n, hashlib.sha256(np.frombuffer(raw, np.uint8)[~hit].tobytes() if raw else b"").hexdigest()) for raw, hit, n in slow_spans(texts, 400)]
-    for hot in (repeats.HOT, 2):  # few open reaches to a key; all of them counted
-        got = {r.id: r for r in repeats.summary(repeats.deduplicate(df, hot=hot)).collect()}
+    # whole shards; shards split into cells, and some of them into windows; shards of ten times what memory holds; sets joined
+    for hot, memory, most in ((repeats.HOT, induction.MEMORY, repeats.BLOOM_MOST), (2, induction.MEMORY, repeats.BLOOM_MOST), (4, 300, repeats.BLOOM_MOST), (repeats.HOT, 2000, 1)):
+        monkeypatch.setattr(repeats.Bloom.fits, "__defaults__", (most,))
+        got = {r.id: r for r in repeats.summary(repeats.deduplicate(df, hot=hot, memory=memory)).collect()}
         assert [(got[k].n_bytes, got[k].n_removed, got[k].n_spans, got[k].kept_sha256) for k in range(len(texts))] == want
 
 
-@pytest.mark.parametrize("memory", [7, induction.MEMORY])
-def test_induced_sorting_equals_brute_force(memory):
+@pytest.mark.parametrize(("memory", "block"), [(induction.MEMORY, induction.BLOCK), (induction.MEMORY, 5), (400, 7), (56, 3)])
+def test_induced_sorting_equals_brute_force(memory, block):
     rng, size = random.Random(9), 12
     group, raw, back, keep = [], [], [], []
     for g in range(30):
@@ -291,8 +399,14 @@ def test_induced_sorting_equals_brute_force(memory):
             raw.append(bytes(text))
             back.append(b)
             keep.append(rng.randint(0, b))
-    arrays = np.array(group), raw, np.array(back), np.array(keep)
-    got = set(zip(*(x.tolist() for x in induction.repeated(*arrays, size, memory=memory))))
+    held = induction.Stretches(memory)
+    for r in raw:
+        held.add(r)
+    assert (held.file is not None) == (memory < sum(map(len, raw)))
+    arrays = np.array(group), held.array(), np.array([len(r) for r in raw]), np.array(back), np.array(keep)
+    got = [x for b in induction.repeated(*arrays, size, memory, block) for x in b.tolist()]
+    assert got == sorted(set(got))
+    got = {(x >> 32, back[x >> 32] - (x & 0xFFFFFFFF)) for x in got}
     want = set()
     for k, r in enumerate(raw):
         for d in range(max(1, back[k] - keep[k]), back[k] + 1):
@@ -304,7 +418,7 @@ def test_induced_sorting_equals_brute_force(memory):
 
 
 def test_tuple_queue_spills_and_merges():
-    q, rng = induction.TupleQueue(memory=50, block=8), np.random.default_rng(1)
+    q, rng = induction.TupleQueue(memory=400, block=8), np.random.default_rng(1)
     x = rng.permutation(1000).astype(np.int64)
     for k in range(0, 1000, 37):
         q.push(x[k : k + 37])
@@ -428,6 +542,228 @@ def test_licences_of_one_sentence_are_all_named():
     assert license.licences(license.sentences(text))[0] == ["CC-BY-4.0", "CC-BY-NC-4.0", "Copyright-notice"]
 
 
+MIT = """MIT License
+
+Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD2 = """Copyright (c) 2019, Some Body
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES.
+"""
+THIRD = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+APACHE = """   Copyright 2021 Some Body
+
+   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License.
+"""
+APACHE_TEXT = """                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+
+   1. Definitions.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+ISC = """ISC License
+
+Copyright (c) 2018, Some Body
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY.
+"""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.
+"""
+GNU_TEXT = """                    GNU {}
+                       Version {}
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+"""
+GNU_ONLY = "This program is free software; you can redistribute it under the terms of the GNU {} as published by the Free Software Foundation, version {}."
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        (MIT, ["MIT"]),
+        (BSD2.format(""), ["BSD-2-Clause"]),
+        (BSD2.format(THIRD), ["BSD-3-Clause"]),
+        (APACHE, ["Apache-2.0"]),
+        (APACHE_TEXT, ["Apache-2.0"]),
+        (MPL, ["MPL-2.0"]),
+        ("Mozilla Public License Version 2.0\n==================================\n\n1. Definitions", ["MPL-2.0"]),
+        (ISC, ["ISC"]),
+        (UNLICENSE, ["Unlicense"]),
+        *((GNU_ONLY.format(name, v), [f"{k}-{v}"]) for k, name, v in (("GPL", "General Public License", "2"), ("LGPL", "Lesser General Public License", "3"), ("LGPL", "Library General Public License", "2"), ("AGPL", "Affero General Public License", "3"))),
+        (GNU_TEXT.format("GENERAL PUBLIC LICENSE", "3, 29 June 2007"), ["GPL-3", "Copyright-notice"]),
+        (GNU_TEXT.format("LESSER GENERAL PUBLIC LICENSE", "2.1, February 1999"), ["LGPL-2.1", "Copyright-notice"]),
+        (GNU_TEXT.format("AFFERO GENERAL PUBLIC LICENSE", "3, 19 November 2007"), ["AGPL-3", "Copyright-notice"]),
+        ("Licensed under the GPLv3 or later.", ["GPL-3-or-later"]),
+        ("It is released under the terms of the GNU LGPL, version 2.1", ["LGPL-2.1"]),
+        ("Distributed under a Creative Commons Attribution-ShareAlike 4.0 International License.", ["CC-BY-SA-4.0"]),
+        ("Released under CC0 1.0", ["CC0-1.0"]),
+        ("// SPDX-License-Identifier: MIT OR Apache-2.0\n", ["mit or apache-2.0"]),
+        ("Licensed under the new BSD licence.", ["BSD-3-Clause"]),
+        ("This is not licensed under the MIT license.", []),
+        ("It was never released under the Apache License, Version 2.0.", []),
+        ("This isn't distributed under the GPL version 2, but licensed under the MIT license.", ["MIT"]),
+        ("No part is licensed under the ISC license. Released under the MIT license.", ["MIT"]),
+        ("A driving license, a fishing licence and the permission of the copyright holder", []),
+    ],
+)
+def test_published_texts(text, want):
+    assert license.licences(license.sentences(text))[0] == want
+    # prose before and after, comment signs and other line ends change nothing
+    quoted = "\n".join(f" * {line}" for line in text.split("\n"))
+    for t in (f"Some words.\n\n{text}\n\nThe end.", quoted, text.replace("\n", "\r\n")):
+        assert license.licences(license.sentences(t))[0] == want
+
+
+SLOT = {
+    "<v>": r"(v?[0-9]+(?:\.[0-9]+)*) ", "<n>": "[0-9]+ ", "<w>": r"\S+ ", "<year>": "[0-9]{4}(?:-[0-9]{2,4})? ", "<*>": r"(?:\S+ ){1,20}?", "^": "", "$": r"\Z",
+    "<bsd>": f"({'|'.join(license.CLAUSES)}) ", "<spdx>": r"([a-z0-9][a-z0-9.+-]*(?: (?:or|and|with) [a-z0-9][a-z0-9.+-]*)*) ",
+    "<cc>": r"((?:(?:{0})(?:[-/](?:{0}))* ){{1,8}}?)".format("|".join(license.CC)),
+}
+
+
+def slow_known(words):
+    """Every known sentence as a regular expression, tried at every word."""
+    line, out, k = "".join(f"{w} " for w in words), [], 0
+    shapes = []
+    for name, some in license.SENTENCES.items():
+        for s in some:
+            parts = [(p.rstrip("?"), p.endswith("?")) for p in s.split()]
+            text = "".join(f"(?:{SLOT.get(p, '(?:' + '|'.join(map(re.escape, p.split('|'))) + ') ')}){'?' if maybe else ''}" for p, maybe in parts)
+            shapes.append((name, s.startswith("^"), re.compile(text)))
+    while k < len(line):
+        best = max(((m.end(), -n) for n, (name, first, shape) in enumerate(shapes) if not (first and k) and (m := shape.match(line, k))), default=(0, 0))
+        if best[0] <= k:
+            k = line.index(" ", k) + 1
+            continue
+        before = [w for w in line[:k].split()][-license.NEAR :]
+        before = before[len(before) - before[::-1].index(license.TURN) :] if license.TURN in before else before
+        if not any(w in license.NEGATIONS or w.endswith("n't") for w in before):
+            out.append(shapes[-best[1]][0])
+        k = best[0]
+    return out
+
+
+def slow_licences(found):
+    """Every choice of the identifiers that may be missing, written out."""
+    at, out = 0, []
+    while at < len(found):
+        for name, ids in license.RULES:
+            ways = [[]]
+            for p in ids.split():
+                ways = [w + [p.rstrip("?")] for w in ways] + (ways if p.endswith("?") else [])
+            n = max((len(w) for w in ways if w and found[at : at + len(w)] == w), default=0)
+            if n:
+                out.append((name, at, n))
+                at += n
+                break
+        else:
+            at += 1
+    return out
+
+
+def test_licence_scan_equals_brute_force(spark):
+    rng = random.Random(21)
+    every = [s for some in license.SENTENCES.values() for s in some]
+
+    def sample(most=3):
+        out = []
+        for _ in range(rng.randrange(1, most + 1)):
+            for p in rng.choice(every).split():
+                if rng.random() < (0.5 if p.endswith("?") else 0.98) and p not in ("^", "$"):
+                    out.append({"<v>": "2.0", "<n>": "29", "<w>": "june", "<year>": "2020-21", "<*>": "some body else", "<bsd>": "3-clause", "<cc>": "by-nc", "<spdx>": "mit or isc"}.get(p.rstrip("?"), rng.choice(p.rstrip("?").split("|"))))
+            out += rng.choice([[], ["not"], ["but"], ["isn't", "it"], ["or", "else"]])
+        return " ".join(out).split()
+
+    for k in range(3000):
+        words = sample(1 if k % 2 else 3)
+        assert license.has_cue(" ".join(words)) or not slow_known(words), words
+        assert [k for k, _ in license.known(words)] == slow_known(words), words
+    ids = list(license.SENTENCES)
+    for _ in range(1500):
+        rule = rng.choice(license.RULES)[1].replace("?", "").split()
+        found = [x for x in rule if rng.random() < 0.9] + [rng.choice(ids) for _ in range(rng.randrange(3))]
+        at, got = 0, []
+        while at < len(found):
+            name, n = next(((r, n) for r, want in license.ORDERED if (n := license.uses(want, [(f, ()) for f in found], at))), (None, 0))
+            got += [(name, at, n)] if n else []
+            at += n or 1
+        assert got == slow_licences(found)
+    # the query's rows over a whole table
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    rows = license.op1(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        found = [x for s in license.END.split(texts[r.doc_id]) for x in slow_known(license.normalise(s))] if re.search("licen|copyright|reserved|©", texts[r.doc_id], re.I) else []
+        assert (r.n_sentences, r.sentence_ids) == (len(found), ",".join(found))
+
+
 def test_pii_accounts_before_other_words_and_long_credentials():
     accounts = lambda t: [t[s:e] for s, e, k in pii.find(t) if k == "account"]
     iban, other = "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000"
