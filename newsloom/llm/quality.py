@@ -1,13 +1,18 @@
 """Quality by co-training: a classifier of text content and one of page metadata teach each other.
 
-Both start from the labelled rows. In each round either view names the unlabelled rows it is most sure of
-(calibrated probability at least `sure`, or at most one minus it) and these join the training rows of the other
-view. At the end both views are calibrated on labelled rows that no round has used, and a logistic combination
-of the calibrated views, fitted on the same rows, scores all documents.
-
-Fitted on at most `sample` labelled rows, half of them for each class and weighted by the true counts of the classes,
-and at most `sample` unlabelled rows, taken by a hash of the id; of rows that share an
-id the smallest is taken. Only feature vectors of the fitting rows reach the driver. Defined results: null and empty texts, and nulls in metadata, have features of
+Both start from the labelled rows. In each round all unlabelled documents are scored on the executors; those that a
+view is sure of (calibrated probability at least `sure`, or at most one minus it) are marked by it and join the
+training rows of the other view, which takes a Newton step on their slopes and curvatures, summed over the table: no row of
+theirs is collected, and there is no bound on their number. Equal documents count once. A marked row weighs as a labelled
+one, but those of a class together no more than the labelled rows do by the true share of the class, so neither a frequent
+class nor a large table drowns what is known.
+At the end both views are calibrated, and a logistic combination of the calibrated views scores all documents.
+
+Labelled rows are at most `sample`, half of them for each class, taken by a hash of the id and weighted by the true
+counts of the classes; of rows that share an id the smallest is taken. Three fifths of a class train the views, one
+calibrates them in the rounds, and one, used for nothing else, calibrates and combines them at the end; with fewer than three rows of
+a class all rows serve for everything. Sources, languages and sizes fall into as many buckets as there are about distinct values twice,
+`MOST_BUCKETS` at most. Defined results: null and empty texts, and nulls in metadata, have features of
 their own and are scored like any; repeated rows give a row each; with no usable labels (none, of one class, or with
 no document of one class) every document scores the share of good labels (1 if there are none); an empty table gives an empty result.
 """
@@ -23,12 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import cut, read, schema_of
+from newsloom.llm.common import cut, read, release, schema_of, smallest_hashed
 from newsloom.llm.logistic import Logistic
 
-SAMPLE, ROUNDS, SURE, PER_ROUND = 8_000, 3, 0.95, 800
+SAMPLE, ROUNDS, SURE = 8_000, 3, 0.95
 THRESHOLD = 0.5
-META_BUCKETS = 48
+LEAST_BUCKETS, MOST_BUCKETS = 64, 256
 
 #: Classes of ASCII characters for counting.
 CLASSES = {"u": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "d": "0123456789", "s": "#$%&*@^~=+<>{}[]\\`_", "p": "|/", "b": "!?", "c": ".,;:", "q": "\"'()-", "w": " \t", "n": "\n"}
@@ -69,19 +74,19 @@ def text_features(text: str | None) -> list[float]:
     ]
 
 
-def meta_features(source: str | None, lang: str | None, n_chars: int | None) -> list[float]:
-    out = [0.0] * (META_BUCKETS + 4)
+def meta_features(source: str | None, lang: str | None, n_chars: int | None, buckets: int) -> list[float]:
+    out = [0.0] * (buckets + 4)
     for key in (f"s{source}", f"l{lang}", f"n{int(math.log2(max(1, n_chars)))}" if n_chars is not None else "n"):
-        out[xxhash.xxh32_intdigest(key) % META_BUCKETS] += 1.0
+        out[xxhash.xxh32_intdigest(key) % buckets] += 1.0
     size = math.log1p(max(0, n_chars or 0))
-    out[META_BUCKETS:] = [size, size * size / 10, float(n_chars is None), float(source is None)]
+    out[buckets:] = [size, size * size / 10, float(n_chars is None), float(source is None)]
     return out
 
 
-def _rows(batch):
+def _rows(batch, buckets: int):
     cols = [batch.column(k).to_pylist() for k in range(1, 5)]
     text = np.array([text_features(t) for t in cols[0]], np.float64).reshape(-1, N_TEXT)
-    meta = np.array([meta_features(*r) for r in zip(*cols[1:])], np.float64).reshape(-1, META_BUCKETS + 4)
+    meta = np.array([meta_features(*r, buckets) for r in zip(*cols[1:])], np.float64).reshape(-1, buckets + 4)
     return text, meta
 
 
@@ -109,32 +114,39 @@ def _weights(y: np.ndarray, shares: dict | None) -> np.ndarray:
 class CoTrained:
     """Two views, their calibration and the combination of both."""
 
-    def __init__(self, views, y, pools, held, y_held, rounds=ROUNDS, sure=SURE, per_round=PER_ROUND, shares=None):
-        weight, w_held = _weights(y, shares), _weights(y_held, shares)
-        extra = [(np.zeros((0, v.shape[1])), np.zeros(0)) for v in views]
-        taken = [np.zeros(len(p), bool) for p in pools]
-        self.models = self._fit(views, y, weight, extra)
-        for _ in range(rounds):
-            marks = []
-            for m, pool, seen in zip(self.models, pools, taken):
-                p = Platt(m.logit(held[len(marks)]), y_held, w_held).prob(m.logit(pool)) if len(pool) else np.zeros(0)
-                sure_of = np.flatnonzero(((p >= sure) | (p <= 1 - sure)) & ~seen)
-                best = sure_of[np.argsort(-np.abs(p[sure_of] - 0.5), kind="stable")][:per_round]
-                marks.append((best, (p[best] >= 0.5).astype(float)))
-            for k, (best, mark) in enumerate(marks):
-                taken[k][best] = True
-                x, z = extra[1 - k]
-                extra[1 - k] = (np.concatenate([x, pools[1 - k][best]]), np.concatenate([z, mark]))
-            if not any(len(b) for b, _ in marks):
-                break
-            self.models = self._fit(views, y, weight, extra)
-        self.pseudo = [len(e[1]) for e in extra]
-        self.platt = [Platt(m.logit(h), y_held, w_held) for m, h in zip(self.models, held)]
-        self.top = Logistic(l2=1e-3).fit(self._both(held), y_held, w_held)
-
-    @staticmethod
-    def _fit(views, y, weight, extra):
-        return [Logistic().fit(np.concatenate([v, x]), np.concatenate([y, z]), np.concatenate([weight, np.ones(len(z))])) for v, (x, z) in zip(views, extra)]
+    def __init__(self, train, y, choose, y_choose, shares, buckets):
+        self.shares, self.buckets, self.pseudo = shares, buckets, []
+        self.train, self.y, self.choose, self.y_choose = train, y, choose, y_choose
+        self.weight, self.w_choose = _weights(y, shares), _weights(y_choose, shares)
+        self.models = [Logistic().fit(v, y, self.weight) for v in train]
+        self.calibrate()
+
+    def calibrate(self):
+        self.platt = [Platt(m.logit(v), self.y_choose, self.w_choose) for m, v in zip(self.models, self.choose)]
+
+    def marked(self, views, sure: float):
+        """(view, class, rows): what each view is taught, the rows that the other one is sure of."""
+        p = [c.prob(m.logit(v)) for c, m, v in zip(self.platt, self.models, views)]
+        for k in (0, 1):
+            for y in (0, 1):
+                yield k, y, np.flatnonzero(p[1 - k] >= sure if y else p[1 - k] <= 1 - sure)
+
+    def teach(self, sums: dict):
+        """A round: sums[view, class] = (slope, curvature, rows) of the marked rows."""
+        self.pseudo.append({k: n for k, (_, _, n) in sums.items()})
+        n = len(self.y)
+        for k in (0, 1):
+            more = [(min(1.0, self.shares[y] * n / rows), g, h, rows) for y in (0, 1) for g, h, rows in [sums[k, y]] if rows]
+            if more:
+                self.models[k] = self.models[k].taught(self.train[k], self.y, self.weight, more)
+        self.calibrate()
+
+    def finish(self, held, y_held):
+        w = _weights(y_held, self.shares)
+        self.platt = [Platt(m.logit(h), y_held, w) for m, h in zip(self.models, held)]
+        self.top = Logistic(l2=1e-3).fit(self._both(held), y_held, w)
+        del self.train, self.choose
+        return self
 
     def _both(self, views):
         return np.stack([np.clip(p.logit(m.logit(v)), -15, 15) for p, m, v in zip(self.platt, self.models, views)], axis=1)
@@ -143,39 +155,88 @@ class CoTrained:
         return self.top.prob(self._both(views))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", label_col="quality", sample: int = SAMPLE) -> CoTrained | float:
+def round_sums(features: DataFrame, model: CoTrained, sure: float = SURE) -> dict:
+    """{(view, class): (slope, curvature, rows)} over all rows of features(x), added up on the executors."""
+    sizes = [N_TEXT + 1, model.buckets + 5]
+    each = [d + d * d + 1 for d in sizes for _ in (0, 1)]
+    starts = np.concatenate([[0], np.cumsum(each)])
+
+    def run(batches):
+        total = np.zeros(starts[-1])
+        for b in batches:
+            x = b.column(0).flatten().to_numpy().astype(np.float64).reshape(b.num_rows, -1)
+            views = x[:, :N_TEXT], x[:, N_TEXT:]
+            for k, y, at in model.marked(views, sure) if len(x) else ():
+                if len(at):
+                    slope, curve = model.models[k].sums(views[k][at], y)
+                    part = total[starts[2 * k + y] : starts[2 * k + y + 1]]
+                    part += np.concatenate([slope, curve.ravel(), [len(at)]])
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["slot", "value"])
+
+    got = features.mapInArrow(run, "slot int, value double").groupBy("slot").agg(F.sum("value").alias("value")).toArrow()  # bounded by the slots
+    total = np.zeros(starts[-1])
+    total[got.column(0).to_numpy()] = got.column(1).to_numpy()
+    out = {}
+    for k, d in enumerate(sizes):
+        for y in (0, 1):
+            part = total[starts[2 * k + y] : starts[2 * k + y + 1]]
+            out[k, y] = part[:d], part[d:-1].reshape(d, d), int(round(part[-1]))
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", label_col="quality", sample: int = SAMPLE, rounds: int = ROUNDS, sure: float = SURE) -> CoTrained | float:
     marked = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     counts = {r.y: r["count"] for r in marked.groupBy("y").count().collect()}
     total = sum(counts.values())
-    ids = docs.select(F.col(id_col).alias("id")).where("id is not null")
+    constant = counts.get(1, 0) / total if total else 1.0
+    if len(counts) < 2:
+        return constant
+    source = _source(docs, id_col)
     # half of the bound for each class, so that a rare class is learnt too; weights put the shares right again
-    present = cut(marked.join(ids.distinct(), "id", "left_semi"))
-    labelled = [present.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample // 2) for y in (0, 1)]
-    labelled = labelled[0].unionByName(labelled[1])
-    free = ids.join(marked, "id", "left_anti").select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
-    picked = cut(labelled.unionByName(free.withColumn("y", F.lit(None).cast("int"))))
-    src = _source(docs, id_col).join(F.broadcast(picked), "id")
-    src = src.groupBy("id", "y").agg(F.min(F.struct("text", "source", "lang", "n_chars")).alias("row")).select("id", "row.*", "y")
-
-    def run(batches):
+    present = cut(marked.join(source.where("id is not null").select("id").distinct(), "id", "left_semi"))
+    picked = [smallest_hashed(present.where(F.col("y") == y), sample // 2, "id") for y in (0, 1)]
+    picked = cut(picked[0].unionByName(picked[1]))
+    src = source.join(F.broadcast(picked), "id").groupBy("id", "y").agg(F.min(F.struct("text", "source", "lang", "n_chars")).alias("row")).select("id", "row.*", "y")
+    values = sum(source.agg(F.approx_count_distinct("source"), F.approx_count_distinct("lang")).first()) + 32
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << (2 * values - 1).bit_length()))
+
+    def known_rows(batches):
         for b in batches:
-            text, meta = _rows(b)
+            text, meta = _rows(b, buckets)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(5), pa.array(list(text), pa.list_(pa.float64())), pa.array(list(meta), pa.list_(pa.float64()))], ["id", "y", "a", "b"])
 
     kind = docs.schema[id_col].dataType
-    got = src.select("id", "text", "source", "lang", "n_chars", "y").mapInArrow(run, schema_of(kind, "y int, a array<double>, b array<double>")).collect()
+    got = src.select("id", "text", "source", "lang", "n_chars", "y").mapInArrow(known_rows, schema_of(kind, "y int, a array<double>, b array<double>")).collect()  # bounded by sample
     got.sort(key=lambda r: xxhash.xxh64_intdigest(str(r.id)))
-    known = [r for r in got if r.y is not None]
-    of = [[r for r in known if r.y == y] for y in (0, 1)]
+    of = [[r for r in got if r.y == y] for y in (0, 1)]
     if not all(of):
-        return counts.get(1, 0) / total if total else 1.0
-    pack = lambda rows: [np.array([r.a for r in rows]).reshape(-1, N_TEXT), np.array([r.b for r in rows]).reshape(-1, META_BUCKETS + 4)]
-    cuts = [max(1, len(rows) * 3 // 4) for rows in of]
-    train, held = ([r for rows, n in zip(of, cuts) for r in rows[:n]], [r for rows, n in zip(of, cuts) for r in rows[n:]])
-    if min(map(len, of)) < 2:
-        train = held = known
+        return constant
+    pack = lambda rows: [np.array([r.a for r in rows]).reshape(-1, N_TEXT), np.array([r.b for r in rows]).reshape(-1, buckets + 4)]
     y = lambda rows: np.array([r.y for r in rows], float)
-    return CoTrained(pack(train), y(train), pack([r for r in got if r.y is None]), pack(held), y(held), shares={k: n / total for k, n in counts.items()})
+    train = choose = held = got
+    if min(map(len, of)) >= 3:
+        cuts = [(max(1, len(rows) * 3 // 5), max(2, len(rows) * 4 // 5)) for rows in of]
+        train, choose, held = ([r for rows, c in zip(of, cuts) for r in rows[slice(*part(c))]] for part in (lambda c: (0, c[0]), lambda c: c, lambda c: (c[1], None)))
+    model = CoTrained(pack(train), y(train), pack(choose), y(choose), {k: n / total for k, n in counts.items()}, buckets)
+
+    def free_rows(batches):
+        for b in batches:
+            x = np.concatenate(_rows(b, buckets), axis=1).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(5), pa.array(list(x), pa.list_(pa.float32()))], ["h", "g", "x"])
+
+    # every unlabelled document, of equal ones one
+    free = source.join(marked.select("id"), "id", "left_anti") if rounds else source.where("false")
+    what = ["text", "source", "lang", "n_chars"]
+    free = free.select(F.xxhash64(*what).alias("h"), *what, F.xxhash64(F.lit(1), *what).alias("g"))
+    features = cut(free.mapInArrow(free_rows, "h long, g long, x array<float>").groupBy("h", "g").agg(F.first("x").alias("x")).select("x"))
+    for _ in range(rounds):
+        sums = round_sums(features, model, sure)
+        if not any(n for _, _, n in sums.values()):
+            break
+        model.teach(sums)
+    release(present, picked, features)
+    return model.finish(pack(held), y(held))
 
 
 def _source(docs: DataFrame, id_col="doc_id") -> DataFrame:
@@ -188,10 +249,10 @@ def score(docs: DataFrame, model: CoTrained | float, id_col="doc_id") -> DataFra
 
     def run(batches):
         for b in batches:
-            text, meta = _rows(b)
             if isinstance(model, float):
                 p = [np.full(b.num_rows, model)] * 3
             elif b.num_rows:
+                text, meta = _rows(b, model.buckets)
                 p = [c.prob(m.logit(v)) for c, m, v in zip(model.platt, model.models, (text, meta))] + [model.prob((text, meta))]
             else:
                 p = [np.zeros(0)] * 3
