@@ -3,9 +3,10 @@
 Writers hide words by look-alike characters (1d10t), spacing (i d i o t, i.d.i.o.t) and repetition (idiooot).
 Tokens that show such signs become a lattice of characters: each sign may stand for itself or for the letters
 it looks like, a repeated letter may be dropped, separators between single characters are dropped. Viterbi
-decoding with the best few paths finds the readings that a character trigram model of the whole corpus likes;
-a reading that holds a feature of the scorer wins over one that holds none. Tokens without such signs have a
-lattice of one path and stay as they are.
+decoding finds the reading that a character trigram model of the whole corpus likes best, and that reading alone is
+scored. Beside the corpus the model knows the words that the scorer was fitted on: a reading that holds one gains
+`BONUS`, as hidden words are that much likelier to be of these than the corpus says; a reading that is worse by more
+stays behind. Tokens without such signs have a lattice of one path and stay as they are.
 
 The scorer is naive Bayes over chosen words and word beginnings (4 to 6 letters) of the restored text. It is
 fitted on at most `sample` distinct labelled texts, taken by a hash of the id, none of them held out; an id gives one
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import cut, read, schema_of, texts_of, utf8_slices
+from newsloom.llm.common import cut, read, release, schema_of, smallest_hashed, texts_of, utf8_slices
 
 #: Labelled texts that the scorer is fitted on, least that a feature must explain.
 SAMPLE, LEAST = 12_000, 1.5
@@ -42,6 +43,8 @@ LOOKALIKES = {
 SIGNS = "".join(LOOKALIKES)
 #: Log cost of reading a sign as a letter, of keeping it, of dropping a repeat.
 SWAP, KEEP, DROP = -1.0, -4.0, -1.0
+#: Log odds that a hidden word is one of the scorer's words, over what the character model says.
+BONUS = 4.0
 PATHS = 6
 #: Characters of a token that are read at a time; all pieces of a longer token are read.
 PIECE = 256
@@ -110,8 +113,8 @@ class Restorer:
     def __init__(self, model: np.ndarray, liked=None):
         self.lm, self.liked, self.seen, self.tails = model.tolist(), liked or (lambda w: False), {}, {}
 
-    def readings(self, token: str) -> list[str]:
-        """The best few readings of a token, best first."""
+    def readings(self, token: str) -> list[tuple[float, str]]:
+        """The best few readings of a token, best first, with their log probability."""
         chars = "".join([c for c in token if c.isalnum() or c in LOOKALIKES])
         at = next((k for k, c in enumerate(chars) if not c.isalpha() or k and chars[k - 1] == c), len(chars))
         head, tail = chars[:at], chars[at:]
@@ -122,9 +125,9 @@ class Restorer:
             if len(self.tails) > 50_000:
                 self.tails.clear()
             ends = self.tails[key] = self.ends(*key)
-        return [head + w for w in ends]
+        return [(p, head + w) for p, w in ends]
 
-    def ends(self, head: str, tail: str) -> list[str]:
+    def ends(self, head: str, tail: str) -> list[tuple[float, str]]:
         """The best few readings of a tail after the letters of head."""
         beam = {(symbol(head[0]) if len(head) > 1 else 0, symbol(head[-1]) if head else 0): [(0.0, "")]}
         first, last = 0 if head else len(tail) - len(tail.lstrip(OPENING)), len(tail.rstrip(CLOSING))
@@ -145,7 +148,7 @@ class Restorer:
                     nxt.setdefault(state, []).extend((p + gain, w + letter) for p, w in paths)
             beam = {s: sorted(set(p), reverse=True)[:PATHS] for s, p in nxt.items()}
         ends = sorted({(p + self.lm[a][b][0], w) for (a, b), paths in beam.items() for p, w in paths}, reverse=True)
-        return [w for _, w in ends[: 4 * PATHS]]
+        return ends[: 4 * PATHS]
 
     def word(self, token: str) -> str:
         if len(token) > PIECE:
@@ -155,9 +158,16 @@ class Restorer:
             if len(self.seen) > 100_000:
                 self.seen.clear()
             options = self.readings(token)
-            if token.lstrip(OPENING).rstrip(CLOSING).isalpha() and not REPEAT.search(token):
-                options.insert(0, token)  # a word of prose
-            got = self.seen[token] = next((w for w in options if self.liked(w)), options[0] if options else token)
+            if options and token.lstrip(OPENING).rstrip(CLOSING).isalpha() and not REPEAT.search(token):
+                options.insert(0, (options[0][0], token))  # a word of prose is as likely as its best reading
+            most, got = -np.inf, token
+            for p, w in options:  # best first: from where the bonus would not do, none can win
+                if p + BONUS <= most:
+                    break
+                p += BONUS * self.liked(w)
+                if p > most:
+                    most, got = p, w
+            self.seen[token] = got
         return got
 
     def text(self, text: str) -> str:
@@ -220,10 +230,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
     distinct = texts.select("id", "h").join(usable, "id").groupBy("id", "y").agg(F.min("h").alias("h")).groupBy("y", "h").agg(F.min("id").alias("id"))
     distinct = cut(distinct)
     # half of the bound for each class, so that a rare class is learnt too; chosen by a hash of the id
-    picked = [distinct.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample // 2) for y in (0, 1)]
+    picked = [smallest_hashed(distinct.where(F.col("y") == y), sample // 2, "id") for y in (0, 1)]
     picked = cut(picked[0].unionByName(picked[1]))
     texts = texts.join(F.broadcast(picked), ["id", "h"])
     texts = cut(texts.groupBy("id", "y").agg(F.min("text").alias("text")).select("y", "text"))
+    release(distinct, picked)
 
     def count(batches):
         restore = Restorer(lm)
@@ -252,7 +263,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.active(t) for t in texts_of(b.column(1))], pa.list_(pa.int32()))], ["y", "x"])
 
-    got = texts.mapInArrow(active, "y int, x array<int>").toArrow()
+    got = texts.mapInArrow(active, "y int, x array<int>").toArrow()  # bounded by sample
+    release(texts)
     x = got.column("x").combine_chunks()
     row = np.repeat(np.arange(len(x)), x.value_lengths().to_numpy())
     places, weights = choose(row, x.flatten().to_numpy(), got.column("y").to_numpy() == 1, len(chosen))
