@@ -110,4 +110,6 @@ def components(edges: DataFrame) -> DataFrame:
     if mapped is None:
         return spark.createDataFrame([], "node long, label long")
     # a label is the smallest of its component already: every map goes to a smaller node and the last contraction has no edge
-    return mapped.select("node", F.col("to").alias("label"))
+    out = mapped.select("node", F.col("to").alias("label"))
+    out._newsloom_path = mapped._newsloom_path
+    return out

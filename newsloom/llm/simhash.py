@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import components, cut, local_components, schema_of, texts_of
+from newsloom.llm.common import components, cut, local_components, release, schema_of, texts_of
 
 SEED = 42
 WORDS = 3
@@ -287,9 +287,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, tag, fp, label, component): component is the smallest id reachable over links, the row's own
     included; label is the same for all rows of a group and is one of their fingerprints."""
     rows = cut(fingerprints(df, id_col, text_col, words, seed))
-    classes = cut(rows.groupBy("fp").agg(F.min("id").alias("low")))
-    label = components(fingerprint_links(classes.select("fp"), radius))
-    classes = cut(classes.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp")))
+    single = cut(rows.groupBy("fp").agg(F.min("id").alias("low")))
+    label = components(fingerprint_links(single.select("fp"), radius))
+    classes = cut(single.join(label.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp")))
+    release(single, label)
     low = classes.groupBy("label").agg(F.min("low").alias("component"))
     named = classes.select("fp", "label").join(low, "label").select("fp", "label", "component")
     return rows.join(named, "fp").select("id", "tag", "fp", "label", "component")

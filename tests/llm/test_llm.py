@@ -150,6 +150,47 @@ def test_cover_tree_equals_all_pairs(spark):
         assert all((got[k].n_links, got[k].component) == (0, k) for k in (900, 901, 902, 903))
 
 
+def test_cells_of_many_levels_equal_all_pairs(spark, monkeypatch):
+    """Passes of few cells with few centres, clusters that splitting does not thin out, and doubles that singles would merge."""
+    monkeypatch.setattr(covertree, "PASS_CELLS", 3)
+    monkeypatch.setattr(covertree, "PASS_CENTRES", 6)
+    rng = np.random.default_rng(8)
+    x = [*rng.normal(size=(300, 6)), *(rng.normal(size=6) + rng.normal(size=(60, 6)) * 0.05), *(np.ones(6) + rng.normal(size=(60, 6)) * 1e-9)]
+    edge = np.array([0.98, np.sqrt(1 - 0.98**2), 0, 0, 0, 0])
+    x += [np.eye(6)[0], edge, np.array([0.98 - 1e-10, np.sqrt(1 - (0.98 - 1e-10) ** 2), 0, 0, 0, 0]) * 3]
+    rows = [(k, v.tolist(), k % 2 if k < 300 else 0) for k, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    got = {r.id: r for r in covertree.near_duplicates(df, cell_rows=12).collect()}
+    unit = np.array(x) / np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([r[2] for r in rows])
+    near = (unit @ unit.T >= 0.98) & (label[:, None] == label[None, :])
+    np.fill_diagonal(near, False)
+    root = union_find(len(x), list(zip(*np.nonzero(near))))
+    assert [(got[k].n_links, got[k].component) for k in range(len(x))] == [(int(near[k].sum()), root[k]) for k in range(len(x))]
+
+
+def test_a_cell_costs_less_than_its_square():
+    """Distances that are taken one point at a time, in growing a tree, do not grow with the square of the points."""
+    taken = []
+    plain = covertree.distances
+    for n in (1000, 5000):
+        x = np.random.default_rng(3).normal(size=(n, 16))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        count = [0]
+
+        def counted(a, b, count=count):
+            count[0] += len(a) * len(b)
+            return plain(a, b)
+
+        covertree.distances = counted
+        try:
+            covertree.grow(x, np.arange(n))
+        finally:
+            covertree.distances = plain
+        taken.append(count[0])
+    assert taken[1] <= 6 * taken[0]
+
+
 def test_rows_are_dealt_in_bounded_runs():
     centres = {("a", 8): np.zeros((covertree.HELD // 7, 8)), ("b", 8): np.zeros((3, 8))}
     keys = [RNG.choice([("a", 8), ("b", 8), ("c", 8), ("a", 4)]) for _ in range(500)]
