@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import read, schema_of, texts_of
+from newsloom.llm.common import Memory, read, schema_of, texts_of
 
 # The pattern that byte-level BPE splits texts by.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -37,25 +37,6 @@ CACHE = 200_000
 RUN = 200_000
 
 
-class Memory(dict):
-    """What make() gives for a key, remembered for the keys met last: when `keep` new ones have come, those
-    not asked for since the time before are forgotten."""
-
-    def __init__(self, make, keep: int = CACHE):
-        super().__init__()
-        self.make, self.keep, self.old = make, keep, {}
-
-    def __missing__(self, key):
-        if len(self) >= self.keep:
-            self.old = dict(self)
-            self.clear()
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        self[key] = value
-        return value
-
-
 def byte_letters() -> dict[str, int]:
     """The letters that stand for bytes in the vocabulary file: printable Latin-1 for itself, others from 256 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -96,9 +77,9 @@ class Bpe:
         # decimal digits of each id and a comma, right-aligned in eight bytes
         self.decimal = np.array([f"{i}," for i in range(top)], "S8").view(np.uint8).reshape(-1, 8)
         self.digits = (self.decimal != 0).sum(axis=1)
-        self.pieces = Memory(self.packed)
-        self.pairs = Memory(lambda pair: self.apart(*pair))
-        self.shorter = Memory(self.prefix)
+        self.pieces = Memory(self.packed, CACHE)
+        self.pairs = Memory(lambda pair: self.apart(*pair), CACHE)
+        self.shorter = Memory(self.prefix, CACHE)
 
     def apart(self, a: int, b: int, before: int = 1 << 60) -> bool:
         """Whether merging the joined bytes of two tokens leaves just these two, by merges of rank below `before`.

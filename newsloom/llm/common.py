@@ -60,6 +60,25 @@ def utf8_slices(column: pa.Array, limit: int = SLICE_BYTES):
         lo = hi
 
 
+class Memory(dict):
+    """What make() gives for a key, remembered for the keys met last: when `keep` new ones have come, those
+    not asked for since the time before are forgotten."""
+
+    def __init__(self, make, keep: int):
+        super().__init__()
+        self.make, self.keep, self.old = make, keep, {}
+
+    def __missing__(self, key):
+        if len(self) >= self.keep:
+            self.old = dict(self)
+            self.clear()
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+
 def local_components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Smallest index reachable from each of n nodes over edges i-j."""
     label = np.arange(n)

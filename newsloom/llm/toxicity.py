@@ -25,15 +25,16 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import cut, read, release, schema_of, smallest_hashed, texts_of, utf8_slices
+from newsloom.llm.common import Memory, cut, read, release, schema_of, smallest_hashed, texts_of, utf8_slices
 
 #: Labelled texts that the scorer is fitted on, least that a feature must explain.
 SAMPLE, LEAST = 12_000, 1.5
 THRESHOLD = 0.7
+#: Words that a worker remembers at least.
+KNOWN = 200_000
 
 # The letters that a sign may stand for.
 LOOKALIKES = {
@@ -57,9 +58,10 @@ CANDIDATE = re.compile(
     rf"|{LETTER}*({LETTER})\1\1{LETTER}*)"  # repeats
 )
 #: What a candidate needs at least; texts without are not searched.
-HINT = re.compile(
-    rf"({LETTER})\1\1|{LETTER}['’_\-]*{SIGN}|{SIGN}['’_\-]*{LETTER}"
-    r"|(?<![^\s\"'(\[])[^\W_][ ._\-*](?:[^\W_ ]|[@$!|+])[ ._\-*](?:[^\W_ ]|[@$!|+])(?![^\W_])"
+HINTS = (
+    re.compile(rf"{SIGN}(?:(?<={LETTER}.)|(?<=['’_\-].)|['’_\-]*{LETTER})"),
+    re.compile(rf"({LETTER})\1\1"),
+    re.compile(r"[ ._\-*](?<=[^\W_].)(?<![^\s\"'(\[]..)(?:[^\W_ ]|[@$!|+])[ ._\-*](?:[^\W_ ]|[@$!|+])(?![^\W_])"),
 )
 #: Signs that prose has at the ends of words, which cost nothing to keep there.
 OPENING, CLOSING = "(<{¡", "!*#%"
@@ -111,7 +113,8 @@ def symbol(c: str) -> int:
 
 class Restorer:
     def __init__(self, model: np.ndarray, liked=None):
-        self.lm, self.liked, self.seen, self.tails = model.tolist(), liked or (lambda w: False), {}, {}
+        self.lm, self.liked = model.tolist(), liked or (lambda w: False)
+        self.seen, self.tails = Memory(self.best, KNOWN // 2), Memory(lambda key: self.ends(*key), KNOWN // 4)
 
     def readings(self, token: str) -> list[tuple[float, str]]:
         """The best few readings of a token, best first, with their log probability."""
@@ -119,12 +122,7 @@ class Restorer:
         at = next((k for k, c in enumerate(chars) if not c.isalpha() or k and chars[k - 1] == c), len(chars))
         head, tail = chars[:at], chars[at:]
         # up to there is one path; what follows depends on its last two letters only, and many words share it
-        key = head[-2:], tail
-        ends = self.tails.get(key)
-        if ends is None:
-            if len(self.tails) > 50_000:
-                self.tails.clear()
-            ends = self.tails[key] = self.ends(*key)
+        ends = self.tails[head[-2:], tail]
         return [(p, head + w) for p, w in ends]
 
     def ends(self, head: str, tail: str) -> list[tuple[float, str]]:
@@ -153,52 +151,44 @@ class Restorer:
     def word(self, token: str) -> str:
         if len(token) > PIECE:
             return "".join(self.word(token[k : k + PIECE]) for k in range(0, len(token), PIECE))
-        got = self.seen.get(token)
-        if got is None:
-            if len(self.seen) > 100_000:
-                self.seen.clear()
-            options = self.readings(token)
-            if options and token.lstrip(OPENING).rstrip(CLOSING).isalpha() and not REPEAT.search(token):
-                options.insert(0, (options[0][0], token))  # a word of prose is as likely as its best reading
-            most, got = -np.inf, token
-            for p, w in options:  # best first: from where the bonus would not do, none can win
-                if p + BONUS <= most:
-                    break
-                p += BONUS * self.liked(w)
-                if p > most:
-                    most, got = p, w
-            self.seen[token] = got
+        return self.seen[token]
+
+    def best(self, token: str) -> str:
+        options = self.readings(token)
+        if options and token.lstrip(OPENING).rstrip(CLOSING).isalpha() and not REPEAT.search(token):
+            options.insert(0, (options[0][0], token))  # a word of prose is as likely as its best reading
+        most, got = -np.inf, token
+        for p, w in options:  # best first: from where the bonus would not do, none can win
+            if p + BONUS <= most:
+                break
+            p += BONUS * self.liked(w)
+            if p > most:
+                most, got = p, w
         return got
 
     def text(self, text: str) -> str:
         """Lower case, with every token that shows signs of hiding replaced by its best reading."""
         low = text.lower()
-        return CANDIDATE.sub(lambda m: self.word(m.group()), low) if HINT.search(low) else low
+        return CANDIDATE.sub(lambda m: self.word(m.group()), low) if any(h.search(low) for h in HINTS) else low
 
 
-def features_of(word: str) -> list[int]:
-    keys = {word, *(f"{word[:n]}*" for n in (4, 5, 6) if len(word) >= n)}
-    return [xxhash.xxh64_intdigest(k) >> 1 for k in keys]
+def features_of(word: str) -> list[str]:
+    return [word, *(f"{word[:n]}*" for n in (4, 5, 6) if len(word) >= n)]
 
 
 class Scorer:
-    """Index sets of chosen features for texts; chosen: bucket -> column."""
-
-    def __init__(self, model: np.ndarray, chosen: dict[int, int]):
-        self.chosen, self.known = chosen, {}
-        self.restore = Restorer(model, lambda w: any(self.columns(x) for x in WORD.findall(w)))
-
-    def columns(self, word: str) -> tuple:
-        got = self.known.get(word)
-        if got is None:
-            if len(self.known) > 300_000:
-                self.known.clear()
-            got = self.known[word] = tuple(self.chosen[f] for f in features_of(word) if f in self.chosen)
-        return got
+    """Index sets of chosen features for texts; chosen: feature -> column."""
+
+    def __init__(self, model: np.ndarray, chosen: dict[str, int]):
+        self.chosen, self.columns = chosen, Memory(self.columns_of, KNOWN)
+        self.restore = Restorer(model, lambda w: any(self.columns[x] for x in WORD.findall(w)))
+
+    def columns_of(self, word: str) -> tuple:
+        return tuple(self.chosen[f] for f in features_of(word) if f in self.chosen)
 
     def active(self, text: str) -> list[int]:
         words = set(WORD.findall(self.restore.text(text)))
-        return sorted({c for w in words for c in self.columns(w)})
+        return sorted({c for some in map(self.columns.__getitem__, words) if some for c in some})
 
 
 class Model:
@@ -245,9 +235,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
             at = list(total[0].keys() | total[1].keys())
             for k in range(0, len(at), 65_536):
                 part = at[k : k + 65_536]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), *(pa.array([c[f] for f in part], pa.int64()) for c in total)], ["f", "n0", "n1"])
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([c[f] for f in part], pa.int64()) for c in total)], ["f", "n0", "n1"])
 
-    rows = texts.mapInArrow(count, "f long, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    rows = texts.mapInArrow(count, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     have = texts.groupBy("y").count().collect()
     total = {r.y: r["count"] for r in have}
     if len(total) < 2:
