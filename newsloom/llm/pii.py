@@ -178,7 +178,7 @@ def op3(spark, sf_dir: str) -> DataFrame:
     found = spans(read(spark, sf_dir, "documents", "doc_id", "text"))
     written = lambda kinds: F.concat_ws(",", F.transform(F.filter("spans", lambda s: s["kind"].isin(*kinds)), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    return found.select(F.col("id").alias("doc_id"), *[count(k) for k in BASE], F.sha2(written(BASE), 256).alias("base_sha256"), written(KINDS).alias("spans"))
+    return found.select(F.col("id").alias("doc_id"), *[count(k) for k in BASE], F.sha2(written(BASE), 256).alias("base_sha256"), written(KINDS).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def brute(text: str) -> tuple[dict[str, int], str]:

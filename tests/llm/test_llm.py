@@ -853,20 +853,165 @@ def test_fitting_rows_stay_bounded_when_ids_repeat(spark, docs, labels):
     assert one == pytest.approx(two)
 
 
-def test_pipeline_stages(spark):
+def test_queries_equal_row_by_row_versions(spark):
+    """op3, op7 and op10 over a whole table against plain loops over its rows."""
+    sf = "/root/testdata/sf0.001"
+    docs = common.read(spark, sf, "documents")
+    texts = {r.doc_id: r for r in docs.collect()}
+    for r in pii.op3(spark, sf).collect():
+        counts, sha = pii.brute(texts[r.doc_id].text or "")
+        assert ({k: r[f"n_{k}"] for k in pii.BASE}, r.base_sha256) == (counts, sha)
+        assert r.n_spans == len(r.spans.split(",")) if r.spans else r.n_spans == 0
+    model = quality.fit(docs, common.read(spark, sf, "labels", "doc_id", "quality"))
+    for r in quality.score(docs, model).collect():
+        d = texts[r.id]
+        views = [np.array([quality.text_features(d.text)]), np.array([quality.meta_features(d.source, d.lang, d.n_chars, model.buckets)])]
+        both = []
+        for view, m, c, p in zip(views, model.models, model.platt, (r.p_text, r.p_meta)):
+            logit = float((view[0] - m.mean) / m.scale @ m.w + m.b)
+            t = (min(max(logit, -30), 30) - c.fit.mean[0]) / c.fit.scale[0] * c.fit.w[0] + c.fit.b
+            assert p == pytest.approx(1 / (1 + np.exp(-t)))
+            both.append(min(max(t, -15), 15))
+        t = float((np.array(both) - model.top.mean) / model.top.scale @ model.top.w + model.top.b)
+        assert r.score == pytest.approx(1 / (1 + np.exp(-t)))
+    assert sorted(r.doc_id for r in quality.op7(spark, sf).collect()) == sorted(texts)
+    model = toxicity.fit(docs, common.read(spark, sf, "labels", "doc_id", "toxic"))
+    restore = toxicity.Scorer(model.lm, model.chosen).restore
+    odds = np.log((model.prior + 1e-6) / (1 - model.prior + 1e-6))
+    for r in toxicity.op10(spark, sf).collect():
+        words = {w for w in toxicity.WORD.findall(restore.text(texts[r.doc_id].text or ""))}
+        held = {f for w in words for f in (w, *(w[:n] + "*" for n in (4, 5, 6) if len(w) >= n)) if f in model.chosen}
+        want = 1 / (1 + np.exp(-(odds + sum(model.weights[model.chosen[f]] for f in held))))
+        assert r.score == pytest.approx(want, abs=1e-9)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == (r.score >= 0.7)
+
+
+def test_best_readings_equal_all_paths():
+    """Viterbi decoding against every path of the lattice, spelt out."""
+    rng = np.random.default_rng(17)
+    lm = toxicity.language_model(rng.integers(0, 50, 28**3))
+    rand = random.Random(3)
+    for _ in range(60):
+        token = "".join(rand.choice("abeo013$!@+ll") for _ in range(rand.randrange(1, 6)))
+        first, last = len(token) - len(token.lstrip(toxicity.OPENING)), len(token.rstrip(toxicity.CLOSING))
+        paths = [(0.0, "")]
+        for k, c in enumerate(token):
+            ways = [(c, 0.0)] if c.isalpha() else [(c, toxicity.KEEP if first <= k < last else 0.0), *((x, toxicity.SWAP) for x in toxicity.LOOKALIKES.get(c, ""))]
+            if c.isalpha() and k and token[k - 1] == c:
+                ways.append((None, toxicity.DROP / 2 - 2.0))
+            paths = [(p + cost, w + (x or "")) for p, w in paths for x, cost in ways]
+
+        def whole(p, w):
+            at = [0, 0, *map(toxicity.symbol, w), 0]
+            return p + sum(lm[a][b][c] for a, b, c in zip(at, at[1:], at[2:]))
+
+        best = max(whole(p, w) for p, w in paths)
+        got = toxicity.Restorer(lm).ends("", token)
+        assert got[0][0] == pytest.approx(best)
+        assert got[0][1] in {w for p, w in paths if whole(p, w) > best - 1e-9}
+
+
+def test_copies_that_share_an_anchor_with_another_text(spark):
+    """Thousands of copies of one text and a near copy: stretches are sorted once each, whatever the copies."""
+    base = " ".join(RNG.choice(WORDS) for _ in range(300))
+    edited = base[:700] + "#" + base[701:]
+    df = spark.range(0, 3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 7, edited).otherwise(base).alias("text")).repartition(8)
+    sizes = []
+
+    def shards(df_, level, size, unions, keys, blooms, memory):
+        out = plain(df_, level, size, unions, keys, blooms, memory)
+        sizes.append(unions.join(keys.select("key"), "key", "left_semi").count())
+        return out
+
+    plain, repeats._sort = repeats._sort, shards
+    try:
+        rows = repeats.summary(repeats.deduplicate(df)).collect()
+    finally:
+        repeats._sort = plain
+    assert sum(sizes) < 40
+    want = {edited: next((len(r), int(h.sum()), n) for r, h, n in slow_spans([edited, base, base], 400))}
+    assert want[edited][1] < len(edited)
+    for r in rows:
+        assert (r.n_bytes, r.n_removed, r.n_spans) == (want[edited] if r.id == 7 else (len(base.encode()), len(base.encode()), 1))
+
+
+def test_very_long_texts(spark):
+    """Texts of millions of characters are read to their ends."""
+    rng = random.Random(31)
+    words = [rng.choice(WORDS) + rng.choice(WORDS) for _ in range(250_000)]
+    passage = " ".join(rng.choice(WORDS) for _ in range(120))
+    long = " ".join(words) + f" {passage} Released under the MIT License. Mail a.b@c.org to me. " + "the benchmark item of ten words stands here at last"
+    assert len(long) > 1_500_000
+    df = common.cut(spark.createDataFrame([(1, long, "en", "s", len(long)), (2, passage, "en", "s", len(passage))], "doc_id long, text string, lang string, source string, n_chars long"))
+    bench = spark.createDataFrame([("1", "the benchmark item of ten words stands here at last")], "item_id string, text string")
+    of = lambda d: next(r for r in d.collect() if r.id == 1)
+    assert of(license.scan(df)).licenses == ["MIT"]
+    assert [long[s.start : s.end] for s in of(pii.spans(df)).spans] == ["a.b@c.org"]
+    got = of(decontaminate.occurrences(df, bench))
+    assert (got.n_hit, got["items"]) == (10, ["1"])
+    r = of(bpe.digests(df))
+    assert r.decoded_sha256 == hashlib.sha256(long.encode()).hexdigest()
+    assert of(simhash.near_duplicates(df)).fp == np.array([simhash.fingerprint(long)], np.uint64).view(np.int64)[0]
+    got = of(repeats.summary(repeats.deduplicate(df)))
+    assert got.n_removed == len(passage) and got.n_spans == 1
+    labels = spark.createDataFrame([(1, 1, 1), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    assert quality.score(df, quality.fit(df, labels)).count() == toxicity.score(df, toxicity.fit(df, labels)).count() == 2
+    page = "<article>" + "".join(f"<p>{' '.join(words[k : k + 50])}</p>" for k in range(0, 100_000, 50)) + "</article>"
+    assert maintext.main_text(page) == "\n".join(" ".join(words[k : k + 50]) for k in range(0, 100_000, 50))
+
+
+def test_pipeline_stages_equal_brute_force(spark):
+    """Each stage, on what its predecessor kept, against loops over collected rows; odd rows and clashing columns go along."""
     import corpus_pipeline
+    from tokenizers import Tokenizer
 
     sf = "/root/testdata/sf0.001"
     docs = common.read(spark, sf, "documents")
-    n = [docs.count()]
-    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        out = common.cut(stage(spark, docs, sf))
-        if k < len(corpus_pipeline.STAGES) - 1:
-            assert out.columns == docs.columns
-        n.append(out.count())
-        docs = out
-    assert n == sorted(n, reverse=True) and n[-1] > n[0] / 2
-    assert docs.where("not round_trip").count() == 0
+    odd = spark.createDataFrame([(None, None, None, None, None), (10**6, "", "en", "s", 0), (10**6, "", "en", "s", 0), (10**6 + 1, "mail a@b.org " * 30, "en", None, 1)], docs.schema)
+    clash = [F.lit(k).alias(c) for k, c in enumerate(["id", "label", "fp", "component", "score", "y", "h", "x", "spans", "items"])]
+    docs = common.cut(docs.unionByName(odd).select("*", *clash))
+    bench = [(r.item_id, r.text or "") for r in common.read(spark, sf, "benchmark").collect()]
+    library, tables = Tokenizer.from_file(bpe.default_path()), [docs]
+    for name, stage in corpus_pipeline.STAGES:
+        tables.append(common.cut(stage(spark, tables[-1], sf)))
+        if name != corpus_pipeline.STAGES[-1][0]:
+            assert tables[-1].columns == docs.columns
+        empty = stage(spark, docs.where("false"), sf)
+        assert empty.count() == 0 and empty.schema.simpleString() == tables[-1].schema.simpleString()
+    start, good, single, clean, masked, tokens = ([r.asDict() for r in t.collect()] for t in tables)
+    order = lambda rows: sorted((tuple(map(str, r.values())) for r in rows))
+    # quality: a row at a time
+    model = quality.fit(docs, common.read(spark, sf, "labels", "doc_id", "quality"))
+    keep = [r for r in start if model.prob([np.array([quality.text_features(r["text"])]), np.array([quality.meta_features(r["source"], r["lang"], r["n_chars"], model.buckets)])])[0] >= quality.THRESHOLD]
+    assert order(good) == order(keep) and len(good) < len(start)
+    # near-duplicates: all pairs of fingerprints
+    fps = [slow_fingerprint(r["text"]) for r in good]
+    root = union_find(len(good), [(a, b) for a in range(len(good)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 3])
+    best = {}
+    for r, g in zip(good, root):
+        if g not in best or (r["doc_id"] is None, r["doc_id"] or 0) < (best[g]["doc_id"] is None, best[g]["doc_id"] or 0):
+            best[g] = r
+    assert order(single) == order(best.values()) and len(single) < len(good)
+    # benchmark: every window at every word
+    assert order(clean) == order([r for r in single if not slow_hits(r["text"] or "", bench)[1]])
+    # personal data: spans cut out one by one
+    want = []
+    for r in clean:
+        text, at = r["text"], len(r["text"] or "")
+        groups = []
+        for s, e, kind in pii.find(text or ""):
+            if groups and s < groups[-1][1]:
+                groups[-1][1] = max(groups[-1][1], e)
+            else:
+                groups.append([s, e, kind])
+        for s, e, kind in reversed(groups):
+            text = text[:s] + f"[{kind.upper()}]" + text[e:]
+        want.append({**r, "text": text, "n_chars": None if text is None else len(text)})
+    assert order(masked) == order(want)
+    # tokens: the library
+    got = sorted(((str(r["doc_id"]), r["n_tokens"], list(r["ids"]), r["round_trip"]) for r in tokens), key=repr)
+    ids = {str(r["doc_id"]): library.encode(r["text"] or "", add_special_tokens=False).ids for r in masked}
+    assert got == sorted(((k, len(x), x, True) for k, x in ids.items()), key=repr)
 
 
 def test_clashing_names_null_ids_and_repeated_rows(spark):
