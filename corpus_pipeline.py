@@ -2,6 +2,10 @@
 
 Each stage is called with (spark, docs, sf_dir) and returns a DataFrame, which run() writes as Parquet in the shared
 folder and reads again as the next stage's docs. All but the last return the columns of documents.
+
+Defined results: a null text counts as empty; further columns, whatever their names, go along up to the last stage; an empty
+table stays empty; repeated rows are one group of near-duplicates; a null id is an id like any other, but is neither
+fitted on nor named as the smallest of a group that has others.
 """
 
 from __future__ import annotations
@@ -14,22 +18,22 @@ from newsloom.llm.common import cut, read
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier does not reject."""
+    """Documents that the co-trained classifier does not reject; without labels none is rejected."""
     return quality.keep_good(docs, read(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: that of the smallest id; texts without words are one group."""
     return simhash.keep_one(docs)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of a benchmark item occurs."""
+    """Documents in which no window of a benchmark item occurs; texts without words stay."""
     return decontaminate.clean(docs, read(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
 def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data masked."""
+    """All documents, personal data masked, n_chars set anew; a null text stays null."""
     return pii.mask(docs)
 
 
