@@ -74,20 +74,35 @@ def text_features(text: str | None) -> list[float]:
     ]
 
 
-def meta_features(source: str | None, lang: str | None, n_chars: int | None, buckets: int) -> list[float]:
-    out = [0.0] * (buckets + 4)
-    for key in (f"s{source}", f"l{lang}", f"n{int(math.log2(max(1, n_chars)))}" if n_chars is not None else "n"):
-        out[xxhash.xxh32_intdigest(key) % buckets] += 1.0
-    size = math.log1p(max(0, n_chars or 0))
-    out[buckets:] = [size, size * size / 10, float(n_chars is None), float(source is None)]
+def meta_parts(source: str | None, lang: str | None, n_chars: int | None, buckets: int) -> list[float]:
+    """The buckets of source, language and size, and three numbers: all that meta_features() are made of."""
+    keys = (f"s{source}", f"l{lang}", f"n{int(math.log2(max(1, n_chars)))}" if n_chars is not None else "n")
+    return [*(xxhash.xxh32_intdigest(k) % buckets for k in keys), math.log1p(max(0, n_chars or 0)), float(n_chars is None), float(source is None)]
+
+
+def spread(parts: np.ndarray, buckets: int) -> np.ndarray:
+    """Rows of features from rows of parts."""
+    out, rows = np.zeros((len(parts), buckets + 4)), np.arange(len(parts))
+    for k in range(3):
+        np.add.at(out, (rows, parts[:, k].astype(np.int64)), 1.0)
+    out[:, buckets], out[:, buckets + 1] = parts[:, 3], parts[:, 3] ** 2 / 10
+    out[:, buckets + 2 :] = parts[:, 4:]
     return out
 
 
-def _rows(batch, buckets: int):
+def meta_features(source: str | None, lang: str | None, n_chars: int | None, buckets: int) -> np.ndarray:
+    return spread(np.array([meta_parts(source, lang, n_chars, buckets)]), buckets)[0]
+
+
+def _parts(batch, buckets: int):
     cols = [batch.column(k).to_pylist() for k in range(1, 5)]
     text = np.array([text_features(t) for t in cols[0]], np.float64).reshape(-1, N_TEXT)
-    meta = np.array([meta_features(*r, buckets) for r in zip(*cols[1:])], np.float64).reshape(-1, buckets + 4)
-    return text, meta
+    return text, np.array([meta_parts(*r, buckets) for r in zip(*cols[1:])], np.float64).reshape(-1, 6)
+
+
+def _rows(batch, buckets: int):
+    text, parts = _parts(batch, buckets)
+    return text, spread(parts, buckets)
 
 
 class Platt:
@@ -165,7 +180,7 @@ def round_sums(features: DataFrame, model: CoTrained, sure: float = SURE) -> dic
         total = np.zeros(starts[-1])
         for b in batches:
             x = b.column(0).flatten().to_numpy().astype(np.float64).reshape(b.num_rows, -1)
-            views = x[:, :N_TEXT], x[:, N_TEXT:]
+            views = x[:, :N_TEXT], spread(x[:, N_TEXT:], model.buckets)
             for k, y, at in model.marked(views, sure) if len(x) else ():
                 if len(at):
                     slope, curve = model.models[k].sums(views[k][at], y)
@@ -222,14 +237,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", label_col="quality"
 
     def free_rows(batches):
         for b in batches:
-            x = np.concatenate(_rows(b, buckets), axis=1).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(5), pa.array(list(x), pa.list_(pa.float32()))], ["h", "g", "x"])
+            x = np.concatenate(_parts(b, buckets), axis=1).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(5), b.column(6), pa.array(list(x), pa.list_(pa.float32()))], ["id", "h", "g", "x"])
 
-    # every unlabelled document, of equal ones one
-    free = source.join(marked.select("id"), "id", "left_anti") if rounds else source.where("false")
+    # every unlabelled document, of equal ones one; features are made before anything is shuffled, so no text is
     what = ["text", "source", "lang", "n_chars"]
-    free = free.select(F.xxhash64(*what).alias("h"), *what, F.xxhash64(F.lit(1), *what).alias("g"))
-    features = cut(free.mapInArrow(free_rows, "h long, g long, x array<float>").groupBy("h", "g").agg(F.first("x").alias("x")).select("x"))
+    free = (source if rounds else source.where("false")).select("id", *what, F.xxhash64(*what).alias("h"), F.xxhash64(F.lit(1), *what).alias("g"))
+    free = free.mapInArrow(free_rows, schema_of(kind, "h long, g long, x array<float>")).join(marked.select("id"), "id", "left_anti")
+    features = cut(free.groupBy("h", "g").agg(F.first("x").alias("x")).select("x"))
     for _ in range(rounds):
         sums = round_sums(features, model, sure)
         if not any(n for _, _, n in sums.values()):
