@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import cut, read, schema_of, utf8_slices
+from newsloom.llm.common import cut, read, release, schema_of, utf8_slices
 
 SIZE = 10
 #: Windows that one pass searches for.
@@ -204,6 +204,7 @@ def occurrences(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="te
     empty = [F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<bigint>").alias("spans"), F.lit(None).cast("array<string>").alias("items")]
     df = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *empty)
     source = items.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("text"))
+    held = []
     passes, known, patterns, n, done = 0, [], defaultdict(lambda: defaultdict(list)), 0, object()
     stream = iter(source.toLocalIterator(prefetchPartitions=False))
     while True:
@@ -215,8 +216,10 @@ def occurrences(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="te
                 n += 1
         if n >= block or row is done and (n or not passes):
             searches = [Search(m, {**p}) for m, p in sorted(patterns.items())]
-            if passes:
+            if passes:  # a pass reads what the one before has written; that before it is not read again
                 df = cut(df)
+                release(*held)
+                held = [df]
             df = df.mapInArrow(_scan(searches, schema, known), schema)
             passes, known, patterns, n = passes + 1, [], defaultdict(lambda: defaultdict(list)), 0
         if row is done:
