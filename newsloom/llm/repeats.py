@@ -18,6 +18,10 @@ partner is not sorted at all:
 From pass to pass travel Bloom filters of one place for each stretch that is to be sorted, sized by their number
 up to `BLOOM_MOST` bits; a wrong yes costs work, never a result. Where even that is too small, sets are joined.
 
+passages() finds what has fewer bytes than that but is a passage: strings of `PASSAGE` words that another document holds too. It
+takes the first and the last of these steps with words, as 64-bit hashes, in the place of bytes: reaches that two documents hold, then
+single windows of those whose surroundings two documents hold.
+
 Defined results: null is the empty text; texts shorter than `size` lose nothing; matches never cross rows; rows with
 equal texts repeat each other; repeated rows give a row each; texts may be of any length; an empty table gives an
 empty result; other columns are not read.
@@ -27,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +42,22 @@ from pyspark.sql import functions as F
 from newsloom.llm.common import cut, read, release, schema_of, utf8_slices
 from newsloom.llm.induction import MEMORY, Stretches, repeated
 
-SIZE = 400
-GRAM, SIDE, CELL = 16, 48, 16
+SIZE, PASSAGE = 400, 51
+
+
+class Scale(NamedTuple):
+    """What a window is: size symbols of unit bytes each, anchored by a gram with side symbols of it on either side; windows
+    of a cell; whether only what different documents hold counts as repeated."""
+
+    size: int = SIZE
+    unit: int = 1
+    gram: int = 16
+    side: int = 48
+    cell: int = 16
+    across: bool = False
+
+
+BYTES, WORDS = Scale(), Scale(PASSAGE, 8, 4, 4, 8, True)
 #: Distinct stretches of a shard, above which it is split; bytes of stretches of whole keys sorted at a time.
 HOT, BATCH_BYTES = 20_000, 16 << 20
 #: Bits of a Bloom filter for each of its keys, and in all.
@@ -49,12 +68,39 @@ MIX = np.uint64(0xBF58476D1CE4E5B9)
 POSITION = np.uint64((1 << 31) - 1)
 
 
-def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of the GRAM bytes from each position, by doubling."""
+#: Bytes that separate words, bytes in lower case, and weights of the places in a word.
+SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+LOWER = np.where((np.arange(256) >= 65) & (np.arange(256) <= 90), np.arange(256) + 32, np.arange(256)).astype(np.uint64) + np.uint64(1)
+PLACES = np.cumprod(np.full(256, BASE, np.uint64), dtype=np.uint64)
+
+
+def symbols(data: np.ndarray, offsets: np.ndarray, unit: int):
+    """(symbols, their offsets by text): the bytes themselves, or hashes of the words in lower case."""
+    if unit == 1:
+        return data, offsets
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    space = SPACE[data]
+    first = ~space
+    first[1:] &= space[:-1]
+    edge = offsets[:-1][np.diff(offsets) > 0]
+    first[edge] = ~space[edge]
+    at = np.flatnonzero(first)
+    if not len(at):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    place = np.arange(len(data)) - at[np.maximum(np.cumsum(first) - 1, 0)]
+    value = LOWER[data] * PLACES[place & 255]
+    value[space] = 0
+    h = np.add.reduceat(value, at) * MIX
+    return h ^ (h >> np.uint64(31)), np.searchsorted(at, offsets)
+
+
+def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
+    """A hash of the gram symbols from each position, by doubling; gram is a power of two."""
     h = (data.astype(np.uint64) + np.uint64(1)) * MIX
     h ^= h >> np.uint64(29)
     width = 1
-    while width < GRAM:
+    while width < gram:
         h = h[:-width] * BASE + h[width:]
         h ^= h >> np.uint64(31)
         width *= 2
@@ -74,16 +120,16 @@ def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[: n - width + 1], left[width - 1 : n])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, size: int):
+def anchors(data: np.ndarray, offsets: np.ndarray, scale: Scale):
     """(row, anchor, first window, last window): bounds in data of the runs of windows that share an anchor."""
-    none = np.zeros(0, np.int64)
+    none, size = np.zeros(0, np.int64), scale.size
     long = np.flatnonzero(np.diff(offsets) >= size)
     if not len(long) or len(data) < size:
         return none, none, none, none
-    v = gram_hashes(data)
+    v = gram_hashes(data, scale.gram)
     v = (v & ~POSITION) | np.arange(len(v), dtype=np.uint64)
-    width = size - 2 * SIDE - GRAM + 1
-    best = (sliding_min(v[SIDE:], width) & POSITION).astype(np.int64)
+    width = size - 2 * scale.side - scale.gram + 1
+    best = (sliding_min(v[scale.side :], width) & POSITION).astype(np.int64)
     inside = np.zeros(len(data) + 1, np.int8)
     np.add.at(inside, offsets[long], 1)
     np.add.at(inside, offsets[long + 1] - size + 1, -1)
@@ -146,80 +192,85 @@ class Bloom:
         return out
 
 
-LEVEL = "key long, f1 long, f2 long, rid long, th binary, lo int, hi int"
-
+LEVEL = "key long, f1 long, f2 long, rid long, who long, th binary, lo int, hi int"
 
-def scan(level: int, size: int, blooms):
-    """mapInArrow function over (th, text): the names of one level, for what the levels before have left."""
 
-    def name(raw, keys):
-        return np.array([xxhash.xxh3_64_intdigest(raw[a:c]) for a, c in keys], np.uint64).view(np.int64)
+def scan(level: int, scale: Scale, blooms):
+    """mapInArrow function over (th, who, text): the names of one level, for what the levels before have left."""
+    size, unit = scale.size, scale.unit
 
     def run(batches):
         for b in batches:
             text_id = text_ids(b.column(0))
-            for r0, _, data, offsets in utf8_slices(b.column(1)):
-                row, at, lo, hi = anchors(data, offsets, size)
+            for r0, _, data, offsets in utf8_slices(b.column(2)):
+                data, offsets = symbols(data, offsets, unit)
+                row, at, lo, hi = anchors(data, offsets, scale)
                 raw = data.tobytes()
 
                 def ids():
                     return place_ids(text_id[row + r0], lo - offsets[row])
 
-                if level == 1:
-                    key = name(raw, zip((at - SIDE).tolist(), (at + GRAM + SIDE).tolist()))
-                else:
-                    left = blooms[0].value.holds(ids())
-                    row, lo, hi, core = grid(row[left], at[left], lo[left], hi[left])
-                    key = name(raw, zip(core.tolist(), (core - CELL + 1 + size).tolist())) if level == 2 else None
+                core = at
+                for k, bloom in enumerate(blooms):
+                    left = bloom.value.holds(ids())
+                    row, at, lo, hi, core = row[left], at[left], lo[left], hi[left], core[left]
+                    if k == 0 and not scale.across:
+                        row, lo, hi, core = grid(row, at, lo, hi, scale.cell)
+                        at = core
                 if level > 2:
-                    left = blooms[1].value.holds(ids())
-                    row, lo, hi = row[left], lo[left], hi[left]
                     n = hi - lo + 1
                     row = np.repeat(row, n)
                     lo = hi = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                full = [xxhash.xxh3_128_digest(raw[a:c]) for a, c in zip(lo.tolist(), (hi + size).tolist())]
+                full = [xxhash.xxh3_128_digest(raw[unit * a : unit * c]) for a, c in zip(lo.tolist(), (hi + size).tolist())]
                 f = np.frombuffer(b"".join(full), ">i8").reshape(-1, 2).astype(np.int64)
-                key = f[:, 0] if key is None else key
-                base = offsets[row]
-                cols = [pa.array(key), pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array(ids()), b.column(0).take(pa.array(row + r0)), pa.array((lo - base).astype(np.int32)), pa.array((hi - base).astype(np.int32))]
+                key = f[:, 0] if level > 2 else names(raw, core, scale, level)
+                base, at_rows = offsets[row], pa.array(row + r0)
+                cols = [pa.array(key), pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array(ids()), b.column(1).take(at_rows), b.column(0).take(at_rows), pa.array((lo - base).astype(np.int32)), pa.array((hi - base).astype(np.int32))]
                 for c in range(0, len(key), 65_536):
-                    yield pa.RecordBatch.from_arrays([x.slice(c, 65_536) for x in cols], ["key", "f1", "f2", "rid", "th", "lo", "hi"])
+                    yield pa.RecordBatch.from_arrays([x.slice(c, 65_536) for x in cols], ["key", "f1", "f2", "rid", "who", "th", "lo", "hi"])
 
     return run
 
 
-def grid(row, at, lo, hi):
-    """Cells of CELL windows, cut where the distance from window to anchor is a multiple of CELL, so that equal windows
+def names(raw: bytes, at: np.ndarray, scale: Scale, level: int) -> np.ndarray:
+    """64-bit names of what all windows have in common: the surroundings of an anchor, or the core of a cell."""
+    before, after = (scale.side, scale.gram + scale.side) if level == 1 else (0, scale.size - scale.cell + 1)
+    u = scale.unit
+    return np.array([xxhash.xxh3_64_intdigest(raw[u * (a - before) : u * (a + after)]) for a in at.tolist()], np.uint64).view(np.int64)
+
+
+def grid(row, at, lo, hi, cell):
+    """Cells of `cell` windows, cut where the distance from window to anchor is a multiple of it, so that equal windows
     lie in equal places of their cells; core is the start of the last window of the whole cell."""
-    first, last = (at - hi) // CELL, (at - lo) // CELL
+    first, last = (at - hi) // cell, (at - lo) // cell
     n = last - first + 1
     run = np.repeat(np.arange(len(lo)), n)
-    core = at[run] - CELL * (first[run] + np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n))
-    return row[run], np.maximum(lo[run], core - CELL + 1), np.minimum(hi[run], core), core
+    core = at[run] - cell * (first[run] + np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n))
+    return row[run], np.maximum(lo[run], core - cell + 1), np.minimum(hi[run], core), core
 
 
 STRETCH = "key long, rid long, th binary, lo int, back int, keep int, raw binary"
 SPAN = "th binary, lo int, end int"
 
 
-def stretches(level: int, size: int, blooms):
-    """mapInArrow function over (th, text): the stretches of a level that are to be sorted, with the place of the anchor and of
-    the last window. A cell's anchor is the byte after its core, which all of its windows start before."""
+def stretches(level: int, scale: Scale, blooms):
+    """mapInArrow function over (th, who, text): the stretches of a level that are to be sorted, with the place of the anchor and
+    of the last window. A cell's anchor is the byte after its core, which all of its windows start before."""
+    size = scale.size
 
     def run(batches):
         for b in batches:
             text_id = text_ids(b.column(0))
-            for r0, _, data, offsets in utf8_slices(b.column(1)):
-                row, at, lo, hi = anchors(data, offsets, size)
+            for r0, _, data, offsets in utf8_slices(b.column(2)):
+                row, at, lo, hi = anchors(data, offsets, scale)
                 raw = data.tobytes()
                 for bloom in blooms:
                     left = bloom.value.holds(place_ids(text_id[row + r0], lo - offsets[row]))
                     row, at, lo, hi = row[left], at[left], lo[left], hi[left]
                     if level == 2 and bloom is not blooms[-1]:
-                        row, lo, hi, core = grid(row, at, lo, hi)
-                        at = core + 1
-                near = (-SIDE, GRAM + SIDE) if level == 1 else (-1, size - CELL)
-                key = np.array([xxhash.xxh3_64_intdigest(raw[a + near[0] : a + near[1]]) for a in at.tolist()], np.uint64).view(np.int64)
+                        row, lo, hi, at = grid(row, at, lo, hi, scale.cell)
+                key = names(raw, at, scale, level)
+                at = at + (level == 2)
                 rid = place_ids(text_id[row + r0], lo - offsets[row])
                 kind = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
                 nums = [pa.array(x, t) for x, t in zip((key, rid, lo - offsets[row], at - lo, hi - lo), kind)]
@@ -292,11 +343,13 @@ def place_ids(text_id: np.ndarray, lo: np.ndarray) -> np.ndarray:
     return ((h ^ (h >> np.uint64(32))) * BASE).view(np.int64)
 
 
-def _settle(texts: DataFrame, level: int, size: int, blooms: list):
-    """Names of one level: (spans of what occurs again, distinct stretches (key, f1, f2, n, rid))."""
+def _settle(texts: DataFrame, level: int, scale: Scale, blooms: list):
+    """Names of one level: (spans of what occurs again, distinct stretches (key, f1, f2, n, rid)); n above 1 is repeated."""
     spark = texts.sparkSession
-    named = cut(texts.mapInArrow(scan(level, size, list(blooms)), LEVEL))
-    again = cut(named.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
+    named = cut(texts.mapInArrow(scan(level, scale, list(blooms)), LEVEL))
+    # what several rows hold, or several documents
+    n = F.when(F.min("who") < F.max("who"), 2).otherwise(1).cast("long") if scale.across else F.count(F.lit(1))
+    again = cut(named.groupBy("key").agg(n.alias("n")).where("n > 1").select("key"))
     if Bloom.fits(again.count()):
         held = spark.sparkContext.broadcast(Bloom.of(again))
 
@@ -309,9 +362,12 @@ def _settle(texts: DataFrame, level: int, size: int, blooms: list):
         some = cut(named.join(again, "key", "left_semi"))
     release(named, again)
     # a stretch that occurs once is its own representative; of others one goes on, as a partner for the rest
-    unions = cut(some.groupBy("key", "f1", "f2").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("rid")))
+    unions = cut(some.groupBy("key", "f1", "f2").agg(n.alias("n"), F.min("rid").alias("rid")))
     twice = unions.where("n > 1").select("key", "f1", "f2")
-    spans = cut(some.join(twice, ["key", "f1", "f2"], "left_semi").select("th", "lo", (F.col("hi") + size).alias("end")))
+    spans = cut(some.join(twice, ["key", "f1", "f2"], "left_semi").select("th", "lo", (F.col("hi") + scale.size).alias("end")))
+    if scale.across:
+        # all places of what is open, as a partner in another document need not be the representative
+        unions = cut(some.join(unions.where("n = 1").select("key").distinct(), "key", "left_semi").select("rid").distinct())
     release(some)
     return spans, unions
 
@@ -321,39 +377,54 @@ def _open(unions: DataFrame) -> DataFrame:
     return cut(unions.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").drop("least"))
 
 
-def _sort(texts: DataFrame, level: int, size: int, unions: DataFrame, keys: DataFrame, blooms: list, memory: int) -> DataFrame:
+def _sort(texts: DataFrame, level: int, scale: Scale, unions: DataFrame, keys: DataFrame, blooms: list, memory: int) -> DataFrame:
     """Spans found by sorting the stretches of the given keys: a row of each (text, place), however many rows the text has."""
     rids = cut(unions.join(keys.select("key"), "key", "left_semi").select("rid"))
     place = texts.sparkSession.sparkContext.broadcast(Bloom.of(rids))
-    found = texts.mapInArrow(stretches(level, size, [*blooms, place]), STRETCH)
+    found = texts.mapInArrow(stretches(level, scale, [*blooms, place]), STRETCH)
     if not Bloom.fits(rids.count()):
         found = found.join(rids, "rid", "left_semi")
     found = found.groupBy("key", "rid", "th", "lo", "back", "keep").agg(F.first("raw").alias("raw"))
-    spans = cut(found.repartition("key").sortWithinPartitions("key").mapInArrow(induce(size, memory=memory), SPAN))
+    spans = cut(found.repartition("key").sortWithinPartitions("key").mapInArrow(induce(scale.size, memory=memory), SPAN))
     release(rids)
     return spans
 
 
-def repeated_spans(texts: DataFrame, size: int = SIZE, hot: int = HOT, memory: int = MEMORY) -> DataFrame:
-    """(th, spans) for texts(th, text): flat start, end lists of the maximal runs of repeated bytes, per distinct text."""
+def repeated_spans(texts: DataFrame, scale: Scale = BYTES, hot: int = HOT, memory: int = MEMORY) -> DataFrame:
+    """(th, spans) for texts(th, who, text): flat start, end lists of the maximal runs of repeated bytes, per distinct text."""
     spark = texts.sparkSession
-    spans, unions = _settle(texts, 1, size, [])
+    spans, unions = _settle(texts, 1, scale, [])
     open_keys = _open(unions)
-    parts = [spans, _sort(texts, 1, size, unions, open_keys.where(F.col("k") <= hot), [], memory)]
+    parts = [spans, _sort(texts, 1, scale, unions, open_keys.where(F.col("k") <= hot), [], memory)]
     many = open_keys.where(F.col("k") > hot)
     if not many.isEmpty():
         blooms = [spark.sparkContext.broadcast(Bloom.of(unions.join(many, "key", "left_semi").select("rid")))]
-        spans, cells = _settle(texts, 2, size, blooms)
+        spans, cells = _settle(texts, 2, scale, blooms)
         open_cells = _open(cells)
-        parts += [spans, _sort(texts, 2, size, cells, open_cells.where(F.col("k") <= hot), blooms, memory)]
+        parts += [spans, _sort(texts, 2, scale, cells, open_cells.where(F.col("k") <= hot), blooms, memory)]
         many = open_cells.where(F.col("k") > hot)
         if not many.isEmpty():
             blooms.append(spark.sparkContext.broadcast(Bloom.of(cells.join(many, "key", "left_semi").select("rid"))))
-            spans, windows = _settle(texts, 3, size, blooms)
+            spans, windows = _settle(texts, 3, scale, blooms)
             parts.append(spans)
             release(windows)
         release(cells, open_cells)
     release(unions, open_keys)
+    return _merged(parts)
+
+
+def passages(texts: DataFrame, words: int = PASSAGE) -> DataFrame:
+    """(th, spans) for texts(th, who, text): runs of words that lie in strings of `words` words which another who holds too."""
+    spark, scale = texts.sparkSession, WORDS._replace(size=words)
+    spans, places = _settle(texts, 1, scale, [])
+    bloom = spark.sparkContext.broadcast(Bloom.of(places))
+    more, left = _settle(texts, 3, scale, [bloom])
+    release(places, left)
+    return _merged([spans, more])
+
+
+def _merged(parts: list) -> DataFrame:
+    """(th, spans): the spans of each text, those that touch as one."""
     spans = parts[0]
     for p in parts[1:]:
         spans = spans.unionByName(p)
@@ -377,11 +448,18 @@ def repeated_spans(texts: DataFrame, size: int = SIZE, hot: int = HOT, memory: i
     return done
 
 
-def deduplicate(docs: DataFrame, id_col="doc_id", text_col="text", size: int = SIZE, hot: int = HOT, memory: int = MEMORY) -> DataFrame:
-    """(id, n_bytes, spans, kept): the bytes of each text, its removed runs, and the bytes that are left."""
+def deduplicate(docs: DataFrame, id_col="doc_id", text_col="text", size: int = SIZE, hot: int = HOT, memory: int = MEMORY, words: int | None = None) -> DataFrame:
+    """(id, n_bytes, spans, kept): the bytes of each text, its removed runs, and the bytes that are left.
+
+    With `words`, also passages: the runs of words in strings of that many words that another document (another id) holds too.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("th"), text.alias("text"))
-    spans = repeated_spans(rows.select("th", "text"), size, hot, memory)
+    texts = rows.select("th", F.xxhash64("id").alias("who"), "text")
+    spans = repeated_spans(texts, BYTES._replace(size=size), hot, memory)
+    found = spans
+    if words is not None:
+        found = cut(spans.join(passages(texts, words).withColumnRenamed("spans", "passages"), "th", "full_outer"))
     some = docs.sparkSession.sparkContext.broadcast(Bloom.of(spans.select(F.xxhash64("th").alias("key"))))
 
     def pack(batches):
@@ -394,11 +472,14 @@ def deduplicate(docs: DataFrame, id_col="doc_id", text_col="text", size: int = S
 
     kind = docs.schema[id_col].dataType
     packed = rows.withColumn("key", F.xxhash64("th")).mapInArrow(pack, schema_of(kind, "th binary, n_bytes long, z binary, sha string"))
-    return packed.join(spans, "th", "left").select("id", "n_bytes", "spans", "z", "sha")
+    more = [] if words is None else ["passages"]
+    return packed.join(found, "th", "left").select("id", "n_bytes", "spans", "z", "sha", *more)
 
 
 def summary(found: DataFrame) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256) of what deduplicate() gives."""
+    """(id, n_bytes, n_removed, n_spans, kept_sha256) of what deduplicate() gives, and n_shared if it gives passages."""
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["n_shared"] if "passages" in found.columns else [])]
+    covered = lambda spans: sum(spans[1::2]) - sum(spans[::2])
 
     def run(batches):
         for b in batches:
@@ -407,12 +488,16 @@ def summary(found: DataFrame) -> DataFrame:
                 spans = spans or []
                 if s is None:
                     s = hashlib.sha256(kept_bytes(zlib.decompress(z), spans)).hexdigest()
-                removed.append(sum(spans[1::2]) - sum(spans[::2]))
+                removed.append(covered(spans))
                 n.append(len(spans) // 2)
                 sha.append(s)
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n_bytes"), pa.array(removed, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            cols = [b.column("n_bytes"), pa.array(removed, pa.int64()), pa.array(n, pa.int64()), pa.array(sha, pa.string())]
+            if len(names) > 4:
+                cols.append(pa.array([covered(p or []) for p in b.column("passages").to_pylist()], pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("id"), *cols], ["id", *names])
 
-    return found.mapInArrow(run, schema_of(found.schema["id"].dataType, "n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+    kinds = ", ".join(f"{c} {'string' if c == 'kept_sha256' else 'long'}" for c in names)
+    return found.mapInArrow(run, schema_of(found.schema["id"].dataType, kinds))
 
 
 def kept_bytes(raw: bytes, spans: list[int]) -> bytes:
@@ -424,4 +509,5 @@ def kept_bytes(raw: bytes, spans: list[int]) -> bytes:
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
-    return summary(deduplicate(read(spark, sf_dir, "documents", "doc_id", "text"))).withColumnRenamed("id", "doc_id")
+    """The columns of the contract, and n_shared: words of passages of more than 50 words that another document holds too."""
+    return summary(deduplicate(read(spark, sf_dir, "documents", "doc_id", "text"), words=PASSAGE)).withColumnRenamed("id", "doc_id")

@@ -426,6 +426,31 @@ def test_repeats_equal_brute_force(spark, monkeypatch):
         assert [(got[k].n_bytes, got[k].n_removed, got[k].n_spans, got[k].kept_sha256) for k in range(len(texts))] == want
 
 
+def slow_passages(texts, ids, size):
+    """Words under a string of size words that a text of another id holds too."""
+    words = [[w for w in re.split("[ \\t-\\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w] for t in texts]
+    holders = {}
+    for w, k in zip(words, ids):
+        for j in range(len(w) - size + 1):
+            holders.setdefault(tuple(w[j : j + size]), set()).add(k)
+    return [len({i for j in range(len(w) - size + 1) if len(holders[tuple(w[j : j + size])]) > 1 for i in range(j, j + size)}) for w in words]
+
+
+def test_passages_equal_brute_force(spark):
+    rng = random.Random(77)
+    prose = lambda n: [rng.choice(WORDS) + rng.choice("aeiou") for _ in range(n)]
+    short, longer, line = prose(51), prose(90), prose(60)
+    texts = [" ".join([*prose(rng.randrange(80)), *short, *prose(rng.randrange(80))]) for _ in range(6)]
+    texts += [" ".join([*prose(40), *longer[k : k + 50 + 3 * k], *prose(30)]) for k in range(10)]
+    texts += ["\n".join([" ".join(line)] * 5), " ".join(line[:50]), texts[0].upper(), " ".join(short[:50]), " ".join(short), "", None, "a " * 200, "a " * 51, "é" * 300 + " x" * 60]
+    texts += [" ".join(prose(300)) for _ in range(4)] + [texts[7]]
+    ids = [*range(len(texts) - 2), 5, 5]  # rows of one id are one document
+    df = spark.createDataFrame(list(zip(ids, texts, range(len(texts)))), "doc_id long, text string, n long").repartition(3)
+    out = repeats.summary(repeats.deduplicate(df.select("doc_id", "text"), words=51))
+    assert Counter((r.id, r.n_shared) for r in out.collect()) == Counter(zip(ids, slow_passages(texts, ids, 51)))
+    assert [len(repeats.symbols(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]), 8)[0]) for t in ("a b\n c", " ", "x", "\x1ca b")] == [3, 0, 1, 2]
+
+
 @pytest.mark.parametrize(("memory", "block"), [(induction.MEMORY, induction.BLOCK), (induction.MEMORY, 5), (400, 7), (56, 3)])
 def test_induced_sorting_equals_brute_force(memory, block):
     rng, size = random.Random(9), 12
@@ -918,8 +943,8 @@ def test_copies_that_share_an_anchor_with_another_text(spark):
     df = spark.range(0, 3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") == 7, edited).otherwise(base).alias("text")).repartition(8)
     sizes = []
 
-    def shards(df_, level, size, unions, keys, blooms, memory):
-        out = plain(df_, level, size, unions, keys, blooms, memory)
+    def shards(df_, level, scale, unions, keys, blooms, memory):
+        out = plain(df_, level, scale, unions, keys, blooms, memory)
         sizes.append(unions.join(keys.select("key"), "key", "left_semi").count())
         return out
 
