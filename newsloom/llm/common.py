@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.sources.shared import cut, release
+from newsloom.sources.shared import cut, reading, release
 
 #: Bytes of text that one numpy pass holds; bounds the memory of a Python worker.
 SLICE_BYTES = 2 << 20

@@ -19,8 +19,8 @@ From pass to pass travel Bloom filters of one place for each stretch that is to
 up to `BLOOM_MOST` bits; a wrong yes costs work, never a result. Where even that is too small, sets are joined.
 
 passages() finds what has fewer bytes than that but is a passage: strings of `PASSAGE` words that another document holds too. It
-takes the first and the last of these steps with words, as 64-bit hashes, in the place of bytes: reaches that two documents hold, then
-single windows of those whose surroundings two documents hold.
+takes these steps with words, as 64-bit hashes, in the place of bytes, and merges instead of sorting: reaches that two documents hold,
+then cells and single windows of those whose surroundings two documents hold.
 
 Defined results: null is the empty text; texts shorter than `size` lose nothing; matches never cross rows; rows with
 equal texts repeat each other; repeated rows give a row each; texts may be of any length; an empty table gives an
@@ -64,6 +64,8 @@ HOT, BATCH_BYTES = 20_000, 16 << 20
 BLOOM_EACH, BLOOM_MOST = 12, 1 << 28
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
+#: Bytes of texts that anchors are sought in at a time: so few that a processor's cache holds what is made of them.
+SLICE = 128 << 10
 #: Places in a slice of texts; a text has less than 2**31 bytes.
 POSITION = np.uint64((1 << 31) - 1)
 
@@ -195,14 +197,16 @@ class Bloom:
 LEVEL = "key long, f1 long, f2 long, rid long, who long, th binary, lo int, hi int"
 
 
-def scan(level: int, scale: Scale, blooms):
-    """mapInArrow function over (th, who, text): the names of one level, for what the levels before have left."""
+def scan(level: int, scale: Scale, blooms, where=None):
+    """mapInArrow function over (th, who, text, tk): the names of one level, for what the levels before have left, in the texts
+    that where holds."""
     size, unit = scale.size, scale.unit
 
     def run(batches):
         for b in batches:
+            b = only_texts(b, where)
             text_id = text_ids(b.column(0))
-            for r0, _, data, offsets in utf8_slices(b.column(2)):
+            for r0, _, data, offsets in utf8_slices(b.column(2), SLICE):
                 data, offsets = symbols(data, offsets, unit)
                 row, at, lo, hi = anchors(data, offsets, scale)
                 raw = data.tobytes()
@@ -214,7 +218,7 @@ def scan(level: int, scale: Scale, blooms):
                 for k, bloom in enumerate(blooms):
                     left = bloom.value.holds(ids())
                     row, at, lo, hi, core = row[left], at[left], lo[left], hi[left], core[left]
-                    if k == 0 and not scale.across:
+                    if k == 0:
                         row, lo, hi, core = grid(row, at, lo, hi, scale.cell)
                         at = core
                 if level > 2:
@@ -232,6 +236,10 @@ def scan(level: int, scale: Scale, blooms):
     return run
 
 
+def only_texts(batch, where):
+    return batch if where is None else batch.filter(pa.array(where.value.holds(batch.column(3).to_numpy())))
+
+
 def names(raw: bytes, at: np.ndarray, scale: Scale, level: int) -> np.ndarray:
     """64-bit names of what all windows have in common: the surroundings of an anchor, or the core of a cell."""
     before, after = (scale.side, scale.gram + scale.side) if level == 1 else (0, scale.size - scale.cell + 1)
@@ -253,15 +261,16 @@ STRETCH = "key long, rid long, th binary, lo int, back int, keep int, raw binary
 SPAN = "th binary, lo int, end int"
 
 
-def stretches(level: int, scale: Scale, blooms):
-    """mapInArrow function over (th, who, text): the stretches of a level that are to be sorted, with the place of the anchor and
+def stretches(level: int, scale: Scale, blooms, where):
+    """mapInArrow function over (th, who, text, tk): the stretches of a level that are to be sorted, with the place of the anchor and
     of the last window. A cell's anchor is the byte after its core, which all of its windows start before."""
     size = scale.size
 
     def run(batches):
         for b in batches:
+            b = only_texts(b, where)
             text_id = text_ids(b.column(0))
-            for r0, _, data, offsets in utf8_slices(b.column(2)):
+            for r0, _, data, offsets in utf8_slices(b.column(2), SLICE):
                 row, at, lo, hi = anchors(data, offsets, scale)
                 raw = data.tobytes()
                 for bloom in blooms:
@@ -343,12 +352,37 @@ def place_ids(text_id: np.ndarray, lo: np.ndarray) -> np.ndarray:
     return ((h ^ (h >> np.uint64(32))) * BASE).view(np.int64)
 
 
-def _settle(texts: DataFrame, level: int, scale: Scale, blooms: list):
-    """Names of one level: (spans of what occurs again, distinct stretches (key, f1, f2, n, rid)); n above 1 is repeated."""
-    spark = texts.sparkSession
-    named = cut(texts.mapInArrow(scan(level, scale, list(blooms)), LEVEL))
+def _settle(texts: DataFrame, level: int, scale: Scale, blooms: list, where=None):
+    """Names of one level: (spans of what occurs again, distinct stretches (key, f1, f2, n, rid, tk)); n above 1 is repeated."""
     # what several rows hold, or several documents
     n = F.when(F.min("who") < F.max("who"), 2).otherwise(1).cast("long") if scale.across else F.count(F.lit(1))
+    some = named = cut(texts.mapInArrow(scan(level, scale, list(blooms), where), LEVEL))
+    if level < 3:  # a window's key is its name
+        some = _again(named, n)
+        release(named)
+    # a stretch that occurs once is its own representative; of others one goes on, as a partner for the rest
+    tk, text = F.xxhash64("th"), lambda c, tk: F.struct(F.col(c).alias("rid"), F.col(tk).alias("tk"))
+    some_of = [F.min("rid").alias("rid"), F.min_by(tk, "rid").alias("tk")]
+    if scale.across:
+        some_of = [f(x, "who").alias(name) for f, *names_ in ((F.min_by, "rid", "tk"), (F.max_by, "other", "other_tk")) for x, name in zip(("rid", tk), names_)]
+    unions = cut(some.groupBy("key", "f1", "f2").agg(n.alias("n"), *some_of))
+    twice = unions.where("n > 1").select("key", "f1", "f2")
+    spans = cut(some.join(twice, ["key", "f1", "f2"], "left_semi").select("th", "lo", (F.col("hi") + scale.size).alias("end")))
+    if scale.across and level < 3:
+        # what is open, at all its places; as partners two places, in different documents, of what several documents hold
+        alone = unions.where("n = 1")
+        open_ = some.join(alone.select("key", "f1", "f2"), ["key", "f1", "f2"], "left_semi").select("rid", tk.alias("tk"))
+        held_ = unions.where("n > 1").join(alone.select("key").distinct(), "key", "left_semi").select(F.explode(F.array(text("rid", "tk"), text("other", "other_tk"))).alias("x")).select("x.*")
+        places = cut(open_.unionByName(held_).distinct())
+        release(unions)
+        unions = places
+    release(some)
+    return spans, unions
+
+
+def _again(named: DataFrame, n) -> DataFrame:
+    """The rows of named whose key occurs again."""
+    spark = named.sparkSession
     again = cut(named.groupBy("key").agg(n.alias("n")).where("n > 1").select("key"))
     if Bloom.fits(again.count()):
         held = spark.sparkContext.broadcast(Bloom.of(again))
@@ -360,16 +394,14 @@ def _settle(texts: DataFrame, level: int, scale: Scale, blooms: list):
         some = cut(named.mapInArrow(only, LEVEL))
     else:
         some = cut(named.join(again, "key", "left_semi"))
-    release(named, again)
-    # a stretch that occurs once is its own representative; of others one goes on, as a partner for the rest
-    unions = cut(some.groupBy("key", "f1", "f2").agg(n.alias("n"), F.min("rid").alias("rid")))
-    twice = unions.where("n > 1").select("key", "f1", "f2")
-    spans = cut(some.join(twice, ["key", "f1", "f2"], "left_semi").select("th", "lo", (F.col("hi") + scale.size).alias("end")))
-    if scale.across:
-        # all places of what is open, as a partner in another document need not be the representative
-        unions = cut(some.join(unions.where("n = 1").select("key").distinct(), "key", "left_semi").select("rid").distinct())
-    release(some)
-    return spans, unions
+    release(again)
+    return some
+
+
+def _filters(places: DataFrame) -> list:
+    """Broadcast filters of the places and of the texts of places(rid, tk)."""
+    spark = places.sparkSession
+    return [spark.sparkContext.broadcast(Bloom.of(x)) for x in (places.select("rid"), places.select("tk").distinct())]
 
 
 def _open(unions: DataFrame) -> DataFrame:
@@ -379,9 +411,9 @@ def _open(unions: DataFrame) -> DataFrame:
 
 def _sort(texts: DataFrame, level: int, scale: Scale, unions: DataFrame, keys: DataFrame, blooms: list, memory: int) -> DataFrame:
     """Spans found by sorting the stretches of the given keys: a row of each (text, place), however many rows the text has."""
-    rids = cut(unions.join(keys.select("key"), "key", "left_semi").select("rid"))
-    place = texts.sparkSession.sparkContext.broadcast(Bloom.of(rids))
-    found = texts.mapInArrow(stretches(level, scale, [*blooms, place]), STRETCH)
+    rids = cut(unions.join(keys.select("key"), "key", "left_semi").select("rid", "tk"))
+    place, where = _filters(rids)
+    found = texts.mapInArrow(stretches(level, scale, [*blooms, place], where), STRETCH)
     if not Bloom.fits(rids.count()):
         found = found.join(rids, "rid", "left_semi")
     found = found.groupBy("key", "rid", "th", "lo", "back", "keep").agg(F.first("raw").alias("raw"))
@@ -391,21 +423,20 @@ def _sort(texts: DataFrame, level: int, scale: Scale, unions: DataFrame, keys: D
 
 
 def repeated_spans(texts: DataFrame, scale: Scale = BYTES, hot: int = HOT, memory: int = MEMORY) -> DataFrame:
-    """(th, spans) for texts(th, who, text): flat start, end lists of the maximal runs of repeated bytes, per distinct text."""
-    spark = texts.sparkSession
+    """(th, spans) for texts(th, who, text, tk): flat start, end lists of the maximal runs of repeated bytes, per distinct text."""
     spans, unions = _settle(texts, 1, scale, [])
     open_keys = _open(unions)
     parts = [spans, _sort(texts, 1, scale, unions, open_keys.where(F.col("k") <= hot), [], memory)]
     many = open_keys.where(F.col("k") > hot)
     if not many.isEmpty():
-        blooms = [spark.sparkContext.broadcast(Bloom.of(unions.join(many, "key", "left_semi").select("rid")))]
-        spans, cells = _settle(texts, 2, scale, blooms)
+        place, where = _filters(unions.join(many, "key", "left_semi"))
+        spans, cells = _settle(texts, 2, scale, [place], where)
         open_cells = _open(cells)
-        parts += [spans, _sort(texts, 2, scale, cells, open_cells.where(F.col("k") <= hot), blooms, memory)]
+        parts += [spans, _sort(texts, 2, scale, cells, open_cells.where(F.col("k") <= hot), [place], memory)]
         many = open_cells.where(F.col("k") > hot)
         if not many.isEmpty():
-            blooms.append(spark.sparkContext.broadcast(Bloom.of(cells.join(many, "key", "left_semi").select("rid"))))
-            spans, windows = _settle(texts, 3, scale, blooms)
+            cell, where = _filters(cells.join(many, "key", "left_semi"))
+            spans, windows = _settle(texts, 3, scale, [place, cell], where)
             parts.append(spans)
             release(windows)
         release(cells, open_cells)
@@ -414,13 +445,15 @@ def repeated_spans(texts: DataFrame, scale: Scale = BYTES, hot: int = HOT, memor
 
 
 def passages(texts: DataFrame, words: int = PASSAGE) -> DataFrame:
-    """(th, spans) for texts(th, who, text): runs of words that lie in strings of `words` words which another who holds too."""
-    spark, scale = texts.sparkSession, WORDS._replace(size=words)
+    """(th, spans) for texts(th, who, text, tk): runs of words that lie in strings of `words` words which another who holds too."""
+    scale = WORDS._replace(size=words)
     spans, places = _settle(texts, 1, scale, [])
-    bloom = spark.sparkContext.broadcast(Bloom.of(places))
-    more, left = _settle(texts, 3, scale, [bloom])
-    release(places, left)
-    return _merged([spans, more])
+    place, where = _filters(places)
+    more, cells = _settle(texts, 2, scale, [place], where)
+    cell, where = _filters(cells)
+    last, left = _settle(texts, 3, scale, [place, cell], where)
+    release(places, cells, left)
+    return _merged([spans, more, last])
 
 
 def _merged(parts: list) -> DataFrame:
@@ -428,26 +461,49 @@ def _merged(parts: list) -> DataFrame:
     spans = parts[0]
     for p in parts[1:]:
         spans = spans.unionByName(p)
-    spans = spans.groupBy("th").agg(F.collect_set(F.struct("lo", "end")).alias("found"))
-
-    def union(batches):
-        for b in batches:
-            out = []
-            for found in b.column(1).to_pylist():
-                flat = []
-                for lo, end in sorted((x["lo"], x["end"]) for x in found):
-                    if flat and lo <= flat[-1]:
-                        flat[-1] = max(flat[-1], end)
-                    else:
-                        flat += [lo, end]
-                out.append(flat)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32()))], ["th", "spans"])
-
+    # copies of a text give the same spans: one of each, then a text's in order
+    spans = spans.groupBy("th", "lo").agg(F.max("end").alias("end")).repartition("th").sortWithinPartitions("th", "lo")
     done = cut(spans.mapInArrow(union, "th binary, spans array<int>"))
     release(*parts)
     return done
 
 
+def union(batches):
+    """mapInArrow function over (th, lo, end) in order: the flat spans of each text, once for each."""
+
+    def flat(table):
+        th, lo, end = table.column("th"), *(table.column(c).to_numpy().astype(np.int64) for c in ("lo", "end"))
+        names = np.frombuffer(b"".join(th.to_pylist()), "<u8").reshape(-1, 2)
+        first = np.concatenate([[True], (names[1:] != names[:-1]).any(axis=1)])
+        text = np.cumsum(first) - 1
+        # the furthest end so far, of this text: texts are numbered upwards, so the running maximum starts anew with each
+        far = np.maximum.accumulate((text << 32) | end) & 0xFFFFFFFF
+        new = first.copy()
+        new[1:] |= lo[1:] > far[:-1]
+        at = np.flatnonzero(new)
+        last = np.append(at[1:], len(lo)) - 1
+        values = np.stack([lo[at], far[last]], axis=1).ravel().astype(np.int32)
+        offsets = np.append(np.flatnonzero(first[at]) * 2, len(values)).astype(np.int32)
+        who = th.take(pa.array(np.flatnonzero(first)))
+        who = who.combine_chunks() if isinstance(who, pa.ChunkedArray) else who
+        return pa.RecordBatch.from_arrays([who, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["th", "spans"])
+
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        table = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+        # the last text may go on in the next batch
+        names = np.frombuffer(b"".join(table.column("th").to_pylist()), "<u8").reshape(-1, 2)
+        other = np.flatnonzero((names != names[-1]).any(axis=1))
+        k = int(other[-1]) + 1 if len(other) else 0
+        if k:
+            yield flat(table.slice(0, k).combine_chunks())
+        held = table.slice(k)
+    if held is not None:
+        yield flat(held.combine_chunks())
+
+
 def deduplicate(docs: DataFrame, id_col="doc_id", text_col="text", size: int = SIZE, hot: int = HOT, memory: int = MEMORY, words: int | None = None) -> DataFrame:
     """(id, n_bytes, spans, kept): the bytes of each text, its removed runs, and the bytes that are left.
 
@@ -455,7 +511,7 @@ def deduplicate(docs: DataFrame, id_col="doc_id", text_col="text", size: int = S
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("th"), text.alias("text"))
-    texts = rows.select("th", F.xxhash64("id").alias("who"), "text")
+    texts = rows.select("th", F.xxhash64("id").alias("who"), "text", F.xxhash64("th").alias("tk"))
     spans = repeated_spans(texts, BYTES._replace(size=size), hot, memory)
     found = spans
     if words is not None:

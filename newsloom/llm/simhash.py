@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import components, cut, local_components, release, schema_of, texts_of
+from newsloom.llm.common import components, cut, local_components, reading, release, schema_of, texts_of
 
 SEED = 42
 WORDS = 3
@@ -293,7 +293,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     release(single, label)
     low = classes.groupBy("label").agg(F.min("low").alias("component"))
     named = classes.select("fp", "label").join(low, "label").select("fp", "label", "component")
-    return rows.join(named, "fp").select("id", "tag", "fp", "label", "component")
+    return reading(rows.join(named, "fp").select("id", "tag", "fp", "label", "component"), rows, classes)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -307,7 +307,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     pairs = found.groupBy("id", "tag").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if not pairs.isEmpty():
         out = out.dropDuplicates([id_col, "__nl_hash"])
-    return out.select(*names)
+    return reading(out.select(*names), found, kept)
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
