@@ -38,11 +38,16 @@ def greedy(q: DataFrame) -> DataFrame:
 def epsilon_greedy(q: DataFrame, eps: DataFrame, seed: int) -> DataFrame:
     """The greedy action, or with probability epsilon a random one; random by a hash of the seed, so reruns agree."""
     draw = lambda *c: F.pmod(F.xxhash64(F.lit(seed), *c), F.lit(1 << 30)) / float(1 << 30)
-    pick = q.groupBy("param").agg(F.max_by("action", F.xxhash64(F.lit(seed + 1), "param", "action")).alias("any"))
+    pick = random_action(q, seed + 1).withColumnRenamed("action", "any")
     out = greedy(q).join(pick, "param").join(eps, "param")
     return out.select("param", F.when(draw(F.col("param")) < F.col("epsilon"), F.col("any")).otherwise(F.col("action")).alias("action"))
 
 
+def random_action(q: DataFrame, seed: int) -> DataFrame:
+    """(param, action): one of the actions, drawn by a hash of the seed."""
+    return q.groupBy("param").agg(F.max_by("action", F.xxhash64(F.lit(seed), "param", "action")).alias("action"))
+
+
 def softmax(q: DataFrame, temperature: float = 1.0) -> DataFrame:
     w = Window.partitionBy("param")
     top = F.max("q").over(w)

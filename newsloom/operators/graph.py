@@ -33,11 +33,13 @@ def optional(entities: DataFrame, facts: DataFrame, attributes: list[str]) -> Da
     return entities.join(sets, "entity", "left").select("entity", *[F.nullif(F.col(a), F.lit("")).alias(a) for a in attributes])
 
 
-def last_writer(*branches: DataFrame, key: str = "website") -> DataFrame:
-    """Union of branches; of equal keys that of the last branch stays, without urls of the entity host itself."""
+def last_writer(*branches: DataFrame, key: str = "website", without: str | None = None) -> DataFrame:
+    """Union of branches; of equal keys that of the last branch stays; keys that contain `without` are left out."""
     out = None
     for k, b in enumerate(branches):
         b = b.withColumn("__order", F.lit(k))
         out = b if out is None else out.unionByName(b)
+    if without is not None:
+        out = out.where(~F.contains(F.col(key), F.lit(without)))
     rest = [c for c in out.columns if c not in (key, "__order")]
     return out.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct("__order", *rest)).alias("r")).select(key, "r.*")

@@ -315,11 +315,16 @@ def canonical_link(spark, sf_dir):
     return fixture(spark, "links_html").select("page_id", U.normalize_url(web.canonical(F.col("html"))).alias("canonical"))
 
 
-@query("json_ld", """SELECT * FROM (VALUES (1, 'H1', '2020-01-01', 'A', 'P', 'NewsArticle'), (2, 'H2', NULL, NULL, NULL, 'WebPage'), (3, 'H3', NULL, NULL, NULL, 'WebPage'), (4, NULL, NULL, NULL, NULL, NULL)) t(page_id, headline, date_published, author, publisher, type)""")
+_LD_FIELDS = {"headline": "headline", "date_published": "datePublished", "date_modified": "dateModified", "author": "author", "keywords": "keywords", "publisher": "publisher.name", "url": "url"}
+
+
+@query("json_ld", f"""WITH s AS (SELECT page_id, regexp_extract_all(html, '(?is)<script[^>]*type="application/ld\\+json"[^>]*>(.*?)</script>', 1) AS all_scripts FROM ({fx('jsonld')})),
+o AS (SELECT page_id, list_filter(list_transform(all_scripts, lambda x: CASE WHEN json_valid(x) THEN CASE WHEN starts_with(ltrim(x), '[') THEN CAST(json_extract(x, '$[0]') AS VARCHAR) ELSE x END END), lambda x: x IS NOT NULL AND starts_with(x, '{{'))[1] AS j FROM s)
+SELECT page_id, """ + ", ".join(f"json_extract_string(j, '$.{f}') AS {n}" for n, f in _LD_FIELDS.items()) + ", CASE WHEN j IS NOT NULL THEN coalesce(json_extract_string(j, '$.\"@type\"'), 'WebPage') END AS type FROM o")
 def json_ld(spark, sf_dir):
     rows = fixture(spark, "jsonld").withColumn("j", web.json_ld(F.col("html")))
     m = web.metadata(F.col("j"))
-    return rows.select("page_id", *[m[k].alias(k) for k in ("headline", "date_published", "author", "publisher", "type")])
+    return rows.select("page_id", *[m[k].alias(k) for k in (*_LD_FIELDS, "type")])
 
 
 SITEMAP = "<urlset><url><loc>https://a.org/1</loc><lastmod>2020-01-01</lastmod><priority>0.5</priority></url><url><lastmod>x</lastmod></url><url><loc>https://a.org/2</loc><changefreq>daily</changefreq></url></urlset>"
@@ -327,29 +332,45 @@ RSS = "<rss><channel><item><title>One</title><link>https://a.org/1</link></item>
 ATOM = '<feed><entry><title>Three</title><link href="https://a.org/3"/></entry></feed>'
 
 
-@query("sitemap", "SELECT * FROM (VALUES ('https://a.org/1', '2020-01-01', NULL, 0.5::DOUBLE), ('https://a.org/2', NULL, 'daily', NULL)) t(loc, lastmod, changefreq, priority)")
+@query("sitemap", f"""WITH u AS (SELECT unnest(regexp_extract_all('{SITEMAP}', '(?s)<url>(.*?)</url>', 1)) AS x), f AS (SELECT """ + ", ".join(f"nullif(regexp_extract(x, '<{t}>(.*?)</{t}>', 1), '') AS {t}" for t in ("loc", "lastmod", "changefreq", "priority")) + " FROM u) SELECT loc, lastmod, changefreq, CAST(priority AS DOUBLE) AS priority FROM f WHERE loc IS NOT NULL")
 def sitemap(spark, sf_dir):
     return web.sitemap(spark.createDataFrame([(SITEMAP,)], "xml string"))
 
 
-@query("feed", "SELECT * FROM (VALUES ('https://a.org/1', 'One'), ('https://a.org/2', 'Two'), ('https://a.org/3', 'Three')) t(link, title)")
+@query("feed", f"""WITH i AS (SELECT unnest(regexp_extract_all('{RSS}', '(?s)<item>(.*?)</item>', 1)) AS x), e AS (SELECT unnest(regexp_extract_all('{ATOM}', '(?s)<entry>(.*?)</entry>', 1)) AS x)
+SELECT regexp_extract(x, '<link>(.*?)</link>', 1) AS link, regexp_extract(x, '<title>(.*?)</title>', 1) AS title FROM i UNION ALL SELECT regexp_extract(x, '<link href="([^"]*)"', 1), regexp_extract(x, '<title>(.*?)</title>', 1) FROM e""")
 def feed(spark, sf_dir):
     return web.feed(spark.createDataFrame([(RSS,), (ATOM,)], "xml string"))
 
 
-@query("complaint_rows", r"""SELECT * FROM (VALUES (1, 1, 0, 'Morning Show', 'BBC One', '3/4/2020', 'Tone of host', 'Upheld'), (1, 1, 1, 'Quiz Night', 'BBC Radio 4', '12/11/2021', 'Wrong answer', 'Not upheld'),
-(1, 2, 0, 'Evening', 'BBC Two', '01/02/2019', 'Late start', 'Resolved')) t(doc_id, page, pos, programme, service, date, issue, outcome)""")
+def _groups_sql(source: str, pattern: str, names, keys=("doc_id", "page"), column="text", first: int = 0) -> str:
+    """Every match of a pattern with its groups by name: one list a group, unnested side by side."""
+    quoted = pattern.replace("'", "''")
+    lists = ", ".join(f"regexp_extract_all({column}, '{quoted}', {k + 1}) AS g{k}" for k in range(len(names)))
+    picked = ", ".join(f'g{k}[place] AS "{n}"' for k, n in enumerate(names))
+    head = ", ".join(keys)
+    return f"SELECT {head}, CAST(place - 1 + {first} AS INTEGER) AS pos, {picked} FROM (SELECT *, unnest(range(1, len(g0) + 1)) AS place FROM (SELECT {head}, {lists} FROM ({source})))"
+
+
+_COMPLAINT = ("programme", "service", "date", "issue", "outcome")
+
+
+@query("complaint_rows", _groups_sql(fx("reports"), records.ROW, _COMPLAINT))
 def complaint_rows(spark, sf_dir):
     return records.rows(fixture(spark, "reports"))
 
 
-@query("complaint_stage1", "SELECT * FROM (VALUES (1, 1, 0, 'Morning Show', 'BBC One', '03/04/2020', 'tone of host', '12'), (1, 1, 1, 'Quiz', 'BBC Two', '01/02/2021', 'wrong answer', '3')) t(doc_id, page, pos, programme, service, date, issue, complaints)")
+@query("complaint_stage1", _groups_sql(fx("stage1"), records.STAGE1, (*_COMPLAINT[:4], "complaints")).replace('g0[place] AS', 'trim(regexp_replace(g0[place], \'^\\s+\', \'\')) AS'))
 def complaint_stage1(spark, sf_dir):
     out = records.rows(fixture(spark, "stage1"), records.STAGE1, ("programme", "service", "date", "issue", "complaints"))
     return out.withColumn("programme", F.trim(F.regexp_replace("programme", r"^\s+", "")))
 
 
-@query("complaint_summaries", "SELECT * FROM (VALUES (1, 0, 'Show', 'BBC One', '3 May 2020', 'Too loud', 'Agreed', 'Reminder sent'), (1, 2, 'Quiz', 'BBC Two', '4 May 2020', 'N/A', 'N/A', 'N/A')) t(doc_id, pos, title, service, date, complaint, outcome, further)")
+@query("complaint_summaries", f"""WITH whole AS (SELECT doc_id, string_agg(text, '' ORDER BY page) AS t FROM ({fx('summaries')}) GROUP BY doc_id),
+p AS (SELECT doc_id, unnest(string_split(t, chr(10) || chr(10))) AS s, unnest(range(len(string_split(t, chr(10) || chr(10))))) AS pos FROM whole)
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, """ + ", ".join(f"regexp_extract(s, '{records.TITLE}', {k}) AS {n}" for k, n in ((1, "title"), (2, "service"), (3, "date")))
++ "".join(f", CASE WHEN regexp_matches(s, '{x}') THEN trim(regexp_extract(s, '{x}', 1)) ELSE 'N/A' END AS {n}" for x, n in ((records.COMPLAINT, "complaint"), (records.OUTCOME, "outcome"), (records.FURTHER, "further")))
++ f" FROM p WHERE regexp_matches(s, '{records.TITLE}')")
 def complaint_summaries(spark, sf_dir):
     return records.summaries(fixture(spark, "summaries"))
 
@@ -390,12 +411,19 @@ def listing_tiles(spark, sf_dir):
     return records.tiles(spark.createDataFrame(TILES, "page_id int, url string, html string"), "own.org")
 
 
-@query("ttml_cues", "SELECT * FROM (VALUES (1, 1, '00:00:01.000', '00:00:02.500', 'Hello there'), (1, 2, '00:00:03.000', '00:00:04.000', 'Two' || chr(10) || 'lines')) t(doc_id, n, \"begin\", \"end\", text)")
+_CUES = (
+    r"""SELECT doc_id, pos AS n, "begin", "end", trim(regexp_replace(regexp_replace(t, '<br\s*/?>', chr(10), 'g'), '<[^>]+>', '', 'g')) AS text FROM ("""
+    + _groups_sql(fx("ttml"), r'(?s)<p[^>]*begin="([^"]*)"[^>]*end="([^"]*)"[^>]*>(.*?)</p>', ("begin", "end", "t"), ("doc_id",), "ttml", 1)
+    + ")"
+)
+
+
+@query("ttml_cues", _CUES)
 def ttml_cues(spark, sf_dir):
     return web.cues(fixture(spark, "ttml"))
 
 
-@query("subtitle_text", "SELECT 1 AS doc_id, '1' || chr(10) || '00:00:01,000 --> 00:00:02,500' || chr(10) || 'Hello there' || chr(10) || chr(10) || '2' || chr(10) || '00:00:03,000 --> 00:00:04,000' || chr(10) || 'Two' || chr(10) || 'lines' || chr(10) AS srt")
+@query("subtitle_text", f"""SELECT doc_id, string_agg(n || chr(10) || replace("begin", '.', ',') || ' --> ' || replace("end", '.', ',') || chr(10) || text || chr(10), chr(10) ORDER BY n) AS srt FROM ({_CUES}) GROUP BY doc_id""")
 def subtitle_text(spark, sf_dir):
     return web.subtitles(web.cues(fixture(spark, "ttml")))
 
@@ -509,10 +537,10 @@ def entity_sets(spark, sf_dir):
     return graph.optional(facts.select("entity").distinct(), facts, ["site", "country"])
 
 
-@query("entity_union", f"SELECT website, arg_max(label, branch) AS label FROM ({fx('sites')}) GROUP BY website")
+@query("entity_union", f"SELECT website, arg_max(label, branch) AS label FROM ({fx('sites')}) WHERE NOT contains(website, 'wikidata.org') GROUP BY website")
 def entity_union(spark, sf_dir):
     rows = fixture(spark, "sites")
-    return graph.last_writer(*[rows.where(F.col("branch") == k).select("website", "label") for k in range(3)])
+    return graph.last_writer(*[rows.where(F.col("branch") == k).select("website", "label") for k in range(3)], without="wikidata.org")
 
 
 @query("nation_path", "SELECT n_name AS nation, r_name AS region, count(c_custkey) AS customers FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL")
@@ -573,6 +601,11 @@ def bandit_thompson(spark, sf_dir):
     return bandit.thompson(bandit.values(_steps(spark, sf_dir)), seed=7)
 
 
+@query("bandit_random")
+def bandit_random(spark, sf_dir):
+    return bandit.random_action(bandit.values(_steps(spark, sf_dir)), seed=7)
+
+
 @query("bandit_epsilon_greedy")
 def bandit_epsilon_greedy(spark, sf_dir):
     steps = _steps(spark, sf_dir)
@@ -594,17 +627,20 @@ def crawl_delay(spark, sf_dir):
     return frontier.crawl_delay(fixture(spark, "responses"))
 
 
-@query("search_json", "SELECT * FROM (VALUES ('https://x.org/1', 'T', 'S', 'k1', 'e1'), ('https://x.org/2', 'https://x.org/2', NULL, 'k1', 'e1')) t(link, link_text, snippet, keyword, engine)")
+@query("search_json", f"""WITH r AS (SELECT keyword, engine, unnest(CAST(json_extract(body, '$.results[*]') AS JSON[])) AS x FROM ({fx('search_json')}))
+SELECT json_extract_string(x, '$.url') AS link, coalesce(json_extract_string(x, '$.title'), json_extract_string(x, '$.url')) AS link_text, json_extract_string(x, '$.content') AS snippet, keyword, engine FROM r""")
 def search_json(spark, sf_dir):
     return web.search_json(fixture(spark, "search_json"))
 
 
-@query("search_links", "SELECT * FROM (VALUES ('https://site.org/1', 'One', 'k1', 'searx'), ('https://site.org/2', 'https://site.org/2', 'k1', 'searx')) t(link, link_text, keyword, engine)")
+@query("search_links", f"""WITH r AS (SELECT keyword, engine, unnest(regexp_extract_all(html, '(?s)<a[^>]*href="([^"]*)"[^>]*>(.*?)</a>', 1)) AS link, unnest(regexp_extract_all(html, '(?s)<a[^>]*href="([^"]*)"[^>]*>(.*?)</a>', 2)) AS t FROM ({fx('search_html')}))
+SELECT link, coalesce(nullif(trim(t), ''), link) AS link_text, keyword, engine FROM r WHERE regexp_matches(link, '^(http|www)') AND contains(link, 'site.org') AND NOT contains(link, 'bad.com') AND NOT contains(lower(t), 'cached')""")
 def search_links(spark, sf_dir):
     return web.search_links(fixture(spark, "search_html"), "site.org", ["bad.com"], ["cached"])
 
 
-@query("search_pages", "SELECT * FROM (VALUES ('e', 'k', 1, 'a'), ('e', 'k', 1, 'b'), ('e', 'k', 2, 'c'), ('e', 'm', 1, 'f'), ('e', 'm', 1, 'g'), ('e', 'm', 2, 'a'), ('e', 'm', 2, 'h'), ('e', 'k2', 1, 'z')) t(engine, keyword, page, link)")
+@query("search_pages", f"""WITH h AS ({fx('hits')}), n AS (SELECT engine, keyword, page, count(*) AS n FROM h GROUP BY ALL)
+SELECT h.* FROM h WHERE page <= 20 AND NOT EXISTS (FROM n WHERE n.engine = h.engine AND n.keyword = h.keyword AND n.page < h.page AND n.n < 2)""")
 def search_pages(spark, sf_dir):
     return web.paged(fixture(spark, "hits"), per_page=2, most_pages=20).select("engine", "keyword", "page", "link")
 
@@ -619,7 +655,10 @@ def search_distinct(spark, sf_dir):
     return frontier.first(fixture(spark, "hits").select("link", "page"), ["link"], F.col("page"))
 
 
-@query("local_feeds", "SELECT * FROM (VALUES ('n.org', 'north,south'), ('s.org', 'south')) t(domain, locations)")
+@query("local_feeds", f"""WITH r AS ({fx('local')}), p AS (SELECT postcode, lower(json_extract_string(unnest(CAST(json_extract(body, '$.parms.props.locations[*]') AS JSON[])), '$.name')) AS location FROM r WHERE kind = 'locations'),
+a AS (SELECT postcode, lower(location) AS location, unnest(CAST(json_extract(body, '$.parms.asyncProps.feed[*]') AS JSON[])) AS f FROM r WHERE kind = 'feed'),
+u AS (SELECT location, json_extract_string(f, '$.item.url') AS url FROM a SEMI JOIN p USING (postcode, location) WHERE json_extract_string(f, '$.type') = 'articles' AND json_extract_string(f, '$.item.url') IS NOT NULL)
+SELECT regexp_extract(url, '://([^/]*)', 1) AS domain, string_agg(DISTINCT location, ',' ORDER BY location) AS locations FROM u GROUP BY ALL""")
 def local_feeds(spark, sf_dir):
     rows = web.local_feeds(fixture(spark, "local")).withColumn("domain", U.domain(F.col("url")))
     return rows.groupBy("domain").agg(F.array_join(F.array_sort(F.collect_set("location")), ",").alias("locations"))
@@ -635,7 +674,8 @@ def backoff(spark, sf_dir):
     return fixture(spark, "retries").select("attempt", T.backoff(F.col("wait").cast("double"), F.col("attempt")).alias("wait"))
 
 
-@query("domain_posts", "SELECT * FROM (VALUES ('https://site.org/1', 'One'), ('https://m.site.org/3', 'Three')) t(url, title)")
+@query("domain_posts", f"""WITH a AS (SELECT unnest(regexp_extract_all(html, '(?s)<a[^>]*href="([^"]*)"[^>]*>(.*?)</a>', 1)) AS url, unnest(regexp_extract_all(html, '(?s)<a[^>]*href="([^"]*)"[^>]*>(.*?)</a>', 2)) AS title, url AS page FROM ({fx('listing')}))
+SELECT url, arg_min(title, page) AS title FROM a WHERE regexp_matches(url, '^https?://([^/]*\\.)?site\\.org') GROUP BY url""")
 def domain_posts(spark, sf_dir):
     return web.domain_posts(fixture(spark, "listing"), "site.org")
 
@@ -671,12 +711,13 @@ def endpoint_order(spark, sf_dir):
     return archive.shuffled(fixture(spark, "index_pages"), 7, "source").select("source")
 
 
-@query("complaint_stage2", "SELECT * FROM (VALUES (1, 1, 0, 'Morning Show', 'BBC One', '03/04/2020', 'tone', 'of host '), (1, 1, 1, 'Quiz', 'BBC Two', '01/02/2021', 'wrong', 'answer ')) t(doc_id, page, pos, programme, service, date, issue, outcome)")
+@query("complaint_stage2", _groups_sql(fx("stage1"), records.STAGE2, _COMPLAINT))
 def complaint_stage2(spark, sf_dir):
     return records.rows(fixture(spark, "stage1"), records.STAGE2, ("programme", "service", "date", "issue", "outcome"))
 
 
-@query("bandit_registry", "SELECT * FROM (VALUES ('rate', 'float', '0.25'), ('depth', 'int', '3'), ('name', 'str', 'other'), ('cap', 'int', '9')) t(param, kind, value)")
+@query("bandit_registry", f"""SELECT p.param, kind, coalesce(CASE kind WHEN 'int' THEN CAST(TRY_CAST(s.value AS INTEGER) AS VARCHAR) WHEN 'float' THEN CAST(TRY_CAST(s.value AS DOUBLE) AS VARCHAR) ELSE s.value END, p.value) AS value
+FROM ({fx('params')}) p LEFT JOIN ({fx('settings')}) s ON p.param = s.param""")
 def bandit_registry(spark, sf_dir):
     return bandit.registry(fixture(spark, "params"), fixture(spark, "settings"))
 
@@ -755,7 +796,9 @@ def search_cards(spark, sf_dir):
     return web.search_cards(fixture(spark, "search_cards").where("engine = 'cards'"), "https://root.org", _CARD)
 
 
-@query("search_blocks", "SELECT * FROM (VALUES ('https://site.org/1', 'One', 'k2', 'blocks')) t(link, link_text, keyword, engine)")
+@query("search_blocks", f"""WITH b AS (SELECT keyword, engine, unnest(regexp_extract_all(html, '(?s)<div class="links_main"[^>]*>(.*?)</div>', 1)) AS x FROM ({fx('search_cards')}) WHERE engine = 'blocks'),
+a AS (SELECT keyword, engine, unnest(regexp_extract_all(x, '(?s)<a[^>]*href="([^"]*)"[^>]*>(.*?)</a>', 1)) AS link, unnest(regexp_extract_all(x, '(?s)<a[^>]*href="([^"]*)"[^>]*>(.*?)</a>', 2)) AS t FROM b)
+SELECT link, coalesce(nullif(t, ''), link) AS link_text, keyword, engine FROM a WHERE contains(link, 'site.org')""")
 def search_blocks(spark, sf_dir):
     return web.search_blocks(fixture(spark, "search_cards").where("engine = 'blocks'"), "site.org")
 
@@ -811,3 +854,9 @@ def archive_read(spark, sf_dir):
 def archive_resume(spark, sf_dir):
     done = spark.createDataFrame([("c",), ("h",)], "url string")
     return archive.resume(fixture(spark, "hits").select(F.col("link").alias("url"), "page"), done, 2)
+
+
+@query("search_results", """SELECT * FROM (VALUES ('https://site.org/1', 'One', 'k', 'searx'), ('https://root.org/x/1', 'First', 'k', 'bbc'), ('https://site.org/4', 'Four', 'k', 'DuckDuckGo'),
+('https://site.org/p', 'P', 'k', 'other')) t(link, link_text, keyword, engine)""")
+def search_results(spark, sf_dir):
+    return web.search_results(fixture(spark, "result_pages"), "site.org", {"bbc": "https://root.org", "other": "https://site.org/find"}, _CARD)

@@ -74,7 +74,7 @@ VALUES = {
         """('a', 'part_of', 'b'), ('b', 'part_of', 'c'), ('c', 'part_of', 'd'), ('d', 'part_of', 'e'), ('e', 'part_of', 'a'), ('x', 'part_of', 'c'), ('a', 'named', 'z'), """
         + ", ".join(f"('n{k}', 'part_of', 'n{k + 1}')" for k in range(45)),
     ),
-    "sites": ("website, label, branch", """('s1', 'first', 0), ('s2', 'two', 0), ('s1', 'second', 1), ('s3', 'three', 1), ('s1', 'third', 2)"""),
+    "sites": ("website, label, branch", """('s1', 'first', 0), ('s2', 'two', 0), ('s1', 'second', 1), ('s3', 'three', 1), ('s1', 'third', 2), ('https://www.wikidata.org/e', 'own', 0)"""),
     "responses": (
         "domain, seq, status, retry_after",
         """('a', 1, 200, NULL), ('a', 2, 429, 10), ('a', 3, 200, NULL), ('b', 1, 503, 900), ('b', 2, 503, NULL), ('c', 1, 404, NULL), ('c', 2, 200, NULL)""",
@@ -143,6 +143,12 @@ VALUES = {
         """('k1', 'cards', '<div class="card"><a class="card-link" href="/x/1">First</a><span class="card-date">3 May</span><p class="card-text">About it</p></div><div class="card"><a class="card-link" href="https://o.org/2">Second</a><span class="card-section">World</span></div><div class="card"></div>'),
            ('k2', 'blocks', '<div class="links_main"><a href="https://site.org/1">One</a><a href="https://o.org/2">Two</a></div><a href="https://site.org/3">Three</a>'), ('k3', 'other', '<a href="/p">P</a><a href="https://o.org/q">Q</a><a href="https://site.org/r"></a>')""",
     ),
+    "result_pages": (
+        "keyword, engine, html",
+        """('k', 'searx', '<a href="https://site.org/1">One</a><a href="https://github.com/site.org">x</a><a href="https://site.org/2">Privacy Policy</a><a href="https://site.org/3">cached</a><a href="/site.org">rel</a>'),
+           ('k', 'bbc', '<div class="card"><a class="card-link" href="/x/1">First</a></div>'), ('k', 'DuckDuckGo', '<div class="links_main"><a href="https://site.org/4">Four</a></div>'),
+           ('k', 'other', '<a href="/p">P</a><a href="https://o.org/q">Q</a>'), ('k', 'unknown', '<a href="https://site.org/5">Five</a>')""",
+    ),
     "nested": ("id, words, pair", """(1, array('a', NULL), named_struct('x', 1, 'y', 'b')), (2, NULL, NULL)"""),
     "links_in": ("href, base", """('/x', 'https://a.org/p/q'), ('y', 'https://a.org/p/q'), ('https://b.org/z', 'https://a.org/'), ('#t', 'https://a.org/p#s'), ('//c.org/w', 'http://a.org')"""),
     "listing": (

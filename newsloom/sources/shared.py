@@ -24,14 +24,22 @@ def fresh_path(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there."""
+    """Write df to the shared folder and read it back: lineage ends there. Tables that df was made from and that reading()
+    has named are deleted."""
     path = fresh_path(df.sparkSession)
     df.write.parquet(path)
+    release(*getattr(df, "_newsloom_reads", ()))
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._newsloom_path = path
     return out
 
 
+def reading(df: DataFrame, *tables: DataFrame) -> DataFrame:
+    """df, with the tables of cut() that only it reads, for whoever writes it."""
+    df._newsloom_reads = tables
+    return df
+
+
 def release(*frames: DataFrame) -> None:
     """Delete tables made by cut() that nothing reads any more."""
     for df in frames:

@@ -187,6 +187,26 @@ def search_any(rows: DataFrame, base: str, site: str | None, col="html") -> Data
     return _of_site(found, full_url(F.col("p.href"), F.lit(base)), site)
 
 
+# What links of one engine are left out by.
+UNWANTED_TEXTS = "privacy policy|terms of service|public instances|source code|issue tracker|contact instance maintainer|donate|about".split("|")
+UNWANTED_DOMAINS = "github.com searx.space iubenda.com indst.eu canine.tools fairkom.eu vojk.au buechter.org".split()
+
+
+def search_results(rows: DataFrame, site: str | None, bases: dict[str, str], cards: dict[str, str] = CARD) -> DataFrame:
+    """(link, link_text, keyword, engine) of result pages(keyword, engine, html), each engine by its own reading: `searx` links,
+    `bbc` cards, `duckduckgo` blocks, any other by its address in bases; copies in a cache are left out."""
+    engine = F.lower("engine")
+    columns = ["link", "link_text", "keyword", "engine"]
+    known = ("searx", "bbc", "duckduckgo")
+    out = search_links(rows.where(engine == "searx"), site, UNWANTED_DOMAINS, UNWANTED_TEXTS).select(*columns)
+    out = out.unionByName(search_cards(rows.where(engine == "bbc"), bases.get("bbc", ""), cards).select(*columns))
+    out = out.unionByName(search_blocks(rows.where(engine == "duckduckgo"), site).select(*columns))
+    for name, base in bases.items():
+        if name.lower() not in known:
+            out = out.unionByName(search_any(rows.where(engine == name.lower()), base, site).select(*columns))
+    return out.where("link_text <> 'cached'")
+
+
 def _of_site(found: DataFrame, link: Column, site: str | None) -> DataFrame:
     out = found.select(link.alias("link"), F.coalesce(F.nullif(visible(F.col("p.t")), F.lit("")), link).alias("link_text"), "keyword", "engine")
     return out.where(F.contains("link", F.lit(site))) if site else out
