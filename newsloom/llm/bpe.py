@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import Memory, read, schema_of, texts_of
+from newsloom.llm.common import Memory, read, schema_of, slices, texts_of
 
 # The pattern that byte-level BPE splits texts by.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -205,12 +205,9 @@ def encode(df: DataFrame, id_col="doc_id", text_col="text", path: str | None = N
 
     def run(batches):
         bpe = tokenizer(where)
-        for b in batches:
-            texts = texts_of(b.column(1))
-            for lo in range(0, len(texts), 256):
-                ids = [bpe.encode(t) for t in texts[lo : lo + 256]]
-                cols = [b.column(0).slice(lo, 256), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(x) for x in ids])]
-                yield pa.RecordBatch.from_arrays(cols, ["id", "ids", "decoded"])
+        for b in slices(batches, 256):
+            ids = [bpe.encode(t) for t in texts_of(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(x) for x in ids], pa.string())], ["id", "ids", "decoded"])
 
     src = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return src.mapInArrow(run, schema_of(src.schema["id"].dataType, "ids array<int>, decoded string"))
@@ -222,7 +219,7 @@ def digests(df: DataFrame, id_col="doc_id", text_col="text", path: str | None =
 
     def run(batches):
         bpe = tokenizer(where)
-        for b in batches:
+        for b in slices(batches):
             n, one, two = [], [], []
             for ids in runs(bpe, texts_of(b.column(1))):
                 # one pass of each table over the ids of many texts

@@ -43,6 +43,13 @@ def texts_of(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+def slices(batches, rows: int = 1024):
+    """The rows of batches, few at a time: Python objects are made of no more."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def utf8_slices(column: pa.Array, limit: int = SLICE_BYTES):
     """(first row, last row, bytes, offsets) for runs of whole rows of about limit bytes; null is empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.common import cut, read, release, schema_of, smallest_hashed
+from newsloom.llm.common import cut, read, release, schema_of, slices, smallest_hashed
 from newsloom.llm.logistic import Logistic
 
 SAMPLE, ROUNDS, SURE = 8_000, 3, 0.95
@@ -236,7 +236,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", label_col="quality"
     model = CoTrained(pack(train), y(train), pack(choose), y(choose), {k: n / total for k, n in counts.items()}, buckets)
 
     def free_rows(batches):
-        for b in batches:
+        for b in slices(batches):
             x = np.concatenate(_parts(b, buckets), axis=1).astype(np.float32)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(5), b.column(6), pa.array(list(x), pa.list_(pa.float32()))], ["id", "h", "g", "x"])
 
@@ -263,7 +263,7 @@ def score(docs: DataFrame, model: CoTrained | float, id_col="doc_id") -> DataFra
     """(id, p_text, p_meta, score): probability of good quality by either view and by both."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             if isinstance(model, float):
                 p = [np.full(b.num_rows, model)] * 3
             elif b.num_rows:
