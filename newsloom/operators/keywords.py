@@ -12,8 +12,7 @@ from newsloom.functions.text import normalize_text, tokens
 
 #: Phrases that a broadcast may hold; larger vocabularies are joined by shuffling.
 BROADCAST_PHRASES = 200_000
-#: First words that a text is searched for before its words become rows.
-LITERAL_HEADS = 200
+
 
 
 def vocabulary(spark, phrases: list[str], normalize: bool = False) -> DataFrame:
@@ -29,22 +28,15 @@ def matches(docs: DataFrame, vocab: DataFrame, id_col="doc_id", text_col="text",
     Words are joined to the phrases by the first word, an equi-join, where scanning for each phrase would be a nested
     loop; the words that follow, which each row holds as far as the longest phrase goes, confirm the match.
     """
-    stats = vocab.agg(F.max("n_words").alias("longest"), F.count(F.lit(1)).alias("n"), F.countDistinct(F.substring_index("phrase", " ", 1)).alias("heads")).first()
+    stats = vocab.agg(F.max("n_words").alias("longest"), F.count(F.lit(1)).alias("n")).first()
     longest = stats.longest or 1
     small = stats.n <= BROADCAST_PHRASES if broadcast is None else broadcast
     # the generator holds the words in a column: what follows refers to them many times and must not make them again
     words = docs.select(F.col(id_col).alias("id"), F.explode(F.array(tokens(normalize_text(F.col(text_col))))).alias("words"))
-    if stats.heads <= LITERAL_HEADS:
-        # only places where some phrase may begin become rows
-        heads = [r.w0 for r in vocab.select(F.substring_index("phrase", " ", 1).alias("w0")).distinct().collect()]
-        places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda k: F.get("words", k).isin(*heads))
-        found = F.transform(places, lambda k: F.struct(k.alias("at"), F.slice("words", k + 1, F.lit(longest)).alias("w")))
-        rows = words.where(F.size("words") > 0).select("id", F.explode(found).alias("x"))
-        rows = rows.select("id", "x.at", *[F.get("x.w", F.lit(k)).alias(f"w{k}") for k in range(longest)])
-    else:
-        shifted = [F.col("words") if k == 0 else F.slice("words", F.lit(k + 1), F.greatest(F.size("words") - k, F.lit(0))) for k in range(longest)]
-        rows = words.select("id", F.posexplode(F.arrays_zip(*[x.alias(f"w{k}") for k, x in enumerate(shifted)])).alias("at", "w"))
-        rows = rows.select("id", "at", *[F.col(f"w.w{k}").alias(f"w{k}") for k in range(longest)])
+    # measured: a filter of the places by the first words of all phrases costs more than the join saves
+    shifted = [F.col("words") if k == 0 else F.slice("words", F.lit(k + 1), F.greatest(F.size("words") - k, F.lit(0))) for k in range(longest)]
+    rows = words.select("id", F.posexplode(F.arrays_zip(*[x.alias(f"w{k}") for k, x in enumerate(shifted)])).alias("at", "w"))
+    rows = rows.select("id", "at", *[F.col(f"w.w{k}").alias(f"w{k}") for k in range(longest)])
     phrases = vocab.select("phrase", "n_words", F.substring_index("phrase", " ", 1).alias("w0"))
     found = rows.join(F.broadcast(phrases) if small else phrases, "w0")
     heads = [F.concat_ws(" ", *[f"w{j}" for j in range(k + 1)]) for k in range(longest)]
