@@ -10,8 +10,8 @@ one that can no longer reach it leaves the recursion.
 
 A shard may be far larger than memory. Stretches, ranks and common prefixes lie in arrays that are mapped from disk
 once they exceed `memory` bytes and are read and written in blocks; the queues (of tuples, and of what is found) keep
-`memory` bytes and write sorted runs beyond; seeds are sorted in runs and merged. In memory stay the 28 bytes of a
-record's group, places and start. The files are in the worker's scratch folder, belong to one task and end with it:
+`memory` bytes and write sorted runs beyond; seeds are sorted in runs and merged. In memory stay the 48 bytes of a
+record's group, length, places and starts. The files are in the worker's scratch folder, belong to one task and end with it:
 a task that is run again writes its own.
 """
 
