@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newsloom.llm import bpe, covertree, decontaminate, license, maintext, pii, quality, repeats, simhash, toxicity
+from newsloom.llm import bpe, covertree, decontaminate, license, maintext, manifest, pii, quality, repeats, simhash, toxicity
 
 
 def pipeline(spark, sf_dir):
@@ -22,7 +22,12 @@ QUERIES = {
     "op8_repeated_bytes": repeats.op8,
     "op9_decontaminate": decontaminate.op9,
     "op10_toxicity": toxicity.op10,
+    "op11_manifest": manifest.op11,
     "pipeline": pipeline,
 }
 
-ORACLE_SQL = {"op2_embedding_near_dedup": covertree.OP2_SQL, "op9_decontaminate": decontaminate.OP9_SQL}
+ORACLE_SQL = {
+    "op2_embedding_near_dedup": covertree.OP2_SQL,
+    "op9_decontaminate": decontaminate.OP9_SQL,
+    "op11_manifest": manifest.OP11_SQL,
+}
