@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from newsloom.llm import bpe, covertree, decontaminate, license, maintext, manifest, pii, quality, repeats, simhash, toxicity
+from newsloom.llm import bpe, chat, covertree, decontaminate, fim, license, maintext, manifest, pii, quality, repeats, simhash, toxicity
 
 
 def pipeline(spark, sf_dir):
@@ -23,6 +23,8 @@ QUERIES = {
     "op9_decontaminate": decontaminate.op9,
     "op10_toxicity": toxicity.op10,
     "op11_manifest": manifest.op11,
+    "op12_fill_in_middle": fim.op12,
+    "op13_chat": chat.op13,
     "pipeline": pipeline,
 }
 
@@ -30,4 +32,6 @@ ORACLE_SQL = {
     "op2_embedding_near_dedup": covertree.OP2_SQL,
     "op9_decontaminate": decontaminate.OP9_SQL,
     "op11_manifest": manifest.OP11_SQL,
+    "op12_fill_in_middle": fim.OP12_SQL,
+    "op13_chat": chat.OP13_SQL,
 }
