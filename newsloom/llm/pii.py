@@ -39,6 +39,8 @@ NUMBER = re.compile(r"(?:\s?(?:no|number|nr|id)\.?)?\s{0,3}[:#=]\s{0,3}([0-9](?:
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 #: Characters from a cue, or from the number before, within which an account number starts.
 NEAR = 60
+#: Characters of a match of IBAN at most.
+LONGEST = 64
 # Length of account numbers by country.
 LENGTHS = dict(
     AD=24, AE=23, AL=28, AT=20, AZ=28, BA=20, BE=16, BG=22, BH=22, BR=29, BY=28, CH=21, CR=22, CY=28, CZ=24, DE=22, DK=18, DO=28, EE=20, EG=29, ES=24, FI=18, FO=18, FR=27,
@@ -80,10 +82,14 @@ def iban_holds(text: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
-def ibans(text: str, at: int):
-    """(start, end) of the account numbers after a cue: cut to the length of the country; of an unknown one the longest that holds."""
-    low, high = at, at + NEAR
-    while (m := IBAN.search(text, low)) and m.start() < high:
+def ibans(text: str, low: int, high: int) -> tuple[list[tuple[int, int]], int]:
+    """(start, end) of the account numbers that start in low:high, or within NEAR of the end of one that does, and where the search ended.
+
+    A number is cut to the length of its country, of an unknown one it is the longest whose check digits hold. No place is tried twice, if
+    a later search starts where this one has ended.
+    """
+    out = []
+    while (m := IBAN.search(text, low, high + LONGEST)) and m.start() < high:
         places = [k for k in range(m.start(), m.end()) if text[k] != " "]
         want = LENGTHS.get(m.group()[:2])
         low = m.start() + 1
@@ -91,8 +97,9 @@ def ibans(text: str, at: int):
             if size <= len(places) and iban_holds(text[m.start() : places[size - 1] + 1]):
                 low = places[size - 1] + 1
                 high = low + NEAR
-                yield m.start(), low
+                out.append((m.start(), low))
                 break
+    return out, high
 
 
 def find(text: str) -> list[tuple[int, int, str]]:
@@ -126,9 +133,10 @@ def find(text: str) -> list[tuple[int, int, str]]:
             if m := USERINFO(text, end + 1):
                 out.append((end + 1, m.end() - 1, "account"))
         elif kind == "iban":
-            for start, stop in ibans(text, max(end + 1, done["iban"])):
-                done["iban"] = stop
-                out.append((start, stop, "account"))
+            low = max(end + 1, done["iban"])
+            if low < end + 1 + NEAR:
+                numbers, done["iban"] = ibans(text, low, end + 1 + NEAR)
+                out += [(*n, "account") for n in numbers]
         elif kind == "account":
             if (m := NUMBER(text, end + 1)) and m.start(1) >= done["account"]:
                 done["account"] = m.end(1)
