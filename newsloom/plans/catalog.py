@@ -47,7 +47,21 @@ s AS (SELECT doc_id, lang, count(*) AS unique_count, CAST(sum(k) AS BIGINT) AS t
 
 def _scored(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select(F.struct("doc_id", "lang").alias("doc"), "text")
-    return keywords.score(keywords.matches(docs, keywords.vocabulary(spark, PHRASES), "doc")).select("id.doc_id", "id.lang", "unique_count", "total_count", "keywords")
+    return keywords.scores(docs, PHRASES, "doc").select("id.doc_id", "id.lang", "unique_count", "total_count", "keywords")
+
+
+@query(
+    "keyword_offsets",
+    f"""WITH n AS (SELECT doc_id, {NORM} AS t FROM documents), v(p) AS (VALUES {_PHRASES_SQL}),
+    s AS (SELECT doc_id, p, string_split(t, p) AS parts FROM n, v WHERE contains(t, p)),
+    e AS (SELECT doc_id, p, unnest(parts) AS part, generate_subscripts(parts, 1) AS k, len(parts) AS n FROM s),
+    w AS (SELECT *, sum(length(part)) OVER o + (k - 1) * length(p) AS start, lead(part) OVER o AS next FROM e WINDOW o AS (PARTITION BY doc_id, p ORDER BY k))
+    SELECT doc_id, p AS phrase, CAST(start AS INTEGER) AS start, CAST(start + length(p) - 1 AS INTEGER) AS "end" FROM w WHERE k < n
+    AND CASE WHEN part = '' THEN k = 1 ELSE NOT regexp_matches(right(part, 1), '[\\p{{L}}\\p{{N}}]') END
+    AND CASE WHEN next = '' THEN k + 1 = n ELSE NOT regexp_matches(left(next, 1), '[\\p{{L}}\\p{{N}}]') END""",
+)
+def keyword_offsets(spark, sf_dir):
+    return keywords.occurrences(read(spark, sf_dir, "documents"), PHRASES).withColumnRenamed("id", "doc_id")
 
 
 @query("keyword_score", f"WITH {SCORED} SELECT doc_id, unique_count, total_count, keywords FROM s")
@@ -85,7 +99,7 @@ def context_score(spark, sf_dir):
 SELECT page_id, least(CAST(count(p) AS INTEGER), 1) AS priority FROM t LEFT JOIN (VALUES ('the'), ('de')) v(p) ON contains(' ' || """ + NORM + """ || ' ', ' ' || p || ' ') GROUP BY page_id""")
 def title_priority(spark, sf_dir):
     titles = read(spark, sf_dir, "pages").select("page_id", web.title(F.col("html")).alias("text"))
-    found = keywords.score(keywords.matches(titles, keywords.vocabulary(spark, ["the", "de"]), "page_id"))
+    found = keywords.scores(titles, ["the", "de"], "page_id")
     return titles.join(found.withColumnRenamed("id", "page_id"), "page_id", "left").select("page_id", F.least(F.coalesce("unique_count", F.lit(0)), F.lit(1)).cast("int").alias("priority"))
 
 

@@ -43,6 +43,45 @@ def test_matches_equal_a_character_scan(spark):
         assert sorted(r.phrase for r in found if r.id == k) == find_by_scanning(T.normalize_py(t), phrases), t
 
 
+def by_characters(text, phrases):
+    """All occurrences, a place at a time."""
+    return [(p, k, k + len(p) - 1) for k in range(len(text)) for p in phrases if text.startswith(p, k) and not text[k - 1 : k].isalnum() and not text[k + len(p) : k + len(p) + 1].isalnum()]
+
+
+def test_occurrences_have_places(spark):
+    phrases = ["red fox", "fox", "x-ray", "red", "fox red fox", "fox_red", "é", ""]
+    rng = random.Random(6)
+    texts = [None, "", "fox", "Red fox, FOX_den; foxes. X-ray", "Fox red fox red fox"] + ["".join(rng.choice(["red", "fox", "x-ray", " ", "_", ",", "es", "É", "½", "1"]) for _ in range(14)) for _ in range(300)]
+    docs = spark.createDataFrame([(k, t, 0) for k, t in enumerate(texts)], "doc_id int, text string, start int")
+    want = {k: sorted(by_characters(T.normalize_py(t or ""), [p for p in phrases if p])) for k, t in enumerate(texts)}
+    table_of = spark.createDataFrame([(p,) for p in phrases + ["RED", "Fox"]], "phrase string")
+    for given, most in ((phrases, 100), (phrases, 2), (table_of, 100), (table_of, 3)):
+        got = {k: [] for k in want}
+        for r in keywords.occurrences(docs, given, most=most).collect():
+            got[r.id].append((r.phrase, r.start, r.end))
+        assert {k: sorted(v) for k, v in got.items()} == want
+        rows = {r.id: (r.unique_count, r.total_count, r.keywords) for r in keywords.scores(docs, given, most=most).collect()}
+        assert rows == {k: (len({o[0] for o in v}), len(v), ", ".join(sorted({o[0] for o in v}))) for k, v in want.items() if v}
+    assert keywords.occurrences(docs, []).collect() == keywords.scores(docs, []).collect() == []
+
+
+def test_a_score_needs_no_shuffle(spark):
+    plan = keywords.scores(spark.createDataFrame([(1, "a b")], "doc_id int, text string"), ["a", "a b"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_first_match_ends_first(spark):
+    phrases = ["fox", "a fox", "ox", "den", "Hen"]
+    texts = ["", None, "a fox den", "foxden", "oxen", "none hen", "HEN", "a den fox"]
+    got = {r.id: (r.phrase, r.end) for r in keywords.first_match(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), phrases).collect()}
+    want = {}
+    for k, t in enumerate(texts):
+        hits = [(t.index(p.lower()) + len(p), -len(p), p.lower()) for p in phrases if t and p.lower() in t]
+        if hits:
+            want[k] = (min(hits)[2], min(hits)[0])
+    assert got == want
+
+
 def test_matches_join_and_not_nested_loop(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id int, text string")
     plan = keywords.matches(docs, keywords.vocabulary(spark, ["a", "a b"]))._jdf.queryExecution().executedPlan().toString()
