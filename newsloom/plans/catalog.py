@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import text as T
 from newsloom.functions import urls as U
-from newsloom.operators import bandit, frontier, graph, keywords, match, records, robots
+from newsloom.operators import bandit, crawl, frontier, graph, keywords, match, records, robots
 from newsloom.plans.fixtures import sql as fx
 from newsloom.plans.fixtures import table as fixture
-from newsloom.sources import archive, shared, sinks, web
+from newsloom.sources import archive, keyed, shared, sinks, web
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -261,6 +261,40 @@ def crawl_bfs(spark, sf_dir):
     return frontier.crawl(edges, out.agg(F.min("host").alias("url")), 4)
 
 
+def site_graph(spark, sf_dir):
+    """(links, pages, start) of a walk from host to link and from link to host; a link that fewer than three pages hold leads nowhere."""
+    pages = read(spark, sf_dir, "pages")
+    rows = web.links(pages).select("page_id", U.domain(F.col("src")).alias("host"), F.concat(F.lit("w:"), "href").alias("word"))
+    links = rows.select(F.col("host").alias("src"), F.col("word").alias("dst")).union(rows.select("word", "host"))
+    words = rows.groupBy(F.col("word").alias("url")).agg(F.count(F.lit(1)).alias("score")).where("score > 2")
+    texts = pages.select(U.domain(F.col("url")).alias("url"), web.strip_boilerplate(F.col("html")).alias("text"))
+    hosts = keywords.scores(texts, PHRASES, "url").groupBy(F.col("id").alias("url")).agg(F.sum("unique_count").alias("score"))
+    known = texts.select("url").distinct().join(hosts, "url", "left").select("url", F.coalesce("score", F.lit(0)).alias("score"))
+    return links, known.unionByName(words), rows.agg(F.min("host").alias("url"))
+
+
+@query("crawl_best_first")
+def crawl_best_first(spark, sf_dir):
+    links, pages, start = site_graph(spark, sf_dir)
+    walk = crawl.BestFirst(start, links, pages, lambda url: F.when(F.startswith(url, F.lit("w:")), F.substring(url, 1, 5)).otherwise(url), per_domain=20, retries=1)
+    walk.run(rounds=12)
+    return walk.result()
+
+
+@query(
+    "events_merged",
+    """WITH d AS (SELECT user_id, event_id, event_type, value, ts, event_id * 10 // (SELECT max(event_id) + 1 FROM events) AS part FROM events)
+    SELECT user_id, r.event_id, r.event_type, r.value FROM (SELECT user_id, arg_max({event_id: event_id, event_type: event_type, value: value}, (part, ts, event_id)) AS r FROM d GROUP BY user_id)""",
+)
+def events_merged(spark, sf_dir):
+    events = read(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value", "ts")
+    n = events.agg(F.max("event_id") + 1).first()[0]
+    table = keyed.Snapshot(spark, shared.fresh_path(spark), "user_id", buckets=16)
+    for part in range(10):
+        table.merge(events.where(F.expr(f"event_id * 10 div {n} = {part}")), part, F.col("ts"), F.col("event_id"))
+    return table.read("user_id long, event_id long, event_type string, value double")
+
+
 @query("upsert_latest", "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id")
 def upsert_latest(spark, sf_dir):
     return frontier.latest(read(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts"), ["user_id"], F.col("ts"), F.col("event_id")).select("user_id", "event_id", "event_type")
