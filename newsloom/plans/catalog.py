@@ -11,6 +11,7 @@ from newsloom.operators import bandit, crawl, frontier, graph, keywords, match,
 from newsloom.plans.fixtures import sql as fx
 from newsloom.plans.fixtures import table as fixture
 from newsloom.sources import archive, keyed, shared, sinks, web
+from newsloom.streaming import state
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -667,6 +668,31 @@ def fetch_schedule(spark, sf_dir):
     return frontier.fetch_times(rows, 30.0, "domain", "arrival", "event_id").select("event_id", "domain", F.round("start").cast("long").alias("start"))
 
 
+def _requests(spark, sf_dir, key):
+    """A stream of events in six files, one a micro-batch; timestamps without a zone are read as UTC."""
+    rows = read(spark, sf_dir, "events").select((F.col("user_id") % 50).alias(key), F.col("event_id").alias("seq"), F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp"))).alias("ts"))
+    at = state.in_slices(rows, "ts", 6, shared.fresh_path(spark))
+    return state.files(spark, rows.schema, at)
+
+
+@query("fetch_schedule_stream", ORACLE_SQL["fetch_schedule"])
+def fetch_schedule_stream(spark, sf_dir):
+    out = state.available_now(state.schedule(_requests(spark, sf_dir, "domain"), 30.0), shared.fresh_path(spark))
+    return out.select(F.col("seq").alias("event_id"), "domain", F.round(F.col("start") / 1e6).cast("long").alias("start"))
+
+
+@query(
+    "robots_cache_stream",
+    """WITH RECURSIVE e AS (SELECT event_id, user_id % 50 AS host, epoch_us(ts) AS us FROM events),
+    f AS (SELECT host, min(us) AS us FROM e GROUP BY host UNION ALL
+        SELECT f.host, (SELECT min(us) FROM e WHERE e.host = f.host AND e.us >= f.us + 86400000000) AS us FROM f WHERE f.us IS NOT NULL)
+    SELECT e.host, count(*) AS asked, count(*) FILTER (EXISTS (SELECT 1 FROM f WHERE f.host = e.host AND f.us = e.us)) AS fetched FROM e GROUP BY e.host""",
+)
+def robots_cache_stream(spark, sf_dir):
+    out = state.available_now(state.cached(_requests(spark, sf_dir, "host"), 86_400), shared.fresh_path(spark))
+    return out.groupBy("host").agg(F.count(F.lit(1)).alias("asked"), F.count_if("fetched").alias("fetched"))
+
+
 @query("crawl_delay", f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY seq) AS k FROM ({fx('responses')})),
 f(domain, k, d) AS (SELECT DISTINCT domain, 0::BIGINT, 1.0::DOUBLE FROM r UNION ALL SELECT f.domain, r.k,
     CASE WHEN status = 200 THEN d / 2 WHEN status IN (429, 503) THEN greatest(d * 2, coalesce(retry_after, 0), 300) ELSE d END FROM f JOIN r ON r.domain = f.domain AND r.k = f.k + 1)
