@@ -178,7 +178,7 @@ def round_sums(features: DataFrame, model: CoTrained, sure: float = SURE) -> dic
 
     def run(batches):
         total = np.zeros(starts[-1])
-        for b in batches:
+        for b in slices(batches, 2048):
             x = b.column(0).flatten().to_numpy().astype(np.float64).reshape(b.num_rows, -1)
             views = x[:, :N_TEXT], spread(x[:, N_TEXT:], model.buckets)
             for k, y, at in model.marked(views, sure) if len(x) else ():
