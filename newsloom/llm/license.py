@@ -4,7 +4,7 @@ A text is split into sentences; each is normalised to words (lower case, no mark
 license) and looked up among the known licence sentences, which are indexed by their first words. A known sentence may stand
 anywhere in a sentence of the text, the leftmost first and of those the longest, unless it is marked as standing alone or
 at the start. What is negated ("not licensed under ...") names nothing. The identifiers of a text, in order,
-are matched against the ordered rules: at each place the first rule whose identifiers stand there names its licence and
+are matched against the ordered rules (SPDX tags count as sentences, their expressions are kept as written): at each place the first rule whose identifiers stand there names its licence and
 uses them up; identifiers that no rule uses are reported as unmatched.
 
 Defined results: null and empty texts have no sentences; a licence named twice is listed once; repeated rows
@@ -23,7 +23,7 @@ from newsloom.llm.common import read, schema_of, texts_of
 
 # How known sentences are written: words; a|b for either; a trailing ? for a word that may be missing; ^ and $ for the ends of
 # the sentence; <v> a version, <n> a number, <w> a word, <*> 1 to LOOSE words, <year> years, <bsd> a number of clauses,
-# <cc> attribution terms, <spdx> an expression of licence names.
+# <cc> attribution terms.
 LOOSE = 20
 UNDER = "licensed|released|distributed|available|published|provided under the|a? terms? of? the?"
 GNU = {"gpl": "general public license", "lgpl": "lesser|library general public license", "agpl": "affero general public license"}
@@ -36,13 +36,14 @@ SENTENCES = {
     "apache-copy": ["you may obtain a copy of the license at"],
     "apache-asis": ["distributed under the license is distributed on an as is basis"],
     "apache-limits": ["see the license for the specific language governing permissions and limitations under the license"],
-    "mit-named": [f"{UNDER} mit|expat license", "licensed under the? mit"],
+    "mit-named": [f"{UNDER} mit|expat license", "licensed under the? mit", "mit licensed", "^ license mit license? $"],
     "mit-title": ["^ the? mit license mit? $"],
     "mit-grant": ["permission is hereby granted free of charge to any person obtaining a copy"],
     "mit-notice": ["the above copyright notice and this permission notice shall be included in all copies or substantial portions"],
     "asis-warranty": ["software is provided as is without warranty of any kind"],
     "asis-liability": ["in no event shall the author|authors or copyright holder|holders be liable"],
     "bsd-named": [f"{UNDER} <bsd> bsd license", f"{UNDER} bsd <bsd> license"],
+    "bsd-plain": [f"{UNDER} bsd license", "bsd licensed", "^ license bsd license? $"],
     "bsd-title": ["^ the? <bsd> bsd license $", "^ the? bsd <bsd> license $"],
     "bsd-grant": ["redistribution and use in source and binary forms with or without modification are permitted"],
     "bsd-source": ["redistributions of source code must retain the above copyright notice"],
@@ -53,7 +54,7 @@ SENTENCES = {
     "gpl-hope": ["distributed in the hope that it will be useful but without any warranty"],
     "gpl-later": ["or at your option any later version", "or any later version"],
     "gpl-received": ["you should have received a copy of the gnu <*> license along with"],
-    "cc": [f"{UNDER} cc <cc> <v>", f"{UNDER} creative commons <cc> <v>", f"{UNDER} creative? commons? cc0 <v>"],
+    "cc": [f"{UNDER} cc <cc> <v>", f"{UNDER} creative commons <cc> license? <v>", f"{UNDER} creative? commons? cc0 <v>", "^ license cc <cc> <v> $"],
     "mpl-version": ["subject to the terms of the mozilla public license version|v? <v>"],
     "mpl-copy": ["if a copy of the mpl was not distributed with this file"],
     "mpl-named": [f"{UNDER} mozilla public license version|v? <v>", f"{UNDER} mpl version|v? <v>"],
@@ -65,14 +66,25 @@ SENTENCES = {
     "unlicense-named": [f"{UNDER} unlicense"],
     "unlicense": ["this is free and unencumbered software released into the public domain"],
     "unlicense-grant": ["anyone is free to copy modify publish use compile sell or distribute this software"],
-    "spdx": ["spdx-license-identifier <spdx>"],
+    "boost-named": [f"{UNDER} boost software license", "^ boost software license version? <v> <w>? <w>? <n>? $"],
+    "boost-grant": ["permission is hereby granted free of charge to any person or organization obtaining a copy of the software"],
+    "epl-named": [f"{UNDER} eclipse public license version|v? <v>", f"{UNDER} epl version|v? <v>", "^ eclipse public license version|v? <v> $"],
+    "eupl-named": [f"{UNDER} european union public license version|v? <v>", f"{UNDER} eupl version|v? <v>", "^ european union public license version|v? <v> $"],
+    "zlib-named": [f"{UNDER} zlib license", f"{UNDER} zlib/libpng license", "^ the? zlib license $"],
+    "zlib-asis": ["software is provided as-is without any express or implied warranty"],
+    "zlib-grant": ["permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"],
+    "artistic-version": [f"{UNDER} artistic license version|v? <v>", "^ the? artistic license version|v? <v> $"],
+    "artistic-named": [f"{UNDER} artistic license"],
+    "wtfpl": ["do what the fuck you want to public license", f"{UNDER} wtfpl", "^ license wtfpl $"],
+    "gfdl-version": ["gnu free documentation license version|v? <v>", f"{UNDER} gfdl version|v? <v>"],
+    "public-domain": ["is|are in the public domain", "dedicated|placed|put|released in|into|to the public domain", "^ public domain $"],
     "reserved": ["all rights reserved"],
     "copyright": ["^ copyright (c)? <year>", "^ (c) copyright? <year>"],
 }
 for _k, _name in GNU.items():
     SENTENCES |= {
         f"{_k}-version": [f"gnu {_name} as published by the free software foundation either? version <v>"],
-        f"{_k}-named": [f"{UNDER} gnu? {_name} version|v? <v>", f"{UNDER} gnu? {_k} version|v? <v>"],
+        f"{_k}-named": [f"{UNDER} gnu? {_name} version|v? <v>", f"{UNDER} gnu? {_k} version|v? <v>", f"^ license? gnu? {_k} version|v? <v> $"],
         f"{_k}-named-later": [f"{UNDER} gnu? {_name} version|v? <v> or later|newer", f"{UNDER} gnu? {_k} version|v? <v> or later|newer"],
         f"{_k}-title": [f"^ gnu {_name} version <v> <n>? <w> <n> $", f"^ gnu {_name} version <v> $"],
     }
@@ -103,25 +115,42 @@ RULES = [
     ("ISC", f"isc-title {_HEAD}"),
     ("Unlicense", "unlicense unlicense-grant?"),
     ("Unlicense", "unlicense-named"),
+    ("BSD", "bsd-plain"),
+    ("BSL-1.0", "boost-named boost-grant?"),
+    ("BSL-1.0", "boost-grant"),
+    ("EPL-{}", "epl-named"),
+    ("EUPL-{}", "eupl-named"),
+    ("Zlib", f"zlib-named? {_HEAD} zlib-asis? zlib-grant"),
+    ("Zlib", "zlib-named"),
+    ("Artistic-{}", "artistic-version"),
+    ("Artistic", "artistic-named"),
+    ("WTFPL", "wtfpl"),
+    ("GFDL-{}-or-later", "gfdl-version gpl-later"),
+    ("GFDL-{}", "gfdl-version"),
+    ("Public-domain", "public-domain"),
     ("{}", "spdx"),
     ("All-rights-reserved", "copyright? reserved"),
     ("Copyright-notice", "copyright"),
 ]
 # Words before a known sentence that negate it, how far before, and the word that ends their reach.
-NEGATIONS, NEAR, TURN = frozenset("not no never nor neither isn't wasn't aren't weren't cannot without n't".split()), 3, "but"
+NEGATIONS, NEAR, TURN = frozenset("not no never nor neither isn't wasn't aren't weren't cannot without whether unclear n't".split()), 3, "but"
 CC = {"by": "BY", "nc": "NC", "nd": "ND", "sa": "SA", "attribution": "BY", "noncommercial": "NC", "noderivatives": "ND", "noderivs": "ND", "sharealike": "SA"}
 CLAUSES = {"2-clause": "2", "two-clause": "2", "3-clause": "3", "three-clause": "3", "simplified": "2", "new": "3", "modified": "3", "revised": "3"}
 
 #: Every known sentence holds one of these; sentences without are not looked up.
 CUES = (
     "licens", "licenc", "copyright", "©", "(c)", "warrant", "permission", "redistribut", "reserved", "unencumbered", "later", "liable", "endorse", "mpl", "gpl", "apache",
-    "commons", "cc0", "provided", "reproduction", "anyone",
+    "commons", "cc0", "provided", "reproduction", "anyone", "public domain",
 )
-CC_CUE = re.compile(r"cc[\s-]+(?:by|attribution|nc|nd|sa)")
+SHORT_CUE = re.compile(r"cc[\s-]+(?:by|attribution|nc|nd|sa)|\b(?:epl|eupl|wtfpl|gfdl)\b")
 LEAD = r"[ \t]*(?:[*#/;-]+[ \t]*)?"
 END = re.compile(rf"(?<![\s,][vV]\.)(?<=[.!?])\s+|\n{LEAD}(?=\n)|\n(?={LEAD}(?i:copyright|©|\(c\)|spdx-license|all rights reserved))|(?<=;)\s+(?=(?i:copyright|©|\(c\)))")
 WORD = re.compile(r"\(c\)|[^\W_]+(?:[.+'/-]+[^\W_]+)*\+?")
-VERSION, YEAR, NAME = re.compile(r"v?([0-9]+(?:\.[0-9]+)*)$"), re.compile(r"[0-9]{4}(?:-[0-9]{2,4})?$"), re.compile(r"[a-z0-9][a-z0-9.+-]*$")
+VERSION, YEAR = re.compile(r"v?([0-9]+(?:\.[0-9]+)*)$"), re.compile(r"[0-9]{4}(?:-[0-9]{2,4})?$")
+#: A tag, and the parts of the expression that follows it in its line: brackets, and names and operators in their own case.
+TAG = re.compile(r"spdx-license-identifier[ \t]*:[ \t]*", re.I)
+PART = re.compile(r"[ \t]*(\(|\)|(?:DocumentRef-[A-Za-z0-9.-]+:)?[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?\+?)")
+OPERATORS = frozenset("AND OR WITH".split())
 SHORT = re.compile(r"\b([al]?gpl)[- ]?v?(?=[0-9])")
 
 
@@ -138,14 +167,6 @@ def _cc(words, k):
         yield k, "-".join(parts)
 
 
-def _spdx(words, k):
-    if k < len(words) and NAME.match(words[k]):
-        end = k + 1
-        while end + 1 < len(words) and words[end] in ("or", "and", "with") and NAME.match(words[end + 1]):
-            end += 2
-        yield end, " ".join(words[k:end])
-
-
 def _one(test):
     def run(words, k):
         value = test(words[k]) if k < len(words) else None
@@ -163,7 +184,6 @@ SLOTS = {
     "<year>": _one(lambda w: "" if YEAR.match(w) else None),
     "<bsd>": _one(CLAUSES.get),
     "<cc>": _cc,
-    "<spdx>": _spdx,
     "<*>": lambda words, k: ((e, "") for e in range(k + 1, min(k + LOOSE, len(words)) + 1)),
     "^": lambda words, k: ((k, ""),) if k == 0 else (),
     "$": lambda words, k: ((k, ""),) if k == len(words) else (),
@@ -237,14 +257,51 @@ def known(words: list[str]):
 
 def has_cue(text: str) -> bool:
     low = text.lower()
-    return any(c in low for c in CUES) or CC_CUE.search(low) is not None
+    return any(c in low for c in CUES) or SHORT_CUE.search(low) is not None
+
+
+def expression(text: str, at: int) -> tuple[str, int]:
+    """The licence expression that stands at a place, and its end: the longest in which every bracket is closed and every operator has
+    its operand; "" if none does."""
+    parts, depth, whole, end, want = [], 0, 0, at, True
+    while m := PART.match(text, at):
+        part, at = m[1], m.end()
+        operator = part.upper() in OPERATORS
+        if want and part == "(":
+            depth += 1
+        elif want and part != ")" and not operator:
+            want = False
+        elif not want and part == ")" and depth:
+            depth -= 1
+        elif not want and operator:
+            part, want = part.upper(), True
+        else:
+            break
+        parts.append(part)
+        if not want and not depth:
+            whole, end = len(parts), at
+    return " ".join(parts[:whole]).replace("( ", "(").replace(" )", ")"), end
+
+
+def in_sentence(sentence: str):
+    """What known() finds in a sentence, and licence expressions behind their tags, which are read as they are written."""
+    at = 0
+    for m in TAG.finditer(sentence):
+        if m.start() < at:
+            continue
+        name, end = expression(sentence, m.end())
+        if name:
+            yield from known(normalise(sentence[at : m.start()]))
+            yield "spdx", (name,)
+            at = end
+    yield from known(normalise(sentence[at:]))
 
 
 def sentences(text: str) -> list[tuple[str, tuple]]:
     """(identifier, captured) of the known licence sentences of a text, in order."""
     if not has_cue(text):
         return []
-    return [x for s in END.split(text.replace("\r\n", "\n")) if has_cue(s) for x in known(normalise(s))]
+    return [x for s in END.split(text.replace("\r\n", "\n")) if has_cue(s) for x in in_sentence(s)]
 
 
 ORDERED = [(name, [(p.rstrip("?"), p.endswith("?")) for p in ids.split()]) for name, ids in RULES]

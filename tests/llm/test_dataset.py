@@ -8,7 +8,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.llm import chat, fim, maintext, manifest, pii
+from newsloom.llm import chat, fim, license, maintext, manifest, pii
 
 RNG = random.Random(5)
 ODD = [None, "", " ", "\n", "a\nb\n", "é\n日本 語", "x" * 70_000, "ab " * 40_000, "<P>x", "𝒳y𝒵 <|im_end|>", "a", "<S", "<", "M>"]
@@ -234,3 +234,46 @@ def test_class_words_inside_articles():
     page = '<article><div class="ad-free"><p>First kept text, with commas.</p></div><section id="promo-code-guide"><p>Second kept text.</p></section><div class="post-comments"><p>no</p></div><div class="share-buttons">no</div></article>'
     assert maintext.main_text(page) == "First kept text, with commas.\nSecond kept text."
     assert maintext.main_text('<article><p>Kept.</p><script src="x"/>var a = "not text";</script><p>Too.</p><svg/><p>And.</p></article>') == "Kept.\nToo.\nAnd."
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("// SPDX-License-Identifier: GPL-2.0-only", ["GPL-2.0-only"]),
+        ("# SPDX-License-Identifier: GPL-2.0-or-later\nx = 1\n", ["GPL-2.0-or-later"]),
+        ("/* SPDX-License-Identifier: LGPL-2.1+ */", ["LGPL-2.1+"]),
+        ("SPDX-License-Identifier: (MIT OR (Apache-2.0 AND LicenseRef-x.Y)) AND ISC -->", ["(MIT OR (Apache-2.0 AND LicenseRef-x.Y)) AND ISC"]),
+        ("spdx-license-identifier: GPL-2.0-only with Classpath-exception-2.0.\nAll rights reserved.", ["GPL-2.0-only WITH Classpath-exception-2.0", "All-rights-reserved"]),
+        ("SPDX-License-Identifier: MIT OR", ["MIT"]),
+        ("SPDX-License-Identifier: MIT OR (ISC", ["MIT"]),
+        ("SPDX-License-Identifier: )", []),
+        ("SPDX-License-Identifier:", []),
+        ("Copyright 2020 A. SPDX-License-Identifier: Zlib", ["Copyright-notice", "Zlib"]),
+        ("Distributed under the Boost Software License, Version 1.0.", ["BSL-1.0"]),
+        ("made available under the terms of the Eclipse Public License v2.0", ["EPL-2.0"]),
+        ("Licensed under the EUPL, Version 1.2", ["EUPL-1.2"]),
+        ("Licensed under the European Union Public Licence v1.2.", ["EUPL-1.2"]),
+        ("This software is provided 'as-is', without any express or implied warranty.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely.", ["Zlib"]),
+        ("released under the Artistic License 2.0", ["Artistic-2.0"]),
+        ("It is released under the Artistic License.", ["Artistic"]),
+        ("DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE", ["WTFPL"]),
+        ("under the terms of the GNU Free Documentation License, Version 1.3 or any later version", ["GFDL-1.3-or-later"]),
+        ("This work is in the public domain.", ["Public-domain"]),
+        ("It was placed into the public domain by its author.", ["Public-domain"]),
+        ("Licensed under the BSD license.", ["BSD"]),
+        ("The tool is MIT licensed.", ["MIT"]),
+        ("License: MIT", ["MIT"]),
+        ("License: GPLv3", ["GPL-3"]),
+        ("Licensed under the GPLv3", ["GPL-3"]),
+        ("Licensed under the Creative Commons Attribution-ShareAlike License 3.0", ["CC-BY-SA-3.0"]),
+        ("It is not clear whether it is licensed under the MIT License.", []),
+        ("the public domain of knowledge", []),
+    ],
+)
+def test_licences_as_they_are_written(text, want):
+    assert license.licences(license.sentences(text))[0] == want
+
+
+def test_licence_expressions_in_linear_time():
+    for text in ("SPDX-License-Identifier: " + "(" * 200_000, "SPDX-License-Identifier: MIT " * 30_000, "SPDX-License-Identifier: " + "MIT OR " * 60_000, "licensed under the " * 8_000):
+        assert seconds(lambda t=text: license.sentences(t)) < 10

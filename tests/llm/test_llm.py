@@ -576,7 +576,7 @@ def test_toxicity_reads_signs_anywhere_in_a_token():
         ("# This work is licensed under the GNU General Public License, version 3.", ["GPL-3"]),
         ("Licensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0"]),
         ("Permission is hereby granted, free of charge, to any person obtaining a copy of it. The above copyright notice and this permission notice shall be included in all copies.", ["MIT"]),
-        ("SPDX-License-Identifier: BSD-3-Clause", ["bsd-3-clause"]),
+        ("SPDX-License-Identifier: BSD-3-Clause", ["BSD-3-Clause"]),
         ("nothing here", []),
         ("", []),
     ],
@@ -729,7 +729,7 @@ GNU_ONLY = "This program is free software; you can redistribute it under the ter
         ("It is released under the terms of the GNU LGPL, version 2.1", ["LGPL-2.1"]),
         ("Distributed under a Creative Commons Attribution-ShareAlike 4.0 International License.", ["CC-BY-SA-4.0"]),
         ("Released under CC0 1.0", ["CC0-1.0"]),
-        ("// SPDX-License-Identifier: MIT OR Apache-2.0\n", ["mit or apache-2.0"]),
+        ("// SPDX-License-Identifier: MIT OR Apache-2.0\n", ["MIT OR Apache-2.0"]),
         ("Licensed under the new BSD licence.", ["BSD-3-Clause"]),
         ("This is not licensed under the MIT license.", []),
         ("It was never released under the Apache License, Version 2.0.", []),
@@ -748,7 +748,7 @@ def test_published_texts(text, want):
 
 SLOT = {
     "<v>": r"(v?[0-9]+(?:\.[0-9]+)*) ", "<n>": "[0-9]+ ", "<w>": r"\S+ ", "<year>": "[0-9]{4}(?:-[0-9]{2,4})? ", "<*>": r"(?:\S+ ){1,20}?", "^": "", "$": r"\Z",
-    "<bsd>": f"({'|'.join(license.CLAUSES)}) ", "<spdx>": r"([a-z0-9][a-z0-9.+-]*(?: (?:or|and|with) [a-z0-9][a-z0-9.+-]*)*) ",
+    "<bsd>": f"({'|'.join(license.CLAUSES)}) ",
     "<cc>": r"((?:(?:{0})(?:[-/](?:{0}))* ){{1,8}}?)".format("|".join(license.CC)),
 }
 
@@ -802,7 +802,7 @@ def test_licence_scan_equals_brute_force(spark):
         for _ in range(rng.randrange(1, most + 1)):
             for p in rng.choice(every).split():
                 if rng.random() < (0.5 if p.endswith("?") else 0.98) and p not in ("^", "$"):
-                    out.append({"<v>": "2.0", "<n>": "29", "<w>": "june", "<year>": "2020-21", "<*>": "some body else", "<bsd>": "3-clause", "<cc>": "by-nc", "<spdx>": "mit or isc"}.get(p.rstrip("?"), rng.choice(p.rstrip("?").split("|"))))
+                    out.append({"<v>": "2.0", "<n>": "29", "<w>": "june", "<year>": "2020-21", "<*>": "some body else", "<bsd>": "3-clause", "<cc>": "by-nc"}.get(p.rstrip("?"), rng.choice(p.rstrip("?").split("|"))))
             out += rng.choice([[], ["not"], ["but"], ["isn't", "it"], ["or", "else"]])
         return " ".join(out).split()
 
