@@ -52,7 +52,7 @@ class Schedule(StatefulProcessor):
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(end // 1000 + 1)
-        yield pd.DataFrame({"domain": [key[0]] * len(batch), "seq": batch["seq"], "start": start})
+        yield pd.DataFrame({"domain": pd.array([_key(key)] * len(batch), "Int64"), "seq": batch["seq"], "start": start})
 
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.free.clear()
@@ -84,25 +84,30 @@ class Cache(StatefulProcessor):
                 at = int(us)
         if any(fetched):
             self.checked.update((at,))
-        yield pd.DataFrame({"host": [key[0]] * len(batch), "seq": batch["seq"], "fetched": fetched})
+        yield pd.DataFrame({"host": pd.array([_key(key)] * len(batch), "Int64"), "seq": batch["seq"], "fetched": fetched})
 
     def close(self) -> None:
         pass
 
 
-def _timed(requests: DataFrame) -> DataFrame:
-    return requests.withColumn("us", F.unix_micros("ts"))
+def _grouped(requests: DataFrame, key: str):
+    """requests by a long key; no key is a key too, but a null one would be taken for as many keys as it has rows."""
+    rows = requests.withColumns({"us": F.unix_micros("ts"), "none": F.col(key).isNull(), key: F.coalesce(F.col(key), F.lit(0).cast("long"))})
+    return rows.groupBy(key, "none")
+
+
+def _key(key: tuple) -> int | None:
+    return None if key[1] else int(key[0])
 
 
 def schedule(requests: DataFrame, delay: float, late: str = "0 seconds") -> DataFrame:
     """(domain, seq, start): start in microseconds, of a stream of requests(domain, seq, ts) that come in the order of ts, but for `late`."""
-    rows = _timed(requests.withWatermark("ts", late)).groupBy("domain")
-    return rows.transformWithStateInPandas(Schedule(delay), "domain long, seq long, start long", "append", "EventTime")
+    return _grouped(requests.withWatermark("ts", late), "domain").transformWithStateInPandas(Schedule(delay), "domain long, seq long, start long", "append", "EventTime")
 
 
 def cached(requests: DataFrame, keep: float) -> DataFrame:
     """(host, seq, fetched) of a stream of requests(host, seq, ts) that come in the order of ts; one before the last fetch finds it."""
-    return _timed(requests).groupBy("host").transformWithStateInPandas(Cache(keep), "host long, seq long, fetched boolean", "append", "ProcessingTime")
+    return _grouped(requests, "host").transformWithStateInPandas(Cache(keep), "host long, seq long, fetched boolean", "append", "ProcessingTime")
 
 
 @contextmanager
@@ -128,12 +133,15 @@ def available_now(stream: DataFrame, path: str) -> DataFrame:
 
 
 def in_slices(rows: DataFrame, ts: str, n: int, path: str, first: int = 0, last: int | None = None) -> str:
-    """rows as files of consecutive spans of time, written one after the other: what a log would give a stream, file by file."""
+    """rows as files of consecutive spans of time, written one after the other: what a log would give a stream, file by file.
+
+    A span is one file, so that it is one micro-batch: take as many as keep files small.
+    """
     low, high = rows.agg(F.min(ts), F.max(ts)).first()
     part = F.least(F.floor((F.unix_micros(ts) - F.unix_micros(F.lit(low))) / (F.unix_micros(F.lit(high)) - F.unix_micros(F.lit(low)) + 1) * n), F.lit(n - 1)) if low is not None else F.lit(0)
     dealt = rows.withColumn("part", part)
     for k in range(first, n if last is None else last):
-        dealt.where(F.col("part") == k).drop("part").write.mode("append").parquet(path)
+        dealt.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(path)
     return path
 
 
