@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.operators.spans import placed, running_max
 from newsloom.sources.shared import cut
 
 STATUSES = ("unseen", "processing", "seen", "error")
 #: Patterns that a broadcast may hold, as each row is tried against each of them.
 BROADCAST_PATTERNS = 1000
+#: Rows of a key that one task may sort.
+WINDOW_ROWS = 1_000_000
 #: Responses that one fold of a crawl delay takes at a time.
 FOLD_ROWS = 10_000
 
@@ -140,13 +143,80 @@ def crawl(edges: DataFrame, start: DataFrame, rounds: int) -> DataFrame:
     return seen
 
 
-def fetch_times(arrivals: DataFrame, delay: float, key="domain", at="arrival", order="seq") -> DataFrame:
-    """start: the earliest fetch time where fetches of a key are at least delay apart: a running maximum."""
-    w = Window.partitionBy(key).orderBy(at, order)
-    n = F.row_number().over(w) - 1
-    rows = arrivals.withColumn("__n", n).withColumn("__free", F.col(at) - F.col("__n") * delay)
-    start = F.max("__free").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("__n") * delay
-    return rows.withColumn("start", start).drop("__n", "__free")
+def fetch_times(arrivals: DataFrame, delay: float, key="domain", at="arrival", order="seq", window_rows: int = WINDOW_ROWS) -> DataFrame:
+    """start: the earliest fetch time where fetches of a key are at least delay apart: a running maximum.
+
+    A key with more than window_rows rows is not sorted by one task: the maximum is taken within spans first, then over them.
+    """
+    if arrivals.groupBy(key).count().where(F.col("count") > window_rows).isEmpty():
+        w = Window.partitionBy(key).orderBy(at, order)
+        rows = arrivals.withColumn("__place", F.row_number().over(w) - 1).withColumn("__free", F.col(at) - F.col("__place") * delay)
+        rows = rows.withColumn("__top", F.max("__free").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        rows = placed(arrivals, key, at, order).withColumn("__free", F.col(at) - F.col("__place") * delay)
+        rows = running_max(rows, key, "__free", "__top").drop("__span")
+    return rows.withColumn("start", F.col("__top") + F.col("__place") * delay).drop("__place", "__free", "__top")
+
+
+def earliest(values: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(value, seq): for each of values(value) that contains one of patterns(pattern, seq) the smallest seq of these.
+
+    Few patterns are broadcast; more are joined by equality with the pieces of the values that are as long as some pattern.
+    """
+    v, p = values.select("value").where("value is not null").distinct(), patterns.where("pattern is not null").groupBy("pattern").agg(F.min("seq").alias("seq"))
+    if p.limit(BROADCAST_PATTERNS + 1).count() <= BROADCAST_PATTERNS:
+        hits = v.join(F.broadcast(p), F.contains(F.col("value"), F.col("pattern")))
+    else:
+        sizes = p.select(F.length("pattern").alias("n")).distinct()
+        sizes = sizes.join(v.agg(F.max(F.length("value")).alias("most")), F.col("n") <= F.col("most"), "left_semi")
+        pieces = v.join(F.broadcast(sizes), F.length("value") >= F.col("n")).select("value", "n", F.explode(F.sequence(F.lit(1), F.length("value") - F.col("n") + 1)).alias("k"))
+        hits = pieces.select("value", F.substring("value", F.col("k"), F.col("n")).alias("pattern")).join(p, "pattern")
+    return hits.groupBy("value").agg(F.min("seq").alias("seq"))
+
+
+def within(values: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(value, seq): for each of values(value) that one of patterns(pattern, seq) contains the smallest seq of these: the pieces of the
+    distinct patterns, which are short, joined by equality."""
+    v = values.select("value").where("value is not null").distinct()
+    p = patterns.where("pattern is not null").groupBy("pattern").agg(F.min("seq").alias("seq"))
+    n = F.length("pattern")
+    pieces = p.select("seq", "pattern", F.explode(F.sequence(F.lit(0), n)).alias("size")).where("size <= length(pattern)")
+    pieces = pieces.select("seq", F.explode(F.transform(F.sequence(F.lit(1), n - F.col("size") + 1), lambda k: F.substring("pattern", k, F.col("size")))).alias("value"))
+    return v.join(pieces.groupBy("value").agg(F.min("seq").alias("seq")), "value")
+
+
+def growing_allowed(rows: DataFrame, allowed: DataFrame, find_new_site: bool) -> DataFrame:
+    """rows(seq, url, domain, add_domain, ...) with `accepted`, as an allow-list takes them that grows on its way, in the order of seq.
+
+    allowed(pattern) is the list to begin with; where it is empty, all is accepted. A row passes if the list holds a part of its url, unless
+    it may add its domain, and if its domain is part of an entry, `www.` aside. The domain of a row that may add it joins the list if
+    it is part of no entry yet, where new sites are wanted.
+
+    There is no loop: whether a domain joins depends on the first row that may add it and on longer domains that came before, for what is
+    part of a domain that did not join is part of the one that kept it out. So entries have the place that they joined at, and
+    a row is compared with the entries of places before its own.
+    """
+    if allowed.isEmpty():
+        return rows.withColumn("accepted", F.lit(True))
+    bare = lambda c: F.replace(F.lower(c), F.lit("www."), F.lit(""))
+    given = allowed.select(F.col("pattern"), F.lit(-1).cast("long").alias("seq"))
+    entries = given
+    known_by = given.select(F.replace("pattern", F.lit("www."), F.lit("")).alias("pattern"), "seq")
+    if find_new_site:
+        offered = rows.where("add_domain").groupBy(bare(F.col("domain")).alias("value")).agg(F.min(F.struct("seq", F.lower("domain").alias("domain"))).alias("r"))
+        offered = cut(offered.select("value", F.col("r.seq").cast("long").alias("seq"), "r.domain"))
+        # a domain is part of itself: of all that hold it, the first to come must be itself
+        kept_out = within(offered, known_by.unionByName(offered.select(F.col("value").alias("pattern"), "seq"))).withColumnRenamed("seq", "first")
+        joined = cut(offered.join(kept_out, "value").where(F.col("first") == F.col("seq")))
+        entries = given.unionByName(joined.select(F.col("domain").alias("pattern"), "seq"))
+        known_by = known_by.unionByName(joined.select(F.col("value").alias("pattern"), "seq"))
+    by_url = earliest(rows.select(F.col("url").alias("value")), entries).toDF("url", "__listed")
+    by_domain = within(rows.select(bare(F.col("domain")).alias("value")), known_by).toDF("__bare", "__known")
+    out = rows.withColumn("__bare", bare(F.col("domain"))).join(by_url, "url", "left").join(by_domain, "__bare", "left")
+    known = F.coalesce(F.col("__known") < F.col("seq"), F.lit(False))
+    listed = F.coalesce(F.col("__listed") < F.col("seq"), F.lit(False))
+    accepted = F.when(F.col("add_domain"), known | F.lit(find_new_site)).otherwise(listed & known)
+    return out.withColumn("accepted", accepted).select(*rows.columns, "accepted")
 
 
 def crawl_delay(responses: DataFrame, first_delay: float = 1.0, floor: float = 300.0) -> DataFrame:

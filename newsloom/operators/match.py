@@ -5,9 +5,11 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.sources.shared import cut, release
+
 
 def overlaps(strict: bool = True) -> Column:
     """Whether boxes c and l overlap; strictly, touching edges and empty boxes do not count."""
@@ -153,6 +155,100 @@ def best_token_rows(pages: DataFrame, rows: DataFrame, least: float = 70.0) -> D
     return pairs.groupBy("block", "url").agg(best).select("block", "url", "best.*").where(F.col("ratio") > least)
 
 
+#: Rows of a gram that one task of a join takes.
+HEAVY = 10_000
+
+
+def _items(texts: DataFrame, q: int) -> DataFrame:
+    """(id, size, item): the grams of q letters of texts(id, text), each with how many of its kind came before; size is the text's length."""
+    starts = F.sequence(F.lit(1), F.length("text") - (q - 1))
+    each = texts.where(F.length("text") >= q).select("id", F.length("text").alias("size"), F.explode(F.transform(starts, lambda k: F.substring("text", k, F.lit(q)))).alias("gram"))
+    nth = F.row_number().over(Window.partitionBy("id", "gram").orderBy("gram"))
+    return each.select("id", "size", F.concat_ws("#", nth, "gram").alias("item"))
+
+
+def _prefixes(items: DataFrame, ranks: DataFrame, q: int, least: float) -> DataFrame:
+    """(id, size, item, pos, n): the rarest items of each text, as many as any text that is alike must have one of."""
+    order = Window.partitionBy("id").orderBy("n", "item")
+    placed = items.join(ranks, "item").select("id", "size", "item", "n", (F.row_number().over(order) - 1).alias("pos"))
+    smallest = F.col("size") + F.ceil(F.round(F.col("size") * least / (2 - least), 6))
+    keep = F.col("size") - q + 1 - F.greatest(F.lit(1), _shared(smallest, q, least)) + 1
+    return placed.where(F.col("pos") < keep)
+
+
+def _shared(both: Column, q: int, least: float) -> Column:
+    """Grams that two texts of so many letters together share at least, if twice their common subsequence over both is at least that.
+
+    A letter that only one of them has takes q grams of its own text away and q - 1 of the other's.
+    """
+    return F.ceil(F.round(both * ((2 * q - 1) * least / 2 - (q - 1)) - (q - 1), 6))
+
+
+def candidates(left: DataFrame, right: DataFrame, least: float, q: int = 2) -> DataFrame:
+    """(l, r): pairs of left(id, text) and right(id, text) that may have a ratio of `least` or more: all that do, and few others.
+
+    An inverted index of grams, rare ones first: alike texts share one of their rarest grams (prefix filter), have lengths near each
+    other, and hold enough grams behind the first one that they share (position filter). A gram of many rows is dealt to several tasks.
+    Texts too short for grams to tell are compared by letters, the same way.
+    """
+    if (2 * q - 1) * least / 2 <= q - 1:
+        raise ValueError(f"grams of {q} letters tell nothing at a ratio of {least}")
+    mine, yours = cut(_items(left, q)), cut(_items(right, q))
+    ranks = mine.select("item").unionByName(yours.select("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+    a, b = _prefixes(mine, ranks, q, least), _prefixes(yours, ranks, q, least)
+    parts = F.ceil(F.col("n") / HEAVY).cast("int")
+    a = a.select(F.col("id").alias("l"), F.col("size").alias("l_size"), "item", F.col("pos").alias("l_pos"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    b = b.select(F.col("id").alias("r"), F.col("size").alias("r_size"), "item", F.col("pos").alias("r_pos"), F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"))
+    both = F.col("l_size") + F.col("r_size")
+    pairs = a.join(b, ["item", "part"]).where(2 * F.least("l_size", "r_size") >= least * both)
+    first = pairs.groupBy("l", "r", "l_size", "r_size").agg(F.min("l_pos").alias("l_pos"), F.min("r_pos").alias("r_pos"))
+    behind = F.least(F.col("l_size") - q + 1 - F.col("l_pos"), F.col("r_size") - q + 1 - F.col("r_pos"))
+    out = cut(first.where(behind >= _shared(both, q, least)).select("l", "r"))
+    release(mine, yours)
+    if q > 1:
+        most = int((q - 1) / ((2 * q - 1) * least / 2 - (q - 1))) + 1  # letters of both together up to which no gram need be shared
+        short = lambda t: t.where(F.length("text").between(1, most))
+        out = out.unionByName(candidates(short(left), short(right), least, 1)).distinct()
+    return out
+
+
+def indel_ratio(a: Column, b: Column) -> Column:
+    """Twice the length of the longest common subsequence over both lengths."""
+
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([2 * common_length(x, y) / max(1, len(x) + len(y)) for x, y in zip(a, b)], dtype="float64")
+
+    return run(a, b)
+
+
+def likely(left: DataFrame, right: DataFrame, least: float, q: int) -> DataFrame:
+    """(a, b): the texts of the candidates whose letters allow the ratio: what is left to verify."""
+    pairs = candidates(left, right, least, q)
+    pairs = pairs.join(left.select(F.col("id").alias("l"), F.col("text").alias("a"), letter_counts(F.col("text")).alias("a_n")), "l")
+    pairs = pairs.join(right.select(F.col("id").alias("r"), F.col("text").alias("b"), letter_counts(F.col("text")).alias("b_n")), "r")
+    return pairs.where(ratio_bound() >= least).select("a", "b")
+
+
+def similar(left: DataFrame, right: DataFrame, least: float, q: int = 2, ratio=indel_ratio) -> DataFrame:
+    """(l, r, ratio): the pairs of left(id, text) and right(id, text) with a ratio above least; null and empty texts are like none.
+
+    Texts are compared once each, however many rows hold them. sequence_ratio, which is never above indel_ratio, may be asked for as well.
+    """
+    of = lambda t: t.where("text is not null and text <> ''").groupBy("text").agg(F.min("id").alias("id"))
+    mine, yours = cut(of(left)), cut(of(right))
+    alike = likely(mine, yours, least, q).withColumn("ratio", ratio(F.col("a"), F.col("b"))).where(F.col("ratio") > least).select("a", "b", "ratio")
+    rows = lambda t, name, text: t.select(F.col("id").alias(name), F.col("text").alias(text))
+    return rows(left, "l", "a").join(alike, "a").join(rows(right, "r", "b"), "b").select("l", "r", "ratio")
+
+
+def best_similar(left: DataFrame, right: DataFrame, least: float, q: int = 2, ratio=indel_ratio) -> DataFrame:
+    """(l, r, ratio): for each row of left the most similar of right, of equals that of the smallest id."""
+    first = right.where("text is not null").groupBy("text").agg(F.min("id").alias("id"))  # of one text the first row will do
+    best = F.max_by(F.struct("r", "ratio"), F.struct("ratio", -F.col("r"))).alias("best")
+    return similar(left, first, least, q, ratio).groupBy("l").agg(best).select("l", "best.*")
+
+
 def claim_slots(best: DataFrame, urls: DataFrame, rows: DataFrame) -> DataFrame:
     """(block, row_id, url): rows with their slot filled: an empty one takes the first url, by urls.pos, whose best row it is.
 

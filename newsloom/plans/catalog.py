@@ -568,6 +568,14 @@ def bbox_loose(spark, sf_dir):
     return match.loose_link(fixture(spark, "grid"), fixture(spark, "boxes"))
 
 
+@query("benchmark_similar")
+def benchmark_similar(spark, sf_dir):
+    """For each benchmark item the most similar text among the turns of users and the items less two letters, by a common subsequence of nine tenths."""
+    turns = read(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    items = read(spark, sf_dir, "benchmark").select((-1 - F.col("item_id")).alias("id"), "text")
+    return match.best_similar(items, turns.unionByName(items.select((F.col("id") - 1_000_000).alias("id"), F.substring("text", 3, 1_000_000).alias("text"))), 0.9, q=3)
+
+
 @query("benchmark_best")
 def benchmark_best(spark, sf_dir):
     items = read(spark, sf_dir, "benchmark").select(F.substring_index(F.lower("text"), " ", 1).alias("block"), "item_id", "text")
@@ -580,6 +588,18 @@ def entity_closure(spark, sf_dir):
     return graph.closure(fixture(spark, "triples"), "part_of")
 
 
+@query("link_paths", f"""WITH RECURSIVE {_LINKS}, e AS (SELECT DISTINCT lower(regexp_extract(src, '^[a-z]+://([^/?#:]*)', 1)) AS host, href FROM r),
+h AS (SELECT DISTINCT a.host AS one, b.host AS two FROM e a JOIN e b ON a.href = b.href),
+walk(start, node) AS (SELECT DISTINCT host, host FROM e WHERE starts_with(host, 'm.') UNION SELECT walk.start, h.two FROM walk JOIN h ON walk.node = h.one)
+SELECT DISTINCT start, href AS node FROM walk JOIN e ON walk.node = e.host""")
+def link_paths(spark, sf_dir):
+    """From hosts of the mobile kind by links that hosts share, any number of times, to the links of what is found."""
+    rows = web.links(read(spark, sf_dir, "pages")).select(U.domain(F.col("src")).alias("subject"), F.lit("links").alias("predicate"), F.col("href").alias("object")).distinct()
+    start = rows.select(F.col("subject").alias("node")).where(F.startswith("node", F.lit("m.")))
+    links = graph.Step("links")
+    return graph.reach(start, rows, graph.Seq(graph.Star(graph.Seq(links, graph.Back("links"))), links))
+
+
 @query("entity_sets", f"""WITH f AS ({fx('facts')}) SELECT entity, string_agg(DISTINCT value, ',' ORDER BY value) FILTER (attr = 'site') AS site, string_agg(DISTINCT value, ',' ORDER BY value) FILTER (attr = 'country') AS country FROM f GROUP BY entity""")
 def entity_sets(spark, sf_dir):
     facts = fixture(spark, "facts")
@@ -811,6 +831,26 @@ def seen_urls(spark, sf_dir):
 _EXCLUDED = ("http://m.", "https://blog.")
 
 
+def _offers(spark, sf_dir):
+    """Pages in their order, every third one of which may add its domain, each followed by its links."""
+    pages = read(spark, sf_dir, "pages")
+    links = web.links(pages).select("page_id", "url", F.row_number().over(Window.partitionBy("page_id").orderBy("href")).alias("k"), F.lit(False).alias("add_domain"))
+    rows = pages.select("page_id", "url", F.lit(0).alias("k"), (F.col("page_id") % 3 == 0).alias("add_domain")).unionByName(links)
+    return rows.select((F.col("page_id") * 100_000 + F.col("k")).alias("seq"), "url", U.domain(F.col("url")).alias("domain"), "add_domain")
+
+
+@query("allow_grow", f"""WITH {_LINKS},
+o AS (SELECT page_id * 100000 AS seq, url, page_id % 3 = 0 AS add FROM pages UNION ALL SELECT page_id * 100000 + row_number() OVER (PARTITION BY page_id ORDER BY href), url, false FROM r),
+b AS (SELECT *, replace(lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)), 'www.', '') AS bare, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS domain FROM o),
+f AS (SELECT bare, min(seq) AS seq, arg_min(domain, seq) AS domain FROM b WHERE add GROUP BY bare),
+j AS (SELECT * FROM f WHERE NOT contains('blog.', bare) AND NOT EXISTS (SELECT 1 FROM f g WHERE g.seq < f.seq AND contains(g.bare, f.bare))),
+e AS (SELECT 'blog.' AS pattern, 'blog.' AS bare, -1 AS seq UNION ALL SELECT domain, bare, seq FROM j)
+SELECT seq, url, add OR EXISTS (SELECT 1 FROM e WHERE e.seq < b.seq AND contains(b.url, e.pattern)) AND EXISTS (SELECT 1 FROM e WHERE e.seq < b.seq AND contains(e.bare, b.bare)) AS accepted FROM b""")
+def allow_grow(spark, sf_dir):
+    start = spark.createDataFrame([("blog.",)], "pattern string")
+    return frontier.growing_allowed(_offers(spark, sf_dir), start, find_new_site=True).select("seq", "url", "accepted")
+
+
 @query("scrape_exclude", "SELECT page_id, CASE WHEN starts_with(url, 'http://m.') OR starts_with(url, 'https://blog.') THEN 'seen' ELSE 'unseen' END AS status FROM pages")
 def scrape_exclude(spark, sf_dir):
     rows = read(spark, sf_dir, "pages").select("page_id", "url", F.lit("unseen").alias("status"))
