@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import text as T
 from newsloom.functions import urls as U
 from newsloom.operators import bandit, crawl, frontier, graph, keywords, match, records, robots
+from newsloom.plans import hooks
 from newsloom.plans.fixtures import sql as fx
 from newsloom.plans.fixtures import table as fixture
 from newsloom.sources import archive, keyed, paged, shared, sinks, web
@@ -90,10 +91,36 @@ def first_keyword(spark, sf_dir):
     return keywords.first_match(read(spark, sf_dir, "documents"), PHRASES).withColumnRenamed("id", "doc_id")
 
 
-@query("context_score")
+#: Keywords, phrases that veto them, anti-keywords, phrases that veto those.
+CONTEXT = ["of the", "erth", "the", "de la"], ["x-ray", "license"], ["and the", "que"], ["de"]
+
+
+def _context_sql() -> str:
+    """Hits by places, vetoes by the text around them, claims a keyword at a time; neighbours of a word are no letters, digits or underscores."""
+    letter, not_word = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]"
+    values = ", ".join(f"('{kind}', {k}, '{p}')" for kind, some in (("k", CONTEXT[0]), ("a", CONTEXT[2])) for k, p in enumerate(some))
+    veto = [f"regexp_matches(around, '(^|{not_word})({'|'.join(some)})($|{not_word})')" for some in (CONTEXT[1], CONTEXT[3])]
+    free = lambda *claims: " AND ".join(f"NOT EXISTS (SELECT 1 FROM {c} c WHERE c.doc_id = g.doc_id AND c.start < g.stop AND g.start < c.stop)" for c in claims) or "true"
+    claims = ", ".join(f"c{k} AS (SELECT * FROM g WHERE kind = 'k' AND ord = {k} AND {free(*(f'c{j}' for j in range(k)))})" for k in range(len(CONTEXT[0])))
+    names = [f"c{k}" for k in range(len(CONTEXT[0]))]
+    return f"""WITH v(kind, ord, p) AS (VALUES {values}), t AS (SELECT doc_id, lower(text) AS low FROM documents),
+    s AS (SELECT doc_id, kind, ord, p, string_split(low, p) AS parts FROM t, v WHERE contains(low, p)),
+    e AS (SELECT doc_id, kind, ord, p, unnest(parts) AS part, generate_subscripts(parts, 1) AS k, len(parts) AS n FROM s),
+    w AS (SELECT *, sum(length(part)) OVER o + (k - 1) * length(p) AS start, lead(part) OVER o AS next FROM e WINDOW o AS (PARTITION BY doc_id, kind, p ORDER BY k)),
+    h AS (SELECT doc_id, kind, ord, p, start, start + length(p) AS stop FROM w WHERE k < n AND CASE WHEN part = '' THEN k = 1 ELSE NOT regexp_matches(right(part, 1), '{letter}') END
+        AND CASE WHEN next = '' THEN k + 1 = n ELSE NOT regexp_matches(left(next, 1), '{letter}') END),
+    x AS (SELECT h.*, substr(low, CAST(greatest(0, start - 50) AS BIGINT) + 1, CAST(least(start, 50) + stop - start + 50 AS BIGINT)) AS around FROM h JOIN t USING (doc_id)),
+    g AS (SELECT doc_id, kind, ord, p, start, stop FROM x WHERE NOT CASE kind WHEN 'k' THEN {veto[0]} ELSE {veto[1]} END), {claims},
+    points AS ({" UNION ALL ".join(f"SELECT doc_id, len(string_split(p, ' ')) AS n FROM {c}" for c in names)} UNION ALL SELECT doc_id, -1 FROM g WHERE kind = 'a' AND {free(*names)}),
+    total AS (SELECT doc_id, CAST(sum(n) AS INTEGER) AS score FROM points GROUP BY doc_id),
+    named AS (SELECT doc_id, string_agg(p, ', ' ORDER BY ord) FILTER (kind = 'k') AS k, string_agg(p, ', ' ORDER BY ord) FILTER (kind = 'a') AS a FROM (SELECT DISTINCT doc_id, kind, ord, p FROM g) GROUP BY doc_id)
+    SELECT doc_id, coalesce(score, 0) AS score, coalesce(k, '') AS keywords, coalesce(a, '') AS anti_keywords FROM documents LEFT JOIN total USING (doc_id) LEFT JOIN named USING (doc_id)"""
+
+
+@query("context_score", _context_sql())
 def context_score(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return keywords.context_score(docs, ["of the", "erth", "the", "de la"], ["x-ray", "license"], ["and the", "que"], ["de"]).withColumnRenamed("id", "doc_id")
+    return keywords.context_score(docs, *CONTEXT).withColumnRenamed("id", "doc_id")
 
 
 @query("title_priority", """WITH t AS (SELECT page_id, regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&amp;', '&', 'g') AS text FROM pages)
@@ -333,6 +360,24 @@ def dedup_first(spark, sf_dir):
 _VISIBLE = r"trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace({x}, '(?s)<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g'))".replace('\\"', '"')
 
 
+@query(
+    "plugged_pages",
+    r"""WITH h AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<h1[^>]*>.*?</h1>|<h2[^>]*>.*?</h2>|<h3[^>]*>.*?</h3>')) AS x FROM pages),
+    t AS (SELECT page_id, CAST(substr(x, 3, 1) AS INTEGER) AS level, trim(regexp_replace(x, '(?s)<[^>]*>', '', 'g')) AS heading FROM h),
+    n AS (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS l FROM pages)
+    SELECT page_id, level, heading, len(list_filter(l, lambda x: starts_with(x, '/'))) AS own, len(list_filter(l, lambda x: NOT starts_with(x, '/'))) AS elsewhere FROM n LEFT JOIN t USING (page_id)""",
+)
+def plugged_pages(spark, sf_dir):
+    """The stages of a crawl at which content has been read, with two plug-ins."""
+    plugs = hooks.Hooks()
+    plugs.plug("on_metadata_extracted", hooks.Headings, "level int, heading string", "html")
+    plugs.plug("on_content_analyzed", hooks.LinkCounts, "own long, elsewhere long", "html")
+    pages = read(spark, sf_dir, "pages").select("page_id", "html")
+    for stage in ("on_metadata_extracted", "on_content_analyzed"):
+        pages = plugs.run(stage, pages)
+    return pages.drop("html")
+
+
 @query("page_title", "SELECT page_id, trim(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&amp;', '&')) AS title FROM pages")
 def page_title(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", web.title(F.col("html")).alias("title"))

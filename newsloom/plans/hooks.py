@@ -1,11 +1,17 @@
-"""Plug-in hooks: named stages to which DataFrame transforms are attached."""
+"""Plug-in hooks: named stages to which DataFrame transforms and table functions are attached.
+
+A plug-in that looks at one row at a time is a Python table function: a class whose eval() yields rows, which Spark joins laterally to
+the row that it was called with, in Arrow batches. So it may give any number of rows, and may keep what it needs between rows.
+"""
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 # The stages of a crawl that a plug-in may attach to.
 STAGES = (
@@ -24,7 +30,36 @@ class Hooks:
             raise ValueError(f"no such stage: {stage}")
         self._by_stage[stage].append(transform)
 
+    def plug(self, stage: str, handler: type, returns: str, *columns: str, keep: bool = True) -> None:
+        """Attach a table function: its rows, of the columns that `returns` names, are joined to each row, whose `columns` eval() is given; a
+        row for which it gives none stays, with nulls, if keep says so."""
+        self.add(stage, lambda df: df.lateralJoin(F.udtf(handler, returnType=returns, useArrow=True)(*[F.col(c).outer() for c in columns]), F.lit(True), "left" if keep else "inner"))
+
     def run(self, stage: str, df: DataFrame) -> DataFrame:
         for t in self._by_stage[stage]:
             df = df.transform(t)
         return df
+
+
+class Headings:
+    """A plug-in: the headings of a page, in order."""
+
+    def __init__(self):
+        self.heading = re.compile(r"(?is)<h([1-3])[^>]*>(.*?)</h\1>")
+        self.tag = re.compile(r"(?s)<[^>]*>")
+
+    def eval(self, html: str) -> Iterator[tuple[int, str]]:
+        for level, text in self.heading.findall(html or ""):
+            yield int(level), self.tag.sub("", text).strip()
+
+
+class LinkCounts:
+    """A plug-in: how many links of a page are its host's own, and how many lead elsewhere."""
+
+    def __init__(self):
+        self.link = re.compile(r'<a href="([^"]*)"')
+
+    def eval(self, html: str) -> Iterator[tuple[int, int]]:
+        found = self.link.findall(html or "")
+        own = sum(href.startswith("/") for href in found)
+        yield own, len(found) - own

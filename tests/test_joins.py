@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsloom.operators import frontier, graph, match
-from newsloom.plans import catalog
+from newsloom.plans import catalog, hooks
 
 
 def lcs(a, b):
@@ -164,3 +164,21 @@ def test_paths_from_a_start_set(spark, path):
     got = graph.reach(spark.createDataFrame([(s,) for s in starts], "node int"), spark.createDataFrame(edges, "subject int, predicate string, object int"), path).collect()
     real = [e for e in edges if None not in e]
     assert sorted((r.start, r.node) for r in got) == sorted((s, n) for s in starts if s is not None for n in ends(path, real, s))
+
+
+class Letters:
+    def eval(self, text):
+        for k, c in enumerate(text or ""):
+            yield k, c
+
+
+def test_plug_ins_are_joined_to_the_rows_they_look_at(spark):
+    df = spark.createDataFrame([(1, "ab", 5), (2, "", 6), (3, None, 7)], "id int, text string, c int")
+    plugs = hooks.Hooks()
+    plugs.plug("after_fetch", Letters, "k int, letter string", "text")
+    plugs.add("after_fetch", lambda d: d.withColumn("more", F.col("c") + 1))
+    assert sorted(map(tuple, plugs.run("after_fetch", df).collect()), key=str) == [(1, "ab", 5, 0, "a", 6), (1, "ab", 5, 1, "b", 6), (2, "", 6, None, None, 7), (3, None, 7, None, None, 8)]
+    plugs.plug("before_fetch", Letters, "k int, letter string", "text", keep=False)
+    assert plugs.run("before_fetch", df).count() == 2 and plugs.run("on_finish", df) is df
+    with pytest.raises(ValueError, match="no such stage"):
+        plugs.plug("nowhere", Letters, "k int", "text")
