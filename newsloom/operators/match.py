@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import difflib
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsloom.sources.shared import cut, release
 
@@ -19,51 +21,60 @@ def overlaps(strict: bool = True) -> Column:
     return (F.col("c.x1") <= F.col("l.x2")) & (F.col("l.x1") <= F.col("c.x2")) & (F.col("c.y1") <= F.col("l.y2")) & (F.col("l.y1") <= F.col("c.y2"))
 
 
-def box_pairs(cells: DataFrame, links: DataFrame, strict: bool = True) -> DataFrame:
+#: What tells a page from all others; with more than one document in a table, ("doc", "page").
+PAGE = ("page",)
+
+
+def _on(key: tuple[str, ...], strict: bool) -> Column:
+    return reduce(Column.__and__, [F.col(f"c.{k}") == F.col(f"l.{k}") for k in key], overlaps(strict))
+
+
+def box_pairs(cells: DataFrame, links: DataFrame, strict: bool = True, key: tuple[str, ...] = PAGE) -> DataFrame:
     """(page, row_id, pos, uri): overlapping boxes of a page; an equi-join on the page with the box test on top."""
-    c, x = cells.alias("c"), links.alias("l")
-    return c.join(x, (F.col("c.page") == F.col("l.page")) & overlaps(strict)).select("c.page", "c.row_id", F.col("l.pos").alias("pos"), "l.uri")
+    return cells.alias("c").join(links.alias("l"), _on(key, strict)).select(*(f"c.{k}" for k in key), "c.row_id", F.col("l.pos").alias("pos"), "l.uri")
 
 
-def first_link(cells: DataFrame, links: DataFrame, strict: bool = True) -> DataFrame:
+def first_link(cells: DataFrame, links: DataFrame, strict: bool = True, key: tuple[str, ...] = PAGE) -> DataFrame:
     """(page, row_id, uri): the first overlapping link of each cell."""
-    return box_pairs(cells, links, strict).groupBy("page", "row_id").agg(F.min_by("uri", "pos").alias("uri"))
+    return box_pairs(cells, links, strict, key).groupBy(*key, "row_id").agg(F.min_by("uri", "pos").alias("uri"))
 
 
-def claimed_links(cells: DataFrame, links: DataFrame, strict: bool = True) -> DataFrame:
+def claimed_links(cells: DataFrame, links: DataFrame, strict: bool = True, key: tuple[str, ...] = PAGE) -> DataFrame:
     """(page, row_id, uri): cells in order take the first overlapping link whose uri no earlier cell has taken.
 
     Greedy, hence a fold over the pairs of one page, which are as many as its boxes allow.
     """
     def claim(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
+        taken, rows = set(), []
         for row, part in pdf.sort_values(["row_id", "pos"]).groupby("row_id", sort=True):
             uri = next((u for u in part["uri"] if u not in taken), None)
             if uri is not None:
                 taken.add(uri)
-                out.append((int(pdf["page"].iloc[0]), int(row), uri))
-        return pd.DataFrame(out, columns=["page", "row_id", "uri"])
+                rows.append((row, uri))
+        out = pd.DataFrame(rows, columns=["row_id", "uri"])
+        return out.assign(**{k: pdf[k].iloc[0] for k in key})[[*key, "row_id", "uri"]]
 
-    return box_pairs(cells, links, strict).groupBy("page").applyInPandas(claim, "page int, row_id int, uri string")
+    kinds = T.StructType([cells.schema[k] for k in (*key, "row_id")] + [links.schema["uri"]])
+    return box_pairs(cells, links, strict, key).groupBy(*key).applyInPandas(claim, kinds)
 
 
-def last_cell_links(cells: DataFrame, links: DataFrame) -> DataFrame:
+def last_cell_links(cells: DataFrame, links: DataFrame, key: tuple[str, ...] = PAGE) -> DataFrame:
     """(page, row_id, uri): each cell(page, row_id, col, box) takes the first link that overlaps or touches it, as often
     as it comes; of the cells of a row the last that has one names the row's uri."""
-    c = cells.alias("c").join(links.alias("l"), (F.col("c.page") == F.col("l.page")) & overlaps(strict=False))
-    per = c.groupBy("c.page", "c.row_id", "c.col").agg(F.min_by("l.uri", "l.pos").alias("uri"))
-    return per.groupBy("page", "row_id").agg(F.max_by("uri", "col").alias("uri"))
+    c = cells.alias("c").join(links.alias("l"), _on(key, strict=False))
+    per = c.groupBy(*(F.col(f"c.{k}") for k in key), "c.row_id", "c.col").agg(F.min_by("l.uri", "l.pos").alias("uri"))
+    return per.groupBy(*key, "row_id").agg(F.max_by("uri", "col").alias("uri"))
 
 
-def loose_link(cells: DataFrame, links: DataFrame) -> DataFrame:
+def loose_link(cells: DataFrame, links: DataFrame, key: tuple[str, ...] = PAGE) -> DataFrame:
     """(page, uri): the last link of each page that has a cell which no link overlaps or touches."""
-    hit = cells.alias("c").join(links.alias("l"), (F.col("c.page") == F.col("l.page")) & overlaps(strict=False), "left_anti")
-    last = links.groupBy("page").agg(F.max_by("uri", "pos").alias("uri"))
-    return last.join(hit.select("page").distinct(), "page", "left_semi")
+    hit = cells.alias("c").join(links.alias("l"), _on(key, strict=False), "left_anti")
+    last = links.groupBy(*key).agg(F.max_by("uri", "pos").alias("uri"))
+    return last.join(hit.select(*key).distinct(), list(key), "left_semi")
 
 
-def unmatched(links: DataFrame, matched: DataFrame) -> DataFrame:
-    return links.select("page", "uri").distinct().join(matched.select("page", "uri"), ["page", "uri"], "left_anti")
+def unmatched(links: DataFrame, matched: DataFrame, key: tuple[str, ...] = PAGE) -> DataFrame:
+    return links.select(*key, "uri").distinct().join(matched.select(*key, "uri"), [*key, "uri"], "left_anti")
 
 
 def sequence_ratio(a: Column, b: Column) -> Column:

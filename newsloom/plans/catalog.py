@@ -220,7 +220,7 @@ SELECT url, string_agg(part, '&' ORDER BY CASE WHEN key_order THEN name ELSE ''
 WHERE (NOT coalesce(params, false) OR list_contains(string_split(except_names, ','), name)) AND (drop_names IS NULL OR NOT list_contains(string_split(drop_names, ','), name)) GROUP BY url""")
 def policy_canonical(spark, sf_dir):
     urls, rules = fixture(spark, "policy_urls"), fixture(spark, "policies")
-    out = urls.join(F.broadcast(rules), ["domain", "path"], "left")
+    out = urls.join(rules, ["domain", "path"], "left")
     only = F.when(F.col("params"), F.split("except_names", ","))
     return out.select("url", U.canonical_query(F.col("query"), only, F.split("drop_names", ","), F.coalesce("key_order", F.lit(False))).alias("canonical"))
 

@@ -156,8 +156,9 @@ class Snapshot:
     def bucket(self) -> Column:
         return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
 
-    def merge(self, delta: DataFrame, version: int, *order: Column) -> list[int]:
-        """Rows of delta replace those of their keys, the last of delta wins; the buckets that were rewritten, none if version is there."""
+    def merge(self, delta: DataFrame, version: int, *order: Column, newest: bool = False) -> list[int]:
+        """Rows of delta replace those of their keys, the last of delta wins; with `newest` only where they come later in the order.
+        Returns the buckets that were rewritten, none if version is there."""
         if version in self.versions():
             return []
         held, columns = self.held(), delta.columns
@@ -169,8 +170,12 @@ class Snapshot:
         if touched:
             schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in delta.schema.fields)
             old = self.read(schema, only=touched).withColumn("bucket", self.bucket())
-            kept = old.join(new.select(self.key), self.key, "left_anti").select("bucket", *columns)
-            kept.unionByName(new).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.files.path}/data/{version}")
+            if newest:
+                rows = latest(old.unionByName(new), [self.key], *order)
+            else:
+                known = new.select(F.col(self.key).alias("__key"))
+                rows = old.join(known, old[self.key].eqNullSafe(known["__key"]), "left_anti").unionByName(new)
+            rows.select("bucket", *columns).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.files.path}/data/{version}")
         self.files.put(f"versions/{version}", json.dumps(held | {str(b): version for b in touched}))
         self.files.delete(f"new-{version}")
         return touched

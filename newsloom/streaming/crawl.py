@@ -30,17 +30,16 @@ def crawl_delays(responses: DataFrame, first_delay: float = 1.0, floor: float =
     return responses.groupBy("domain").applyInPandasWithState(step, "domain string, n long, delay double", "n long, delay double", "update", GroupStateTimeout.NoTimeout)
 
 
-def upsert_sink(path: str, key: str, order: str):
-    """A foreachBatch function that keeps the latest row of each key in a Parquet snapshot of versions."""
+def upsert_sink(path: str, key: str, order: str, buckets: int = 64):
+    """A foreachBatch function that keeps the latest row of each key in a snapshot of buckets: a batch rewrites those it touches, and one that
+    is given again does nothing. Read it with keyed.Snapshot(spark, path, key, buckets).read(schema)."""
     from pyspark.sql import functions as F
 
-    from newsloom.operators.frontier import latest
+    from newsloom.sources.keyed import Snapshot
 
     def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        new = batch
-        if epoch:
-            new = spark.read.parquet(f"{path}/v{epoch - 1}").unionByName(batch)
-        latest(new, [key], F.col(order)).write.mode("overwrite").parquet(f"{path}/v{epoch}")
+        table = Snapshot(batch.sparkSession, path, key, buckets)
+        table.merge(batch, epoch, F.col(order), newest=True)
+        table.vacuum(keep=2)
 
     return write

@@ -135,8 +135,28 @@ def test_a_merge_rewrites_the_buckets_it_touches(spark):
     assert {r.k: r.v for r in table.read(SCHEMA, version=1).collect()} == {str(k): k for k in range(100)}
     assert table.merge(rows_of(spark), 3, order) == [] and table.versions() == [1, 2, 3]
     # null is a key
-    assert len(table.merge(rows_of(spark, (None, 1, 1)), 4, order)) == 1
-    assert table.read(SCHEMA).where("k is null").count() == 1
+    for version in (4, 5):
+        assert len(table.merge(rows_of(spark, (None, version, 1)), version, order)) == 1
+        assert [r.v for r in table.read(SCHEMA).where("k is null").collect()] == [version]
+
+
+def test_a_stream_keeps_the_latest_row_of_each_key(spark, tmp_path):
+    from newsloom.streaming.crawl import upsert_sink
+
+    path, log = shared.fresh_path(spark), str(tmp_path / "log")
+    sink = upsert_sink(path, "k", "seq", buckets=4)
+
+    def run():
+        stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(log)
+        stream.writeStream.foreachBatch(sink).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+        return {r.k: r.v for r in keyed.Snapshot(spark, path, "k", 4).read(SCHEMA).collect()}
+
+    rows_of(spark, ("a", 1, 5), ("b", 2, 1)).coalesce(1).write.parquet(log)
+    assert run() == {"a": 1, "b": 2}
+    rows_of(spark, ("a", 7, 4), ("b", 8, 2), ("c", 9, 1)).coalesce(1).write.mode("append").parquet(log)
+    assert run() == {"a": 1, "b": 8, "c": 9}
+    sink(rows_of(spark, ("c", 0, 99)), 1)  # a batch that is given again
+    assert run() == {"a": 1, "b": 8, "c": 9}
 
 
 def test_a_merge_that_broke_off_is_not_seen(spark):

@@ -166,13 +166,24 @@ def test_paths_from_a_start_set(spark, path):
     assert sorted((r.start, r.node) for r in got) == sorted((s, n) for s in starts if s is not None for n in ends(path, real, s))
 
 
-class Letters:
-    def eval(self, text):
-        for k, c in enumerate(text or ""):
-            yield k, c
+def test_pages_of_different_documents_do_not_meet(spark):
+    box = [0.0, 0.0, 2.0, 2.0]
+    cells = spark.createDataFrame([(d, 1, r, 0, *box) for d in ("x", "y") for r in (1, 2)], "doc string, page int, row_id int, col int, x1 double, y1 double, x2 double, y2 double")
+    links = spark.createDataFrame([("x", 1, 1, "u", *box), ("x", 1, 2, "v", *box), ("y", 1, 1, "u", *box)], "doc string, page int, pos int, uri string, x1 double, y1 double, x2 double, y2 double")
+    key = ("doc", "page")
+    taken = match.claimed_links(cells, links, key=key)
+    assert sorted(map(tuple, taken.collect())) == [("x", 1, 1, "u"), ("x", 1, 2, "v"), ("y", 1, 1, "u")]
+    assert sorted(map(tuple, match.first_link(cells, links, key=key).collect())) == [(d, 1, r, "u") for d in ("x", "y") for r in (1, 2)]
+    assert match.last_cell_links(cells, links, key=key).count() == 4 and match.loose_link(cells, links, key=key).count() == 0
+    assert [tuple(r) for r in match.unmatched(links, taken.where("doc = 'x'"), key=key).collect()] == [("y", 1, "u")]
 
 
 def test_plug_ins_are_joined_to_the_rows_they_look_at(spark):
+    class Letters:
+        def eval(self, text):
+            for k, c in enumerate(text or ""):
+                yield k, c
+
     df = spark.createDataFrame([(1, "ab", 5), (2, "", 6), (3, None, 7)], "id int, text string, c int")
     plugs = hooks.Hooks()
     plugs.plug("after_fetch", Letters, "k int, letter string", "text")
