@@ -15,22 +15,25 @@ TITLE = r"(?m)^(.*?),\s*(BBC [\w\s]+),\s*(\d{1,2} \w+ \d{4})"
 COMPLAINT = r"(?s)Complaint\s*\n(.*?)\nOutcome"
 OUTCOME = r"(?s)Outcome\s*\n(.*?)\n(?:Further action|Resolved|Partly upheld|Upheld|Not upheld)"
 FURTHER = r"(?s)Further action\s*\n(.*?)(?:\n|$)"
-#: Segment headers in order of trial: (name, pattern, groups of programme, station and date; 0 for none).
-SEGMENTS = (
-    ("prog_station_date", rf"^(.*?),\s*({STATION}),\s*({DAY})$", (1, 2, 3)),
-    ("prog_date", rf"^(.*?),\s*({DAY})$", (1, 0, 2)),
-    ("station_prog_date", rf"^({STATION}),\s*(.*?),\s*({DAY})$", (2, 1, 3)),
-    ("prog_wip", r"^(.*?)\s+\(Working title\)$", (1, 0, 0)),
-    ("red_button", r"^(BBC Red Button(?: text service closure)?)$", (0, 1, 0)),
-    ("site", r"^(.*?),\s*bbc\.co\.uk$", (1, 0, 0)),
-    ("station_data", rf"^({STATION}),\s*({DAY})$", (0, 1, 2)),
-    ("prog_station_date_simple", rf"^(.*?),\s*({STATION}),\s*({DAY})?$", (1, 2, 3)),
-    ("prog_station_date_simple2", rf"^(.+?),\s*(.+?)(?:,\s*({DAY}))?$", (1, 2, 3)),
-    ("forgs", r"^([^,])*,\s([^,])*, (\d{1,2}\s[A-z]*\s\d{4})$", (1, 2, 3)),
-    ("forgs2", r"^([^,]*), ([^,]*), (\d{2}[^,]*\d{4})", (1, 2, 3)),
-    ("forgs3", r"^([^,]*), ([^,]*), (\d{2}[^,]*)", (1, 2, 3)),
-    ("forgs4", r"^([A-z ]*)  ([A-z ]*)  (\d*/\d*/\d*)", (1, 2, 3)),
-    ("fallback", r"^([^,\n]+),\s*([^,\n]+),\s*([0-9][^,\n]*)$", (1, 2, 3)),
+
+
+def header(*fields: str) -> str:
+    """A whole line of fields with commas between."""
+    return "^" + r",\s*".join(fields) + "$"
+
+
+ANY, NAME = "(.*?)", "(.+?)"
+#: Shapes of headers in order of trial, and which groups of each are programme, station and date; 0 for none. What a programme and a date
+#: match may hold a station as well, and two fields anything, so no longer lists of fields are needed.
+HEADERS = (
+    (header(ANY, f"({STATION})", f"({DAY})"), (1, 2, 3)),
+    (header(ANY, f"({DAY})"), (1, 0, 2)),
+    (ANY.join(("^", r"\s+\(Working title\)$")), (1, 0, 0)),
+    (header("(BBC Red Button(?: text service closure)?)"), (0, 1, 0)),
+    (header(ANY, r"bbc\.co\.uk"), (1, 0, 0)),
+    (header(ANY, f"({STATION})", ""), (1, 2, 0)),
+    (header(NAME, "(.+)"), (1, 2, 0)),
+    (r"^([A-z ]*)  ([A-z ]*)  (\d*/\d*/\d*)", (1, 2, 3)),
 )
 # The columns of the master table.
 COLUMNS = (
@@ -60,36 +63,39 @@ def summaries(pages: DataFrame) -> DataFrame:
 
 
 def segments(pages: DataFrame) -> DataFrame:
-    """(doc_id, page, pos, kind, programme, station, date): lines gather in a buffer until it has the shape of a header.
+    """(doc_id, page, pos, programme, station, date): lines gather in a buffer until it has the shape of a header.
 
-    An ordered fold over the lines of a page; a header empties the buffer.
+    An ordered fold over the lines of a page; a header empties the buffer. Lines without a comma are tried only against the shapes that
+    need none.
     """
-    def kind(s: Column) -> Column:
-        out = F.lit(None).cast("string")
-        for name, pattern, _ in reversed(SEGMENTS):
-            out = F.when(s.rlike(pattern), name).otherwise(out)
+    def shape(s: Column) -> Column:
+        """The number of the first shape that a buffer has."""
+        commas = F.contains(s, F.lit(","))
+        out = F.lit(None).cast("int")
+        for k, (pattern, _) in reversed(list(enumerate(HEADERS))):
+            out = F.when((commas if "," in pattern else F.lit(True)) & s.rlike(pattern), k).otherwise(out)
         return out
 
     def step(state, line):
         joined = F.trim(F.concat_ws(" ", F.nullif(state["buffer"], F.lit("")), F.trim(line)))
-        hit = kind(joined)
+        hit = shape(joined)
         return F.struct(
             F.when(hit.isNotNull(), "").otherwise(joined).alias("buffer"),
-            F.when(hit.isNotNull(), F.concat(state["out"], F.array(F.struct(hit.alias("kind"), joined.alias("line"))))).otherwise(state["out"]).alias("out"),
+            F.when(hit.isNotNull(), F.concat(state["out"], F.array(F.struct(hit.alias("shape"), joined.alias("line"))))).otherwise(state["out"]).alias("out"),
         )
 
-    empty = F.struct(F.lit("").alias("buffer"), F.array().cast("array<struct<kind:string,line:string>>").alias("out"))
+    empty = F.struct(F.lit("").alias("buffer"), F.array().cast("array<struct<shape:int,line:string>>").alias("out"))
     folded = F.aggregate(F.split("text", "\n"), empty, step, lambda s: s["out"])
-    found = pages.select("doc_id", "page", F.posexplode(folded).alias("pos", "s")).select("doc_id", "page", "pos", "s.kind", F.col("s.line").alias("line"))
+    found = pages.select("doc_id", "page", F.posexplode(folded).alias("pos", "s")).select("doc_id", "page", "pos", "s.shape", "s.line")
 
     def part(n: int) -> Column:
         out = F.lit("")
-        for name, pattern, groups in SEGMENTS:
+        for k, (pattern, groups) in enumerate(HEADERS):
             if groups[n]:
-                out = F.when(F.col("kind") == name, F.trim(F.regexp_extract("line", pattern, groups[n]))).otherwise(out)
+                out = F.when(F.col("shape") == k, F.trim(F.regexp_extract("line", pattern, groups[n]))).otherwise(out)
         return out
 
-    return found.select("doc_id", "page", "pos", "kind", part(0).alias("programme"), part(1).alias("station"), part(2).alias("date"))
+    return found.select("doc_id", "page", "pos", part(0).alias("programme"), part(1).alias("station"), part(2).alias("date"))
 
 
 def align(df: DataFrame, columns=COLUMNS) -> DataFrame:

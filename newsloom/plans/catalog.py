@@ -469,8 +469,8 @@ def complaint_summaries(spark, sf_dir):
     return records.summaries(fixture(spark, "summaries"))
 
 
-@query("programme_segments", """SELECT * FROM (VALUES (1, 1, 0, 'prog_station_date', 'Morning Show', 'BBC One', '3 April 2020'), (1, 1, 1, 'prog_station_date', 'A very long title', 'BBC Two', '4 May 2021'),
-(2, 1, 0, 'prog_wip', 'The Pilot', '', ''), (2, 1, 1, 'red_button', '', 'BBC Red Button', '')) t(doc_id, page, pos, kind, programme, station, date)""")
+@query("programme_segments", """SELECT * FROM (VALUES (1, 1, 0, 'Morning Show', 'BBC One', '3 April 2020'), (1, 1, 1, 'A very long title', 'BBC Two', '4 May 2021'),
+(2, 1, 0, 'The Pilot', '', ''), (2, 1, 1, '', 'BBC Red Button', '')) t(doc_id, page, pos, programme, station, date)""")
 def programme_segments(spark, sf_dir):
     return records.segments(fixture(spark, "segments"))
 
