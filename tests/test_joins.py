@@ -191,5 +191,9 @@ def test_plug_ins_are_joined_to_the_rows_they_look_at(spark):
     assert sorted(map(tuple, plugs.run("after_fetch", df).collect()), key=str) == [(1, "ab", 5, 0, "a", 6), (1, "ab", 5, 1, "b", 6), (2, "", 6, None, None, 7), (3, None, 7, None, None, 8)]
     plugs.plug("before_fetch", Letters, "k int, letter string", "text", keep=False)
     assert plugs.run("before_fetch", df).count() == 2 and plugs.run("on_finish", df) is df
+    assert "Exchange" not in plugs.run("before_fetch", df)._jdf.queryExecution().executedPlan().toString()
+    plugs.plug("on_start", Letters, "id int, letter string", "text")
+    with pytest.raises(ValueError, match="already: id"):
+        plugs.run("on_start", df)
     with pytest.raises(ValueError, match="no such stage"):
         plugs.plug("nowhere", Letters, "k int", "text")
