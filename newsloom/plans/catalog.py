@@ -1021,7 +1021,7 @@ def search_results(spark, sf_dir):
     return web.search_results(fixture(spark, "result_pages"), "site.org", {"bbc": "https://root.org", "other": "https://site.org/find"}, _CARD)
 
 
-def paged_rows(pages: DataFrame, size: int = 10) -> DataFrame:
+def paged_rows(pages: DataFrame, size: int = 20) -> DataFrame:
     """pages dealt to the pages of an archive: four indexes, two types."""
     index, kind = F.concat(F.lit("i"), (F.col("page_id") % 4).cast("string")), F.when(F.col("page_id") % 5 == 0, "feed").otherwise("html")
     rows = pages.select(index.alias("index"), kind.alias("type"), "page_id", "url")
@@ -1031,14 +1031,14 @@ def paged_rows(pages: DataFrame, size: int = 10) -> DataFrame:
 @query(
     "paged_captures",
     """WITH p AS (SELECT page_id, url, 'i' || page_id % 4 AS i, page_id % 5 = 0 AS feed, row_number() OVER (PARTITION BY page_id % 4, page_id % 5 = 0 ORDER BY page_id) - 1 AS k FROM pages)
-    SELECT i AS "index", CAST(k // 10 AS INTEGER) AS page, page_id, url FROM p WHERE NOT feed AND k // 10 BETWEEN 1 AND 40""",
+    SELECT i AS "index", CAST(k // 20 AS INTEGER) AS page, page_id, url FROM p WHERE NOT feed AND k // 20 BETWEEN 1 AND 40""",
 )
 def paged_captures(spark, sf_dir):
     """The first endpoint lacks half of the indexes and the odd pages of the others: the second is asked for those."""
     rows = paged_rows(read(spark, sf_dir, "pages"))
     part = paged.write(rows.where("index in ('i0', 'i1') and page % 2 = 0"), shared.fresh_path(spark))
     whole = paged.write(rows, shared.fresh_path(spark))
-    out = paged.read(spark, [part, whole], page_size=10, most_pages=0, per_task=8).where("type = 'html' and page >= 1 and page <= 40")
+    out = paged.read(spark, [part, whole], page_size=20, most_pages=0, per_task=8).where("type = 'html' and page >= 1 and page <= 40")
     return out.select("index", "page", F.from_json("record", "page_id long, url string").alias("r")).select("index", "page", "r.*")
 
 
@@ -1048,6 +1048,6 @@ def paged_stream(spark, sf_dir):
     rows, at, out = paged_rows(read(spark, sf_dir, "pages")), shared.fresh_path(spark), shared.fresh_path(spark)
     for some in ("index <> 'i3'", "index = 'i3'"):
         paged.write(rows.where(some), at)
-        got = state.available_now(paged.read_stream(spark, [at], page_size=10, most_pages=0), out)
+        got = state.available_now(paged.read_stream(spark, [at], page_size=20, most_pages=0), out)
     got = got.select("index", F.get_json_object("record", "$.page_id").cast("long").alias("page_id"))
     return got.groupBy("index").agg(F.count(F.lit(1)).alias("n"), F.sum("page_id").alias("total"))
