@@ -256,6 +256,28 @@ def test_segments_equal_a_loop(spark):
         assert got.get(k, []) == want
 
 
+def test_segments_name_their_kinds_and_end_lines_at_newlines_only(spark):
+    lines = ["Show, BBC One, 3 May 2020", "Show, 3 août 2020", "The Pilot (Working title)", "BBC Red Button", "Page, bbc.co.uk", "Show, BBC One,", "A, B, 12 x", ", x", "A\x85very", "\u2028long", "\xa0\u3000", "q\x1c,\x1cRadio 4,\u20033 May 2020", "Alpha  Beta  1/2/2020", "Long"]
+    rng = random.Random(8)
+    texts = [rng.choice(["\n", "\r\n"]).join(rng.choice(lines) for _ in range(rng.randrange(9))) for _ in range(200)]
+    texts += ["Morning Show, BBC One, 3 April 2020\r\nA very\r\nlong title, BBC Two, 4 May 2021\r\nBBC Red Button\r\n", None]
+    pages = spark.createDataFrame([(k, 1, t) for k, t in enumerate(texts)], "doc_id int, page int, text string")
+    got = {}
+    for r in records.segments(pages).orderBy("doc_id", "pos").collect():
+        got.setdefault(r.doc_id, []).append((r.kind, r.programme, r.station, r.date))
+    assert got[200] == [("prog_station_date", "Morning Show", "BBC One", "3 April 2020"), ("prog_station_date", "A very long title", "BBC Two", "4 May 2021"), ("red_button", "", "BBC Red Button", "")]
+    for k, t in enumerate(texts):
+        want, held = [], ""
+        for line in filter(None, map(str.strip, (t or "").split("\n"))):
+            held = f"{held} {line}".lstrip(" ")
+            for name, (pattern, groups) in records.SEGMENTS.items():
+                if m := re.match(pattern, held):
+                    want.append((name, *[(m[g] or "").strip() if g else "" for g in groups]))
+                    held = ""
+                    break
+        assert got.get(k, []) == want
+
+
 def test_values_by_spans_equal_the_fold(spark):
     steps = spark.range(0, 400).select((F.col("id") % 2).cast("string").alias("param"), F.col("id").alias("step"), F.lit(1).alias("action"), (F.col("id") % 3).cast("double").alias("reward"))
     want = {}
